@@ -46,7 +46,9 @@ def survey_period(day: Column) -> Column:
     return F.date_format(month, "yyyyMM")
 
 
-def open_periods(as_of: dt.date) -> Column:
-    """The period running on ``as_of`` and the one before, as an array."""
-    day = F.lit(as_of)
-    return F.array(survey_period(day), survey_period(F.add_months(F.trunc(day, "MM"), -2)))
+def open_periods(as_of: dt.date) -> tuple[str, str]:
+    """The period running on ``as_of`` and the one before; as plain values
+    they reach the scan."""
+    months = as_of.year * 12 + as_of.month - 1
+    running = months - as_of.month % 2
+    return tuple(f"{m // 12:04d}{m % 12 + 1:02d}" for m in (running, running - 2))

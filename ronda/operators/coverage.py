@@ -13,6 +13,7 @@ from ronda.functions.text import none_if_empty, service_type
 from ronda.operators import open_posts as posts
 from ronda.operators.scope import (
     Principals,
+    near,
     principal_frame,
     visible_client_sites,
     visible_rows,
@@ -59,15 +60,16 @@ def coverage_overall(
     A principal with nothing required gets an all-zero grey row.
     """
     require_columns(rollup, "rollup")
-    sites = rollup.groupBy(*CLIENT_SITE, "empresa").agg(
+    visible = visible_client_sites(grants, principals)
+    seen = near(rollup, visible, CLIENT_SITE, principals)
+    sites = seen.groupBy(*CLIENT_SITE, "empresa").agg(
         F.sum("total_guardias_requeridos").alias("requeridos"),
         F.sum("guardias_presentes").alias("presentes"),
         F.max("ultima_actualizacion").alias("refrescado"),
     )
     times = F.col("accesos")
     totals = (
-        visible_client_sites(grants, principals)
-        .join(sites, CLIENT_SITE)
+        visible.join(sites, CLIENT_SITE)
         .groupBy("email_login")
         .agg(
             F.sum(F.col("requeridos") * times).alias("requeridos"),
@@ -145,7 +147,8 @@ def coverage_by_site(
 ) -> DataFrame:
     """Coverage of every site a principal sees, with device and open posts."""
     require_columns(rollup, "rollup")
-    sites = rollup.groupBy(*SITE).agg(
+    visible = visible_client_sites(grants, principals)
+    sites = near(rollup, visible, CLIENT_SITE, principals).groupBy(*SITE).agg(
         F.sum("total_guardias_requeridos").alias("requeridos"),
         F.sum("guardias_presentes").alias("presentes"),
         F.sum("turnos_cubiertos").alias("cubiertos"),
@@ -154,7 +157,7 @@ def coverage_by_site(
     looked_up = _with_site_lookups(sites, devices, open_posts)
     times = F.col("accesos") * F.col("equipos")
     pct = percent(F.col("presentes"), F.col("requeridos"), scale)
-    return visible_client_sites(grants, principals).join(looked_up, CLIENT_SITE).select(
+    return visible.join(looked_up, CLIENT_SITE).select(
         "email_login",
         *SITE,
         (F.col("requeridos") * times).alias("total_guardias_requeridos"),
@@ -176,14 +179,15 @@ def coverage_by_site_fast(
 ) -> DataFrame:
     """The short form: one decimal, no shift counts, device number as stored."""
     require_columns(rollup, "rollup")
-    sites = rollup.groupBy(*SITE).agg(
+    visible = visible_client_sites(grants, principals)
+    sites = near(rollup, visible, CLIENT_SITE, principals).groupBy(*SITE).agg(
         F.sum("total_guardias_requeridos").alias("requeridos"),
         F.sum("guardias_presentes").alias("presentes"),
     )
     looked_up = _with_site_lookups(sites, devices, open_posts)
     times = F.col("accesos") * F.col("equipos")
     pct = percent(F.col("presentes"), F.col("requeridos"), 1)
-    return visible_client_sites(grants, principals).join(looked_up, CLIENT_SITE).select(
+    return visible.join(looked_up, CLIENT_SITE).select(
         "email_login",
         *SITE,
         (F.col("requeridos") * times).alias("total_guardias_requeridos"),
@@ -203,12 +207,14 @@ def coverage_by_site_service(
 ) -> DataFrame:
     """One row per rollup row, grant and device; nothing is summed."""
     require_columns(rollup, "rollup")
-    looked_up = _with_site_lookups(rollup, devices, open_posts)
+    visible = visible_rows(grants, principals)
+    seen = near(rollup, visible, CLIENT_SITE, principals)
+    looked_up = _with_site_lookups(seen, devices, open_posts)
     # Devices that look alike stay separate rows here.
     repeated = looked_up.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("equipos"))))
     required, present = F.col("total_guardias_requeridos"), F.col("guardias_presentes")
     pct = percent(present, required, 1)
-    return visible_rows(grants, principals).join(repeated, CLIENT_SITE).select(
+    return visible.join(repeated, CLIENT_SITE).select(
         "email_login",
         *SITE,
         service_type(F.col("tipo_de_servicio")).alias("tipo_de_servicio"),

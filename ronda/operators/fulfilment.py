@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ronda.functions.kpi import band, hours, percent
 from ronda.functions.text import filled
 from ronda.functions.time import day_range_label, within_days
-from ronda.operators.scope import Principals, visible_client_sites
+from ronda.operators.scope import Principals, near, visible_client_sites, with_namesakes
 from ronda.schemas import require_columns
 from ronda.settings import DEFAULTS, Settings
 
@@ -44,9 +44,15 @@ def weekly_fulfilment(
     settings: Settings = DEFAULTS,
     principals: Principals = None,
 ) -> DataFrame:
-    """Hours and attendance per principal and week."""
+    """Hours and attendance per principal and week.
+
+    Sites are counted by name.  Only those a principal sees under several
+    clients need telling apart for that; the others are one each.
+    """
+    visible = visible_client_sites(grants, principals)
+    recent = _window(history, as_of, days, settings)
     site_week = (
-        _window(history, as_of, days, settings)
+        near(recent, visible, CLIENT_SITE, principals)
         .groupBy(*CLIENT_SITE, *WEEK)
         .agg(
             F.min("dia").alias("primero"),
@@ -57,9 +63,10 @@ def weekly_fulfilment(
             F.sum("asistencia").alias("asistencias"),
         )
     )
-    times = F.col("accesos")
+    times, several = F.col("accesos"), F.col("varios")
+    names = F.count_distinct(F.when(several, F.col("instalacion_rol")))
     weeks = (
-        visible_client_sites(grants, principals)
+        with_namesakes(visible)
         .join(site_week, CLIENT_SITE)
         .groupBy("email_login", *WEEK)
         .agg(
@@ -69,7 +76,7 @@ def weekly_fulfilment(
             F.sum(F.col("entregadas") * times).alias("entregadas"),
             F.sum(F.col("registros") * times).alias("total_registros"),
             F.sum(F.col("asistencias") * times).alias("total_asistencias"),
-            F.count_distinct("instalacion_rol").alias("num_instalaciones"),
+            (F.count_if(~several) + names).alias("num_instalaciones"),
         )
     )
     return weeks.select(
@@ -103,8 +110,9 @@ def site_week_fulfilment(
     """
     place = ["instalacion_rol", "zona", "empresa"]
     visible = visible_client_sites(grants, principals)
+    recent = _window(history, as_of, days, settings)
     guard_week = (
-        _window(history, as_of, days, settings)
+        near(recent, visible, CLIENT_SITE, principals)
         .groupBy(*place, "cliente_rol", *WEEK, "rutrol")
         .agg(
             F.min("dia").alias("primero"),
@@ -115,15 +123,14 @@ def site_week_fulfilment(
             F.count_if(filled(F.col("tvf"))).alias("extras"),
         )
     )
-    two_clients = (
-        visible.groupBy("email_login", "instalacion_rol")
-        .agg(F.count(F.lit(1)).alias("clientes"))
-        .filter("clientes > 1")
+    namesakes = (
+        with_namesakes(visible)
+        .filter("varios")
         .select("instalacion_rol", F.lit(True).alias("ambiguo"))
         .distinct()
     )
     site_week = (
-        guard_week.join(two_clients, "instalacion_rol", "left")
+        guard_week.join(namesakes, "instalacion_rol", "left")
         .withColumn("guardia", F.when(F.col("ambiguo"), F.col("rutrol")))
         .groupBy(*place, "cliente_rol", *WEEK, "guardia")
         .agg(
@@ -137,27 +144,38 @@ def site_week_fulfilment(
         )
     )
     times = F.col("accesos")
-    weeks = (
+    # Both steps below group within a principal and site, so the rows, which
+    # are as many as the result has, are shuffled once for the two of them.
+    per_guard = (
         visible.join(site_week, CLIENT_SITE)
-        .groupBy("email_login", *place, *WEEK)
+        .repartition("email_login", "instalacion_rol")
+        .groupBy("email_login", *place, *WEEK, "guardia")
         .agg(
-            F.min("primero").alias("fecha_inicio"),
-            F.max("ultimo").alias("fecha_fin"),
+            F.min("primero").alias("primero"),
+            F.max("ultimo").alias("ultimo"),
             F.sum(F.col("planificadas") * times).alias("planificadas"),
             F.sum(F.col("entregadas") * times).alias("entregadas"),
-            F.sum(F.col("asistencias") * times).alias("asistencias_registradas"),
-            F.sum(F.col("extras") * times).alias("cantidad_turnos_extra"),
-            F.max("guardias").alias("contados"),
-            F.count_distinct("guardia").alias("unidos"),
+            F.sum(F.col("asistencias") * times).alias("asistencias"),
+            F.sum(F.col("extras") * times).alias("extras"),
+            F.max("guardias").alias("guardias"),
         )
     )
+    weeks = per_guard.groupBy("email_login", *place, *WEEK).agg(
+        F.min("primero").alias("fecha_inicio"),
+        F.max("ultimo").alias("fecha_fin"),
+        F.sum("planificadas").alias("planificadas"),
+        F.sum("entregadas").alias("entregadas"),
+        F.sum("asistencias").alias("asistencias_registradas"),
+        F.sum("extras").alias("cantidad_turnos_extra"),
+        (F.max("guardias") + F.count("guardia")).alias("guardias_planificados"),
+    )
     return weeks.select(
         "email_login",
         *WEEK,
         day_range_label(F.col("fecha_inicio"), F.col("fecha_fin")).alias("periodo"),
         *place,
         *_hour_columns(settings),
-        F.greatest("contados", "unidos").alias("guardias_planificados"),
+        "guardias_planificados",
         "asistencias_registradas",
         "cantidad_turnos_extra",
     )

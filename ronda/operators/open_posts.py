@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ronda.functions.time import clock, slot_label
-from ronda.operators.scope import Principals, principal_frame, visible_sites
+from ronda.operators.scope import Principals, near, principal_frame, visible_sites
 from ronda.schemas import require_columns
 
 
@@ -19,8 +19,9 @@ def open_posts_total(
     open_posts: DataFrame, grants: DataFrame, principals: Principals = None
 ) -> DataFrame:
     """Open posts at the sites each principal sees; 0 where there are none."""
-    seen = visible_sites(grants, principals).join(per_site(open_posts), "instalacion_rol")
-    totals = seen.groupBy("email_login").agg(
+    visible = visible_sites(grants, principals)
+    posts = per_site(near(open_posts, visible, ["instalacion_rol"], principals))
+    totals = visible.join(posts, "instalacion_rol").groupBy("email_login").agg(
         F.sum(F.col("cantidad_ppc") * F.col("accesos")).alias("total_ppc")
     )
     asked = principal_frame(grants, principals)
@@ -44,9 +45,11 @@ def open_posts_by_slot(
     require_columns(open_posts, "open_posts")
     if site is not None:
         open_posts = open_posts.filter(F.col("instalacion_rol") == site)
+    visible = visible_sites(grants, principals)
+    open_posts = near(open_posts, visible, ["instalacion_rol"], principals)
     slot = ["turno", *(["jornada"] if with_working_day else []), "her", "hsr"]
     counted = open_posts.groupBy("instalacion_rol", *slot).agg(F.count(F.lit(1)).alias("puestos"))
-    return visible_sites(grants, principals).join(counted, "instalacion_rol").select(
+    return visible.join(counted, "instalacion_rol").select(
         "email_login",
         "instalacion_rol",
         *slot,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ronda import fixed_values as fv
@@ -14,6 +15,9 @@ from ronda.schemas import require_columns
 # email_login column.
 Principals = None | str | Sequence[str] | DataFrame
 
+# Most sites that may be broadcast to narrow facts down.
+BROADCAST_SITES = 100_000
+
 PROFILE = ("email_login", "nombre_completo", "cliente_rol", "rol_id", "nombre_rol")
 
 
@@ -54,7 +58,7 @@ def permitted(perms: DataFrame, flag: str | None = None) -> DataFrame:
         raise ValueError(f"unknown permission flag: {flag}")
     active = perms.filter("usuario_activo")
     if flag is not None:
-        active = active.filter(F.coalesce(F.col(flag), F.lit(False)))
+        active = active.filter(flag)
     return active.select("email_login")
 
 
@@ -72,6 +76,27 @@ def visible_client_sites(grants: DataFrame, principals: Principals = None) -> Da
     return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("accesos"))
 
 
+def with_namesakes(visible: DataFrame) -> DataFrame:
+    """Marks in ``varios`` the sites a principal sees under several clients."""
+    same_name = W.partitionBy("email_login", "instalacion_rol")
+    return visible.withColumn("varios", F.count(F.lit(1)).over(same_name) > 1)
+
+
+def near(facts: DataFrame, visible: DataFrame, keys: list[str], principals: Principals) -> DataFrame:
+    """Facts of the sites that a few named principals see.
+
+    With all principals, or a frame of them, facts come down to site grain as
+    they are.  For named ones the sites are counted, and if there are not too
+    many, facts of other sites are dropped before anything is shuffled.
+    """
+    if principals is None or isinstance(principals, DataFrame):
+        return facts
+    sites = visible.select(*keys).distinct()
+    if sites.limit(BROADCAST_SITES + 1).count() > BROADCAST_SITES:
+        return facts
+    return facts.join(F.broadcast(sites), keys, "left_semi")
+
+
 def visible_sites(grants: DataFrame, principals: Principals = None) -> DataFrame:
     """As above for the reports that look at the site alone, not the client."""
     rows = visible_rows(grants, principals)

@@ -16,6 +16,7 @@ from ronda.functions.time import clock
 from ronda.operators import open_posts as posts
 from ronda.operators.scope import (
     Principals,
+    near,
     visible_client_sites,
     visible_rows,
     visible_sites,
@@ -64,9 +65,22 @@ def shift_detail(
     shifts: DataFrame, grants: DataFrame, principals: Principals = None
 ) -> DataFrame:
     """Shifts of every visible site, matched by site alone."""
-    lines = shift_lines(shifts).drop("cliente_rol")
     granted = visible_rows(grants, principals).select("email_login", "instalacion_rol")
-    return lines.join(granted, "instalacion_rol")
+    seen = near(shifts, granted, ["instalacion_rol"], principals)
+    return shift_lines(seen).drop("cliente_rol").join(granted, "instalacion_rol")
+
+
+def _first_companies(shifts: DataFrame, site: list[str]) -> DataFrame:
+    """Shift count per site, with the first shift and the first whose company
+    is known.  Equal starts are counted first, so that only few rows are left
+    to be put in order, however many shifts a site has."""
+    starts = shifts.groupBy(*site, "turno", "her", "empresa").agg(F.count(F.lit(1)).alias("n"))
+    start = F.struct("turno", "her", "empresa")
+    return starts.groupBy(*site).agg(
+        F.min(start).alias("primero"),
+        F.min(F.when(F.col("empresa").isNotNull(), start)).alias("conocido"),
+        F.sum("n").alias("turnos"),
+    )
 
 
 def shift_sites(
@@ -78,12 +92,12 @@ def shift_sites(
     has open posts only is present without one.
     """
     require_columns(shifts, "shifts")
-    by_shift = shifts.groupBy("instalacion_rol").agg(
-        F.min(F.struct("turno", "her", "empresa")).alias("primero"),
-        F.count(F.lit(1)).alias("turnos"),
-    )
-    sites = by_shift.join(posts.per_site(open_posts), "instalacion_rol", "full_outer")
-    return visible_sites(grants, principals).join(sites, "instalacion_rol").select(
+    key = ["instalacion_rol"]
+    visible = visible_sites(grants, principals)
+    by_shift = _first_companies(near(shifts, visible, key, principals), key)
+    by_post = posts.per_site(near(open_posts, visible, key, principals))
+    sites = by_shift.join(by_post, "instalacion_rol", "full_outer")
+    return visible.join(sites, "instalacion_rol").select(
         "email_login",
         "instalacion_rol",
         F.col("primero.empresa").alias("empresa"),
@@ -105,7 +119,8 @@ def site_shift_detail(
     require_columns(shifts, "shifts")
     if site is not None:
         shifts = shifts.filter(F.col("instalacion_rol") == site)
-    lines = shifts.select(
+    granted = visible_rows(grants, principals)
+    lines = near(shifts, granted, CLIENT_SITE, principals).select(
         *CLIENT_SITE,
         "empresa",
         "turno",
@@ -113,7 +128,7 @@ def site_shift_detail(
         "relevo",
         *[column.alias(name) for name, column in _line_columns().items()],
     )
-    return lines.join(visible_rows(grants, principals), CLIENT_SITE)
+    return lines.join(granted, CLIENT_SITE)
 
 
 def site_shift_totals(
@@ -126,23 +141,19 @@ def site_shift_totals(
     require_columns(shifts, "shifts")
     if site is not None:
         shifts = shifts.filter(F.col("instalacion_rol") == site)
-    named = F.col("empresa").isNotNull()
-    sites = shifts.groupBy(*CLIENT_SITE).agg(
-        F.min(F.when(named, F.struct("turno", "her", "empresa"))).alias("primero"),
-        F.count(F.lit(1)).alias("turnos"),
-    )
+    visible = visible_client_sites(grants, principals)
+    sites = _first_companies(near(shifts, visible, CLIENT_SITE, principals), CLIENT_SITE)
     return (
-        visible_client_sites(grants, principals)
-        .join(sites, CLIENT_SITE)
+        visible.join(sites, CLIENT_SITE)
         .groupBy("email_login", "instalacion_rol")
         .agg(
-            F.min("primero").alias("primero"),
+            F.min("conocido").alias("conocido"),
             F.sum(F.col("turnos") * F.col("accesos")).alias("total_turnos"),
         )
         .select(
             "email_login",
             "instalacion_rol",
-            F.col("primero.empresa").alias("empresa"),
+            F.col("conocido.empresa").alias("empresa"),
             "total_turnos",
         )
     )

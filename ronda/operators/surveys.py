@@ -35,7 +35,7 @@ def _in_state(state: str) -> Column:
 
 def _open_requests(requests: DataFrame, as_of: dt.date) -> DataFrame:
     require_columns(requests, "survey_requests")
-    return requests.filter(F.array_contains(open_periods(as_of), F.col("periodo")))
+    return requests.filter(F.col("periodo").isin(*open_periods(as_of)))
 
 
 def _viewers(
@@ -89,19 +89,6 @@ def survey_inbox(
     )
 
 
-def _tally() -> list[Column]:
-    pending = _in_state(fv.STATE_PENDING)
-    # First in report order: mode, then newest first, unknown dates last.
-    newest = F.coalesce(-F.unix_micros("fecha_creacion"), F.lit(2**63 - 1))
-    return [
-        F.count(F.lit(1)).alias("total_encuestas"),
-        F.count_if(_in_state(fv.STATE_DONE)).alias("respondidas"),
-        F.count_if(pending).alias("pendientes"),
-        F.min(F.when(pending, F.col("fecha_limite"))).alias("fecha_vencimiento_proxima"),
-        F.min(F.struct("modo", newest.alias("reciente"), "cliente_rol")).alias("primera"),
-    ]
-
-
 def survey_inbox_by_site(
     requests: DataFrame,
     grants: DataFrame,
@@ -112,46 +99,53 @@ def survey_inbox_by_site(
 ) -> DataFrame:
     """Totals of :func:`survey_inbox` per principal and site.
 
-    Surveys are counted per site before the viewers are known: all of them for
-    staff; for others the shared ones, and the individual ones per recipient.
+    Surveys are counted per site, mode and recipient before the viewers are
+    known.  The counts are then offered to three audiences, staff, other
+    viewers and the recipient, and each viewer picks up the ones meant for it.
     """
-    surveys = _open_requests(requests, as_of)
-    per_site = surveys.groupBy(*CLIENT_SITE).agg(*_tally()).withColumn("parte", F.lit("todas"))
-    shared = (
-        surveys.filter(_in_mode(fv.MODE_SHARED))
-        .groupBy(*CLIENT_SITE)
-        .agg(*_tally())
-        .withColumn("parte", F.lit("compartidas"))
+    individual = F.col("modo") == fv.MODE_INDIVIDUAL
+    pending = _in_state(fv.STATE_PENDING)
+    counted = (
+        _open_requests(requests, as_of)
+        .withColumn("destino", F.when(individual, F.lower("email_destinatario")))
+        .groupBy(*CLIENT_SITE, "modo", "destino")
+        .agg(
+            F.count(F.lit(1)).alias("total"),
+            F.count_if(_in_state(fv.STATE_DONE)).alias("respondidas"),
+            F.count_if(pending).alias("pendientes"),
+            F.min(F.when(pending, F.col("fecha_limite"))).alias("vence"),
+            F.max("fecha_creacion").alias("reciente"),
+        )
     )
-    addressed = (
-        surveys.filter(_in_mode(fv.MODE_INDIVIDUAL))
-        .withColumn("destino", F.lower("email_destinatario"))
-        .groupBy(*CLIENT_SITE, "destino")
-        .agg(*_tally())
+    staff, anyone, person = F.lit("personal"), F.lit("todos"), F.lit("persona:")
+    audiences = (
+        F.when(F.col("modo") == fv.MODE_SHARED, F.array(staff, anyone))
+        .when(F.col("destino").isNotNull(), F.array(staff, F.concat(person, "destino")))
+        .otherwise(F.array(staff))
     )
-    viewers = _viewers(grants, perms, staff_roles, principals)
-    wanted = F.when(F.col("es_personal"), "todas").otherwise("compartidas")
-    by_site = viewers.withColumn("parte", wanted).join(
-        per_site.unionByName(shared), [*CLIENT_SITE, "parte"]
+    # First in report order: mode, then newest first, unknown dates last.
+    newest = F.coalesce(-F.unix_micros("reciente"), F.lit(2**63 - 1)).alias("orden")
+    offered = (
+        counted.withColumn("publico", F.explode(audiences))
+        .groupBy(*CLIENT_SITE, "publico")
+        .agg(
+            F.sum("total").alias("total"),
+            F.sum("respondidas").alias("respondidas"),
+            F.sum("pendientes").alias("pendientes"),
+            F.min("vence").alias("vence"),
+            F.min(F.struct("modo", newest, "cliente_rol")).alias("primera"),
+        )
     )
-    others = viewers.filter(~F.col("es_personal")).withColumn("destino", F.lower("email_login"))
-    own = others.join(addressed, [*CLIENT_SITE, "destino"])
-    columns = [
-        "email_login",
-        "instalacion_rol",
-        "total_encuestas",
-        "respondidas",
-        "pendientes",
-        "fecha_vencimiento_proxima",
-        "primera",
-    ]
-    parts = by_site.select(*columns).unionByName(own.select(*columns))
-    return parts.groupBy("email_login", "instalacion_rol").agg(
+    own = F.concat(person, F.lower("email_login"))
+    wanted = F.when(F.col("es_personal"), F.array(staff)).otherwise(F.array(anyone, own))
+    viewers = _viewers(grants, perms, staff_roles, principals)
+    met = viewers.withColumn("publico", F.explode(wanted)).join(offered, [*CLIENT_SITE, "publico"])
+    return met.groupBy("email_login", "instalacion_rol").agg(
         F.min("primera").getField("cliente_rol").alias("cliente_rol"),
-        F.sum("total_encuestas").alias("total_encuestas"),
+        F.sum("total").alias("total_encuestas"),
         F.sum("respondidas").alias("respondidas"),
         F.sum("pendientes").alias("pendientes"),
-        F.min("fecha_vencimiento_proxima").alias("fecha_vencimiento_proxima"),
+        F.min("vence").alias("fecha_vencimiento_proxima"),
     )
 
 
@@ -207,7 +201,7 @@ def survey_answers(requests: DataFrame, answers: DataFrame, questions: DataFrame
     """
     require_columns(requests, "survey_requests")
     require_columns(answers, "answers")
-    done = requests.filter(_in_state(fv.STATE_DONE)).select(
+    done = requests.filter(F.col("estado") == fv.STATE_DONE).select(
         "encuesta_id", "periodo", "instalacion_rol", "modo", "email_destinatario"
     )
     asked = questions.select("pregunta_id", "texto_pregunta", "tipo_respuesta", "orden")

@@ -492,7 +492,7 @@ GROUP BY email_login, instalacion_rol, turno, o.her, o.hsr""",
     + f""", slots AS (SELECT email_login, instalacion_rol, turno, her, hsr, count(*) AS n
   {_POSTS} GROUP BY ALL)
 SELECT email_login, instalacion_rol, 0::BIGINT AS pagina,
-  row_number() OVER (PARTITION BY email_login, instalacion_rol ORDER BY her, hsr, turno) AS puesto,
+  row_number() OVER (PARTITION BY email_login, instalacion_rol ORDER BY her, hsr, turno)::INTEGER AS puesto,
   turno, strftime(her, '%H:%M') || ' - ' || strftime(hsr, '%H:%M') AS horario,
   n AS cantidad_ppc FROM slots""",
     "survey_inbox": _with("seen_surveys")
@@ -613,7 +613,7 @@ FROM wanted w JOIN user_contacts u ON u.email_login = w.email_usuario
   AND u.instalacion_rol = w.instalacion_rol
 JOIN contacts c ON c.contacto_id = u.contacto_id WHERE u.puede_contactar AND c.activo""",
     "inbox": f"""SELECT user_id::VARCHAR AS email_login,
-  row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id::VARCHAR DESC) AS puesto,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id::VARCHAR DESC)::INTEGER AS puesto,
   event_id::VARCHAR AS mensaje_id, 'r' || event_id AS remitente_email,
   event_type AS remitente_nombre, (event_id % 10)::VARCHAR AS instalacion_rol,
   CASE WHEN value > 5 THEN 'Centro' END AS instalacion_comuna, props AS mensaje,

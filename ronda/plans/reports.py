@@ -36,9 +36,13 @@ class Reports:
         self.tables = tables
         self.settings = settings or Settings.from_spark(tables.spark)
 
-    def allowed(self, principals: Principals, flag: str | None = None) -> DataFrame:
-        """The principals who may have the report."""
-        return scope.restrict(scope.permitted(self.tables["perms"], flag), principals)
+    def allowed(self, principals: Principals, flag: str | None = None) -> DataFrame | list[str]:
+        """The principals who may have the report.  Of a few named ones the
+        names remain, so that a report can narrow its facts to their sites."""
+        found = scope.restrict(scope.permitted(self.tables["perms"], flag), principals)
+        if principals is None or isinstance(principals, DataFrame):
+            return found
+        return [row.email_login for row in found.collect()]
 
     def profile(self, principals: Principals = None) -> DataFrame:
         return scope.restrict(scope.permission_profile(self.tables["perms"]), principals)
@@ -190,8 +194,7 @@ class Reports:
     def fan_out_messages(self, as_of: dt.datetime) -> DataFrame:
         """Messages of the senders who may write, with the client of their profile."""
         t = self.tables
-        flag = F.coalesce(F.col(WRITE), F.lit(False))
-        senders = t["perms"].filter("usuario_activo").filter(flag)
+        senders = t["perms"].filter("usuario_activo").filter(WRITE)
         requests = t["outbound_requests"].drop("cliente_rol")
         sent = requests.join(
             senders.select(F.col("email_login").alias("email_usuario"), "cliente_rol"),
@@ -200,11 +203,10 @@ class Reports:
         return messaging.fan_out_messages(sent, t["user_contacts"], t["contacts"], as_of)
 
     def inbox(self, principals: Principals = None) -> DataFrame:
-        who = self.allowed(principals, READ_INBOX).withColumnRenamed(
-            "email_login", "destinatario_email_app"
-        )
-        wanted = self.tables["inbox_messages"].join(who, "destinatario_email_app", "left_semi")
-        return messaging.inbox(wanted, self.settings.inbox_rows)
+        messages = self.tables["inbox_messages"]
+        addressed = messages.withColumn("email_login", F.col("destinatario_email_app"))
+        wanted = scope.restrict(addressed, self.allowed(principals, READ_INBOX))
+        return messaging.inbox(wanted.select(*messages.columns), self.settings.inbox_rows)
 
     def notification_payloads(self) -> DataFrame:
         t = self.tables
