@@ -70,12 +70,18 @@ def coverage_overall(
     times = F.col("accesos")
     totals = (
         visible.join(sites, CLIENT_SITE)
-        .groupBy("email_login")
+        .groupBy("email_login", "empresa")
         .agg(
             F.sum(F.col("requeridos") * times).alias("requeridos"),
             F.sum(F.col("presentes") * times).alias("presentes"),
             F.max("refrescado").alias("refrescado"),
-            F.array_sort(F.collect_set("empresa")).alias("empresas"),
+        )
+        .groupBy("email_login")
+        .agg(
+            F.sum("requeridos").alias("requeridos"),
+            F.sum("presentes").alias("presentes"),
+            F.max("refrescado").alias("refrescado"),
+            F.array_sort(F.collect_list("empresa")).alias("empresas"),
         )
     )
     everyone = principal_frame(grants, principals)
@@ -125,10 +131,20 @@ def _with_site_lookups(sites: DataFrame, devices: DataFrame, open_posts: DataFra
     )
 
 
-def _site_columns(pct: Column, settings: Settings, number: Column) -> list[Column]:
+def _rated(
+    sites: DataFrame, present: str, required: str, scale: int, settings: Settings
+) -> DataFrame:
+    """Percentage and band, which are the same for every viewer of a site."""
+    pct = percent(F.col(present), F.col(required), scale)
+    return sites.withColumn("porcentaje_cobertura", pct).withColumn(
+        "estado_semaforo", band(F.col("porcentaje_cobertura"), settings)
+    )
+
+
+def _site_columns(number: Column) -> list[Column]:
     return [
-        pct.alias("porcentaje_cobertura"),
-        band(pct, settings).alias("estado_semaforo"),
+        F.col("porcentaje_cobertura"),
+        F.col("estado_semaforo"),
         F.col("ppc"),
         F.col("tiene_faceid"),
         number.alias("faceid_numero"),
@@ -154,9 +170,9 @@ def coverage_by_site(
         F.sum("turnos_cubiertos").alias("cubiertos"),
         F.sum("turnos_descubiertos").alias("descubiertos"),
     )
-    looked_up = _with_site_lookups(sites, devices, open_posts)
+    rated = _rated(sites, "presentes", "requeridos", scale, settings)
+    looked_up = _with_site_lookups(rated, devices, open_posts)
     times = F.col("accesos") * F.col("equipos")
-    pct = percent(F.col("presentes"), F.col("requeridos"), scale)
     return visible.join(looked_up, CLIENT_SITE).select(
         "email_login",
         *SITE,
@@ -165,7 +181,7 @@ def coverage_by_site(
         ((F.col("requeridos") - F.col("presentes")) * times).alias("guardias_ausentes"),
         (F.col("cubiertos") * times).alias("turnos_cubiertos"),
         (F.col("descubiertos") * times).alias("turnos_descubiertos"),
-        *_site_columns(pct, settings, none_if_empty(F.col("numero"))),
+        *_site_columns(none_if_empty(F.col("numero"))),
     )
 
 
@@ -184,16 +200,16 @@ def coverage_by_site_fast(
         F.sum("total_guardias_requeridos").alias("requeridos"),
         F.sum("guardias_presentes").alias("presentes"),
     )
-    looked_up = _with_site_lookups(sites, devices, open_posts)
+    rated = _rated(sites, "presentes", "requeridos", 1, settings)
+    looked_up = _with_site_lookups(rated, devices, open_posts)
     times = F.col("accesos") * F.col("equipos")
-    pct = percent(F.col("presentes"), F.col("requeridos"), 1)
     return visible.join(looked_up, CLIENT_SITE).select(
         "email_login",
         *SITE,
         (F.col("requeridos") * times).alias("total_guardias_requeridos"),
         (F.col("presentes") * times).alias("guardias_presentes"),
         ((F.col("requeridos") - F.col("presentes")) * times).alias("guardias_ausentes"),
-        *_site_columns(pct, settings, F.col("numero")),
+        *_site_columns(F.col("numero")),
     )
 
 
@@ -209,11 +225,11 @@ def coverage_by_site_service(
     require_columns(rollup, "rollup")
     visible = visible_rows(grants, principals)
     seen = near(rollup, visible, CLIENT_SITE, principals)
-    looked_up = _with_site_lookups(seen, devices, open_posts)
+    rated = _rated(seen, "guardias_presentes", "total_guardias_requeridos", 1, settings)
+    looked_up = _with_site_lookups(rated, devices, open_posts)
     # Devices that look alike stay separate rows here.
     repeated = looked_up.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("equipos"))))
     required, present = F.col("total_guardias_requeridos"), F.col("guardias_presentes")
-    pct = percent(present, required, 1)
     return visible.join(repeated, CLIENT_SITE).select(
         "email_login",
         *SITE,
@@ -221,5 +237,5 @@ def coverage_by_site_service(
         required,
         present,
         (required - present).alias("guardias_ausentes"),
-        *_site_columns(pct, settings, F.col("numero")),
+        *_site_columns(F.col("numero")),
     )

@@ -141,38 +141,44 @@ def site_week_fulfilment(
             F.sum("asistencias").alias("asistencias"),
             F.sum("extras").alias("extras"),
             F.count(F.when(F.col("ambiguo").isNull(), F.col("rutrol"))).alias("guardias"),
+            F.max("ambiguo").alias("ambiguo"),
         )
     )
     times = F.col("accesos")
-    # Both steps below group within a principal and site, so the rows, which
-    # are as many as the result has, are shuffled once for the two of them.
-    per_guard = (
-        visible.join(site_week, CLIENT_SITE)
-        .repartition("email_login", "instalacion_rol")
-        .groupBy("email_login", *place, *WEEK, "guardia")
+    seen = visible.join(site_week, CLIENT_SITE).select(
+        "email_login",
+        *place,
+        *WEEK,
+        "guardia",
+        "ambiguo",
+        "primero",
+        "ultimo",
+        (F.col("planificadas") * times).alias("planificadas"),
+        (F.col("entregadas") * times).alias("entregadas"),
+        (F.col("asistencias") * times).alias("asistencias_registradas"),
+        (F.col("extras") * times).alias("cantidad_turnos_extra"),
+        F.col("guardias").alias("guardias_planificados"),
+    )
+    # Most rows are final now: one per principal, site and week.  Only the
+    # namesakes are put together, so only they are shuffled once more.
+    several = (
+        seen.filter(F.col("ambiguo").isNotNull())
+        .groupBy("email_login", *place, *WEEK)
         .agg(
             F.min("primero").alias("primero"),
             F.max("ultimo").alias("ultimo"),
-            F.sum(F.col("planificadas") * times).alias("planificadas"),
-            F.sum(F.col("entregadas") * times).alias("entregadas"),
-            F.sum(F.col("asistencias") * times).alias("asistencias"),
-            F.sum(F.col("extras") * times).alias("extras"),
-            F.max("guardias").alias("guardias"),
+            F.sum("planificadas").alias("planificadas"),
+            F.sum("entregadas").alias("entregadas"),
+            F.sum("asistencias_registradas").alias("asistencias_registradas"),
+            F.sum("cantidad_turnos_extra").alias("cantidad_turnos_extra"),
+            F.count_distinct("guardia").alias("guardias_planificados"),
         )
     )
-    weeks = per_guard.groupBy("email_login", *place, *WEEK).agg(
-        F.min("primero").alias("fecha_inicio"),
-        F.max("ultimo").alias("fecha_fin"),
-        F.sum("planificadas").alias("planificadas"),
-        F.sum("entregadas").alias("entregadas"),
-        F.sum("asistencias").alias("asistencias_registradas"),
-        F.sum("extras").alias("cantidad_turnos_extra"),
-        (F.max("guardias") + F.count("guardia")).alias("guardias_planificados"),
-    )
-    return weeks.select(
+    single = seen.filter(F.col("ambiguo").isNull()).select(*several.columns)
+    return single.unionByName(several).select(
         "email_login",
         *WEEK,
-        day_range_label(F.col("fecha_inicio"), F.col("fecha_fin")).alias("periodo"),
+        day_range_label(F.col("primero"), F.col("ultimo")).alias("periodo"),
         *place,
         *_hour_columns(settings),
         "guardias_planificados",

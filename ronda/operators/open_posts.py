@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ronda.functions.time import clock, slot_label
+from ronda.operators.nesting import nest_rows
 from ronda.operators.scope import Principals, near, principal_frame, visible_sites
 from ronda.schemas import require_columns
 
@@ -30,6 +31,19 @@ def open_posts_total(
     )
 
 
+def _slots(open_posts: DataFrame, with_working_day: bool) -> DataFrame:
+    """Slots of each site with their labels, before any viewer is known."""
+    slot = ["turno", *(["jornada"] if with_working_day else []), "her", "hsr"]
+    counted = open_posts.groupBy("instalacion_rol", *slot).agg(F.count(F.lit(1)).alias("puestos"))
+    return counted.withColumns(
+        {
+            "hora_entrada": clock(F.col("her")),
+            "hora_salida": clock(F.col("hsr")),
+            "horario": slot_label(F.col("her"), F.col("hsr")),
+        }
+    )
+
+
 def open_posts_by_slot(
     open_posts: DataFrame,
     grants: DataFrame,
@@ -46,17 +60,37 @@ def open_posts_by_slot(
     if site is not None:
         open_posts = open_posts.filter(F.col("instalacion_rol") == site)
     visible = visible_sites(grants, principals)
-    open_posts = near(open_posts, visible, ["instalacion_rol"], principals)
-    slot = ["turno", *(["jornada"] if with_working_day else []), "her", "hsr"]
-    counted = open_posts.groupBy("instalacion_rol", *slot).agg(F.count(F.lit(1)).alias("puestos"))
-    return visible.join(counted, "instalacion_rol").select(
-        "email_login",
-        "instalacion_rol",
-        *slot,
-        clock(F.col("her")).alias("hora_entrada"),
-        clock(F.col("hsr")).alias("hora_salida"),
-        slot_label(F.col("her"), F.col("hsr")).alias("horario"),
-        (F.col("puestos") * F.col("accesos")).alias("cantidad_ppc"),
+    near_by = near(open_posts, visible, ["instalacion_rol"], principals)
+    slots = _slots(near_by, with_working_day)
+    seen = visible.join(slots, "instalacion_rol")
+    return seen.withColumn("cantidad_ppc", F.col("puestos") * F.col("accesos")).select(
+        "email_login", *[c for c in slots.columns if c != "puestos"], "cantidad_ppc"
+    )
+
+
+def open_posts_nested(
+    open_posts: DataFrame,
+    grants: DataFrame,
+    with_working_day: bool = False,
+    principals: Principals = None,
+) -> DataFrame:
+    """Slots of a site as one ordered array (see :func:`nesting.nest_rows`).
+
+    The arrays are made once per site and then handed to its viewers.
+    """
+    require_columns(open_posts, "open_posts")
+    visible = visible_sites(grants, principals)
+    near_by = near(open_posts, visible, ["instalacion_rol"], principals)
+    slots = _slots(near_by, with_working_day).filter(F.col("instalacion_rol").isNotNull())
+    nested = nest_rows(slots, ["instalacion_rol"], ["her", "hsr", "turno"], "slots")
+    labels = [c for c in slots.columns if c not in ("instalacion_rol", "her", "hsr", "puestos")]
+
+    def shown(slot: Column) -> Column:
+        amount = (slot["puestos"] * F.col("accesos")).alias("cantidad_ppc")
+        return F.struct(*[slot[c].alias(c) for c in labels], amount)
+
+    return visible.join(nested, "instalacion_rol").select(
+        "email_login", "instalacion_rol", "pagina", F.transform("slots", shown).alias("ppc_por_turno")
     )
 
 

@@ -14,6 +14,7 @@ from ronda.functions.kpi import punctuality
 from ronda.functions.text import last_part, service_type
 from ronda.functions.time import clock
 from ronda.operators import open_posts as posts
+from ronda.operators.nesting import nest_rows
 from ronda.operators.scope import (
     Principals,
     near,
@@ -70,6 +71,25 @@ def shift_detail(
     return shift_lines(seen).drop("cliente_rol").join(granted, "instalacion_rol")
 
 
+def shift_pages(shifts: DataFrame, grants: DataFrame, principals: Principals = None) -> DataFrame:
+    """Shifts of a site as ordered arrays of bounded length.
+
+    The arrays are made once per site and then handed to its viewers; a shift
+    appears as often as the site was granted.
+    """
+    visible = visible_sites(grants, principals)
+    seen = near(shifts, visible, ["instalacion_rol"], principals)
+    lines = shift_lines(seen).drop("cliente_rol").filter(F.col("instalacion_rol").isNotNull())
+    pages = nest_rows(lines, ["instalacion_rol"], ["turno", "her"], "lineas")
+    repeated = F.flatten(
+        F.transform("lineas", lambda line: F.array_repeat(line, F.col("accesos").cast("int")))
+    )
+    lines_shown = F.when(F.col("accesos") == 1, F.col("lineas")).otherwise(repeated)
+    return visible.join(pages, "instalacion_rol").select(
+        "email_login", "instalacion_rol", "pagina", lines_shown.alias("turnos")
+    )
+
+
 def _first_companies(shifts: DataFrame, site: list[str]) -> DataFrame:
     """Shift count per site, with the first shift and the first whose company
     is known.  Equal starts are counted first, so that only few rows are left

@@ -33,7 +33,7 @@ def _verdict(state: Column, responder: Column) -> Column:
     shared = F.coalesce(F.col("modo") == fv.MODE_SHARED, F.lit(False))
     individual = F.coalesce(F.col("modo") == fv.MODE_INDIVIDUAL, F.lit(False))
     done = F.coalesce(state == fv.STATE_DONE, F.lit(False))
-    blank = ~filled(strip(F.col("encuestado_dado")))
+    blank = ~filled(F.col("_nombre"))
     return (
         F.when(F.col("_usuario").isNull(), "usuario_desconocido")
         .when(F.col("_existe").isNull(), "encuesta_desconocida")
@@ -51,7 +51,7 @@ def _respondent() -> Column:
     """Name to store: given for a shared survey; otherwise a given one
     replaces the stored one, and white space alone empties it."""
     given = F.col("encuestado_dado")
-    name = none_if_empty(strip(given))
+    name = none_if_empty(F.col("_nombre"))
     must_give = F.coalesce(F.col("modo") == fv.MODE_SHARED, F.lit(False))
     return F.when(must_give | filled(given), name).otherwise(F.col("encuestado_guardado"))
 
@@ -84,6 +84,7 @@ def decide_submissions(
     )
     met = (
         submissions.withColumnRenamed("encuestado_nombre", "encuestado_dado")
+        .withColumn("_nombre", strip(F.col("encuestado_dado")))
         .join(people, "email", "left")
         .join(surveys, "encuesta_id", "left")
     )

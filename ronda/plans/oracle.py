@@ -435,6 +435,10 @@ FROM shown_shifts""",
     + """SELECT v.email_login, instalacion_rol, codigo_turno, hora_entrada_planificada,
   nombre_asistente, asistio, servicio AS tipo_de_servicio, puntualidad
 FROM shown_shifts JOIN visible v USING (instalacion_rol)""",
+    "shift_pages": _with("shown_shifts", "visible")
+    + """SELECT v.email_login, instalacion_rol, 0::BIGINT AS pagina, count(*) AS total_turnos,
+  string_agg(codigo_turno || '@' || hora_entrada_planificada, ',' ORDER BY turno, her) AS inicios
+FROM shown_shifts JOIN visible v USING (instalacion_rol) GROUP BY 1, 2""",
     "shift_sites": _with("shifts", "open_posts", "visible")
     + """, seen AS (SELECT email_login, instalacion_rol, s.empresa,
     row_number() OVER (PARTITION BY email_login, instalacion_rol

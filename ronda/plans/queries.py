@@ -17,7 +17,6 @@ from ronda.operators import (
     coverage,
     fulfilment,
     messaging,
-    nesting,
     open_posts,
     scope,
     shifts,
@@ -140,6 +139,22 @@ def shift_detail(t: StandIn) -> DataFrame:
     )
 
 
+@_register
+def shift_pages(t: StandIn) -> DataFrame:
+    """Arrays of shifts, shown by their length and the starts they list."""
+    pages = shifts.shift_pages(t.shifts(), t.grants())
+    starts = F.transform(
+        "turnos", lambda s: F.concat(s["codigo_turno"], F.lit("@"), s["hora_entrada_planificada"])
+    )
+    return pages.select(
+        "email_login",
+        "instalacion_rol",
+        "pagina",
+        F.size("turnos").cast("long").alias("total_turnos"),
+        F.array_join(starts, ",").alias("inicios"),
+    )
+
+
 @_register
 def shift_sites(t: StandIn) -> DataFrame:
     return shifts.shift_sites(t.shifts(), t.open_posts(), t.grants())
@@ -206,10 +221,7 @@ def open_posts_by_site(t: StandIn) -> DataFrame:
 @_register
 def open_posts_nested(t: StandIn) -> DataFrame:
     """Nested slots, taken apart again with their place in the array."""
-    slots = open_posts.open_posts_by_slot(t.open_posts(), t.grants()).drop("hora_salida")
-    nested = nesting.nest_rows(
-        slots, ["email_login", "instalacion_rol"], ["her", "hsr", "turno"], "ppc_por_turno"
-    )
+    nested = open_posts.open_posts_nested(t.open_posts(), t.grants())
     placed = nested.select(
         "email_login", "instalacion_rol", "pagina", F.posexplode("ppc_por_turno").alias("n", "s")
     )
