@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ronda.functions.kpi import band, hours, percent
@@ -24,16 +24,11 @@ def _window(history: DataFrame, as_of: dt.date, days: int | None, settings: Sett
     return history.filter(within_days(F.col("dia"), as_of, days))
 
 
-def _hour_columns(settings: Settings) -> list[Column]:
-    planned, delivered = F.col("planificadas"), F.col("entregadas")
-    pct = percent(delivered, planned, 2)
-    return [
-        hours(planned).alias("horas_presupuestadas"),
-        hours(delivered).alias("horas_entregadas"),
-        hours(planned - delivered).alias("horas_faltantes"),
-        pct.alias("porcentaje_cumplimiento"),
-        band(pct, settings).alias("estado_semaforo"),
-    ]
+def _rated_week(weeks: DataFrame, settings: Settings) -> DataFrame:
+    pct = percent(F.col("entregadas"), F.col("planificadas"), 2)
+    label = day_range_label(F.col("primero"), F.col("ultimo"))
+    rated = weeks.withColumns({"periodo": label, "porcentaje": pct})
+    return rated.withColumn("banda", band(F.col("porcentaje"), settings))
 
 
 def weekly_fulfilment(
@@ -70,8 +65,8 @@ def weekly_fulfilment(
         .join(site_week, CLIENT_SITE)
         .groupBy("email_login", *WEEK)
         .agg(
-            F.min("primero").alias("fecha_inicio"),
-            F.max("ultimo").alias("fecha_fin"),
+            F.min("primero").alias("primero"),
+            F.max("ultimo").alias("ultimo"),
             F.sum(F.col("planificadas") * times).alias("planificadas"),
             F.sum(F.col("entregadas") * times).alias("entregadas"),
             F.sum(F.col("registros") * times).alias("total_registros"),
@@ -79,13 +74,18 @@ def weekly_fulfilment(
             (F.count_if(~several) + names).alias("num_instalaciones"),
         )
     )
-    return weeks.select(
+    planned, delivered = F.col("planificadas"), F.col("entregadas")
+    return _rated_week(weeks, settings).select(
         "email_login",
         *WEEK,
-        "fecha_inicio",
-        "fecha_fin",
-        day_range_label(F.col("fecha_inicio"), F.col("fecha_fin")).alias("periodo"),
-        *_hour_columns(settings),
+        F.col("primero").alias("fecha_inicio"),
+        F.col("ultimo").alias("fecha_fin"),
+        "periodo",
+        hours(planned).alias("horas_presupuestadas"),
+        hours(delivered).alias("horas_entregadas"),
+        hours(planned - delivered).alias("horas_faltantes"),
+        F.col("porcentaje").alias("porcentaje_cumplimiento"),
+        F.col("banda").alias("estado_semaforo"),
         "total_registros",
         "total_asistencias",
         (F.col("total_registros") - F.col("total_asistencias")).alias("total_ausencias"),
@@ -144,44 +144,40 @@ def site_week_fulfilment(
             F.max("ambiguo").alias("ambiguo"),
         )
     )
-    times = F.col("accesos")
-    seen = visible.join(site_week, CLIENT_SITE).select(
-        "email_login",
-        *place,
-        *WEEK,
-        "guardia",
-        "ambiguo",
-        "primero",
-        "ultimo",
-        (F.col("planificadas") * times).alias("planificadas"),
-        (F.col("entregadas") * times).alias("entregadas"),
-        (F.col("asistencias") * times).alias("asistencias_registradas"),
-        (F.col("extras") * times).alias("cantidad_turnos_extra"),
-        F.col("guardias").alias("guardias_planificados"),
+    # Range label, percentage and band do not depend on the viewer.
+    rated = _rated_week(site_week, settings)
+    keys = ["email_login", *WEEK, *place]
+    measures = ["planificadas", "entregadas", "asistencias", "extras"]
+    seen = visible.join(rated, CLIENT_SITE).withColumns(
+        {m: F.col(m) * F.col("accesos") for m in measures}
     )
     # Most rows are final now: one per principal, site and week.  Only the
     # namesakes are put together, so only they are shuffled once more.
     several = (
         seen.filter(F.col("ambiguo").isNotNull())
-        .groupBy("email_login", *place, *WEEK)
+        .groupBy(*keys)
         .agg(
             F.min("primero").alias("primero"),
             F.max("ultimo").alias("ultimo"),
-            F.sum("planificadas").alias("planificadas"),
-            F.sum("entregadas").alias("entregadas"),
-            F.sum("asistencias_registradas").alias("asistencias_registradas"),
-            F.sum("cantidad_turnos_extra").alias("cantidad_turnos_extra"),
-            F.count_distinct("guardia").alias("guardias_planificados"),
+            *[F.sum(m).alias(m) for m in measures],
+            F.count_distinct("guardia").alias("guardias"),
         )
     )
-    single = seen.filter(F.col("ambiguo").isNull()).select(*several.columns)
-    return single.unionByName(several).select(
+    single = seen.filter(F.col("ambiguo").isNull())
+    columns = [*keys, *measures, "guardias", "periodo", "porcentaje", "banda"]
+    whole = single.select(*columns).unionByName(_rated_week(several, settings).select(*columns))
+    planned, delivered = F.col("planificadas"), F.col("entregadas")
+    return whole.select(
         "email_login",
         *WEEK,
-        day_range_label(F.col("primero"), F.col("ultimo")).alias("periodo"),
+        "periodo",
         *place,
-        *_hour_columns(settings),
-        "guardias_planificados",
-        "asistencias_registradas",
-        "cantidad_turnos_extra",
+        hours(planned).alias("horas_presupuestadas"),
+        hours(delivered).alias("horas_entregadas"),
+        hours(planned - delivered).alias("horas_faltantes"),
+        F.col("porcentaje").alias("porcentaje_cumplimiento"),
+        F.col("banda").alias("estado_semaforo"),
+        F.col("guardias").alias("guardias_planificados"),
+        F.col("asistencias").alias("asistencias_registradas"),
+        F.col("extras").alias("cantidad_turnos_extra"),
     )

@@ -481,11 +481,8 @@ GROUP BY email_login, semana, isoweek, ano, instalacion_rol, zona, empresa""",
 FROM may_see m LEFT JOIN (SELECT email_login, instalacion_rol {_POSTS}) x
   ON x.email_login = m.email_login GROUP BY 1""",
     "open_posts_by_slot": _with("open_posts", "visible")
-    + f"""SELECT email_login, instalacion_rol, turno, {_moment("o.her", "her")},
-  {_moment("o.hsr", "hsr")},
-  {_SLOT.replace("(her", "(o.her").replace("(hsr", "(o.hsr")}, count(*) AS cantidad_ppc
-FROM open_posts o JOIN visible USING (instalacion_rol)
-GROUP BY email_login, instalacion_rol, turno, o.her, o.hsr""",
+    + f"""SELECT email_login, instalacion_rol, turno, {_SLOT}, count(*) AS cantidad_ppc
+{_POSTS} GROUP BY email_login, instalacion_rol, turno, her, hsr""",
     "open_posts_by_slot_and_day": _with("open_posts", "visible")
     + f"""SELECT email_login, instalacion_rol, turno, jornada, {_SLOT}, count(*) AS cantidad_ppc
 {_POSTS} GROUP BY email_login, instalacion_rol, turno, jornada, her, hsr""",

@@ -202,7 +202,7 @@ def open_posts_total(t: StandIn) -> DataFrame:
 
 @_register
 def open_posts_by_slot(t: StandIn) -> DataFrame:
-    return _texts(open_posts.open_posts_by_slot(t.open_posts(), t.grants()), "her", "hsr")
+    return open_posts.open_posts_by_slot(t.open_posts(), t.grants()).drop("her", "hsr")
 
 
 @_register
