@@ -50,9 +50,8 @@ def assigned_circles(
         *PERSON, "cliente_rol"
     )
     members = user_contacts.select("email_login", *CONTACT_SITE).distinct()
-    return members.join(site_contacts.select(*CONTACT_SITE), CONTACT_SITE, "left_semi").join(
-        reachable, "email_login"
-    )
+    linked = site_contacts.select(*CONTACT_SITE).distinct()
+    return members.join(linked, CONTACT_SITE, "left_semi").join(reachable, "email_login")
 
 
 def co_assigned_contacts(

@@ -86,7 +86,7 @@ def coverage_overall(
     )
     everyone = principal_frame(grants, principals)
     joined = everyone.join(totals, "email_login", "left").join(
-        posts.open_posts_total(open_posts, grants, principals), "email_login", "left"
+        posts.seen_posts(open_posts, grants, principals), "email_login", "left"
     )
     live = F.coalesce(F.col("requeridos") != 0, F.lit(False))
     pct = percent(F.col("presentes"), F.col("requeridos"), 2)

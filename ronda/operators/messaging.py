@@ -132,7 +132,16 @@ def notification_payloads(
         .drop("usuario_activo")
     )
     shown = F.coalesce(F.col("visible_para_cliente"), F.lit(True))
-    written = messages.withColumn("visible_para_cliente", shown)
+    # Only the clipped body goes on to the recipients, never the whole text.
+    written = messages.select(
+        "conversation_id",
+        "message_id",
+        "sender_id",
+        "sender_name",
+        clipped(F.col("message_text")).alias("cuerpo"),
+        shown.alias("visible_para_cliente"),
+        "participant_user_ids",
+    )
     named = F.coalesce(F.size("participant_user_ids") > 0, F.lit(False))
     to_named = (
         written.filter(named)
@@ -159,7 +168,7 @@ def notification_payloads(
         "firebase_uid",
         "fcm_token",
         F.concat(F.lit(fv.PUSH_TITLE_PREFIX), F.col("sender_name")).alias("titulo"),
-        clipped(F.col("message_text")).alias("cuerpo"),
+        "cuerpo",
         F.struct(
             F.lit(fv.PUSH_KIND).alias("tipo"),
             F.col("conversation_id").alias("conversationId"),

@@ -16,16 +16,23 @@ def per_site(open_posts: DataFrame) -> DataFrame:
     return open_posts.groupBy("instalacion_rol").agg(F.count(F.lit(1)).alias("cantidad_ppc"))
 
 
-def open_posts_total(
+def seen_posts(
     open_posts: DataFrame, grants: DataFrame, principals: Principals = None
 ) -> DataFrame:
-    """Open posts at the sites each principal sees; 0 where there are none."""
+    """Open posts at the sites each principal sees, for those that see any."""
     visible = visible_sites(grants, principals)
     posts = per_site(near(open_posts, visible, ["instalacion_rol"], principals))
-    totals = visible.join(posts, "instalacion_rol").groupBy("email_login").agg(
+    return visible.join(posts, "instalacion_rol").groupBy("email_login").agg(
         F.sum(F.col("cantidad_ppc") * F.col("accesos")).alias("total_ppc")
     )
+
+
+def open_posts_total(
+    open_posts: DataFrame, grants: DataFrame, principals: Principals = None
+) -> DataFrame:
+    """As above, with 0 for the principals who see none."""
     asked = principal_frame(grants, principals)
+    totals = seen_posts(open_posts, grants, principals)
     return asked.join(totals, "email_login", "left").select(
         "email_login", F.coalesce("total_ppc", F.lit(0)).alias("total_ppc")
     )

@@ -17,9 +17,21 @@ RUNTIME_CONF = {
 }
 
 
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
+    """Applies the settings to a session.
+
+    Shuffles start with at least two partitions per core unless a number was
+    chosen; adaptive execution puts small ones together again.
+    """
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    if spark.conf.get(INITIAL_PARTITIONS, None) is None:
+        chosen = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        cores = spark.sparkContext.defaultParallelism
+        spark.conf.set(INITIAL_PARTITIONS, str(max(chosen, 2 * cores)))
     return spark
 
 

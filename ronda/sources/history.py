@@ -17,19 +17,13 @@ from ronda.schemas import require_columns
 MONTH = "ano_mes"
 
 
-def write_history(
-    history: DataFrame, path: str, mode: str = "append", files_per_month: int = 32
-) -> None:
-    """Writes by month, each month in up to ``files_per_month`` files.
-
-    A month is divided by site and guard, so neither a heavy month nor a heavy
-    site is written by one task, and no task leaves a small file in each month.
-    """
+def write_history(history: DataFrame, path: str, mode: str = "append") -> None:
+    """Writes by month.  Rows of a month are brought together, and adaptive
+    execution divides months that are too much for one task, so there are
+    neither many small files nor a heavy month in a single one."""
     require_columns(history, "history")
-    part = F.pmod(F.xxhash64("instalacion_rol", "rutrol"), F.lit(files_per_month))
-    keyed = history.withColumns({MONTH: month_key(F.col("dia")), "_parte": part})
-    spread = keyed.repartition(MONTH, "_parte").drop("_parte")
-    spread.write.mode(mode).partitionBy(MONTH).parquet(path)
+    keyed = history.withColumn(MONTH, month_key(F.col("dia")))
+    keyed.hint("rebalance", F.col(MONTH)).write.mode(mode).partitionBy(MONTH).parquet(path)
 
 
 def read_history(spark: SparkSession, path: str, as_of: dt.date, days: int) -> DataFrame:

@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from ronda.schemas import SCHEMAS, require_columns
+from ronda.session import prepare
 
 
 class Tables:
@@ -26,7 +27,7 @@ class Tables:
         unknown = sorted(set(locations) - set(SCHEMAS))
         if unknown:
             raise ValueError(f"unknown tables: {', '.join(unknown)}")
-        self.spark = spark
+        self.spark = prepare(spark)
         self._locations = dict(locations)
         self._format = file_format
 
