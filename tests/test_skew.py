@@ -15,6 +15,8 @@ DAY = dt.date(2024, 1, 3)
 def small_partitions_are_skewed(spark):
     conf = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
+        # A partition is split by map task, of which few would be left here.
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
