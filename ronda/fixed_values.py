@@ -55,6 +55,12 @@ PUSH_BODY_TAIL = "..."
 # Separator between the names in a relief text.
 RELIEF_SEPARATOR = " | "
 
+# Characters with the Unicode property White_Space.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 # Default trailing window, refresh interval and inbox length.
 HISTORY_DAYS = 90
 REFRESH_MINUTES = 5

@@ -10,7 +10,7 @@ from ronda import fixed_values as fv
 
 def strip(text: Column) -> Column:
     """Trim every kind of white space, not only the space character."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(fv.WHITE_SPACE))
 
 
 def filled(text: Column) -> Column:

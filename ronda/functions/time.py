@@ -20,11 +20,6 @@ def day_range_label(first: Column, last: Column) -> Column:
     return F.concat(F.date_format(first, "dd/MM"), F.lit(" - "), F.date_format(last, "dd/MM"))
 
 
-def iso(moment: Column) -> Column:
-    """Text form for the edge of a report."""
-    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss")
-
-
 def within_days(day: Column, as_of: dt.date, days: int) -> Column:
     """Trailing closed range that includes ``as_of`` itself."""
     return day.between(F.lit(as_of - dt.timedelta(days=days)), F.lit(as_of))

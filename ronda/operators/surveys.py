@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ronda import fixed_values as fv
 from ronda.functions.time import open_periods
-from ronda.operators.scope import Principals, visible_rows
+from ronda.operators.scope import Principals, near, visible_rows
 from ronda.schemas import require_columns
 
 CLIENT_SITE = ["cliente_rol", "instalacion_rol"]
@@ -63,7 +63,8 @@ def survey_inbox(
     Seeing ignores the case of the address, answering and reading do not.
     """
     viewers = _viewers(grants, perms, staff_roles, principals)
-    rows = _open_requests(requests, as_of).join(viewers, CLIENT_SITE)
+    surveys = near(_open_requests(requests, as_of), viewers, CLIENT_SITE, principals)
+    rows = surveys.join(viewers, CLIENT_SITE)
     shared, individual = _in_mode(fv.MODE_SHARED), _in_mode(fv.MODE_INDIVIDUAL)
     recipient, asker = F.col("email_destinatario"), F.col("email_login")
     addressed = individual & (F.lower(recipient) == F.lower(asker))
@@ -103,10 +104,11 @@ def survey_inbox_by_site(
     known.  The counts are then offered to three audiences, staff, other
     viewers and the recipient, and each viewer picks up the ones meant for it.
     """
+    viewers = _viewers(grants, perms, staff_roles, principals)
     individual = F.col("modo") == fv.MODE_INDIVIDUAL
     pending = _in_state(fv.STATE_PENDING)
     counted = (
-        _open_requests(requests, as_of)
+        near(_open_requests(requests, as_of), viewers, CLIENT_SITE, principals)
         .withColumn("destino", F.when(individual, F.lower("email_destinatario")))
         .groupBy(*CLIENT_SITE, "modo", "destino")
         .agg(
@@ -138,7 +140,6 @@ def survey_inbox_by_site(
     )
     own = F.concat(person, F.lower("email_login"))
     wanted = F.when(F.col("es_personal"), F.array(staff)).otherwise(F.array(anyone, own))
-    viewers = _viewers(grants, perms, staff_roles, principals)
     met = viewers.withColumn("publico", F.explode(wanted)).join(offered, [*CLIENT_SITE, "publico"])
     return met.groupBy("email_login", "instalacion_rol").agg(
         F.min("primera").getField("cliente_rol").alias("cliente_rol"),

@@ -195,7 +195,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     "submitted": (
         (),
         """SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,
-            l_quantity::INTEGER, l_extendedprice) AS submission_id,
+            l_quantity::INTEGER) AS submission_id,
           CASE WHEN l_quantity = 1 THEN 'X' || l_orderkey ELSE l_orderkey::VARCHAR END AS encuesta_id,
           CASE WHEN l_linenumber <= 5 THEN o_custkey ELSE l_suppkey END::VARCHAR AS email,
           CASE l_returnflag WHEN 'R' THEN 'P' || l_partkey END AS nombre,

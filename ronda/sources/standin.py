@@ -314,9 +314,9 @@ class StandIn:
             self.base("lineitem")
             .join(self.base("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
             .select(
-                F.concat_ws(
-                    "-", survey, line, part, _text("l_suppkey"), quantity, "l_extendedprice"
-                ).alias("submission_id"),
+                F.concat_ws("-", survey, line, part, _text("l_suppkey"), quantity).alias(
+                    "submission_id"
+                ),
                 F.when(F.col("l_quantity") == 1, unknown).otherwise(survey).alias("encuesta_id"),
                 recipient.alias("email"),
                 given.alias("encuestado_nombre"),

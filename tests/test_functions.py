@@ -67,7 +67,7 @@ def test_attended_without_arrival_is_on_time(spark):
 
 @pytest.mark.parametrize(
     "raw, last",
-    [("A | B | \\t Ana\\u00a0", "Ana"), ("Ana", "Ana"), ("", ""), ("a | | b", "| b"), ("A |B", "A |B")],
+    [("A | B | \\t Ana\\u00a0", "Ana"), ("\\u3000Ana B\\u2028\\n", "Ana B"), ("Ana", "Ana"), ("", ""), ("a | | b", "| b"), ("A |B", "A |B")],
 )
 def test_last_name(spark, raw, last):
     assert one(spark, text.last_part(F.col("r")), r=f"'{raw}'") == last

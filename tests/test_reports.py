@@ -1,11 +1,13 @@
 """Reports through the registry: permissions, and one person against all."""
 
 import datetime as dt
+import json
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from ronda.plans.edge import json_rows
 from ronda.plans.reports import Reports
 from ronda.schemas import SCHEMAS
 from ronda.settings import Settings
@@ -93,3 +95,20 @@ def test_slots_sum_to_site_and_total(reports):
     summed = slots.groupBy("email_login").agg(F.sum("cantidad_ppc").alias("total_ppc"))
     totals = reports.open_posts_total().filter("total_ppc > 0")
     assert rows(summed) == rows(totals)
+
+
+def test_json_at_the_edge(spark):
+    report = spark.sql(
+        "SELECT 'a' AS email_login, TIMESTAMP'2024-01-01 09:00:00' AS m, "
+        "timestamp_ntz'2024-01-01 09:00:00' AS n, DATE'2024-01-01' AS d, "
+        "CAST(NULL AS STRING) AS x, array(named_struct('k', 1)) AS filas"
+    )
+    row = json_rows(report).first()
+    assert row.email_login == "a"
+    assert json.loads(row.json) == {
+        "m": "2024-01-01T09:00:00.000000+00:00",
+        "n": "2024-01-01T09:00:00.000000",
+        "d": "2024-01-01",
+        "x": None,
+        "filas": [{"k": 1}],
+    }
