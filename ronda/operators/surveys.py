@@ -16,6 +16,9 @@ from ronda.schemas import require_columns
 
 CLIENT_SITE = ["cliente_rol", "instalacion_rol"]
 
+# Audiences of a survey.
+STAFF, ANYONE, PERSON = "personal", "todos", "persona:"
+
 
 class SurveyForm(NamedTuple):
     """What opening a survey shows: a header per ask, and the question list,
@@ -49,6 +52,30 @@ def _viewers(
     return visible_rows(grants, principals).distinct().join(role, "email_login")
 
 
+def _offered(surveys: DataFrame) -> DataFrame:
+    """Surveys once for each audience: staff, and either anyone (shared) or
+    the recipient, whose address counts without regard to case."""
+    recipient = F.concat(F.lit(PERSON), F.lower("email_destinatario"))
+    shared = F.col("modo") == fv.MODE_SHARED
+    addressed = (F.col("modo") == fv.MODE_INDIVIDUAL) & recipient.isNotNull()
+    audiences = (
+        F.when(shared, F.array(F.lit(STAFF), F.lit(ANYONE)))
+        .when(addressed, F.array(F.lit(STAFF), recipient))
+        .otherwise(F.array(F.lit(STAFF)))
+    )
+    return surveys.withColumn("publico", F.explode(audiences))
+
+
+def _listening(viewers: DataFrame) -> DataFrame:
+    """Viewers once for each audience they belong to.  Staff belong to no
+    other, so nobody meets a survey twice."""
+    own = F.concat(F.lit(PERSON), F.lower("email_login"))
+    wanted = F.when(F.col("es_personal"), F.array(F.lit(STAFF))).otherwise(
+        F.array(F.lit(ANYONE), own)
+    )
+    return viewers.withColumn("publico", F.explode(wanted))
+
+
 def survey_inbox(
     requests: DataFrame,
     grants: DataFrame,
@@ -64,13 +91,11 @@ def survey_inbox(
     """
     viewers = _viewers(grants, perms, staff_roles, principals)
     surveys = near(_open_requests(requests, as_of), viewers, CLIENT_SITE, principals)
-    rows = surveys.join(viewers, CLIENT_SITE)
+    rows = _offered(surveys).join(_listening(viewers), [*CLIENT_SITE, "publico"])
     shared, individual = _in_mode(fv.MODE_SHARED), _in_mode(fv.MODE_INDIVIDUAL)
-    recipient, asker = F.col("email_destinatario"), F.col("email_login")
-    addressed = individual & (F.lower(recipient) == F.lower(asker))
-    own = individual & recipient.eqNullSafe(asker)
+    own = individual & F.col("email_destinatario").eqNullSafe(F.col("email_login"))
     staff = F.col("es_personal")
-    return rows.filter(staff | shared | addressed).select(
+    return rows.select(
         "email_login",
         *CLIENT_SITE,
         "encuesta_id",
@@ -101,16 +126,15 @@ def survey_inbox_by_site(
     """Totals of :func:`survey_inbox` per principal and site.
 
     Surveys are counted per site, mode and recipient before the viewers are
-    known.  The counts are then offered to three audiences, staff, other
-    viewers and the recipient, and each viewer picks up the ones meant for it.
+    known; the counts then go to the same audiences as single surveys do.
     """
     viewers = _viewers(grants, perms, staff_roles, principals)
     individual = F.col("modo") == fv.MODE_INDIVIDUAL
     pending = _in_state(fv.STATE_PENDING)
     counted = (
         near(_open_requests(requests, as_of), viewers, CLIENT_SITE, principals)
-        .withColumn("destino", F.when(individual, F.lower("email_destinatario")))
-        .groupBy(*CLIENT_SITE, "modo", "destino")
+        .withColumn("email_destinatario", F.when(individual, F.lower("email_destinatario")))
+        .groupBy(*CLIENT_SITE, "modo", "email_destinatario")
         .agg(
             F.count(F.lit(1)).alias("total"),
             F.count_if(_in_state(fv.STATE_DONE)).alias("respondidas"),
@@ -119,16 +143,10 @@ def survey_inbox_by_site(
             F.max("fecha_creacion").alias("reciente"),
         )
     )
-    staff, anyone, person = F.lit("personal"), F.lit("todos"), F.lit("persona:")
-    audiences = (
-        F.when(F.col("modo") == fv.MODE_SHARED, F.array(staff, anyone))
-        .when(F.col("destino").isNotNull(), F.array(staff, F.concat(person, "destino")))
-        .otherwise(F.array(staff))
-    )
     # First in report order: mode, then newest first, unknown dates last.
     newest = F.coalesce(-F.unix_micros("reciente"), F.lit(2**63 - 1)).alias("orden")
     offered = (
-        counted.withColumn("publico", F.explode(audiences))
+        _offered(counted)
         .groupBy(*CLIENT_SITE, "publico")
         .agg(
             F.sum("total").alias("total"),
@@ -138,9 +156,7 @@ def survey_inbox_by_site(
             F.min(F.struct("modo", newest, "cliente_rol")).alias("primera"),
         )
     )
-    own = F.concat(person, F.lower("email_login"))
-    wanted = F.when(F.col("es_personal"), F.array(staff)).otherwise(F.array(anyone, own))
-    met = viewers.withColumn("publico", F.explode(wanted)).join(offered, [*CLIENT_SITE, "publico"])
+    met = _listening(viewers).join(offered, [*CLIENT_SITE, "publico"])
     return met.groupBy("email_login", "instalacion_rol").agg(
         F.min("primera").getField("cliente_rol").alias("cliente_rol"),
         F.sum("total").alias("total_encuestas"),
