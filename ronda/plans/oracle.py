@@ -73,7 +73,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT s_suppkey::VARCHAR AS nombre,
           CASE WHEN s_suppkey % 6 = 0 THEN '' ELSE 'D' || s_suppkey END AS numero,
           (SELECT max(l_shipdate) FROM lineitem WHERE l_suppkey = s_suppkey) AS ult_conexion
-        FROM supplier WHERE s_suppkey % 3 = 0""",
+        FROM supplier WHERE s_acctbal > 3000""",
     ),
     "open_posts": (
         (),
@@ -81,7 +81,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
           (l_linenumber % 2)::VARCHAR AS jornada,
           TIMESTAMP '2024-01-01 00:00:00' + to_hours(3 * l_linenumber) AS her,
           TIMESTAMP '2024-01-01 08:00:00' + to_hours(3 * l_linenumber) AS hsr
-        FROM lineitem WHERE l_linestatus = 'O' AND l_suppkey % 5 <> 0""",
+        FROM lineitem WHERE l_linestatus = 'O'""",
     ),
     "posts_per_site": (
         ("open_posts",),
@@ -150,10 +150,10 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     "questions": (
         (),
         """SELECT p_partkey::VARCHAR AS pregunta_id, p_name AS texto_pregunta,
-          p_type AS tipo_respuesta, p_brand AS categoria, (10 - p_partkey)::INTEGER AS orden,
+          p_type AS tipo_respuesta, p_brand AS categoria, p_size AS orden,
           p_partkey % 2 = 0 AS requiere_comentario, p_partkey % 3 = 0 AS obligatoria,
           p_size % 4 <> 0 AS activa
-        FROM part WHERE p_partkey < 10""",
+        FROM part WHERE p_size >= 5""",
     ),
     "asks": (
         (),
@@ -179,7 +179,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
           l_quantity::INTEGER::VARCHAR AS respuesta_valor,
           CASE WHEN l_returnflag = 'R' THEN l_linestatus END AS comentario, q.orden
         FROM lineitem JOIN requests r ON r.encuesta_id = l_orderkey::VARCHAR
-        JOIN questions q ON q.pregunta_id = (l_partkey % 12)::VARCHAR
+        JOIN questions q ON q.pregunta_id = l_partkey::VARCHAR
         WHERE r.estado = 'completada'""",
     ),
     "answer_rights": (
@@ -201,7 +201,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
           CASE l_returnflag WHEN 'R' THEN 'P' || l_partkey END AS nombre,
           CASE l_returnflag WHEN 'A' THEN NULL WHEN 'N' THEN '' ELSE 'P' || l_partkey END AS dado,
           o_orderdate + to_days(9 * l_linenumber) AS arrival,
-          (l_partkey % 12)::VARCHAR AS pregunta, l_quantity::INTEGER::VARCHAR AS valor,
+          l_partkey::VARCHAR AS pregunta, l_quantity::INTEGER::VARCHAR AS valor,
           l_linestatus AS nota, l_linenumber::VARCHAR AS renglon
         FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
     ),
@@ -248,7 +248,8 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         ("user_contacts",),
         """SELECT DISTINCT contacto_id, instalacion_rol, s_nationkey::VARCHAR AS cliente_rol
         FROM user_contacts JOIN supplier ON s_suppkey::VARCHAR = instalacion_rol
-        WHERE contacto_id::INTEGER % 6 <> 0""",
+        JOIN customer ON c_custkey::VARCHAR = contacto_id
+        WHERE c_mktsegment <> 'MACHINERY'""",
     ),
     "contacts": (
         (),
@@ -257,7 +258,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
           'c' || c_custkey || '@example.org' AS email,
           CASE WHEN c_acctbal > 0 THEN c_custkey::VARCHAR END AS email_usuario_app,
           c_custkey % 4 <> 0 AS activo, c_custkey % 3 <> 0 AS es_usuario_app
-        FROM customer WHERE c_custkey < 50""",
+        FROM customer""",
     ),
     "reachable": (
         ("active",),

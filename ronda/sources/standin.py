@@ -150,7 +150,7 @@ class StandIn:
         number = F.concat(F.lit("D"), key.cast("string"))
         return (
             self.base("supplier")
-            .filter(key % 3 == 0)
+            .filter(F.col("s_acctbal") > 3000)
             .join(last, key == F.col("l_suppkey"), "left")
             .select(
                 key.cast("string").alias("nombre"),
@@ -163,7 +163,7 @@ class StandIn:
         start = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0,0,0,0,3*l_linenumber)")
         return (
             self.base("lineitem")
-            .filter((F.col("l_linestatus") == "O") & (F.col("l_suppkey") % 5 != 0))
+            .filter(F.col("l_linestatus") == "O")
             .select(
                 _text("l_suppkey").alias("instalacion_rol"),
                 F.col("l_returnflag").alias("turno"),
@@ -262,12 +262,12 @@ class StandIn:
 
     def questions(self) -> DataFrame:
         key = F.col("p_partkey")
-        return self.base("part").filter(key < 10).select(
+        return self.base("part").filter(F.col("p_size") >= 5).select(
             key.cast("string").alias("pregunta_id"),
             F.col("p_name").alias("texto_pregunta"),
             F.col("p_type").alias("tipo_respuesta"),
             F.col("p_brand").alias("categoria"),
-            (10 - key).cast("int").alias("orden"),
+            F.col("p_size").alias("orden"),
             (key % 2 == 0).alias("requiere_comentario"),
             (key % 3 == 0).alias("obligatoria"),
             (F.col("p_size") % 4 != 0).alias("activa"),
@@ -281,7 +281,7 @@ class StandIn:
             .select(
                 F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("respuesta_id"),
                 _text("l_orderkey").alias("encuesta_id"),
-                (F.col("l_partkey") % 12).cast("string").alias("pregunta_id"),
+                _text("l_partkey").alias("pregunta_id"),
                 F.col("l_quantity").cast("int").cast("string").alias("respuesta_valor"),
                 F.when(F.col("l_returnflag") == "R", F.col("l_linestatus")).alias(
                     "comentario_adicional"
@@ -299,7 +299,7 @@ class StandIn:
             F.concat(F.lit(" P"), part, F.lit(" "))
         )
         answer = F.struct(
-            (F.col("l_partkey") % 12).cast("string").alias("pregunta_id"),
+            part.alias("pregunta_id"),
             quantity.alias("respuesta_valor"),
             F.col("l_linestatus").alias("comentario"),
         )
@@ -351,7 +351,7 @@ class StandIn:
         )
         return (
             self.user_contacts()
-            .filter(F.col("contacto_id").cast("int") % 6 != 0)
+            .join(self.contacts().filter("cargo <> 'MACHINERY'").select("contacto_id"), "contacto_id")
             .join(nation, "instalacion_rol")
             .select("contacto_id", "instalacion_rol", "cliente_rol")
             .distinct()
@@ -359,7 +359,7 @@ class StandIn:
 
     def contacts(self) -> DataFrame:
         key = F.col("c_custkey")
-        return self.base("customer").filter(key < 50).select(
+        return self.base("customer").select(
             key.cast("string").alias("contacto_id"),
             F.col("c_name").alias("nombre_contacto"),
             F.concat(F.lit("+56"), key.cast("string")).alias("telefono"),
