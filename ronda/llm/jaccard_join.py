@@ -22,7 +22,7 @@ from ronda.llm.components import connected_components
 from ronda.llm.store import partitions, stored
 from ronda.llm.texts import LOWER, SPACE, Hashes, chunks, mix, rows_of, spans
 
-BITMAP_WORDS = 16  # 64 bits each
+BITMAP_BITS = 1024  # at least; two to four bits for each element
 SHARED_PART = 0.005  # a shingle in this part of a task's documents counts as shared by many
 SHARED_LEAST = 16
 SHARED_MOST = 250_000  # longest list sent to all tasks; the list only changes the order
@@ -64,8 +64,27 @@ def _signature(members: np.ndarray) -> int:
 
 def _bitmap(members: np.ndarray) -> bytes:
     """Parity of the members that fall on each bit: two bitmaps differ in no more bits than the sets in members."""
-    bits = np.bincount((members >> np.uint64(20)).astype(np.int64) & (64 * BITMAP_WORDS - 1), minlength=64 * BITMAP_WORDS)
-    return np.packbits((bits & 1).astype(np.uint8)).tobytes()
+    bits = max(BITMAP_BITS, 1 << int(2 * len(members) - 1).bit_length())
+    parity = np.bincount((members >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _rows_of_bits(bitmaps: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(bitmaps), np.uint64).reshape(len(bitmaps), -1)
+
+
+def _folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps brought down to ``width`` words; parities of bits that meet are added."""
+    while bits.shape[1] > width:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
+def _possible(n: np.ndarray, m: np.ndarray, apart: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of n and m elements, of which at least ``apart`` are not shared, can reach the similarity."""
+    most = (n + m - apart) // 2
+    return 100 * most >= percent * (n + m - most)
 
 
 def _needed(n: int, percent: int) -> int:
@@ -257,11 +276,14 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb = (batch.column(k).to_numpy().astype(np.int64) for k in (4, 5))
-            maps = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, BITMAP_WORDS) for k in (6, 7)]
-            apart = np.bitwise_count(maps[0] ^ maps[1]).sum(1, dtype=np.int64)
-            most = (na + nb - apart) // 2
-            keep = 100 * most >= percent * (na + nb - most)
-            keep &= percent * np.maximum(na, nb) <= 100 * np.minimum(na, nb)
+            keep = percent * np.maximum(na, nb) <= 100 * np.minimum(na, nb)
+            maps = [batch.column(k).to_pylist() for k in (6, 7)]
+            widths = [np.array([len(x) for x in m], np.int64) for m in maps]
+            for wa, wb in {*zip(*(w[keep].tolist() for w in widths), strict=True)}:
+                at = np.flatnonzero(keep & (widths[0] == wa) & (widths[1] == wb))
+                pair = [_folded(_rows_of_bits([m[i] for i in at]), min(wa, wb) // 8) for m in maps]
+                apart = np.bitwise_count(pair[0] ^ pair[1]).sum(1, dtype=np.int64)
+                keep[at] = _possible(na[at], nb[at], apart, percent)
             yield batch.select([0, 1, 2, 3]).filter(pa.array(keep))
 
     met = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -332,21 +354,25 @@ def _remaining(members: DataFrame, roots: DataFrame, nodes: DataFrame, percent:
             turn = np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
             found = []
             for s, e in zip([0, *turn], [*turn, len(key)], strict=True):
-                maps = np.frombuffer(b"".join(bitmap[s:e]), np.uint64).reshape(-1, BITMAP_WORDS)
-                n, r, g, part = size[s:e].astype(np.int64), root[s:e], sig[s:e], mine[s:e]
-                for i in range(e - s - 1):
-                    rest = slice(i + 1, None)
-                    ok = (r[rest] != r[i]) & (percent * np.maximum(n[rest], n[i]) <= 100 * np.minimum(n[rest], n[i]))
-                    if lo[s] != hi[s]:
-                        ok &= part[rest] != part[i]
-                    at = np.flatnonzero(ok) + i + 1
-                    if not len(at):
-                        continue
-                    apart = np.bitwise_count(maps[at] ^ maps[i]).sum(1, dtype=np.int64)
-                    most = (n[at] + n[i] - apart) // 2
-                    at = at[100 * most >= percent * (n[at] + n[i] - most)]
-                    if len(at):
-                        found.append((np.full(len(at), g[i]), g[at]))
+                n, r, g = size[s:e].astype(np.int64), root[s:e], sig[s:e]
+                part = mine[s:e] if lo[s] != hi[s] else None
+                widths = np.array([len(x) // 8 for x in bitmap[s:e]], np.int64)
+                for width in np.unique(widths):
+                    at = {w: np.flatnonzero(widths == w) for w in (width, 2 * width)}
+                    bits = {w: _folded(_rows_of_bits([bitmap[s + i] for i in at[w]]), width) for w in at if len(at[w])}
+                    for k, i in enumerate(at[width]):
+                        for w, own in bits.items():
+                            skip = k + 1 if w == width else 0
+                            others = at[w][skip:]
+                            ok = (r[others] != r[i]) & (percent * np.maximum(n[others], n[i]) <= 100 * np.minimum(n[others], n[i]))
+                            if part is not None:
+                                ok &= part[others] != part[i]
+                            if not ok.any():
+                                continue
+                            apart = np.bitwise_count(own[skip:][ok] ^ bits[width][k]).sum(1, dtype=np.int64)
+                            met = others[ok][_possible(n[others[ok]], n[i], apart, percent)]
+                            if len(met):
+                                found.append((np.full(len(met), g[i]), g[met]))
             a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
             b = np.concatenate([y for _, y in found]) if found else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
