@@ -1,30 +1,74 @@
-"""Pipeline over ``documents``: each stage works on all that its predecessor kept."""
+"""Pipeline over ``documents``: each stage works on all that its predecessor kept.
+
+Quality and toxicity reject documents, of each group of near duplicates one
+document stays, and what is left is packed into training sequences.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ronda.llm import packing, quality, toxicity
 from ronda.llm.jaccard_join import near_duplicate_groups
+from ronda.llm.queries import BYTE_TOKENIZER, table
 from ronda.llm.store import stored
-from ronda.session import prepare
 
+# Classifiers and a packing order are beyond SQL; tests/llm hold the stages against brute force.
 ORACLE_SQL = None
 
 
+def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id is in ``ids``, or null."""
+    return docs.join(ids.distinct(), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the quality classifier rejects.
+
+    Rows that share a doc_id stay or go together: they stay if any is good.  A
+    row without doc_id stays, since nothing can be decided about it by id.
+    """
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return _kept(docs, quality.scored(docs, model).where("keep").select("doc_id"))
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the toxicity network marks; null and shared ids as in ``good_quality``."""
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return _kept(docs, toxicity.scored(docs, net).where("predicted = 0").select("doc_id"))
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of every group of near duplicates."""
-    prepare(spark)
+    """Keeps the document with the smallest doc_id of every group of near duplicates.
+
+    Of rows that share that doc_id one stays; rows without doc_id all stay.
+    """
     groups = near_duplicate_groups(docs)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    kept = _kept(docs, groups.where("doc_id = component_id").select("doc_id"))
+    same_id = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    return (
+        kept.withColumn("_nth", F.row_number().over(same_id))
+        .where("_nth = 1 or doc_id is null")
+        .drop("_nth")
+    )
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 1024 tokens."""
+    return packing.packed(docs, BYTE_TOKENIZER)
 
 
-STAGES = [("near_duplicates", one_of_each_group)]
+STAGES = [
+    ("quality", good_quality),
+    ("toxicity", not_toxic),
+    ("near_duplicates", one_of_each_group),
+    ("packing", sequences),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
     return docs

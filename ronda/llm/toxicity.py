@@ -25,8 +25,8 @@ WINDOW, STRIDE = 32, 16
 WORD_ROWS, GRAM_ROWS, WIDTH, STATE = 1 << 16, 1 << 16, 8, 10
 GRAMS = (3, 4, 5)
 BLOCK = 4096
-SAMPLE_PER_LABEL = 2000  # labelled texts fitted on, per label
-SAMPLE_CHARS = 12_000_000  # and their characters in all
+SAMPLE_PER_LABEL = 1200  # labelled texts fitted on, per label
+SAMPLE_CHARS = 8_000_000  # and their characters in all
 
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -234,7 +234,7 @@ class _Steps:
             table[0] = 0
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = 14, batch: int = 256, seed: int = 7) -> Network:
+def train(texts: list[str], labels: np.ndarray, epochs: int = 12, batch: int = 256, seed: int = 7) -> Network:
     """Fits the network to labelled texts.
 
     In each epoch a toxic text is represented by a window drawn in favour of
