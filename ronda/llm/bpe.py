@@ -29,8 +29,9 @@ from ronda.llm.packing import byte_symbols
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 WORD_END = "</w>"
 
-PART = 1000  # texts whose words share a trie
-KEPT_WORDS = 400_000  # encodings a task keeps from one trie to the next; more are worked out again
+PART = 500  # texts whose words share a trie
+KEPT_WORDS = 200_000  # encodings a task keeps from one trie to the next; more are worked out again
+KEPT_PAIRS = 300_000  # and pairs of tokens
 
 
 class Vocabulary:
@@ -80,7 +81,7 @@ class Vocabulary:
         """Whether the encoding of both tokens' text is these two tokens."""
         known = self._beside.get((left, right))
         if known is None:
-            if len(self._beside) > 2_000_000:
+            if len(self._beside) > KEPT_PAIRS:
                 self._beside.clear()
             known = self._beside[left, right] = self._uncrossed(left, right)
         return known
@@ -277,8 +278,17 @@ def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
+def _written(names: pa.Array, ids: pa.Array, counts: np.ndarray) -> pa.Array:
+    """Texts of ids laid end to end, ``counts`` of them each: the tokens joined by blanks."""
+    offsets = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
+    return pc.binary_join(pa.ListArray.from_arrays(offsets, names.take(ids)), " ")
+
+
 def decoded(rows: DataFrame, tokenizer: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
-    """``rows`` with the text of ``ids_col``: its tokens joined by blanks, as a tokenizer without decoder does."""
+    """``rows`` with the text of ``ids_col``: its tokens joined by blanks, as a tokenizer without decoder does.
+
+    No ids, or null, are an empty text; an id outside the vocabulary is an error.
+    """
     with open(tokenizer, encoding="utf-8") as f:
         definition = rows.sparkSession.sparkContext.broadcast(f.read())
     columns = rows.columns
@@ -290,19 +300,41 @@ def decoded(rows: DataFrame, tokenizer: str, ids_col: str = "ids", into: str = "
             for k in range(0, batch.num_rows, PART):
                 part = batch.slice(k, PART)
                 ids = part.column(at)
-                ends = np.cumsum(pc.list_value_length(ids).fill_null(0).to_numpy())
-                tokens = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), names.take(ids.flatten()))
-                yield pa.RecordBatch.from_arrays([*part.columns, pc.binary_join(tokens, " ")], [*columns, into])
+                counts = pc.list_value_length(ids).fill_null(0).to_numpy()
+                yield pa.RecordBatch.from_arrays([*part.columns, _written(names, ids.flatten(), counts)], [*columns, into])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(run, f"{schema}, `{into}` string")
 
 
+def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, ids, decoded) per row: ``encoded`` and ``decoded`` in one pass of one worker."""
+    with open(tokenizer, encoding="utf-8") as f:
+        definition = docs.sparkSession.sparkContext.broadcast(f.read())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _encoder(definition.value)
+        names = pa.array(coder.vocabulary.names, pa.string())
+        for batch in batches:
+            for at in range(0, batch.num_rows, PART):
+                part = batch.slice(at, PART)
+                ids, counts = coder.encode([t or "" for t in part.column(1).to_pylist()])
+                flat = pa.array(ids)
+                offsets = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.ListArray.from_arrays(offsets, flat), _written(names, flat, counts)],
+                    ["id", "ids", "decoded"],
+                )
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    out = docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, ids array<int>, decoded string")
+    return out.withColumnRenamed("id", id_col)
+
+
 def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_tokens, ids_sha256, decoded_sha256)."""
-    both = decoded(encoded(docs, tokenizer, id_col, text_col), tokenizer)
     written = F.concat_ws(" ", F.col("ids").cast("array<string>"))
-    return both.select(
+    return round_trip(docs, tokenizer, id_col, text_col).select(
         id_col,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(written.cast("binary"), 256).alias("ids_sha256"),

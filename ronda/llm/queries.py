@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ronda.llm import bpe, packing, quality, toxicity
+from ronda.llm import bpe, fingerprints, licenses, packing, quality, toxicity
 from ronda.llm.jaccard_join import near_duplicate_groups
 from ronda.llm.store import bounded_batches
 from ronda.session import prepare
@@ -27,6 +27,18 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        fingerprints.written("sketch").alias("fingerprint"),
+        fingerprints.written("edited_sketch").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), BYTE_TOKENIZER).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
@@ -46,6 +58,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digests(licenses.license_scan(table(spark, sf_dir, "documents")))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "documents"))
 
@@ -53,8 +69,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op3_fingerprints": op3_fingerprints,
         "op4_packing": op4_packing,
         "op5_toxicity": op5_toxicity,
         "op7_quality": op7_quality,
+        "op9_licenses": op9_licenses,
         "op10_jaccard_join": op10_jaccard_join,
     }
