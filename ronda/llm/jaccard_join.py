@@ -212,7 +212,7 @@ def _within(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
     return sorted_values[at] == values
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
     """Columns of sorted rows, cut only where the first ``keys`` columns change."""
     kept: list[list[np.ndarray]] = []
     for batch in batches:
@@ -236,7 +236,7 @@ def _tiles(elements: DataFrame, percent: int, shared: np.ndarray, spread: int) -
     """Pairs with the leader of their tile, leaders of salted keys, and members of runs that leave other pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, salt, size, sig in _runs(batches, 2):
+        for key, salt, size, sig in runs(batches, 2):
             again = np.zeros(len(key), bool)
             again[1:] = (key[1:] == key[:-1]) & (salt[1:] == salt[:-1]) & (sig[1:] == sig[:-1])
             key, salt, size, sig = key[~again], salt[~again], size[~again], sig[~again]
@@ -350,7 +350,7 @@ def _remaining(members: DataFrame, roots: DataFrame, nodes: DataFrame, percent:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, lo, hi, mine, sig, root, size, bitmap in _runs(batches, 3):
+        for key, lo, hi, mine, sig, root, size, bitmap in runs(batches, 3):
             turn = np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
             found = []
             for s, e in zip([0, *turn], [*turn, len(key)], strict=True):

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ronda.llm import bpe, fingerprints, licenses, packing, quality, toxicity
+from ronda.llm import bpe, fingerprints, licenses, multi_index, packing, quality, toxicity, url_filters, warc
 from ronda.llm.jaccard_join import near_duplicate_groups
 from ronda.llm.store import bounded_batches
 from ronda.session import prepare
@@ -27,6 +27,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -53,11 +59,20 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filters.filtered(url_filters.dated_captures(pages), url_filters.derived_entries(pages))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(table(spark, sf_dir, "embeddings"), every=100)
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digests(licenses.license_scan(table(spark, sf_dir, "documents")))
 
@@ -69,10 +84,13 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op2_warc": op2_warc,
         "op3_fingerprints": op3_fingerprints,
         "op4_packing": op4_packing,
         "op5_toxicity": op5_toxicity,
+        "op6_url_filters": op6_url_filters,
         "op7_quality": op7_quality,
+        "op8_multi_index": op8_multi_index,
         "op9_licenses": op9_licenses,
         "op10_jaccard_join": op10_jaccard_join,
     }
