@@ -22,10 +22,12 @@ from ronda.llm.components import connected_components
 from ronda.llm.store import partitions, stored
 from ronda.llm.texts import LOWER, SPACE, Hashes, chunks, mix, rows_of, spans
 
-BITMAP_BITS = 1024  # at least; two to four bits for each element
-SHARED_PART = 0.005  # a shingle in this part of a task's documents counts as shared by many
-SHARED_LEAST = 16
+COARSE_BITS = 1024  # of the bitmaps that all candidates are held against
+FINE_BITS = 2  # bits for each element, at least, of those that large sets are held against then
+SHARED_PART = 0.001  # a shingle in this part of a task's documents counts as shared by many
+SHARED_LEAST = 8
 SHARED_MOST = 250_000  # longest list sent to all tasks; the list only changes the order
+FIRST_ROUND = 4  # pairs that a tile proposes for two components before components are looked at again
 BLOCK = 1024  # members of a tile that one step compares
 SALTS = 16
 BROADCAST_ROWS = 1_000_000  # ids sent to all tasks at most; beyond that they are joined by shuffle
@@ -64,7 +66,7 @@ def _signature(members: np.ndarray) -> int:
 
 def _bitmap(members: np.ndarray) -> bytes:
     """Parity of the members that fall on each bit: two bitmaps differ in no more bits than the sets in members."""
-    bits = max(BITMAP_BITS, 1 << int(2 * len(members) - 1).bit_length())
+    bits = max(COARSE_BITS, 1 << int(FINE_BITS * len(members) - 1).bit_length())
     parity = np.bincount((members >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
 
@@ -81,6 +83,10 @@ def _folded(bits: np.ndarray, width: int) -> np.ndarray:
     return bits
 
 
+def _coarse(bitmap: bytes) -> bytes:
+    return _folded(_rows_of_bits([bitmap]), COARSE_BITS // 64).tobytes()
+
+
 def _possible(n: np.ndarray, m: np.ndarray, apart: np.ndarray, percent: int) -> np.ndarray:
     """Whether sets of n and m elements, of which at least ``apart`` are not shared, can reach the similarity."""
     most = (n + m - apart) // 2
@@ -131,31 +137,38 @@ def shared_shingles(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
     return np.sort(top.view(np.uint64))
 
 
-_FEATURES = "sig long, size int, bitmap binary, head binary"
+_FEATURES = "sig long, size int, coarse binary, fine binary, head binary"
 
 
 def featurised(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, shared: np.ndarray) -> DataFrame:
-    """(id, sig, size, bitmap, head) per document; sets that a task met before carry no bitmap and head."""
+    """(id, sig, size, coarse, fine, head) per document.
+
+    Sets that a task met before carry no bitmaps and no head, and small ones no
+    fine bitmap, which would be the coarse one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for batch in batches:
-            sigs, sizes, bitmaps, heads = [], [], [], []
+            sigs, sizes, coarse, fine, heads = [], [], [], [], []
             named = batch.column(0).is_valid().to_pylist()
             for members, has_id in zip(shingle_hashes(batch.column(1), words), named, strict=True):
                 sizes.append(len(members))
                 sig = _signature(members) if len(members) else None
                 sigs.append(sig)
                 if sig is None or not has_id or sig in met:
-                    bitmaps.append(None)
+                    coarse.append(None)
+                    fine.append(None)
                     heads.append(None)
                 else:
                     met.add(sig)
-                    bitmaps.append(_bitmap(members))
+                    bitmap = _bitmap(members)
+                    coarse.append(_coarse(bitmap))
+                    fine.append(bitmap if len(bitmap) > COARSE_BITS // 8 else None)
                     heads.append(_head(members, shared, percent).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bitmaps, pa.binary()), pa.array(heads, pa.binary())],
-                ["id", "sig", "size", "bitmap", "head"],
+                [batch.column(0), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int32()), *(pa.array(x, pa.binary()) for x in (coarse, fine, heads))],
+                ["id", "sig", "size", "coarse", "fine", "head"],
             )
 
     return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, " + _FEATURES)
@@ -268,28 +281,38 @@ def _pairs(a: Column, b: Column) -> list[Column]:
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes and bitmaps allow the similarity, with the ids that stand for them."""
-    side = lambda s: nodes.select(
-        F.col("sig").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "size", "bitmap"))
-    )
+    """Pairs whose sizes and bitmaps allow the similarity, with the ids that stand for them.
+
+    All pairs are held against the coarse bitmaps, and what is left of the large
+    sets, which fill these, against the fine ones.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb = (batch.column(k).to_numpy().astype(np.int64) for k in (4, 5))
             keep = percent * np.maximum(na, nb) <= 100 * np.minimum(na, nb)
             maps = [batch.column(k).to_pylist() for k in (6, 7)]
-            widths = [np.array([len(x) for x in m], np.int64) for m in maps]
+            widths = [np.array([len(x or b"") for x in m], np.int64) for m in maps]
             for wa, wb in {*zip(*(w[keep].tolist() for w in widths), strict=True)}:
+                if not wa or not wb:
+                    continue
                 at = np.flatnonzero(keep & (widths[0] == wa) & (widths[1] == wb))
                 pair = [_folded(_rows_of_bits([m[i] for i in at]), min(wa, wb) // 8) for m in maps]
                 apart = np.bitwise_count(pair[0] ^ pair[1]).sum(1, dtype=np.int64)
                 keep[at] = _possible(na[at], nb[at], apart, percent)
             yield batch.select([0, 1, 2, 3]).filter(pa.array(keep))
 
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
-    return met.select("a", "b", "rep_a", "rep_b", "size_a", "size_b", "bitmap_a", "bitmap_b").mapInArrow(
-        run, "a long, b long, rep_a long, rep_b long"
-    )
+    for bitmap in ("coarse", "fine"):
+        sides = [
+            nodes.select(F.col("sig").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "size")), F.col(bitmap).alias(f"map_{s}"))
+            for s in ("a", "b")
+        ]
+        met = pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b")
+        pairs = met.select("a", "b", "rep_a", "rep_b", "size_a", "size_b", "map_a", "map_b").mapInArrow(
+            run, "a long, b long, rep_a long, rep_b long"
+        )
+        pairs = stored(pairs, "bounded")
+    return pairs
 
 
 def _linked(candidates: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
@@ -325,11 +348,12 @@ def _linked(candidates: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     return with_b.select("a", "b", "of_a", "of_b").mapInArrow(exact, "a long, b long")
 
 
-def _remaining(members: DataFrame, roots: DataFrame, nodes: DataFrame, percent: int, spread: int) -> DataFrame:
+def _remaining(members: DataFrame, roots: DataFrame, nodes: DataFrame, percent: int, spread: int, most: int | None) -> DataFrame:
     """Pairs of a tile that are not known to be connected and that sizes and bitmaps allow.
 
     Tiles are cut into blocks by hash and every pair of blocks is compared, so
-    that no task meets more than two blocks of a tile at a time.
+    that no task meets more than two blocks of a tile at a time.  With ``most``,
+    a pair of blocks proposes only its likeliest pairs for two components.
     """
     named = members.join(roots.withColumnRenamed("node", "b"), "b", "left").select(
         "key", F.col("b").alias("sig"), F.coalesce("root", "b").alias("root")
@@ -342,43 +366,56 @@ def _remaining(members: DataFrame, roots: DataFrame, nodes: DataFrame, percent:
         .select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")),
         "open",
     )
-    rows = named.join(open_keys, "key").join(nodes.select("sig", "size", "bitmap"), "sig")
+    rows = named.join(open_keys, "key").join(nodes.select("sig", "size", "coarse"), "sig")
     mine = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
     dealt = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(
-        "key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "sig", "root", "size", "bitmap"
+        "key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "sig", "root", "size", "coarse"
     )
 
+    def proposed(n: np.ndarray, root: np.ndarray, part: np.ndarray | None, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the pairs among rows sorted by size."""
+        found = []
+        ends = np.searchsorted(n, 100 * n // percent, "right")  # first row that is too large for each
+        for i in range(len(n) - 1):
+            others = np.arange(i + 1, ends[i])
+            ok = root[others] != root[i]
+            if part is not None:
+                ok &= part[others] != part[i]
+            others = others[ok]
+            if len(others):
+                apart = np.bitwise_count(bits[others] ^ bits[i]).sum(1, dtype=np.int64)
+                met = _possible(n[others], n[i], apart, percent)
+                found.append((np.full(met.sum(), i), others[met], apart[met]))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        i, j, apart = (np.concatenate(x) for x in zip(*found, strict=True))
+        if most is not None and len(i) > most:
+            lo, hi = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
+            order = np.lexsort((apart, hi, lo))
+            lo, hi = lo[order], hi[order]
+            begins = np.ones(len(lo), bool)
+            begins[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+            at = np.arange(len(lo))
+            kept = order[at - np.maximum.accumulate(np.where(begins, at, 0)) < most]
+            i, j = i[kept], j[kept]
+        return i, j
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, lo, hi, mine, sig, root, size, bitmap in runs(batches, 3):
+        for key, lo, hi, mine, sig, root, size, coarse in runs(batches, 3):
             turn = np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+            bits = _rows_of_bits(list(coarse))
             found = []
             for s, e in zip([0, *turn], [*turn, len(key)], strict=True):
-                n, r, g = size[s:e].astype(np.int64), root[s:e], sig[s:e]
-                part = mine[s:e] if lo[s] != hi[s] else None
-                widths = np.array([len(x) // 8 for x in bitmap[s:e]], np.int64)
-                for width in np.unique(widths):
-                    at = {w: np.flatnonzero(widths == w) for w in (width, 2 * width)}
-                    bits = {w: _folded(_rows_of_bits([bitmap[s + i] for i in at[w]]), width) for w in at if len(at[w])}
-                    for k, i in enumerate(at[width]):
-                        for w, own in bits.items():
-                            skip = k + 1 if w == width else 0
-                            others = at[w][skip:]
-                            ok = (r[others] != r[i]) & (percent * np.maximum(n[others], n[i]) <= 100 * np.minimum(n[others], n[i]))
-                            if part is not None:
-                                ok &= part[others] != part[i]
-                            if not ok.any():
-                                continue
-                            apart = np.bitwise_count(own[skip:][ok] ^ bits[width][k]).sum(1, dtype=np.int64)
-                            met = others[ok][_possible(n[others[ok]], n[i], apart, percent)]
-                            if len(met):
-                                found.append((np.full(len(met), g[i]), g[met]))
-            a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
-            b = np.concatenate([y for _, y in found]) if found else np.zeros(0, np.int64)
+                order = s + np.argsort(size[s:e], kind="stable")
+                part = mine[order] if lo[s] != hi[s] else None
+                i, j = proposed(size[order].astype(np.int64), root[order], part, bits[order])
+                found.append((sig[order[i]], sig[order[j]]))
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    order = ["key", "lo", "hi"]
-    return dealt.repartition(spread, *order).sortWithinPartitions(*order, "sig").mapInArrow(run, "a long, b long").distinct()
+    by = ["key", "lo", "hi"]
+    return dealt.repartition(spread, *by).sortWithinPartitions(*by, "sig").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicate_groups(
@@ -401,7 +438,7 @@ def near_duplicate_groups(
     nodes = stored(
         featured.where("sig is not null and id is not null")
         .groupBy("sig")
-        .agg(F.min("id").alias("rep"), F.max("size").alias("size"), F.max("bitmap").alias("bitmap")),
+        .agg(F.min("id").alias("rep"), F.max("size").alias("size"), F.max("coarse").alias("coarse"), F.max("fine").alias("fine")),
         "nodes",
     )
     tiles = stored(_tiles(_elements(featured, shared), percent, shared, spread), "tiles")
@@ -410,16 +447,20 @@ def near_duplicate_groups(
     tried = stored(
         tiles.where(F.col("kind") == PAIR).union(between).select(*_pairs(F.col("a"), F.col("b"))).distinct(), "tried"
     )
-    known = stored(_bounded(tried, nodes, percent), "bounded")
+    known = _bounded(tried, nodes, percent)
     links = stored(_linked(known, docs, id_col, text_col, words, percent), "linked")
     roots = connected_components(links)
     members = tiles.where(F.col("kind") == MEMBER).select("key", "b")
-    rest = _remaining(members, roots, nodes, percent, spread).join(tried, ["a", "b"], "left_anti")
-    more = stored(_bounded(rest, nodes, percent), "bounded")
-    if more.limit(1).count():
-        found = _linked(more, docs, id_col, text_col, words, percent)
-        links = stored(links.union(found), "linked")
-        roots = connected_components(links)
+    # What is open after the leaders: first the likeliest pairs of components, most of which are one then, and in
+    # the end every pair that is left.
+    for most in (FIRST_ROUND, None):
+        rest = stored(_remaining(members, roots, nodes, percent, spread, most).join(tried, ["a", "b"], "left_anti"), "rest")
+        more = _bounded(rest, nodes, percent)
+        if more.limit(1).count():
+            found = _linked(more, docs, id_col, text_col, words, percent)
+            links = stored(links.union(found), "linked")
+            roots = connected_components(links)
+        tried = tried.union(rest)
     roots = roots.withColumnRenamed("node", "sig")
     named = nodes.select("sig", "rep").join(roots, "sig", "left").select("sig", "rep", F.coalesce("root", "sig").alias("root"))
     named = stored(named, "named")
