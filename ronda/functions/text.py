@@ -39,5 +39,7 @@ def clipped(text: Column) -> Column:
 
 
 def row_id(*parts: Column) -> Column:
-    """Repeatable id: a task that is run again writes the same one."""
-    return F.sha2(F.concat_ws("|", *parts), 256)
+    """Repeatable id: a task that is run again writes the same one.  A missing
+    part is marked, so that it does not give the id of a shorter key."""
+    marked = [F.coalesce(p.cast("string"), F.lit("\0")) for p in parts]
+    return F.sha2(F.concat_ws("|", *marked), 256)

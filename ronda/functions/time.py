@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+MONTH = "ano_mes"  # column that a history stored by month is partitioned by
+
 
 def clock(moment: Column) -> Column:
     return F.date_format(moment, "HH:mm")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,8 @@ from ronda.functions.text import none_if_empty, service_type
 from ronda.operators import open_posts as posts
 from ronda.operators.scope import (
     Principals,
-    near,
+    by_site,
+    nearby,
     principal_frame,
     visible_client_sites,
     visible_rows,
@@ -61,8 +63,8 @@ def coverage_overall(
     """
     require_columns(rollup, "rollup")
     visible = visible_client_sites(grants, principals)
-    seen = near(rollup, visible, CLIENT_SITE, principals)
-    sites = seen.groupBy(*CLIENT_SITE, "empresa").agg(
+    narrow = nearby(visible, principals)
+    sites = narrow(rollup, CLIENT_SITE).groupBy(*CLIENT_SITE, "empresa").agg(
         F.sum("total_guardias_requeridos").alias("requeridos"),
         F.sum("guardias_presentes").alias("presentes"),
         F.max("ultima_actualizacion").alias("refrescado"),
@@ -86,7 +88,7 @@ def coverage_overall(
     )
     everyone = principal_frame(grants, principals)
     joined = everyone.join(totals, "email_login", "left").join(
-        posts.seen_posts(open_posts, grants, principals), "email_login", "left"
+        posts.posts_seen(narrow(open_posts, ["instalacion_rol"]), by_site(visible)), "email_login", "left"
     )
     live = F.coalesce(F.col("requeridos") != 0, F.lit(False))
     pct = percent(F.col("presentes"), F.col("requeridos"), 2)
@@ -107,16 +109,22 @@ def coverage_overall(
     )
 
 
-def _with_site_lookups(sites: DataFrame, devices: DataFrame, open_posts: DataFrame) -> DataFrame:
+def _with_site_lookups(
+    sites: DataFrame,
+    devices: DataFrame,
+    open_posts: DataFrame,
+    narrow: Callable[[DataFrame, list[str]], DataFrame],
+) -> DataFrame:
     """Device and open-post columns, joined while the rows are one per site.
 
     ``equipos`` counts devices that cannot be told apart.  Distinguishable
     devices each make a row of their own.
     """
     require_columns(devices, "devices")
+    named = devices.filter(F.col("nombre").isNotNull()).withColumnRenamed("nombre", "instalacion_rol")
     known = (
-        devices.filter(F.col("nombre").isNotNull())
-        .groupBy(F.col("nombre").alias("instalacion_rol"), "numero", "ult_conexion")
+        narrow(named, ["instalacion_rol"])
+        .groupBy("instalacion_rol", "numero", "ult_conexion")
         .agg(F.count(F.lit(1)).alias("equipos"))
     )
     looked_up = sites.join(known, "instalacion_rol", "left").join(
@@ -164,14 +172,15 @@ def coverage_by_site(
     """Coverage of every site a principal sees, with device and open posts."""
     require_columns(rollup, "rollup")
     visible = visible_client_sites(grants, principals)
-    sites = near(rollup, visible, CLIENT_SITE, principals).groupBy(*SITE).agg(
+    narrow = nearby(visible, principals)
+    sites = narrow(rollup, CLIENT_SITE).groupBy(*SITE).agg(
         F.sum("total_guardias_requeridos").alias("requeridos"),
         F.sum("guardias_presentes").alias("presentes"),
         F.sum("turnos_cubiertos").alias("cubiertos"),
         F.sum("turnos_descubiertos").alias("descubiertos"),
     )
     rated = _rated(sites, "presentes", "requeridos", scale, settings)
-    looked_up = _with_site_lookups(rated, devices, open_posts)
+    looked_up = _with_site_lookups(rated, devices, narrow(open_posts, ["instalacion_rol"]), narrow)
     times = F.col("accesos") * F.col("equipos")
     return visible.join(looked_up, CLIENT_SITE).select(
         "email_login",
@@ -196,12 +205,13 @@ def coverage_by_site_fast(
     """The short form: one decimal, no shift counts, device number as stored."""
     require_columns(rollup, "rollup")
     visible = visible_client_sites(grants, principals)
-    sites = near(rollup, visible, CLIENT_SITE, principals).groupBy(*SITE).agg(
+    narrow = nearby(visible, principals)
+    sites = narrow(rollup, CLIENT_SITE).groupBy(*SITE).agg(
         F.sum("total_guardias_requeridos").alias("requeridos"),
         F.sum("guardias_presentes").alias("presentes"),
     )
     rated = _rated(sites, "presentes", "requeridos", 1, settings)
-    looked_up = _with_site_lookups(rated, devices, open_posts)
+    looked_up = _with_site_lookups(rated, devices, narrow(open_posts, ["instalacion_rol"]), narrow)
     times = F.col("accesos") * F.col("equipos")
     return visible.join(looked_up, CLIENT_SITE).select(
         "email_login",
@@ -224,9 +234,10 @@ def coverage_by_site_service(
     """One row per rollup row, grant and device; nothing is summed."""
     require_columns(rollup, "rollup")
     visible = visible_rows(grants, principals)
-    seen = near(rollup, visible, CLIENT_SITE, principals)
+    narrow = nearby(visible, principals)
+    seen = narrow(rollup, CLIENT_SITE)
     rated = _rated(seen, "guardias_presentes", "total_guardias_requeridos", 1, settings)
-    looked_up = _with_site_lookups(rated, devices, open_posts)
+    looked_up = _with_site_lookups(rated, devices, narrow(open_posts, ["instalacion_rol"]), narrow)
     # Devices that look alike stay separate rows here.
     repeated = looked_up.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("equipos"))))
     required, present = F.col("total_guardias_requeridos"), F.col("guardias_presentes")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ronda.functions.kpi import band, hours, percent
 from ronda.functions.text import filled
-from ronda.functions.time import day_range_label, within_days
+from ronda.functions.time import MONTH, day_range_label, month_keys, within_days
 from ronda.operators.scope import Principals, near, visible_client_sites, with_namesakes
 from ronda.schemas import require_columns
 from ronda.settings import DEFAULTS, Settings
@@ -19,8 +19,12 @@ WEEK = ["semana", "isoweek", "ano"]
 
 
 def _window(history: DataFrame, as_of: dt.date, days: int | None, settings: Settings) -> DataFrame:
+    """The trailing window; a table stored by month is read in these months only."""
     require_columns(history, "history")
     days = settings.history_days if days is None else days
+    if MONTH in history.columns:
+        first, last = month_keys(as_of, days)
+        history = history.filter(F.col(MONTH).between(first, last)).drop(MONTH)
     return history.filter(within_days(F.col("dia"), as_of, days))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,7 +13,6 @@ from ronda.functions.text import clipped, filled, row_id
 from ronda.schemas import require_columns
 
 INBOX_SALTS = 16
-AUDIENCE_BUCKETS = 64
 
 
 def fan_out_messages(
@@ -109,72 +108,96 @@ def device_tokens(users: DataFrame) -> DataFrame:
     )
 
 
-def notification_payloads(
-    messages: DataFrame,
-    users: DataFrame,
-    perms: DataFrame,
-    empty_means_all: bool = True,
-    buckets: int = AUDIENCE_BUCKETS,
-) -> DataFrame:
-    """One payload per chat message and device that is to be told of it.
-
-    Named participants are looked up by uid.  A message that names none goes
-    to everybody: it is sent to each of a fixed number of buckets of devices,
-    so neither side has to fit anywhere as a whole.
-    """
-    require_columns(messages, "chat_messages")
+def _reachable(users: DataFrame, perms: DataFrame) -> DataFrame:
+    """Devices of people who may be told of a message, with their role."""
     role = perms.select("email_login", "rol_id", "usuario_activo")
-    devices = (
+    return (
         device_tokens(users)
         .filter(F.col("firebase_uid").isNotNull())
         .join(role, "email_login", "left")
         .filter(F.coalesce(F.col("usuario_activo"), F.lit(True)))
         .drop("usuario_activo")
     )
+
+
+def _to_named(messages: DataFrame) -> Column:
+    return F.coalesce(F.size("participant_user_ids") > 0, F.lit(False))
+
+
+def _written(messages: DataFrame) -> DataFrame:
+    """What is told of a message; only the clipped body, never the whole text."""
     shown = F.coalesce(F.col("visible_para_cliente"), F.lit(True))
-    # Only the clipped body goes on to the recipients, never the whole text.
-    written = messages.select(
-        "conversation_id",
+    return messages.select(
         "message_id",
-        "sender_id",
-        "sender_name",
-        clipped(F.col("message_text")).alias("cuerpo"),
-        shown.alias("visible_para_cliente"),
         "participant_user_ids",
-    )
-    named = F.coalesce(F.size("participant_user_ids") > 0, F.lit(False))
-    to_named = (
-        written.filter(named)
-        .withColumn("firebase_uid", F.explode(F.array_distinct("participant_user_ids")))
-        .drop("participant_user_ids")
-        .join(devices, "firebase_uid")
-    )
-    audience = to_named
-    if empty_means_all:
-        bucket = F.pmod(F.xxhash64("email_login"), F.lit(buckets))
-        every_bucket = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long")))
-        to_all = (
-            written.filter(~named)
-            .drop("participant_user_ids")
-            .withColumn("_bucket", every_bucket)
-            .join(devices.withColumn("_bucket", bucket), "_bucket")
-            .drop("_bucket")
-        )
-        audience = to_named.unionByName(to_all)
-    hidden = ~F.col("visible_para_cliente") & F.col("rol_id").eqNullSafe(fv.ROLE_CLIENT)
-    return audience.filter((F.col("firebase_uid") != F.col("sender_id")) & ~hidden).select(
-        "message_id",
-        "email_login",
-        "firebase_uid",
-        "fcm_token",
+        F.col("sender_id").alias("excluye_uid"),
+        (~shown).alias("oculto_a_clientes"),
         F.concat(F.lit(fv.PUSH_TITLE_PREFIX), F.col("sender_name")).alias("titulo"),
-        "cuerpo",
+        clipped(F.col("message_text")).alias("cuerpo"),
         F.struct(
             F.lit(fv.PUSH_KIND).alias("tipo"),
             F.col("conversation_id").alias("conversationId"),
             F.col("message_id").alias("messageId"),
             F.col("sender_id").alias("senderId"),
             F.col("sender_name").alias("senderName"),
-            F.col("visible_para_cliente").cast("string").alias("visibleParaCliente"),
+            shown.cast("string").alias("visibleParaCliente"),
         ).alias("datos"),
     )
+
+
+def _excluded() -> Column:
+    hidden = F.col("oculto_a_clientes") & F.col("rol_id").eqNullSafe(fv.ROLE_CLIENT)
+    return (F.col("firebase_uid") == F.col("excluye_uid")) | hidden
+
+
+TO_NAMED, TO_ALL = "nombrados", "todos"
+PAYLOAD = ["message_id", "audiencia", "email_login", "firebase_uid", "fcm_token", "excluye_uid", "oculto_a_clientes"]
+PAYLOAD += ["titulo", "cuerpo", "datos"]
+
+
+def notification_payloads(
+    messages: DataFrame, users: DataFrame, perms: DataFrame, empty_means_all: bool = True
+) -> DataFrame:
+    """One payload per chat message and device of a named participant.
+
+    A message that names nobody goes to everybody: it stays one row, with the
+    audience ``todos``, no device, and its two exclusions, so the result grows
+    with messages and participants and not with messages times devices.
+    :func:`notification_recipients` lists the devices of a single message.
+    """
+    written = _written(messages)
+    named = _to_named(messages)
+    to_named = (
+        written.filter(named)
+        .withColumn("firebase_uid", F.explode(F.array_distinct("participant_user_ids")))
+        .join(_reachable(users, perms), "firebase_uid")
+        .filter(~_excluded())
+        .withColumn("audiencia", F.lit(TO_NAMED))
+        .select(*PAYLOAD)
+    )
+    if not empty_means_all:
+        return to_named
+    nobody = {c: F.lit(None).cast("string") for c in ("email_login", "firebase_uid", "fcm_token")}
+    to_all = written.filter(~named).withColumns({"audiencia": F.lit(TO_ALL), **nobody})
+    return to_named.unionByName(to_all.select(*PAYLOAD))
+
+
+def notification_recipients(
+    message_id: str, messages: DataFrame, users: DataFrame, perms: DataFrame
+) -> DataFrame:
+    """Payloads of one message that goes to everybody, one per device.
+
+    The message is looked up first, so devices are filtered and joined with
+    nothing.  No rows for a message that is unknown or names participants.
+    """
+    found = _written(messages).filter((F.col("message_id") == message_id) & ~_to_named(messages)).first()
+    devices = _reachable(users, perms)
+    if found is None:
+        return messages.sparkSession.createDataFrame(
+            [], notification_payloads(messages, users, perms).schema
+        )
+    told = {c: F.lit(found[c]) for c in ("message_id", "excluye_uid", "oculto_a_clientes", "titulo", "cuerpo")}
+    told["excluye_uid"] = told["excluye_uid"].cast("string")
+    data = F.struct(*[F.lit(v).cast("string").alias(k) for k, v in found["datos"].asDict().items()])
+    rows = devices.withColumns({**told, "datos": data, "audiencia": F.lit(TO_ALL)})
+    return rows.filter(~_excluded()).select(*PAYLOAD)

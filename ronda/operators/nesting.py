@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-PAGE_BITS = 12
+PAGE_ROWS = 4096
 
 
 def nest_rows(
@@ -15,30 +17,34 @@ def nest_rows(
     keys: Sequence[str],
     order: Sequence[str],
     name: str,
-    page_bits: int = PAGE_BITS,
+    page_rows: int = PAGE_ROWS,
 ) -> DataFrame:
     """Arrays ``name`` of the columns besides ``keys``, ordered by ``order``.
 
-    A group of up to ``2 ** page_bits`` rows is one array on page 0.  A larger
-    one is several; read in the order of ``pagina`` they are the whole group
-    in order, and no task ever gathers more than one of them.  Rows are ordered
-    by a range sort over all columns, so a large group is spread over tasks
-    and a rerun task numbers its rows as before.  Keys must not be null.
+    Every group is cut into pages of ``page_rows`` rows, numbered from 0 in
+    ``pagina``; rows of equal order are told apart by their other columns, so
+    pages are the same however the rows are spread.  A row's rank is the number
+    of rows with a smaller order key, which is a running total over one count
+    for each key, plus its rank among its equals: no task meets a group as a
+    whole.  Keys must not be null.
     """
     items = [c for c in flat.columns if c not in keys]
     rest = [c for c in items if c not in order]
-    sizes = flat.groupBy(*keys).agg(F.count(F.lit(1)).alias("_filas"))
-    sort_key = [*keys, *order, *rest]
-    placed = (
-        flat.join(sizes, list(keys))
-        .repartitionByRange(*sort_key)
-        .sortWithinPartitions(*sort_key)
-        .withColumn("_pos", F.monotonically_increasing_id())
+    equals = [*keys, *order]
+    counts = flat.groupBy(*equals).agg(F.count(F.lit(1)).alias("_filas"))
+    up_to = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = counts.withColumn("_antes", F.sum("_filas").over(up_to) - F.col("_filas"))
+    before = before.select(*[F.col(c).alias(f"_{c}") for c in equals], "_antes")
+    same = reduce(
+        lambda a, b: a & b,
+        [F.col(c) == F.col(f"_{c}") for c in keys] + [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in order],
     )
-    whole = F.col("_filas") <= 2**page_bits
-    page = F.when(whole, F.lit(0)).otherwise(F.shiftright("_pos", page_bits))
+    nth = F.row_number().over(W.partitionBy(*equals).orderBy(*(rest or order)))
+    placed = flat.withColumn("_nth", nth).join(before, same)
+    rank = F.col("_antes") + F.col("_nth") - 1
     gathered = (
-        placed.withColumn("pagina", page)
+        placed.withColumn("_pos", rank)
+        .withColumn("pagina", F.floor(F.col("_pos") / page_rows))
         .groupBy(*keys, "pagina")
         .agg(F.array_sort(F.collect_list(F.struct("_pos", *items))).alias("_rows"))
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ronda.functions.time import clock, slot_label
-from ronda.operators.nesting import nest_rows
+from ronda.operators.nesting import PAGE_ROWS, nest_rows
 from ronda.operators.scope import Principals, near, principal_frame, visible_sites
 from ronda.schemas import require_columns
 
@@ -21,8 +21,12 @@ def seen_posts(
 ) -> DataFrame:
     """Open posts at the sites each principal sees, for those that see any."""
     visible = visible_sites(grants, principals)
-    posts = per_site(near(open_posts, visible, ["instalacion_rol"], principals))
-    return visible.join(posts, "instalacion_rol").groupBy("email_login").agg(
+    return posts_seen(near(open_posts, visible, ["instalacion_rol"], principals), visible)
+
+
+def posts_seen(open_posts: DataFrame, visible: DataFrame) -> DataFrame:
+    """The same over the sites of :func:`scope.by_site`."""
+    return visible.join(per_site(open_posts), "instalacion_rol").groupBy("email_login").agg(
         F.sum(F.col("cantidad_ppc") * F.col("accesos")).alias("total_ppc")
     )
 
@@ -80,8 +84,9 @@ def open_posts_nested(
     grants: DataFrame,
     with_working_day: bool = False,
     principals: Principals = None,
+    page_rows: int = PAGE_ROWS,
 ) -> DataFrame:
-    """Slots of a site as one ordered array (see :func:`nesting.nest_rows`).
+    """Slots of a site as an ordered array (see :func:`nesting.nest_rows`).
 
     The arrays are made once per site and then handed to its viewers.
     """
@@ -89,7 +94,7 @@ def open_posts_nested(
     visible = visible_sites(grants, principals)
     near_by = near(open_posts, visible, ["instalacion_rol"], principals)
     slots = _slots(near_by, with_working_day).filter(F.col("instalacion_rol").isNotNull())
-    nested = nest_rows(slots, ["instalacion_rol"], ["her", "hsr", "turno"], "slots")
+    nested = nest_rows(slots, ["instalacion_rol"], ["her", "hsr", "turno"], "slots", page_rows)
     labels = [c for c in slots.columns if c not in ("instalacion_rol", "her", "hsr", "puestos")]
 
     def shown(slot: Column) -> Column:

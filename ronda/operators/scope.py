@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -82,22 +82,32 @@ def with_namesakes(visible: DataFrame) -> DataFrame:
     return visible.withColumn("varios", F.count(F.lit(1)).over(same_name) > 1)
 
 
-def near(facts: DataFrame, visible: DataFrame, keys: list[str], principals: Principals) -> DataFrame:
-    """Facts of the sites that a few named principals see.
+def nearby(visible: DataFrame, principals: Principals) -> Callable[[DataFrame, list[str]], DataFrame]:
+    """Narrows facts, by any key columns of ``visible``, to the sites that a few named principals see.
 
     With all principals, or a frame of them, facts come down to site grain as
-    they are.  For named ones the sites are counted, and if there are not too
-    many, facts of other sites are dropped before anything is shuffled.
+    they are.  For named ones the sites are counted once for the report, and if
+    there are no more than ``BROADCAST_SITES``, facts of other sites are dropped
+    before anything is shuffled.
     """
     if principals is None or isinstance(principals, DataFrame):
-        return facts
-    sites = visible.select(*keys).distinct()
+        return lambda facts, keys: facts
+    sites = visible.select(*[c for c in ("cliente_rol", "instalacion_rol") if c in visible.columns]).distinct()
     if sites.limit(BROADCAST_SITES + 1).count() > BROADCAST_SITES:
-        return facts
-    return facts.join(F.broadcast(sites), keys, "left_semi")
+        return lambda facts, keys: facts
+    return lambda facts, keys: facts.join(F.broadcast(sites.select(*keys).distinct()), keys, "left_semi")
+
+
+def near(facts: DataFrame, visible: DataFrame, keys: list[str], principals: Principals) -> DataFrame:
+    """As :func:`nearby` for a report that narrows one table."""
+    return nearby(visible, principals)(facts, keys)
 
 
 def visible_sites(grants: DataFrame, principals: Principals = None) -> DataFrame:
     """As above for the reports that look at the site alone, not the client."""
-    rows = visible_rows(grants, principals)
-    return rows.groupBy("email_login", "instalacion_rol").agg(F.count(F.lit(1)).alias("accesos"))
+    return by_site(visible_client_sites(grants, principals))
+
+
+def by_site(visible: DataFrame) -> DataFrame:
+    """One row per principal and site of what :func:`visible_client_sites` gives."""
+    return visible.groupBy("email_login", "instalacion_rol").agg(F.sum("accesos").alias("accesos"))

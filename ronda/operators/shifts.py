@@ -14,10 +14,11 @@ from ronda.functions.kpi import punctuality
 from ronda.functions.text import last_part, service_type
 from ronda.functions.time import clock
 from ronda.operators import open_posts as posts
-from ronda.operators.nesting import nest_rows
+from ronda.operators.nesting import PAGE_ROWS, nest_rows
 from ronda.operators.scope import (
     Principals,
     near,
+    nearby,
     visible_client_sites,
     visible_rows,
     visible_sites,
@@ -71,7 +72,9 @@ def shift_detail(
     return shift_lines(seen).drop("cliente_rol").join(granted, "instalacion_rol")
 
 
-def shift_pages(shifts: DataFrame, grants: DataFrame, principals: Principals = None) -> DataFrame:
+def shift_pages(
+    shifts: DataFrame, grants: DataFrame, principals: Principals = None, page_rows: int = PAGE_ROWS
+) -> DataFrame:
     """Shifts of a site as ordered arrays of bounded length.
 
     The arrays are made once per site and then handed to its viewers; a shift
@@ -80,7 +83,7 @@ def shift_pages(shifts: DataFrame, grants: DataFrame, principals: Principals = N
     visible = visible_sites(grants, principals)
     seen = near(shifts, visible, ["instalacion_rol"], principals)
     lines = shift_lines(seen).drop("cliente_rol").filter(F.col("instalacion_rol").isNotNull())
-    pages = nest_rows(lines, ["instalacion_rol"], ["turno", "her"], "lineas")
+    pages = nest_rows(lines, ["instalacion_rol"], ["turno", "her"], "lineas", page_rows)
     repeated = F.flatten(
         F.transform("lineas", lambda line: F.array_repeat(line, F.col("accesos").cast("int")))
     )
@@ -114,8 +117,9 @@ def shift_sites(
     require_columns(shifts, "shifts")
     key = ["instalacion_rol"]
     visible = visible_sites(grants, principals)
-    by_shift = _first_companies(near(shifts, visible, key, principals), key)
-    by_post = posts.per_site(near(open_posts, visible, key, principals))
+    narrow = nearby(visible, principals)
+    by_shift = _first_companies(narrow(shifts, key), key)
+    by_post = posts.per_site(narrow(open_posts, key))
     sites = by_shift.join(by_post, "instalacion_rol", "full_outer")
     return visible.join(sites, "instalacion_rol").select(
         "email_login",

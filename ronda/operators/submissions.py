@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ronda import fixed_values as fv
 from ronda.functions.text import filled, none_if_empty, row_id, strip
-from ronda.operators.updates import keyed_update
+from ronda.operators.updates import keyed_update, one_of_each
 from ronda.schemas import require_columns
 from ronda.settings import DEFAULTS, Settings
 
@@ -56,17 +56,28 @@ def _respondent() -> Column:
     return F.when(must_give | filled(given), name).otherwise(F.col("encuestado_guardado"))
 
 
+def one_request_each(requests: DataFrame) -> DataFrame:
+    """One row for each survey id: a done one if there is any."""
+    done = F.when(F.col("estado") == fv.STATE_DONE, 0).otherwise(1)
+    order = ["_abierta", *sorted(c for c in requests.columns if c != "encuesta_id")]
+    return one_of_each(requests.withColumn("_abierta", done), "encuesta_id", order).drop("_abierta")
+
+
 def decide_submissions(
     submissions: DataFrame, requests: DataFrame, perms: DataFrame, settings: Settings = DEFAULTS
 ) -> DataFrame:
     """Every submission once, with its ``resultado``.
 
-    Write this to a table before using it for more than one output.
+    A submission delivered again, known by its id, is the one that arrived
+    first.  Of requests that repeat an id the one that is done counts, else the
+    first by its other columns.  Write this to a table before using it for more
+    than one output.
     """
     require_columns(submissions, "submissions")
     require_columns(requests, "survey_requests")
     require_columns(perms, "perms")
-    surveys = requests.select(
+    delivered = one_of_each(submissions, "submission_id", ["arrival", "encuesta_id", "email"])
+    surveys = one_request_each(requests).select(
         "encuesta_id",
         "modo",
         "email_destinatario",
@@ -83,7 +94,7 @@ def decide_submissions(
         F.lit(True).alias("_usuario"),
     )
     met = (
-        submissions.withColumnRenamed("encuestado_nombre", "encuestado_dado")
+        delivered.withColumnRenamed("encuestado_nombre", "encuestado_dado")
         .withColumn("_nombre", strip(F.col("encuestado_dado")))
         .join(people, "email", "left")
         .join(surveys, "encuesta_id", "left")

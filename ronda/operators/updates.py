@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def one_of_each(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """One row for each key, the first by ``order``, whatever order rows come in."""
+    first = F.row_number().over(W.partitionBy(key).orderBy(*order))
+    return rows.withColumn("_nth", first).filter(F.col("_nth") == 1).drop("_nth")
+
+
 def keyed_update(
     table: DataFrame,
     changes: DataFrame,
@@ -17,11 +24,13 @@ def keyed_update(
 ) -> DataFrame:
     """``table`` with the columns in ``assign`` set where ``changes`` has the key.
 
-    ``changes`` holds a key at most once.  Expressions speak of ``old`` and
+    Of changes that repeat a key the first by all their columns counts, so no
+    row of the table is ever multiplied.  Expressions speak of ``old`` and
     ``new``; ``only_if`` false or null leaves a row as it was.
     """
     old = table.alias("old")
-    new = changes.withColumn("_nuevo", F.lit(True)).alias("new")
+    single = one_of_each(changes, key, changes.columns)
+    new = single.withColumn("_nuevo", F.lit(True)).alias("new")
     hit = F.coalesce(F.col("new._nuevo"), F.lit(False))
     if only_if is not None:
         hit = hit & F.coalesce(only_if, F.lit(False))

@@ -24,28 +24,28 @@ def run_submissions(
     ``store`` holds the versions of the requests under ``requests``.  The
     decisions are stored first and all outputs are made from them, so they
     agree with each other and a lost executor cannot change them.  The next
-    version of the requests comes last: a batch stands once that is complete,
-    and until then a second run starts from the same version.
+    version of the requests, which carries the batch's name, comes last: the
+    batch stands once that is complete.  Until then a second run decides again
+    and replaces what the first one left, since another batch may have come
+    between; from then on it decides nothing and only writes what is missing.
     """
     settings = settings or Settings.from_spark(spark)
     requests_at = f"{store}/requests"
+    stands = sinks.version_of_batch(spark, requests_at, batch_id) is not None
     version = sinks.latest_version(spark, requests_at)
     requests = sinks.read_version(spark, requests_at, version)
-    sinks.append_batch(
-        submissions.decide_submissions(batch, requests, perms, settings),
-        f"{store}/decisions",
-        batch_id,
-    )
-    decisions = spark.read.parquet(f"{store}/decisions/batch_id={batch_id}")
-    sinks.append_batch(
-        submissions.submission_answers(decisions), f"{store}/answers", batch_id
-    )
-    sinks.append_batch(
-        submissions.submission_rejections(decisions), f"{store}/rejections", batch_id
-    )
-    sinks.publish_version(
-        submissions.answered_requests(requests, decisions), requests_at, version + 1
-    )
+    if not stands:
+        decided = submissions.decide_submissions(batch, requests, perms, settings)
+        sinks.append_batch(decided, f"{store}/decisions", batch_id, replace=True)
+    decisions = spark.read.parquet(sinks.batch_path(f"{store}/decisions", batch_id))
+    for name, rows in (
+        ("answers", submissions.submission_answers(decisions)),
+        ("rejections", submissions.submission_rejections(decisions)),
+    ):
+        sinks.append_batch(rows, f"{store}/{name}", batch_id, replace=not stands)
+    if not stands:
+        closed = submissions.answered_requests(requests, decisions)
+        sinks.publish_version(closed, requests_at, version + 1, batch_id)
 
 
 def run_rollup(shifts: DataFrame, store: str, as_of: dt.datetime) -> int:

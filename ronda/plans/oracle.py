@@ -145,7 +145,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
           CASE WHEN o_orderstatus = 'F' THEN 'cliente' END AS tipo_respuesta,
           o_orderdate AS fecha_creacion, o_orderdate + INTERVAL 60 DAY AS fecha_limite,
           CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL 10 DAY END AS fecha_respuesta
-        FROM orders JOIN supplier ON s_suppkey = o_orderkey % {SITES}""",
+        FROM (SELECT *, o_orderkey % {SITES} AS sitio FROM orders) JOIN supplier ON s_suppkey = sitio""",
     ),
     "questions": (
         (),
@@ -295,6 +295,10 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+# Tables that a text uses more than once.
+MATERIALIZED = {"requests", "decided", "answer_rights", "shown_answers"}
+
+
 def _with(*names: str) -> str:
     """WITH clause for the named tables and all they are built on."""
     ordered: list[str] = []
@@ -308,13 +312,27 @@ def _with(*names: str) -> str:
 
     for name in names:
         add(name)
-    return "WITH " + ",\n".join(f"{n} AS ({TABLES[n][1]})" for n in ordered) + "\n"
+    kept = lambda n: "AS MATERIALIZED" if n in MATERIALIZED else "AS"
+    return "WITH " + ",\n".join(f"{n} {kept(n)} ({TABLES[n][1]})" for n in ordered) + "\n"
 
 
 def _moment(expression: str, name: str) -> str:
     return f"strftime({expression}, '%Y-%m-%d %H:%M:%S') AS {name}"
 
 
+def _payload(audience: str, email: str, token: str) -> str:
+    return f"""m.message_id, {audience} AS audiencia, {email} AS email_login, {token} AS fcm_token,
+  'u' || m.remite AS excluye_uid, NOT m.visible AS oculto_a_clientes,
+  'Nuevo mensaje de Cliente ' || m.remite AS titulo,
+  CASE WHEN length(m.text) > 100 THEN substring(m.text, 1, 100) || '...' ELSE m.text END AS cuerpo,
+  m.conversation_id, 'u' || m.remite AS sender_id,
+  CASE WHEN m.visible THEN 'true' ELSE 'false' END AS visible_para_cliente"""
+
+
+_TOLD = """u.fcm_token <> '' AND u.firebase_uid <> 'u' || m.remite
+  AND coalesce(p.usuario_activo, TRUE) AND (m.visible OR p.rol_id <> 'CLIENTE')"""
+
+
 def _band(pct: str) -> str:
     return f"CASE WHEN {pct} >= 95 THEN 'VERDE' WHEN {pct} >= 80 THEN 'AMARILLO' ELSE 'ROJO' END"
 
@@ -437,9 +455,11 @@ FROM shown_shifts""",
   nombre_asistente, asistio, servicio AS tipo_de_servicio, puntualidad
 FROM shown_shifts JOIN visible v USING (instalacion_rol)""",
     "shift_pages": _with("shown_shifts", "visible")
-    + """SELECT v.email_login, instalacion_rol, 0::BIGINT AS pagina, count(*) AS total_turnos,
+    + """, ranked AS (SELECT *, (row_number() OVER (PARTITION BY instalacion_rol
+    ORDER BY turno NULLS FIRST, her NULLS FIRST) - 1) // 16 AS pagina FROM shown_shifts)
+SELECT v.email_login, instalacion_rol, pagina, count(*) AS total_turnos,
   string_agg(codigo_turno || '@' || hora_entrada_planificada, ',' ORDER BY turno, her) AS inicios
-FROM shown_shifts JOIN visible v USING (instalacion_rol) GROUP BY 1, 2""",
+FROM ranked JOIN visible v USING (instalacion_rol) GROUP BY 1, 2, 3""",
     "shift_sites": _with("shifts", "open_posts", "visible")
     + """, seen AS (SELECT email_login, instalacion_rol, s.empresa,
     row_number() OVER (PARTITION BY email_login, instalacion_rol
@@ -492,11 +512,11 @@ FROM may_see m LEFT JOIN (SELECT email_login, instalacion_rol {_POSTS}) x
   count(DISTINCT (turno, her, hsr)) AS total_horarios {_POSTS} GROUP BY 1, 2""",
     "open_posts_nested": _with("open_posts", "visible")
     + f""", slots AS (SELECT email_login, instalacion_rol, turno, her, hsr, count(*) AS n
-  {_POSTS} GROUP BY ALL)
-SELECT email_login, instalacion_rol, 0::BIGINT AS pagina,
-  row_number() OVER (PARTITION BY email_login, instalacion_rol ORDER BY her, hsr, turno)::INTEGER AS puesto,
-  turno, strftime(her, '%H:%M') || ' - ' || strftime(hsr, '%H:%M') AS horario,
-  n AS cantidad_ppc FROM slots""",
+  {_POSTS} GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY email_login, instalacion_rol
+  ORDER BY her, hsr, turno) - 1 AS n0 FROM slots)
+SELECT email_login, instalacion_rol, n0 // 4 AS pagina, (n0 % 4 + 1)::INTEGER AS puesto, turno, strftime(her, '%H:%M') || ' - ' || strftime(hsr, '%H:%M') AS horario,
+  n AS cantidad_ppc FROM ranked""",
     "survey_inbox": _with("seen_surveys")
     + f"""SELECT email_login, cliente_rol, instalacion_rol, encuesta_id, periodo, modo, estado,
   email_destinatario, {_moment("fecha_creacion", "fecha_creacion")},
@@ -625,15 +645,17 @@ JOIN contacts c ON c.contacto_id = u.contacto_id WHERE u.puede_contactar AND c.a
   event_type = 'view' AS leido
 FROM events QUALIFY puesto <= 10""",
     "notification_payloads": _with("chats", "users", "perms")
-    + """SELECT m.message_id, u.email_login, u.fcm_token,
-  'Nuevo mensaje de Cliente ' || m.remite AS titulo,
-  CASE WHEN length(m.text) > 100 THEN substring(m.text, 1, 100) || '...' ELSE m.text END AS cuerpo,
-  m.conversation_id, 'u' || m.remite AS sender_id,
-  CASE WHEN m.visible THEN 'true' ELSE 'false' END AS visible_para_cliente
-FROM chats m JOIN users u ON m.para IS NULL OR list_contains(m.para, u.firebase_uid)
+    + f"""SELECT {_payload("'nombrados'", "u.email_login", "u.fcm_token")}
+FROM chats m JOIN users u ON list_contains(m.para, u.firebase_uid)
+LEFT JOIN perms p ON p.email_login = u.email_login
+WHERE {_TOLD}
+UNION ALL SELECT {_payload("'todos'", "NULL", "NULL")} FROM chats m WHERE m.para IS NULL""",
+    "notification_recipients": _with("chats", "users", "perms")
+    + f"""SELECT {_payload("'todos'", "u.email_login", "u.fcm_token")}
+FROM (SELECT * FROM chats WHERE para IS NULL
+      AND message_id = (SELECT min(message_id) FROM chats WHERE para IS NULL)) m, users u
 LEFT JOIN perms p ON p.email_login = u.email_login
-WHERE u.fcm_token <> '' AND u.firebase_uid <> 'u' || m.remite
-  AND coalesce(p.usuario_activo, TRUE) AND (m.visible OR p.rol_id <> 'CLIENTE')""",
+WHERE u.firebase_uid IS NOT NULL AND {_TOLD}""",
     "user_updates": _with("users")
     + f""", news AS (SELECT user_id::VARCHAR AS email_login,
     arg_max('e' || event_id, ts) FILTER (event_type IN ('click', 'purchase')) AS token,

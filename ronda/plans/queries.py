@@ -1,7 +1,9 @@
 """The registered queries: operators over the stand-in tables.
 
-Moments are given as text and amounts rounded, so that results compare; every
-query runs over the whole of its tables and for all principals.
+Moments are given as text and amounts rounded, so that results compare; 
+queries run over the whole of their tables and for all principals, except where
+what is asked for is one principal, one site or one message: those names are
+taken from the tables.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from ronda.sources import standin
 from ronda.sources.standin import StandIn
 
 Query = Callable[[SparkSession, str], DataFrame]
+# Small, so that sites have several pages.
+SHIFT_PAGE_ROWS, SLOT_PAGE_ROWS = 16, 4
 QUERIES: dict[str, Callable[[StandIn], DataFrame]] = {}
 
 
@@ -142,7 +146,7 @@ def shift_detail(t: StandIn) -> DataFrame:
 @_register
 def shift_pages(t: StandIn) -> DataFrame:
     """Arrays of shifts, shown by their length and the starts they list."""
-    pages = shifts.shift_pages(t.shifts(), t.grants())
+    pages = shifts.shift_pages(t.shifts(), t.grants(), page_rows=SHIFT_PAGE_ROWS)
     starts = F.transform(
         "turnos", lambda s: F.concat(s["codigo_turno"], F.lit("@"), s["hora_entrada_planificada"])
     )
@@ -221,7 +225,7 @@ def open_posts_by_site(t: StandIn) -> DataFrame:
 @_register
 def open_posts_nested(t: StandIn) -> DataFrame:
     """Nested slots, taken apart again with their place in the array."""
-    nested = open_posts.open_posts_nested(t.open_posts(), t.grants())
+    nested = open_posts.open_posts_nested(t.open_posts(), t.grants(), page_rows=SLOT_PAGE_ROWS)
     placed = nested.select(
         "email_login", "instalacion_rol", "pagina", F.posexplode("ppc_por_turno").alias("n", "s")
     )
@@ -376,11 +380,26 @@ def inbox(t: StandIn) -> DataFrame:
 
 @_register
 def notification_payloads(t: StandIn) -> DataFrame:
-    payloads = messaging.notification_payloads(t.chat_messages(), t.users(), t.perms())
+    return _payloads(messaging.notification_payloads(t.chat_messages(), t.users(), t.perms()))
+
+
+@_register
+def notification_recipients(t: StandIn) -> DataFrame:
+    """Everybody who is told of the first message that names nobody."""
+    chats = t.chat_messages()
+    first = chats.filter(F.coalesce(F.size("participant_user_ids") < 1, F.lit(True)))
+    message = first.agg(F.min("message_id")).first()[0] or ""
+    return _payloads(messaging.notification_recipients(message, chats, t.users(), t.perms()))
+
+
+def _payloads(payloads: DataFrame) -> DataFrame:
     return payloads.select(
         "message_id",
+        "audiencia",
         "email_login",
         "fcm_token",
+        "excluye_uid",
+        "oculto_a_clientes",
         "titulo",
         "cuerpo",
         F.col("datos.conversationId").alias("conversation_id"),

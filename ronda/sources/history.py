@@ -11,19 +11,20 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ronda.functions.time import month_key, month_keys, within_days
+from ronda.functions.time import MONTH, month_key, month_keys, within_days
 from ronda.schemas import require_columns
 
-MONTH = "ano_mes"
 
-
-def write_history(history: DataFrame, path: str, mode: str = "append") -> None:
-    """Writes by month.  Rows of a month are brought together, and adaptive
+def write_history(history: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Writes whole months; those written before are replaced and others stay,
+    so a write can be repeated.  Mode "append" adds to months instead.  Rows of a month are brought together, and adaptive
     execution divides months that are too much for one task, so there are
     neither many small files nor a heavy month in a single one."""
     require_columns(history, "history")
     keyed = history.withColumn(MONTH, month_key(F.col("dia")))
-    keyed.hint("rebalance", F.col(MONTH)).write.mode(mode).partitionBy(MONTH).parquet(path)
+    keyed.hint("rebalance", F.col(MONTH)).write.mode(mode).option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy(MONTH).parquet(path)
 
 
 def read_history(spark: SparkSession, path: str, as_of: dt.date, days: int) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Appends that can be repeated, and tables replaced version by version."""
+"""Appends that can be repeated, and tables replaced version by version.
+
+A version may carry the name of the batch it was made from.  The name is part
+of its directory, so a version and where it comes from are complete together.
+"""
 
 from __future__ import annotations
 
@@ -7,57 +11,79 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 _BATCH = re.compile(r"[A-Za-z0-9_.-]+")
+_VERSION = re.compile(r"v(\d{8})(?:_(.+))?")
 
 
 def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def append_batch(df: DataFrame, path: str, batch_id: str) -> None:
-    """Adds a batch to ``path``.  The same batch again replaces its own rows,
-    so a job that failed half-way is simply run again."""
+def batch_path(path: str, batch_id: str) -> str:
     if not _BATCH.fullmatch(batch_id):
         raise ValueError(f"batch id not usable in a path: {batch_id!r}")
-    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+    return f"{path.rstrip('/')}/batch_id={batch_id}"
+
+
+def append_batch(df: DataFrame, path: str, batch_id: str, replace: bool = False) -> None:
+    """Adds a batch to ``path``.
+
+    What a failed attempt left of the batch is replaced.  A complete batch is
+    kept as it is, unless ``replace`` asks for another one in its place.
+    """
+    target = batch_path(path, batch_id)
+    if replace or not _complete(df.sparkSession, target):
+        df.write.mode("overwrite").parquet(target)
+
+
+def _file_system(spark: SparkSession, path: str):
+    """(file system, path) on the Java side."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
-def _versions(spark: SparkSession, base: str) -> list[int]:
-    """Complete versions under ``base``, on whatever file system it lies."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(base)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def _complete(spark: SparkSession, path: str) -> bool:
+    fs, done = _file_system(spark, f"{path}/_SUCCESS")
+    return fs.exists(done)
+
+
+def _versions(spark: SparkSession, base: str) -> dict[int, str | None]:
+    """Complete versions under ``base``, ascending, and the batch of each."""
+    fs, root = _file_system(spark, base)
     if not fs.exists(root):
-        return []
-    found = []
+        return {}
+    found = {}
     for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        done = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if re.fullmatch(r"v\d{8}", name) and fs.exists(done):
-            found.append(int(name[1:]))
-    return sorted(found)
+        name = _VERSION.fullmatch(status.getPath().getName())
+        if name and _complete(spark, status.getPath().toString()):
+            found[int(name[1])] = name[2]
+    return dict(sorted(found.items()))
+
 
+def version_path(base: str, version: int, batch_id: str | None = None) -> str:
+    return f"{base.rstrip('/')}/v{version:08d}" + (f"_{batch_id}" if batch_id else "")
 
-def version_path(base: str, version: int) -> str:
-    return f"{base.rstrip('/')}/v{version:08d}"
+
+def version_of_batch(spark: SparkSession, base: str, batch_id: str) -> int | None:
+    """The complete version made from a batch, if there is one."""
+    return next((v for v, batch in _versions(spark, base).items() if batch == batch_id), None)
 
 
 def read_version(spark: SparkSession, base: str, version: int | None = None) -> DataFrame:
     """The given version, or the newest complete one."""
+    known = _versions(spark, base)
     if version is None:
-        known = _versions(spark, base)
-        if not known:
-            raise FileNotFoundError(f"no complete version under {base}")
-        version = known[-1]
-    return spark.read.parquet(version_path(base, version))
+        version = max(known, default=0)
+    if version not in known:
+        raise FileNotFoundError(f"no complete version {version or ''} under {base}")
+    return spark.read.parquet(version_path(base, version, known[version]))
 
 
 def latest_version(spark: SparkSession, base: str) -> int:
-    known = _versions(spark, base)
-    return known[-1] if known else 0
+    return max(_versions(spark, base), default=0)
 
 
-def publish_version(df: DataFrame, base: str, version: int) -> int:
-    """Writes ``df`` as ``version``; it becomes the newest when complete.
+def publish_version(df: DataFrame, base: str, version: int, batch_id: str | None = None) -> int:
+    """Writes ``df`` as ``version``, made from a batch; it becomes the newest when complete.
 
     ``df`` may be computed from an earlier version, which stays untouched.  A
     complete version is not written again; what an unfinished attempt left of
@@ -66,5 +92,7 @@ def publish_version(df: DataFrame, base: str, version: int) -> int:
     spark = df.sparkSession
     if version in _versions(spark, base):
         raise ValueError(f"version {version} exists under {base}")
-    df.write.mode("overwrite").parquet(version_path(base, version))
+    if batch_id is not None:
+        batch_path(base, batch_id)
+    df.write.mode("overwrite").parquet(version_path(base, version, batch_id))
     return version

@@ -4,6 +4,8 @@ import pytest
 from oracle_check import compare, oracle_connection
 
 import __spark_entry__ as contract
+from ronda.plans.oracle import ORACLE
+from ronda.plans.queries import all_queries
 
 
 @pytest.fixture(scope="module")
@@ -12,12 +14,17 @@ def duck(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(all_queries()) == set(ORACLE)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+def test_contract_holds_all():
+    assert set(all_queries()) <= set(contract.queries())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_same_result(spark, duck, sf_dir, name):
-    query, sql = contract.queries()[name], contract.oracle_sql()[name]
+    query, sql = all_queries()[name], ORACLE[name]
     assert compare(spark, duck, name, query, sql, sf_dir) is None
 
 

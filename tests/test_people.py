@@ -154,17 +154,21 @@ def test_notification_recipients(make):
         chat("default", visible=None, to=["ucli", "ucli", "us", "unobody"]),
         chat("named", visible=False, to=["ucli", "uboss"]),
     )
-    got = messaging.notification_payloads(messages, users, perms, buckets=3)
-    found = {}
-    for key, who in rows(got, "message_id", "email_login"):
-        found.setdefault(key, []).append(who)
+    got = messaging.notification_payloads(messages, users, perms)
+    assert rows(got.filter("audiencia = 'nombrados'"), "message_id", "email_login") == [
+        ("default", "cli"), ("named", "boss"),
+    ]
+    to_all = rows(got.filter("audiencia = 'todos'"), "message_id", "email_login", "excluye_uid", "oculto_a_clientes")
+    assert to_all == [("all", None, "us", False), ("empty", None, "us", False), ("hidden", None, "us", True)]
     everyone = ["boss", "cli", "emptyuid", "stranger"]
-    assert found == {
-        "all": everyone, "empty": everyone, "hidden": ["boss", "emptyuid", "stranger"],
-        "default": ["cli"], "named": ["boss"],
-    }
+    for key, who in {"all": everyone, "empty": everyone, "hidden": ["boss", "emptyuid", "stranger"], "named": [], "none": []}.items():
+        told = messaging.notification_recipients(key, messages, users, perms)
+        assert told.columns == got.columns
+        assert rows(told, "email_login") == [(w,) for w in who]
     flags = {r.message_id: r.datos.visibleParaCliente for r in got.collect()}
     assert flags["hidden"] == "false" and flags["default"] == "true"
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
     named_only = messaging.notification_payloads(messages, users, perms, empty_means_all=False)
     assert {r.message_id for r in named_only.collect()} == {"default", "named"}
 

@@ -4,10 +4,13 @@ import re
 
 import pytest
 
-import __spark_entry__ as contract
-from ronda.operators import fulfilment, messaging, surveys
+from ronda.operators import coverage, fulfilment, messaging, surveys
+from ronda.plans.queries import all_queries
+from ronda.plans.reports import Reports
 from ronda.sources import standin
+from ronda.sources.history import write_history
 from ronda.sources.standin import StandIn
+from ronda.sources.tables import Tables
 
 FORBIDDEN = (
     "CartesianProduct",
@@ -23,9 +26,9 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_no_python_and_no_cross_join(spark, sf_dir, name):
-    text = plan(contract.queries()[name](spark, sf_dir))
+    text = plan(all_queries()[name](spark, sf_dir))
     assert not [node for node in FORBIDDEN if node in text]
 
 
@@ -89,3 +92,26 @@ def test_named_principal_narrows_the_facts(spark, stored):
         fulfilment.weekly_fulfilment(history, grants, standin.AS_OF, 90, principals=who)
     )
     assert "LeftSemi" in text and f"EqualTo(email_login,{who})" in text
+
+
+def test_named_principal_narrows_the_lookups(spark, stored):
+    """Rollup, devices and open posts of other sites are dropped before any of them is shuffled."""
+    grants = stored("grants")
+    who = grants.filter("puede_ver").first().email_login
+    text = plan(
+        coverage.coverage_by_site(
+            stored("rollup"), grants, stored("devices"), stored("open_posts"), principals=who
+        )
+    )
+    assert text.count("LeftSemi") == 3
+
+
+def test_reports_read_the_months_they_need(spark, sf_dir, tmp_path):
+    made = StandIn(spark, sf_dir)
+    path = str(tmp_path / "history")
+    write_history(made.history(), path)
+    tables = {"history": path, "grants": made.grants(), "perms": made.perms()}
+    reports = Reports(Tables(spark, tables))
+    for report in (reports.weekly_fulfilment, reports.site_week_fulfilment):
+        text = plan(report(as_of=standin.AS_OF))
+        assert re.search(r"PartitionFilters: \[isnotnull\(ano_mes#\d+\), \(ano_mes#\d+ >= \d+\)", text)

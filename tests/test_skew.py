@@ -78,27 +78,43 @@ def test_site_facts_leave_the_scan_combined(spark):
     assert text.index("Exchange") < text.index("partial_count")
 
 
-@pytest.mark.parametrize("page_bits", [3, 12])
-def test_pages_of_a_hot_site(spark, page_bits):
+@pytest.mark.parametrize("page_rows", [8, 4096])
+def test_pages_of_a_hot_site(spark, page_rows):
     flat = spark.range(3000, numPartitions=8).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 100)).alias("sitio"),
         (F.col("id") % 7).alias("turno"),
         F.col("id").alias("fila"),
     )
-    nested = nesting.nest_rows(flat, ["sitio"], ["turno"], "filas", page_bits).cache()
+    nested = nesting.nest_rows(flat, ["sitio"], ["turno"], "filas", page_rows).cache()
     longest = nested.select(F.max(F.size("filas"))).first()[0]
-    assert longest <= 2**page_bits
+    assert longest <= page_rows
     whole = nested.select("sitio", F.posexplode("filas").alias("n", "f")).select("sitio", "f.turno", "f.fila")
     assert rows(whole) == rows(flat)
     in_order = {}
     for page in nested.orderBy("sitio", "pagina").collect():
         in_order.setdefault(page.sitio, []).extend((f.turno, f.fila) for f in page.filas)
     assert all(found == sorted(found) for found in in_order.values())
-    if page_bits == 12:
+    if page_rows == 4096:
         assert nested.count() == len(in_order)
     nested.unpersist()
 
 
+def test_pages_do_not_depend_on_partitions(spark):
+    found = []
+    for partitions in (4, 9):
+        flat = spark.range(2000, numPartitions=partitions).select(
+            F.lit("s").alias("sitio"),
+            F.when(F.col("id") % 5 > 0, F.col("id") % 5).alias("turno"),
+            F.col("id").alias("fila"),
+        )
+        nested = nesting.nest_rows(flat.repartition(partitions, "fila"), ["sitio"], ["turno"], "filas", 64)
+        assert "rangepartitioning" not in nested._jdf.queryExecution().executedPlan().toString()
+        found.append({r.pagina: [(f.turno, f.fila) for f in r.filas] for r in nested.collect()})
+    assert found[0] == found[1]
+    assert sorted(found[0]) == list(range(-(-2000 // 64)))
+    assert all(len(found[0][k]) == 64 for k in range(2000 // 64))
+
+
 def test_repeated_grants_repeat_nested_shifts(spark, make):
     start = dt.datetime(2024, 1, 1, 8)
     data = make("shifts", *[dict(instalacion_rol="s", cliente_rol="c", turno="A", her=start, rutrol=str(i)) for i in range(3)])

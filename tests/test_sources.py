@@ -5,6 +5,7 @@ import pytest
 from conftest import person, rows
 from pyspark.sql import functions as F
 
+from ronda.operators import updates
 from ronda.plans import jobs
 from ronda.schemas import SCHEMAS, require_columns
 from ronda.settings import Settings
@@ -63,6 +64,10 @@ def test_batch_can_be_repeated(spark, tmp_path):
         sinks.append_batch(spark.range(3), path, "b1")
     sinks.append_batch(spark.range(2), path, "b2")
     assert spark.read.parquet(path).count() == 5
+    sinks.append_batch(spark.range(9), path, "b1")  # complete: kept
+    assert spark.read.parquet(path).count() == 5
+    sinks.append_batch(spark.range(9), path, "b1", replace=True)
+    assert spark.read.parquet(path).count() == 11
     sinks.append_rows(spark.range(1), str(tmp_path / "plain"))
     sinks.append_rows(spark.range(1), str(tmp_path / "plain"))
     assert spark.read.parquet(str(tmp_path / "plain")).count() == 2
@@ -132,6 +137,46 @@ def test_submission_job_again_after_failure(spark, make, tmp_path):
     assert sinks.read_version(spark, f"{store}/requests").first().estado == "completada"
 
 
+def _store(spark, store):
+    return [
+        rows(spark.read.parquet(f"{store}/{name}"))
+        for name in ("decisions", "answers", "rejections")
+    ] + [rows(sinks.read_version(spark, f"{store}/requests"))]
+
+
+def test_finished_batch_again(spark, make, tmp_path):
+    """A batch run twice after success, with repeated submissions and requests, changes nothing."""
+    store = str(tmp_path / "store")
+    survey = dict(
+        encuesta_id="1", modo="individual", estado="pendiente", email_destinatario="a",
+        fecha_limite=NOW + dt.timedelta(days=1),
+    )
+    sinks.publish_version(make("survey_requests", survey, survey), f"{store}/requests", 1)
+    perms = make("perms", person("a"))
+    sent = dict(submission_id="x", encuesta_id="1", email="a", arrival=NOW, respuestas=[("q", "1", None)])
+    batch = make("submissions", sent, sent)
+    jobs.run_submissions(spark, batch, "b", perms, store)
+    first = _store(spark, store)
+    assert [len(x) for x in first] == [1, 1, 0, 2]
+    for _ in range(2):
+        jobs.run_submissions(spark, batch, "b", perms, store)
+    assert _store(spark, store) == first
+    assert sinks.latest_version(spark, f"{store}/requests") == 2
+    late = make("submissions", dict(sent, submission_id="y"))
+    jobs.run_submissions(spark, late, "c", perms, store)
+    jobs.run_submissions(spark, batch, "b", perms, store)
+    assert spark.read.parquet(f"{store}/answers").count() == 1
+    assert rows(spark.read.parquet(f"{store}/rejections"), "submission_id") == [("y",)]
+    assert sinks.latest_version(spark, f"{store}/requests") == 3
+
+
+def test_update_with_a_repeated_key(make):
+    users = make("users", dict(email_login="a"), dict(email_login="b"))
+    changes = users.select("email_login", F.lit("t").alias("fcm_token"))
+    changed = updates.keyed_update(users, changes.union(changes), "email_login", {"fcm_token": F.col("new.fcm_token")})
+    assert rows(changed, "email_login", "fcm_token") == [("a", "t"), ("b", "t")]
+
+
 def test_other_jobs(spark, make, tmp_path):
     users = str(tmp_path / "users")
     sinks.publish_version(make("users", dict(email_login="a")), users, 1)
