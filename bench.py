@@ -1,4 +1,4 @@
-"""Times the headline queries and prints one JSON line.
+"""Times every registered query of the reference's kind and prints one JSON line.
 
 Each query is computed in full into a sink that drops the rows; the time is
 the median of the runs after a warm-up.
@@ -17,35 +17,6 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from ronda.plans.queries import all_queries  # noqa: E402
 from ronda.session import local_session  # noqa: E402
 
-HEADLINE = (
-    "coverage_overall",
-    "coverage_by_site",
-    "coverage_by_site_fast",
-    "coverage_by_site_service",
-    "coverage_rollup",
-    "weekly_fulfilment",
-    "site_week_fulfilment",
-    "open_posts_total",
-    "open_posts_by_slot",
-    "open_posts_nested",
-    "shift_lines",
-    "shift_sites",
-    "survey_inbox",
-    "survey_inbox_by_site",
-    "survey_form_headers",
-    "survey_answers_shown",
-    "submission_decisions",
-    "submission_requests",
-    "site_contacts",
-    "co_assigned_contacts",
-    "site_participants",
-    "participant_funnel",
-    "fan_out_messages",
-    "inbox",
-    "notification_payloads",
-    "user_updates",
-)
-
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -54,7 +25,7 @@ def main() -> None:
     spark = local_session("bench", cores, os.environ.get("BENCH_MEMORY", "16g"))
     known = all_queries()
     times: dict[str, float] = {}
-    for name in sys.argv[1:] or HEADLINE:
+    for name in sys.argv[1:] or known:
         took = []
         for _ in range(runs + 1):
             began = time.perf_counter()
@@ -66,7 +37,7 @@ def main() -> None:
     print(
         json.dumps(
             {
-                "metric": "total seconds over headline queries",
+                "metric": "total seconds over all registered queries",
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,

@@ -8,6 +8,8 @@ only if that is right.
 from __future__ import annotations
 
 SITES = "(SELECT count(*) FROM supplier)"
+CLIENT = """CASE WHEN s_suppkey % 5 = 0 AND l_linenumber % 2 = 0 THEN 'X' || s_nationkey
+            ELSE s_nationkey::VARCHAR END"""
 
 # Stand-in tables as common table expressions, and what each is built on.
 TABLES: dict[str, tuple[tuple[str, ...], str]] = {
@@ -16,12 +18,20 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT s_suppkey, s_nationkey, n_name, r_name FROM supplier
         JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey""",
     ),
-    "grants": (
+    "urgent": (
         (),
-        """SELECT c_custkey::VARCHAR AS email_login, s_nationkey::VARCHAR AS cliente_rol,
-          s_suppkey::VARCHAR AS instalacion_rol,
-          CASE WHEN s_acctbal > 1000 THEN TRUE WHEN s_acctbal > 0 THEN NULL ELSE FALSE END AS puede_ver
-        FROM customer JOIN supplier ON c_nationkey = s_nationkey""",
+        """SELECT o_orderkey, o_custkey, s_suppkey, o_custkey::VARCHAR AS email_login,
+          s_nationkey::VARCHAR AS cliente, s_suppkey::VARCHAR AS instalacion_rol,
+          CASE WHEN s_acctbal > 1000 THEN TRUE WHEN s_acctbal > 0 THEN NULL ELSE FALSE END AS ve
+        FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey
+        WHERE o_orderpriority = '1-URGENT' AND l_linenumber = 1""",
+    ),
+    "grants": (
+        ("urgent",),
+        """SELECT email_login, cliente AS cliente_rol, instalacion_rol, ve AS puede_ver FROM urgent
+        UNION ALL SELECT email_login, 'X' || cliente, instalacion_rol, ve FROM urgent
+          WHERE s_suppkey % 5 = 0 AND o_custkey % 2 = 0
+        UNION ALL SELECT email_login, cliente, instalacion_rol, TRUE FROM urgent WHERE o_orderkey % 7 = 0""",
     ),
     "visible": (("grants",), "SELECT * FROM grants WHERE puede_ver"),
     "perms": (
@@ -59,8 +69,8 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "rollup": (
         ("sites",),
-        """SELECT s_suppkey::VARCHAR AS instalacion_rol, n_name AS zona,
-          s_nationkey::VARCHAR AS cliente_rol, r_name AS empresa,
+        f"""SELECT s_suppkey::VARCHAR AS instalacion_rol, n_name AS zona,
+          {CLIENT} AS cliente_rol, r_name AS empresa,
           nullif(l_returnflag, 'A') AS tipo_de_servicio,
           count(*) AS requeridos,
           count(*) FILTER (l_discount < 0.075 + 0.01 * (l_suppkey % 4)) AS presentes,
@@ -71,7 +81,11 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     "devices": (
         (),
         """SELECT s_suppkey::VARCHAR AS nombre,
-          CASE WHEN s_suppkey % 6 = 0 THEN '' ELSE 'D' || s_suppkey END AS numero,
+          unnest(list_filter([
+            CASE WHEN s_suppkey % 6 = 0 THEN '' ELSE 'D' || s_suppkey END,
+            CASE WHEN s_suppkey % 4 = 0 THEN 'E' || s_suppkey END,
+            CASE WHEN s_suppkey % 7 = 0 THEN CASE WHEN s_suppkey % 6 = 0 THEN '' ELSE 'D' || s_suppkey END END
+          ], lambda n: n IS NOT NULL)) AS numero,
           (SELECT max(l_shipdate) FROM lineitem WHERE l_suppkey = s_suppkey) AS ult_conexion
         FROM supplier WHERE s_acctbal > 3000""",
     ),
@@ -89,14 +103,14 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "history": (
         ("sites",),
-        """SELECT 'S' || extract(week FROM l_shipdate) AS semana,
+        f"""SELECT 'S' || extract(week FROM l_shipdate) AS semana,
           extract(week FROM l_shipdate)::INTEGER AS isoweek,
           extract(isoyear FROM l_shipdate)::INTEGER AS ano,
-          s_suppkey::VARCHAR AS instalacion_rol, s_nationkey::VARCHAR AS cliente_rol,
+          s_suppkey::VARCHAR AS instalacion_rol, {CLIENT} AS cliente_rol,
           n_name AS zona, r_name AS empresa, l_partkey::VARCHAR AS rutrol,
           CASE l_returnflag WHEN 'N' THEN '' WHEN 'R' THEN 'TE' END AS tvf,
           l_shipdate::DATE AS dia, l_quantity AS planificadas,
-          l_quantity * (1 - l_discount) AS entregadas,
+          l_quantity - round(l_discount * 100) % 3 AS entregadas,
           (l_discount < 0.075 + 0.01 * (l_suppkey % 4))::INTEGER AS asistencia
         FROM lineitem JOIN sites ON s_suppkey = l_suppkey
         WHERE l_shipdate::DATE BETWEEN DATE '1998-06-30' - 90 AND DATE '1998-06-30'""",
@@ -424,14 +438,15 @@ FROM may_see LEFT JOIN live USING (email_login) LEFT JOIN posts USING (email_log
   coalesce(p.ppc, 0) AS ppc, d.nombre IS NOT NULL AS tiene_faceid, d.numero AS faceid_numero,
   {_moment("d.ult_conexion", "faceid_ultima_conexion")}
 {_VISIBLE_ROLLUP} {_LOOKUPS}""",
-    "coverage_by_site_gated": _with("rollup", "visible", "may_see", "posts_per_site")
+    "coverage_by_site_gated": _with("rollup", "visible", "may_see", "posts_per_site", "devices")
     + f"""SELECT v.email_login, instalacion_rol,
   (sum(requeridos) - sum(presentes))::BIGINT AS guardias_ausentes,
   coalesce(round(sum(presentes) / nullif(sum(requeridos), 0) * 100, 2), 0.0)
     AS porcentaje_cobertura,
   coalesce(max(p.ppc), 0) AS ppc
 {_VISIBLE_ROLLUP} JOIN may_see m ON m.email_login = v.email_login
-LEFT JOIN posts_per_site p USING (instalacion_rol) GROUP BY 1, 2""",
+LEFT JOIN posts_per_site p USING (instalacion_rol) LEFT JOIN devices d ON d.nombre = instalacion_rol
+GROUP BY v.email_login, instalacion_rol, cliente_rol, c.zona, c.empresa, d.numero, d.ult_conexion""",
     "coverage_rollup": _with("shifts")
     + f"""SELECT instalacion_rol, zona, cliente_rol, empresa, tipo_de_servicio,
   count(*) AS total_guardias_requeridos, count(*) FILTER (asistencia = 1) AS guardias_presentes,
@@ -670,3 +685,26 @@ FROM users u LEFT JOIN news n ON n.email_login = u.email_login""",
     "device_tokens": _with("users")
     + "SELECT email_login, fcm_token, firebase_uid FROM users WHERE fcm_token <> ''",
 }
+
+_ONE = "(SELECT min(email_login) FROM visible)"
+_SITE = "(SELECT min(instalacion_rol) FROM visible)"
+ORACLE |= {
+    "coverage_by_site_of_one": _with("rollup", "visible", "posts_per_site", "devices")
+    + f"""SELECT v.email_login, instalacion_rol, cliente_rol, sum(presentes)::BIGINT AS guardias_presentes,
+  coalesce(max(p.ppc), 0) AS ppc, max(d.nombre) IS NOT NULL AS tiene_faceid
+{_VISIBLE_ROLLUP} LEFT JOIN posts_per_site p USING (instalacion_rol) LEFT JOIN devices d ON d.nombre = instalacion_rol
+WHERE v.email_login = {_ONE}
+GROUP BY v.email_login, instalacion_rol, cliente_rol, c.zona, c.empresa, d.numero, d.ult_conexion""",
+    "weekly_fulfilment_of_one": _with("history", "visible")
+    + f"""SELECT email_login, ano, isoweek, count(*) AS total_registros,
+  count(DISTINCT instalacion_rol) AS num_instalaciones
+FROM history JOIN visible USING (cliente_rol, instalacion_rol)
+WHERE email_login = {_ONE} GROUP BY email_login, ano, isoweek""",
+    "open_posts_of_one_site": _with("open_posts", "visible")
+    + f"""SELECT email_login, instalacion_rol, turno,
+  strftime(her, '%H:%M') || ' - ' || strftime(hsr, '%H:%M') AS horario, count(*) AS cantidad_ppc
+{_POSTS} WHERE instalacion_rol = {_SITE} GROUP BY email_login, instalacion_rol, turno, her, hsr""",
+    "participants_of_two_sites": f"""SELECT * FROM ({_with("participants")}SELECT * FROM participants)
+WHERE instalacion_rol IN (SELECT DISTINCT instalacion_rol FROM ({_with("site_contacts")}SELECT * FROM site_contacts)
+  ORDER BY 1 LIMIT 2)""",
+}

@@ -418,6 +418,47 @@ def device_tokens(t: StandIn) -> DataFrame:
     return messaging.device_tokens(t.users())
 
 
+def _first(rows: DataFrame, column: str) -> str:
+    """A name that exists: the smallest."""
+    return rows.agg(F.min(column)).first()[0] or ""
+
+
+def _first_principal(t: StandIn) -> str:
+    return _first(t.grants().filter("puede_ver"), "email_login")
+
+
+def _first_site(t: StandIn) -> str:
+    return _first(t.grants().filter("puede_ver"), "instalacion_rol")
+
+
+@_register
+def coverage_by_site_of_one(t: StandIn) -> DataFrame:
+    """What one principal is shown."""
+    return coverage.coverage_by_site_fast(
+        t.rollup(), t.grants(), t.devices(), t.open_posts(), principals=_first_principal(t)
+    ).select("email_login", "instalacion_rol", "cliente_rol", "guardias_presentes", "ppc", "tiene_faceid")
+
+
+@_register
+def weekly_fulfilment_of_one(t: StandIn) -> DataFrame:
+    weeks = fulfilment.weekly_fulfilment(
+        t.history(), t.grants(), standin.AS_OF, standin.DAYS, principals=_first_principal(t)
+    )
+    return weeks.select("email_login", "ano", "isoweek", "total_registros", "num_instalaciones")
+
+
+@_register
+def open_posts_of_one_site(t: StandIn) -> DataFrame:
+    slots = open_posts.open_posts_by_slot(t.open_posts(), t.grants(), site=_first_site(t))
+    return slots.select("email_login", "instalacion_rol", "turno", "horario", "cantidad_ppc")
+
+
+@_register
+def participants_of_two_sites(t: StandIn) -> DataFrame:
+    sites = [r[0] for r in t.site_contacts().select("instalacion_rol").distinct().orderBy("instalacion_rol").limit(2).collect()]
+    return contacts.site_participants(t.site_contacts(), t.contacts(), t.grants(), t.perms(), sites)
+
+
 def all_queries() -> dict[str, Query]:
     def bind(build: Callable[[StandIn], DataFrame]) -> Query:
         return lambda spark, sf_dir: build(StandIn(prepare(spark), sf_dir))

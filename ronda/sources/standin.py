@@ -47,18 +47,38 @@ class StandIn:
         return self.base("supplier").count()
 
     def grants(self) -> DataFrame:
+        """A grant for the first line of every urgent order, so grants grow with
+        the orders.  Some sites are granted under their second client too, and
+        some grants are repeated with another permission."""
         balance = F.col("s_acctbal")
         can_see = F.when(balance > 1000, True).when(balance > 0, F.lit(None)).otherwise(False)
-        pairs = self.base("customer").join(
-            self.base("supplier"), F.col("c_nationkey") == F.col("s_nationkey")
+        urgent = self.base("orders").filter(F.col("o_orderpriority") == "1-URGENT")
+        first = self.base("lineitem").filter(F.col("l_linenumber") == 1)
+        lines = urgent.join(first, F.col("o_orderkey") == F.col("l_orderkey")).join(
+            self.base("supplier"), F.col("l_suppkey") == F.col("s_suppkey")
         )
-        return pairs.select(
-            _text("c_custkey").alias("email_login"),
-            _text("s_nationkey").alias("cliente_rol"),
+        client = _text("s_nationkey")
+        second = (F.col("s_suppkey") % 5 == 0) & (F.col("o_custkey") % 2 == 0)
+        grant = lambda who, sees: F.struct(who.alias("cliente_rol"), sees.alias("puede_ver"))
+        granted = F.array(
+            grant(client, can_see),
+            F.when(second, grant(F.concat(F.lit("X"), client), can_see)),
+            F.when(F.col("o_orderkey") % 7 == 0, grant(client, F.lit(True))),
+        )
+        each = lines.withColumn("g", F.explode(granted)).filter(F.col("g").isNotNull())
+        return each.select(
+            _text("o_custkey").alias("email_login"),
+            F.col("g.cliente_rol").alias("cliente_rol"),
             _text("s_suppkey").alias("instalacion_rol"),
-            can_see.alias("puede_ver"),
+            F.col("g.puede_ver").alias("puede_ver"),
         )
 
+    @staticmethod
+    def _client(line: Column) -> Column:
+        """Every other line of some sites belongs to a second client."""
+        other = (F.col("s_suppkey") % 5 == 0) & (line % 2 == 0)
+        return F.when(other, F.concat(F.lit("X"), _text("s_nationkey"))).otherwise(_text("s_nationkey"))
+
     def perms(self) -> DataFrame:
         key, segment, balance = F.col("c_custkey"), F.col("c_mktsegment"), F.col("c_acctbal")
         role = (
@@ -124,7 +144,11 @@ class StandIn:
     def rollup(self) -> DataFrame:
         counted = (
             self.base("lineitem")
-            .groupBy("l_suppkey", F.nullif("l_returnflag", F.lit("A")).alias("servicio"))
+            .groupBy(
+                "l_suppkey",
+                F.when(F.col("l_suppkey") % 5 == 0, F.col("l_linenumber") % 2).otherwise(1).alias("linea"),
+                F.nullif("l_returnflag", F.lit("A")).alias("servicio"),
+            )
             .agg(
                 F.count(F.lit(1)).alias("requeridos"),
                 F.count_if(self._present()).alias("presentes"),
@@ -134,7 +158,7 @@ class StandIn:
         return counted.join(self.sites(), F.col("l_suppkey") == F.col("s_suppkey")).select(
             _text("s_suppkey").alias("instalacion_rol"),
             F.col("n_name").alias("zona"),
-            _text("s_nationkey").alias("cliente_rol"),
+            self._client(F.col("linea")).alias("cliente_rol"),
             F.col("r_name").alias("empresa"),
             F.col("servicio").alias("tipo_de_servicio"),
             F.col("requeridos").alias("total_guardias_requeridos"),
@@ -147,16 +171,23 @@ class StandIn:
     def devices(self) -> DataFrame:
         key = F.col("s_suppkey")
         last = self.base("lineitem").groupBy("l_suppkey").agg(F.max("l_shipdate").alias("ultimo"))
-        number = F.concat(F.lit("D"), key.cast("string"))
+        number = F.when(key % 6 == 0, "").otherwise(F.concat(F.lit("D"), key.cast("string")))
+        # A second device at some sites, and one that looks like the first at others.
+        numbers = F.array(
+            number,
+            F.when(key % 4 == 0, F.concat(F.lit("E"), key.cast("string"))),
+            F.when(key % 7 == 0, number),
+        )
         return (
             self.base("supplier")
             .filter(F.col("s_acctbal") > 3000)
             .join(last, key == F.col("l_suppkey"), "left")
             .select(
                 key.cast("string").alias("nombre"),
-                F.when(key % 6 == 0, "").otherwise(number).alias("numero"),
+                F.explode(numbers).alias("numero"),
                 F.col("ultimo").cast("timestamp").alias("ult_conexion"),
             )
+            .filter(F.col("numero").isNotNull())
         )
 
     def open_posts(self) -> DataFrame:
@@ -184,7 +215,7 @@ class StandIn:
             .select(
                 F.concat(F.lit("S"), week.cast("string")).alias("semana"),
                 _text("s_suppkey").alias("instalacion_rol"),
-                _text("s_nationkey").alias("cliente_rol"),
+                self._client(F.col("l_linenumber")).alias("cliente_rol"),
                 F.col("n_name").alias("zona"),
                 F.col("r_name").alias("empresa"),
                 _text("l_partkey").alias("rutrol"),
@@ -193,7 +224,7 @@ class StandIn:
                 F.extract(F.lit("YEAROFWEEK"), day).alias("ano"),
                 day.alias("dia"),
                 F.col("l_quantity").alias("horas_planificadas"),
-                (F.col("l_quantity") * (1 - F.col("l_discount"))).alias("horas_entregadas"),
+                (F.col("l_quantity") - F.round(F.col("l_discount") * 100) % 3).alias("horas_entregadas"),
                 self._present().cast("int").alias("asistencia"),
             )
         )
