@@ -49,10 +49,10 @@ class Vocabulary:
         self.inner: dict[str, int] = {}
         self.final: dict[str, int] = {}
         vocabulary = told["model"]["vocab"]
-        self.names = [""] * (1 + max(vocabulary.values()))
-        for token, i in vocabulary.items():
+        self.names = [""] * (1 + max(*vocabulary.values(), *self.special.values()))
+        for token, i in {**vocabulary, **self.special}.items():
             self.names[i] = token
-            if i in self.special.values():
+            if token in self.special:
                 continue
             if token.endswith(WORD_END):
                 self.final[token.removesuffix(WORD_END).translate(plain)] = i

@@ -112,7 +112,8 @@ def tokenised(docs: DataFrame, tokenizer: str, id_col: str, text_col: str) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = byte_bpe(definition.value)
-        curve = Curve(1 + max(json.loads(definition.value)["model"]["vocab"].values()))
+        told = json.loads(definition.value)
+        curve = Curve(1 + max(*told["model"]["vocab"].values(), *(t["id"] for t in told["added_tokens"])))
         for batch in batches:
             for at in range(0, batch.num_rows, PART):
                 part = batch.slice(at, PART)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ronda.llm import bpe, fingerprints, licenses, multi_index, packing, quality, toxicity, url_filters, warc
 from ronda.llm.jaccard_join import near_duplicate_groups
-from ronda.llm.store import bounded_batches
+from ronda.llm.store import prepare_workers
 from ronda.session import prepare
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -19,7 +19,7 @@ BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
-    bounded_batches(spark)
+    prepare_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
