@@ -30,8 +30,8 @@ WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 WORD_END = "</w>"
 
 PART = 500  # texts whose words share a trie
-KEPT_WORDS = 200_000  # encodings a task keeps from one trie to the next; more are worked out again
-KEPT_PAIRS = 300_000  # and pairs of tokens
+KEPT_WORDS = 600_000  # encodings a task keeps from one trie to the next; more are worked out again
+KEPT_PAIRS = 600_000  # and pairs of tokens
 
 
 class Vocabulary:
