@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling.
 
 A text is cut into overlapping windows of words.  Each word enters the network
-as a word vector beside the mean of the vectors of its byte n-grams (both from
+as a word vector beside the sum of the vectors of its byte n-grams, over the root of their number (both from
 hashed tables); states of both directions are pooled by attention into one
 logit per window, and the most toxic window decides the text.  Labels are per
 text, so training picks the window that stands for a toxic text anew in every
@@ -19,12 +19,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ronda.llm.texts import Hashes, chunks, rows_of, spans
+from ronda.llm.texts import Hashes, chunks, mix, rows_of, spans
 
 WINDOW, STRIDE = 32, 16
 WORD_ROWS, GRAM_ROWS, WIDTH, STATE = 1 << 16, 1 << 16, 8, 10
 GRAMS = (3, 4, 5)
 BLOCK = 4096
+DROPPED = 0.7  # share of word vectors left out in a training step, so that n-grams carry what unseen words share
 SAMPLE_PER_LABEL = 1200  # labelled texts fitted on, per label
 SAMPLE_CHARS = 8_000_000  # and their characters in all
 
@@ -52,17 +53,17 @@ def read_words(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
         hashed = hashes.of(starts, ends)
         distinct, seen, each = np.unique(hashed, return_index=True, return_inverse=True)
         s, e = starts[seen], ends[seen]
-        counts = [np.maximum(e - s - n + 1, 0) for n in GRAMS]
-        total = np.sum(counts, axis=0)
+        # N-grams anywhere in a word, and those that begin it once more under numbers of their own.
+        counts = [np.maximum(e - s - n + 1, 0) for n in GRAMS] + [(e - s >= n).astype(np.int64) for n in GRAMS]
         at = np.zeros(len(distinct) + 1, np.int64)
-        np.cumsum(total, out=at[1:])
+        np.cumsum(np.sum(counts, axis=0), out=at[1:])
         gram = np.zeros(at[-1], np.int64)
         done = np.zeros(len(distinct), np.int64)
-        for n, count in zip(GRAMS, counts, strict=True):
+        for k, (n, count) in enumerate(zip(GRAMS * 2, counts, strict=True)):
             step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             place = np.repeat(s, count) + step
-            rows = (hashes.of(place, place + n) & np.uint64(GRAM_ROWS - 2)).astype(np.int64) + 1
-            gram[np.repeat(at[:-1] + done, count) + step] = rows
+            value = mix(hashes.of(place, place + n) + np.uint64(k >= len(GRAMS)))
+            gram[np.repeat(at[:-1] + done, count) + step] = (value & np.uint64(GRAM_ROWS - 2)).astype(np.int64) + 1
             done += count
         words = np.bincount(rows_of(starts, offsets), minlength=end - begin) if len(starts) else np.zeros(end - begin, np.int64)
         per_text = np.where(words > 0, 1 + np.maximum(0, -(-(words - WINDOW) // STRIDE)), 0)
@@ -101,7 +102,7 @@ class Network:
         self.scale, self.shift = 1.0, 0.0  # calibration of the logit of the most toxic window
 
     def inputs(self, words: Words, used: np.ndarray | None = None, drop: np.ndarray | None = None) -> np.ndarray:
-        """Vectors of the distinct words (or of ``used``): word vector beside the mean of n-gram vectors."""
+        """Vectors of the distinct words (or of ``used``): word vector beside the scaled sum of n-gram vectors."""
         of_word = self.word[words.word if used is None else words.word[used]]
         if drop is not None:
             of_word = of_word * drop[:, None]
@@ -111,7 +112,7 @@ class Network:
         has = counts > 0
         if has.any():
             sums[has] = np.add.reduceat(self.gram[rows], (np.cumsum(counts) - counts)[has], axis=0)
-        return np.concatenate([of_word, sums / np.maximum(counts, 1)[:, None].astype(np.float32)], axis=1)
+        return np.concatenate([of_word, sums / np.sqrt(np.maximum(counts, 1))[:, None].astype(np.float32)], axis=1)
 
     def _run(self, index: np.ndarray, given: np.ndarray, mask: np.ndarray, d: str, keep: list | None) -> np.ndarray:
         """States of one direction: (steps, windows, STATE)."""
@@ -156,7 +157,7 @@ class Network:
         index = index.reshape(len(pick), WINDOW)
         if used[0] != 0:
             used, index = np.concatenate([[0], used]), index + 1
-        drop = (rng.random(len(used)) > 0.3).astype(np.float32)
+        drop = (rng.random(len(used)) > DROPPED).astype(np.float32)
         vectors = self.inputs(words, used, drop)
         keeps: tuple[list, list] = ([], [])
         mask, states, weight, pooled = self._pooled(index, vectors, keeps)
@@ -191,7 +192,7 @@ class Network:
         loss = -np.mean(np.where(target > 0, np.log(p + 1e-9), np.log(1 - p + 1e-9)))
         starts, counts = _grams_of(words, used)
         rows = words.gram[_ranges(starts, counts)]
-        per_gram = np.repeat(g_vectors[:, WIDTH:] / np.maximum(counts, 1)[:, None], counts, axis=0)
+        per_gram = np.repeat(g_vectors[:, WIDTH:] / np.sqrt(np.maximum(counts, 1))[:, None], counts, axis=0)
         tables = [(self.word, words.word[used], g_vectors[:, :WIDTH] * drop[:, None]), (self.gram, rows, per_gram)]
         return loss, grads, tables
 
@@ -234,8 +235,8 @@ class _Steps:
             table[0] = 0
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = 12, batch: int = 256, seed: int = 7) -> Network:
-    """Fits the network to labelled texts.
+def train(texts: list[str], labels: np.ndarray, epochs: int | None = None, seed: int = 7) -> Network:
+    """Fits the network to labelled texts; fewer texts are seen more often, in smaller batches.
 
     In each epoch a toxic text is represented by a window drawn in favour of
     high logits, a clean one by its highest window and one at random.
@@ -247,6 +248,12 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 12, batch: int = 2
         net.dense["out"][:] = 0
         return net
     words = _joined(parts)
+    # Every sixth text sets the threshold and is not fitted to, unless there are too few for that.
+    kept = np.arange(len(labels)) % 6 == 5
+    if min(labels.sum(), len(labels) - labels.sum()) < 60:
+        kept[:] = False
+    epochs = epochs or int(np.clip(6000 // len(texts), 12, 40))
+    batch = int(np.clip(len(texts) // 16, 16, 256))
     steps = _Steps(net, 0.01)
     for epoch in range(epochs):
         logit = net.logits(words)
@@ -254,6 +261,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 12, batch: int = 2
         best, other = _best_of(words.rows, logit + noise), _best_of(words.rows, rng.random(len(logit)))
         clean = labels[words.rows[best]] == 0
         pick = np.concatenate([best, other[clean]])
+        pick = pick[~kept[words.rows[pick]]]
         target = labels[words.rows[pick]].astype(np.float32)
         order = rng.permutation(len(pick))
         steps.rate = 0.02 if epoch < epochs // 2 else 0.007
@@ -263,6 +271,8 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 12, batch: int = 2
             steps.take(grads, tables)
     logit = net.logits(words)
     best = _best_of(words.rows, logit)
+    if kept.any():
+        best = best[kept[words.rows[best]]]
     net.scale, net.shift = _calibrated(logit[best], labels[words.rows[best]])
     return net
 
@@ -293,11 +303,11 @@ def _best_of(rows: np.ndarray, value: np.ndarray) -> np.ndarray:
 
 
 def _calibrated(logit: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic fit with smoothed targets, both labels weighing the same."""
+    """Slope and offset of a logistic fit with smoothed targets."""
     logit, n1 = logit.astype(np.float64), max(1, int(label.sum()))
     n0 = max(1, len(label) - n1)
     target = np.where(label == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    weight = np.where(label == 1, 0.5 / n1, 0.5 / n0)
+    weight = 1 / len(label)
     scale, shift = 1.0, 0.0
     for _ in range(100):
         p = _sigmoid(scale * logit + shift)

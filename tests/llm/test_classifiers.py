@@ -30,7 +30,7 @@ def bad_words():
 
 def test_network_learns_words_and_stems(bad_words):
     texts, labels = bad_words
-    net = toxicity.train(texts[:300], labels[:300], epochs=12)
+    net = toxicity.train(texts[:300], labels[:300])
     score = np.zeros(100)
     for begin, _, words in toxicity.read_words(pa.array(texts[300:])):
         logit = net.logits(words)
