@@ -22,7 +22,7 @@ from ronda.llm.components import connected_components
 from ronda.llm.store import partitions, stored
 from ronda.llm.texts import LOWER, SPACE, Hashes, chunks, mix, rows_of, spans
 
-COARSE_BITS = 1024  # of the bitmaps that all candidates are held against
+COARSE_BITS = 1024, 4096  # least and most of the bitmaps that all candidates are held against; one for each element between
 FINE_BITS = 2  # bits for each element, at least, of those that large sets are held against then
 SHARED_PART = 0.001  # a shingle in this part of a task's documents counts as shared by many
 SHARED_LEAST = 8
@@ -66,7 +66,7 @@ def _signature(members: np.ndarray) -> int:
 
 def _bitmap(members: np.ndarray) -> bytes:
     """Parity of the members that fall on each bit: two bitmaps differ in no more bits than the sets in members."""
-    bits = max(COARSE_BITS, 1 << int(FINE_BITS * len(members) - 1).bit_length())
+    bits = max(COARSE_BITS[0], 1 << int(FINE_BITS * len(members) - 1).bit_length())
     parity = np.bincount((members >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
 
@@ -84,7 +84,9 @@ def _folded(bits: np.ndarray, width: int) -> np.ndarray:
 
 
 def _coarse(bitmap: bytes) -> bytes:
-    return _folded(_rows_of_bits([bitmap]), COARSE_BITS // 64).tobytes()
+    """At half the width of a fine one, within the bounds."""
+    bits = int(np.clip(8 * len(bitmap) // FINE_BITS, *COARSE_BITS))
+    return _folded(_rows_of_bits([bitmap]), bits // 64).tobytes()
 
 
 def _possible(n: np.ndarray, m: np.ndarray, apart: np.ndarray, percent: int) -> np.ndarray:
@@ -137,20 +139,20 @@ def shared_shingles(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
     return np.sort(top.view(np.uint64))
 
 
-_FEATURES = "sig long, size int, coarse binary, fine binary, head binary"
+_FEATURES = "sig long, size int, coarse binary, fine binary"
 
 
-def featurised(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, shared: np.ndarray) -> DataFrame:
-    """(id, sig, size, coarse, fine, head) per document.
+def featurised(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, sig, size, coarse, fine) per document.
 
-    Sets that a task met before carry no bitmaps and no head, and small ones no
-    fine bitmap, which would be the coarse one.
+    Sets that a task met before carry no bitmaps, and small ones no fine bitmap,
+    which would be the coarse one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for batch in batches:
-            sigs, sizes, coarse, fine, heads = [], [], [], [], []
+            sigs, sizes, coarse, fine = [], [], [], []
             named = batch.column(0).is_valid().to_pylist()
             for members, has_id in zip(shingle_hashes(batch.column(1), words), named, strict=True):
                 sizes.append(len(members))
@@ -159,40 +161,48 @@ def featurised(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
                 if sig is None or not has_id or sig in met:
                     coarse.append(None)
                     fine.append(None)
-                    heads.append(None)
                 else:
                     met.add(sig)
                     bitmap = _bitmap(members)
                     coarse.append(_coarse(bitmap))
-                    fine.append(bitmap if len(bitmap) > COARSE_BITS // 8 else None)
-                    heads.append(_head(members, shared, percent).tobytes())
+                    fine.append(bitmap if len(bitmap) > COARSE_BITS[0] // 8 else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int32()), *(pa.array(x, pa.binary()) for x in (coarse, fine, heads))],
-                ["id", "sig", "size", "coarse", "fine", "head"],
+                [batch.column(0), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int32()), *(pa.array(x, pa.binary()) for x in (coarse, fine))],
+                ["id", "sig", "size", "coarse", "fine"],
             )
 
     return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, " + _FEATURES)
 
 
-def _elements(featured: DataFrame, shared: np.ndarray) -> DataFrame:
-    """(key, salt, size, sig) for every element of every head; only shared shingles are salted."""
+def _elements(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, shared: np.ndarray) -> DataFrame:
+    """(key, salt, size, sig) for every element of every head; only shared shingles are salted.
+
+    Heads are made from the texts once more rather than stored.  A set that a
+    task met before gives nothing.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for batch in batches:
-            sig, size, heads = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
-            times = np.array([len(h) // 8 for h in heads], np.int64)
-            key = np.frombuffer(b"".join(heads), np.uint64)
-            sigs = np.repeat(sig, times)
-            salt = np.zeros(len(key), np.int32)
-            hot = _within(shared, key)
-            salt[hot] = sigs[hot] % SALTS
+            heads, sigs, sizes = [np.zeros(0, np.uint64)], [], []
+            for members in shingle_hashes(batch.column(0), words):
+                sig = _signature(members) if len(members) else None
+                if sig is not None and sig not in met:
+                    met.add(sig)
+                    heads.append(_head(members, shared, percent))
+                    sigs.append(sig)
+                    sizes.append(len(members))
+            times = np.array([len(h) for h in heads[1:]], np.int64)
+            key = np.concatenate(heads)
+            sig = np.repeat(np.array(sigs, np.int64), times)
+            salt = np.where(_within(shared, key), sig % SALTS, 0).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(salt), pa.array(np.repeat(size, times)), pa.array(sigs)],
+                [pa.array(key.view(np.int64)), pa.array(salt), pa.array(np.repeat(np.array(sizes, np.int32), times)), pa.array(sig)],
                 ["key", "salt", "size", "sig"],
             )
 
-    heads = featured.where(F.col("head").isNotNull() & F.col("id").isNotNull()).select("sig", "size", "head")
-    return heads.mapInArrow(run, "key long, salt int, size int, sig long")
+    texts = docs.where(F.col(id_col).isNotNull()).select(text_col)
+    return texts.mapInArrow(run, "key long, salt int, size int, sig long")
 
 
 _TILE = "kind int, key long, a long, b long, size int"
@@ -373,9 +383,15 @@ def _remaining(members: DataFrame, roots: DataFrame, nodes: DataFrame, percent:
         "key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "sig", "root", "size", "coarse"
     )
 
-    def proposed(n: np.ndarray, root: np.ndarray, part: np.ndarray | None, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the pairs among rows sorted by size."""
+    def proposed(n: np.ndarray, root: np.ndarray, part: np.ndarray | None, maps: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the pairs among rows sorted by size, and so by the width of their bitmaps."""
         found = []
+        widths = np.array([len(m) // 8 for m in maps])
+        bits = {}
+        for width in np.unique(widths):
+            at = np.flatnonzero((widths >= width) & (widths <= 2 * width))
+            wide = {w: _folded(_rows_of_bits([maps[k] for k in at[widths[at] == w]]), width) for w in np.unique(widths[at])}
+            bits[width] = at[0], np.concatenate(list(wide.values()))
         ends = np.searchsorted(n, 100 * n // percent, "right")  # first row that is too large for each
         for i in range(len(n) - 1):
             others = np.arange(i + 1, ends[i])
@@ -384,7 +400,8 @@ def _remaining(members: DataFrame, roots: DataFrame, nodes: DataFrame, percent:
                 ok &= part[others] != part[i]
             others = others[ok]
             if len(others):
-                apart = np.bitwise_count(bits[others] ^ bits[i]).sum(1, dtype=np.int64)
+                first, own = bits[widths[i]]
+                apart = np.bitwise_count(own[others - first] ^ own[i - first]).sum(1, dtype=np.int64)
                 met = _possible(n[others], n[i], apart, percent)
                 found.append((np.full(met.sum(), i), others[met], apart[met]))
         if not found:
@@ -404,12 +421,11 @@ def _remaining(members: DataFrame, roots: DataFrame, nodes: DataFrame, percent:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, lo, hi, mine, sig, root, size, coarse in runs(batches, 3):
             turn = np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
-            bits = _rows_of_bits(list(coarse))
             found = []
             for s, e in zip([0, *turn], [*turn, len(key)], strict=True):
                 order = s + np.argsort(size[s:e], kind="stable")
                 part = mine[order] if lo[s] != hi[s] else None
-                i, j = proposed(size[order].astype(np.int64), root[order], part, bits[order])
+                i, j = proposed(size[order].astype(np.int64), root[order], part, [coarse[k] for k in order])
                 found.append((sig[order[i]], sig[order[j]]))
             a, b = (np.concatenate(x) for x in zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -432,16 +448,16 @@ def near_duplicate_groups(
     Shingles are compared by 64-bit hashes.  Other columns are ignored.
     """
     spark = docs.sparkSession
-    spread = 4 * partitions(spark)
+    spread = 2 * partitions(spark)
     shared = shared_shingles(docs, text_col, words)
-    featured = stored(featurised(docs, id_col, text_col, words, percent, shared), "sets")
+    featured = stored(featurised(docs, id_col, text_col, words), "sets")
     nodes = stored(
         featured.where("sig is not null and id is not null")
         .groupBy("sig")
         .agg(F.min("id").alias("rep"), F.max("size").alias("size"), F.max("coarse").alias("coarse"), F.max("fine").alias("fine")),
         "nodes",
     )
-    tiles = stored(_tiles(_elements(featured, shared), percent, shared, spread), "tiles")
+    tiles = stored(_tiles(_elements(docs, id_col, text_col, words, percent, shared), percent, shared, spread), "tiles")
     leaders = tiles.where(F.col("kind") == LEADER).select("key", F.lit(0).alias("salt"), "size", F.col("a").alias("sig"))
     between = _tiles(leaders, percent, shared[:0], spread).where(F.col("kind") == PAIR)
     tried = stored(
