@@ -21,7 +21,7 @@ from ronda.llm.texts import LOWER, SPACE, Hashes, chunks, mix, rows_of, spans
 from ronda.llm.toxicity import held_out, labelled_sample
 
 SAMPLE_PER_LABEL = 3000  # labelled documents fitted on, per label
-SAMPLE_CHARS = 12_000_000  # and their characters in all
+SAMPLE_CHARS = 12_000_000  # and their characters, per label
 UNLABELLED = 3000  # unlabelled documents that pseudo-labels are given to
 UNLABELLED_CHARS = 12_000_000
 ROUNDS = 5

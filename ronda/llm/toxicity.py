@@ -16,9 +16,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ronda.llm.store import stored
 from ronda.llm.texts import Hashes, chunks, mix, rows_of, spans
 
 WINDOW, STRIDE = 32, 16
@@ -27,7 +28,7 @@ GRAMS = (3, 4, 5)
 BLOCK = 4096
 DROPPED = 0.7  # share of word vectors left out in a training step, so that n-grams carry what unseen words share
 SAMPLE_PER_LABEL = 1200  # labelled texts fitted on, per label
-SAMPLE_CHARS = 8_000_000  # and their characters in all
+SAMPLE_CHARS = 8_000_000  # and their characters, per label
 
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -323,13 +324,25 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def fitting(sizes: list[tuple], chars: int) -> list:
+    """Ids of the (label, order, id, characters) that fit into ``chars`` per label, in that order; one that does not is skipped."""
+    used: dict[int, int] = {}
+    out = []
+    for label, _, key, size in sorted(sizes):
+        if used.get(label, 0) + size <= chars:
+            used[label] = used.get(label, 0) + size
+            out.append(key)
+    return out
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, per_label: int, chars: int
 ) -> DataFrame:
-    """At most ``per_label`` texts of each label, ``chars`` characters in all: (id, label, text).
+    """At most ``per_label`` texts and ``chars`` characters of each label: (id, label, text).
 
-    Rows are taken in the order of a hash of their id.  A label given more than
-    once counts as its largest value; null labels and ids are left out.
+    Rows are taken in the order of a hash of their id; a text that does not fit
+    is passed over.  A label given more than once counts as its largest value;
+    null labels and ids are left out.
     """
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_id is not null and _text is not null")
     known = (
@@ -341,9 +354,10 @@ def labelled_sample(
     )
     picked = [known.where(F.col("_label") == k).orderBy("_order", "_id").limit(per_label) for k in (0, 1)]
     both = F.broadcast(picked[0].union(picked[1]))  # at most 2 * per_label rows
-    texts = own.join(both, "_id").dropDuplicates(["_id"])
-    so_far = F.sum(F.length("_text")).over(Window.orderBy("_order", "_id"))
-    return texts.withColumn("_chars", so_far).where(F.col("_chars") <= chars).select("_id", "_label", "_text")
+    texts = stored(own.join(both, "_id").dropDuplicates(["_id"]), "sample")
+    sizes = texts.select("_label", "_order", "_id", F.length("_text")).collect()
+    ids = docs.sparkSession.createDataFrame([(i,) for i in fitting([tuple(r) for r in sizes], chars)], texts.select("_id").schema)
+    return texts.join(F.broadcast(ids), "_id", "left_semi").select("_id", "_label", "_text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Network:

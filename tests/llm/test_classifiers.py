@@ -111,3 +111,14 @@ def test_held_out_accuracy(spark, label):
     right = [found[r.doc_id] == r[label] for r in labels.collect() if r.doc_id in found]
     assert all(held_out(i) for i in found) and len(right) > 500
     assert np.mean(right) >= 0.97
+
+
+def test_a_huge_text_and_plenty_of_one_label_leave_the_rare_label_whole(spark, docs):
+    """Characters are bounded per label, and a text that does not fit is passed over."""
+    ids = [i for i in range(4000) if not held_out(i)]
+    rare, huge, plenty = ids[:20], ids[20], ids[21:2000]
+    rows = [(i, "r" * 100) for i in rare] + [(huge, "h" * 50_000)] + [(i, "p" * 100) for i in plenty]
+    labels = spark.createDataFrame([(i, int(i in rare)) for i, _ in rows], "doc_id long, toxic int")
+    sample = toxicity.labelled_sample(docs(*rows), labels, "toxic", "doc_id", "text", 2000, 20_000).collect()
+    assert {r._id for r in sample if r._label == 1} == set(rare)
+    assert len([r for r in sample if r._label == 0]) == 200 and huge not in {r._id for r in sample}
