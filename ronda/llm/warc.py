@@ -12,8 +12,10 @@ import base64
 import hashlib
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame
@@ -25,7 +27,6 @@ MAGIC = b"\x1f\x8b\x08"
 FILE_BYTES = 256 << 20  # a task begins a new archive beyond this size
 SPLIT_BYTES = 32 << 20
 READ_BYTES = 1 << 18
-HEAD_BYTES = 1 << 16  # a record's header ends within so many bytes
 SALTS = 16
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -99,40 +100,46 @@ def record(page: int | None, url: str | None, payload: bytes, digest: str, refer
 
 
 def write_archives(records: DataFrame, path: str) -> DataFrame:
-    """Writes (id, url, payload, digest, refers_to) to archives in ``path``: (file, bytes, records).
+    """Writes (id, url, payload, digest, refers_to) to archives in ``path``: (file, bytes, records, places).
 
-    Every attempt of a task writes files of its own; the returned table, stored
+    ``places`` are the bytes at which the records begin.  Every attempt of a task writes files of its own; the returned table, stored
     when the tasks have ended, names those of the attempts that counted.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = pyarrow.fs.FileSystem.from_uri(path)
         fs.create_dir(folder, recursive=True)
-        out, name, done, count = None, "", 0, 0
+        out, name, done, places = None, "", 0, array("q")
         told = []
         for batch in batches:
             for row in zip(*(batch.column(k) for k in range(5)), strict=True):
                 if out is None:
-                    name, done, count = f"{uuid.uuid4().hex}.warc.gz", 0, 0
+                    name, done, places = f"{uuid.uuid4().hex}.warc.gz", 0, array("q")
                     out = fs.open_output_stream(f"{folder}/{name}", compression=None)
                 member = record(*(x.as_py() for x in row))
                 out.write(member)
-                done, count = done + len(member), count + 1
+                places.append(done)
+                done += len(member)
                 if done >= FILE_BYTES:
                     out.close()
-                    told.append((name, done, count))
+                    told.append((name, done, places))
                     out = None
         if out is not None:
             out.close()
-            told.append((name, done, count))
-        names, sizes, counts = zip(*told, strict=True) if told else ((), (), ())
+            told.append((name, done, places))
+        names, sizes, begins = zip(*told, strict=True) if told else ((), (), ())
         yield pa.RecordBatch.from_arrays(
-            [pa.array([f"{path}/{n}" for n in names], pa.string()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())],
-            ["file", "bytes", "records"],
+            [
+                pa.array([f"{path}/{n}" for n in names], pa.string()),
+                pa.array(sizes, pa.int64()),
+                pa.array([len(x) for x in begins], pa.int64()),
+                pa.array([np.frombuffer(x, np.int64) for x in begins], pa.list_(pa.int64())),
+            ],
+            ["file", "bytes", "records", "places"],
         )
 
     rows = records.select("id", "url", "payload", "digest", "refers_to")
-    return stored(rows.mapInArrow(run, "file string, bytes long, records long"), "archives")
+    return stored(rows.mapInArrow(run, "file string, bytes long, records long, places array<long>"), "archives")
 
 
 class Members:
@@ -191,7 +198,7 @@ class Members:
 
 def _head(content: bytes) -> tuple[dict[str, str], int]:
     """(fields in lower case, where the block begins); no fields if the header does not end."""
-    end = content.find(b"\r\n\r\n", 0, HEAD_BYTES)
+    end = content.find(b"\r\n\r\n")
     if end < 0:
         return {}, 0
     fields = {}
@@ -212,19 +219,24 @@ def read_archives(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
 
     Returns (file, place, record_type, page_id, url, refers_to, payload_digest,
     payload_bytes, payload); payload is null for a revisit.  A response whose
-    payload does not have its digest is an error, and so is a range of bytes
-    from which no whole members follow.
+    payload does not have its digest is an error, and so is a first range that
+    does not begin with a whole record.  Where ``archives`` has the places of the
+    records, so is a range in which other than these many are found.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, size, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for file, size, start, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 fs, name = pyarrow.fs.FileSystem.from_uri(file)
                 with fs.open_input_file(name) as source:
-                    yield from _owned(Members(source, size), file, start, min(start + split_bytes, size))
+                    yield from _owned(Members(source, size), file, start, min(start + split_bytes, size), count)
 
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long")))
-    ranges = archives.where("bytes > 0").select("file", "bytes", starts.alias("start"))
+    begins = F.col("places") if "places" in archives.columns else F.lit(None).cast("array<long>")
+    ranges = archives.where("bytes > 0").select("file", "bytes", starts.alias("start"), begins.alias("places"))
+    inside = F.filter("places", lambda p: (p >= F.col("start")) & (p < F.col("start") + split_bytes))
+    count = F.when(F.col("places").isNotNull(), F.size(inside))
+    ranges = ranges.select("file", "bytes", "start", count.alias("count"))
     dealt = ranges.repartition(4 * partitions(archives.sparkSession), "file", "start")
     return dealt.mapInArrow(run, ", ".join(f"{f.name} {_DDL[f.type]}" for f in _RECORD))
 
@@ -245,20 +257,22 @@ _RECORD = pa.schema(
 _DDL = {pa.string(): "string", pa.int64(): "long", pa.binary(): "binary"}
 
 
-def _owned(members: Members, file: str, start: int, end: int) -> Iterator[pa.RecordBatch]:
+def _owned(members: Members, file: str, start: int, end: int, count: int | None) -> Iterator[pa.RecordBatch]:
     place = start if start == 0 else members.first(start, end)
-    rows, held = [], 0
+    rows, held, found = [], 0, 0
     while place is not None and place < end:
         member = members.at(place)
         if member is None:
             raise ValueError(f"no whole record at byte {place} of {file}")
         row = _parsed(member[0])
         rows.append({"file": file, "place": place, **row})
-        held += len(row["payload"] or b"")
+        held, found = held + len(row["payload"] or b""), found + 1
         place = member[1]
         if held > 4 << 20:
             yield pa.RecordBatch.from_pylist(rows, schema=_RECORD)
             rows, held = [], 0
+    if count is not None and found != count:
+        raise ValueError(f"{found} records instead of {count} begin in bytes {start} to {end} of {file}")
     yield pa.RecordBatch.from_pylist(rows, schema=_RECORD)
 
 

@@ -105,6 +105,32 @@ def test_a_damaged_archive_is_an_error(spark, tmp_path):
         warc.read_archives(archives).count()
 
 
+@pytest.mark.parametrize("split", [1000, 1 << 20])
+def test_urls_longer_than_any_header_bound(spark, split):
+    """One in every third record, and those are not lost with the records before them."""
+    prepare_workers(spark)
+    rows = [(i, "http://h/" + ("\x01" * 30_000 if i % 6 else "u" * 90_000) if i % 3 == 0 else "u", f"text {i}" * 99) for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    archives = warc.write_archives(warc.with_revisits(pages, "page_id", "url", "html", 0), new_path(spark, "warc"))
+    found = warc.read_archives(archives, split).select("page_id", "url").collect()
+    assert sorted(map(tuple, found)) == [(i, u.replace("\x01", "%01")) for i, u, _ in rows]
+
+
+def test_lost_records_are_an_error(spark, tmp_path):
+    """A broken record in the second range hides those before it there."""
+    prepare_workers(spark)
+    digest = base64.b32encode(hashlib.sha1(b"payload").digest()).decode()
+    members = [warc.record(i, "u", b"payload", digest, None) for i in range(9)]
+    places = [sum(map(len, members[:i])) for i in range(9)]
+    members[7] = members[7][:-6] + b"xxxxxx"
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(b"".join(members))
+    row = (f"file://{path}", sum(map(len, members)), 9, places)
+    archives = spark.createDataFrame([row], "file string, bytes long, records long, places array<long>")
+    with pytest.raises(Exception, match="records instead of"):
+        warc.read_archives(archives, places[4]).count()
+
+
 def test_query(spark, sf_dir):
     found = llm_queries()["op2_warc"](spark, sf_dir).collect()
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").collect()
