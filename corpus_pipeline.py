@@ -6,7 +6,7 @@ document stays, and what is left is packed into training sequences.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ronda.llm import packing, quality, toxicity
@@ -14,44 +14,34 @@ from ronda.llm.jaccard_join import near_duplicate_groups
 from ronda.llm.queries import BYTE_TOKENIZER, table
 from ronda.llm.store import stored
 
+ROW = "_row"  # a key given to every row
+
 # Classifiers and a packing order are beyond SQL; tests/llm hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose doc_id is in ``ids``, or null."""
-    return docs.join(ids.distinct(), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
-
-
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality classifier rejects.
-
-    Rows that share a doc_id stay or go together: they stay if any is good.  A
-    row without doc_id stays, since nothing can be decided about it by id.
-    """
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return _kept(docs, quality.scored(docs, model).where("keep").select("doc_id"))
+    """Drops the documents that the quality classifier rejects, each row by its own text and metadata."""
+    return quality.kept(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the toxicity network marks; null and shared ids as in ``good_quality``."""
-    net = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return _kept(docs, toxicity.scored(docs, net).where("predicted = 0").select("doc_id"))
+    """Drops the documents that the toxicity network marks, each row by its own text."""
+    return toxicity.kept(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of every group of near duplicates.
+    """Keeps one row of every group of near duplicates: the one with the smallest doc_id.
 
-    Of rows that share that doc_id one stays; rows without doc_id all stay.
+    Rows are grouped under a key of their own, so that rows without doc_id and
+    rows that share one are decided like all others.  A row without doc_id
+    stays only where its whole group has none.
     """
-    groups = near_duplicate_groups(docs)
-    kept = _kept(docs, groups.where("doc_id = component_id").select("doc_id"))
-    same_id = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return (
-        kept.withColumn("_nth", F.row_number().over(same_id))
-        .where("_nth = 1 or doc_id is null")
-        .drop("_nth")
-    )
+    keyed = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    groups = near_duplicate_groups(keyed, ROW).select(ROW, "component_id")
+    ids = keyed.select(ROW, F.col("doc_id").isNull().alias("no_id"), "doc_id")
+    first = groups.join(ids, ROW).groupBy("component_id").agg(F.min(F.struct("no_id", "doc_id", ROW)).alias("first"))
+    return keyed.join(first.select(F.col(f"first.{ROW}").alias(ROW)), ROW, "left_semi").drop(ROW)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -296,3 +296,15 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         run, f"id {kind}, content_score double, metadata_score double, score double, keep boolean"
     )
     return out.withColumnRenamed("id", id_col)
+
+
+def kept(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``scored`` keeps, with all columns; each row is decided by itself."""
+    read = [docs.columns.index(c) for c in (text_col, "lang", "source", "n_chars")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = model.probabilities(*_features(batch.select(read), 0))[2]
+            yield batch.filter(pa.array(both >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

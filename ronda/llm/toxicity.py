@@ -367,6 +367,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train([t for _, t, _ in rows], np.array([y for _, _, y in rows], np.int64))
 
 
+def _scores(net: Network, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(score, windows, first word of the most toxic window or -1) of each text."""
+    n = len(column)
+    score, count, worst = np.zeros(n), np.zeros(n, np.int64), np.full(n, -1, np.int64)
+    for begin, end, words in read_words(column):
+        logit = net.logits(words)
+        best = _best_of(words.rows, logit)
+        at = words.rows[best] + begin
+        score[at], worst[at] = net.probability(logit[best]), words.first[best]
+        count[begin:end] = np.bincount(words.rows, minlength=end - begin)
+    return score, count, worst
+
+
 def scored(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, score, predicted, n_windows, worst_word) for every row of ``docs``.
 
@@ -378,14 +391,7 @@ def scored(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            score, count, worst = np.zeros(n), np.zeros(n, np.int64), np.full(n, -1, np.int64)
-            for begin, end, words in read_words(batch.column(1)):
-                logit = net.logits(words)
-                best = _best_of(words.rows, logit)
-                at = words.rows[best] + begin
-                score[at], worst[at] = net.probability(logit[best]), words.first[best]
-                count[begin:end] = np.bincount(words.rows, minlength=end - begin)
+            score, count, worst = _scores(net, batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(count), pa.array(worst, mask=worst < 0)],
                 ["id", "score", "predicted", "n_windows", "worst_word"],
@@ -396,3 +402,14 @@ def scored(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str
         run, f"id {kind}, score double, predicted int, n_windows long, worst_word long"
     )
     return out.withColumnRenamed("id", id_col)
+
+
+def kept(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``scored`` does not mark, with all columns; each row is decided by itself."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(net, batch.column(at))[0] < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

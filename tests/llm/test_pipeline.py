@@ -39,6 +39,36 @@ def test_rows_without_an_id_stay(spark, odd):
     assert found == sorted([None, None, 1, 2, 3, 4, 6, 7, 8, 9], key=repr)
 
 
+def test_rows_are_decided_one_by_one(spark, monkeypatch):
+    """Rows without an id pass no filter for it, and rows that share one do not follow each other."""
+    docs = table(spark, SF_DIR, "documents").limit(300)
+    schema = docs.schema
+    rows = [tuple(r) for r in docs.collect()]
+    at = schema.names.index("doc_id")
+    named = {"null": None, "shared": 7}
+    model = quality.fit(docs, table(spark, SF_DIR, "labels"))
+    net = toxicity.fit(docs, table(spark, SF_DIR, "labels"))
+    monkeypatch.setattr(quality, "fit", lambda *_: model)
+    monkeypatch.setattr(toxicity, "fit", lambda *_: net)
+    text = schema.names.index("text")
+    for stage, good in (
+        (corpus_pipeline.good_quality, quality.scored(docs, model).where("keep")),
+        (corpus_pipeline.not_toxic, toxicity.scored(docs, net).where("predicted = 0")),
+    ):
+        ids = {r.doc_id for r in good.collect()}
+        want = sorted(r[text] or "" for r in rows if r[at] in ids)
+        assert 0 < len(want) < len(rows)
+        for i in named.values():
+            same = spark.createDataFrame([(*r[:at], i, *r[at + 1 :]) for r in rows], schema)
+            assert sorted(r.text or "" for r in stage(spark, same, SF_DIR).collect()) == want
+
+
+def test_groups_of_rows_without_and_with_shared_ids(docs, spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    kept = corpus_pipeline.one_of_each_group(spark, docs((7, a), (7, b), (5, b), (None, b), (None, c), (None, c)).drop("id", "sig"), SF_DIR)
+    assert sorted((repr(r.doc_id), r.text) for r in kept.collect()) == sorted([("7", a), ("5", b), ("None", c)])
+
+
 def test_run_packs_what_is_left(spark):
     out = corpus_pipeline.run(spark, SF_DIR)
     library = Tokenizer.from_file(BYTE_TOKENIZER)
