@@ -10,6 +10,7 @@ the last one is padded.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ PART = 2000  # texts worked on together
 
 # The pattern that byte-level BPE splits a text with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# Runs of the pattern's white space that are cut out before a text is split.
+LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 
 
 def byte_symbols() -> dict[str, int]:
@@ -47,11 +50,23 @@ def byte_bpe(definition: str) -> Callable[[str], list[int]]:
     ranks = {bytes(symbols[c] for c in t): i for t, i in told["model"]["vocab"].items() if t not in special}
     coder = tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
-    def encode(text: str) -> list[int]:
+    def short(text: str) -> list[int]:
         if any(s in text for s in special):
             return coder.encode(text, allowed_special="all")
         return coder.encode_ordinary(text)
 
+    def encode(text: str) -> list[int]:
+        # A long run of white space is one piece but for its last character, or all of it before a special token or
+        # the end.  The pattern's engine would overflow its stack on it.
+        out, done = [], 0
+        for run in LONG_RUN.finditer(text):
+            end = run.end()
+            if end < len(text) and not text.startswith(tuple(special), end):
+                end -= 1
+            out += short(text[done : run.start()]) + coder._encode_single_piece(text[run.start() : end])
+            done = end
+        return out + short(text[done:]) if done else short(text)
+
     return encode
 
 

@@ -1,4 +1,5 @@
 import itertools
+import re
 import zlib
 
 import numpy as np
@@ -55,6 +56,21 @@ def test_odd_documents(odd, library):
     assert packing.packed(odd.limit(0), BYTE_TOKENIZER).count() == 0
 
 
+def test_long_runs_of_white_space(docs, library, monkeypatch):
+    blank = " " * 1_200_000
+    rows = [(1, blank + "a"), (2, "x" + "\n" * 1_200_000 + "1"), (3, "a b " + blank)]
+    check(packing.packed(docs(*rows), BYTE_TOKENIZER).collect(), rows, library)
+    # The same cut at short runs, where the pattern itself can be asked.
+    with open(BYTE_TOKENIZER, encoding="utf-8") as f:
+        definition = f.read()
+    monkeypatch.setattr(packing, "LONG_RUN", re.compile(packing.LONG_RUN.pattern.replace("10000", "2")))
+    encode, rng = packing.byte_bpe(definition), np.random.default_rng(5)
+    parts = [" ", "  ", "\n", "\t ", "\u3000", "\x1c", "\xa0 ", "a", "B1", "!", "'s", "<|endoftext|>", "\u00e9"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts, rng.integers(1, 9)))
+        assert encode(text) == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_copies_lie_next_to_each_other(docs):
     base = [f"w{k} " * 20 for k in range(60)]
     rows = [(100 * k + c, "".join(base[k : k + 3])) for k in range(40) for c in range(3)]
