@@ -17,15 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ronda.llm.store import stored
 from ronda.llm.texts import LOWER, SPACE, Hashes, chunks, mix, rows_of, spans
 from ronda.llm.toxicity import held_out, labelled_sample
 
 SAMPLE_PER_LABEL = 3000  # labelled documents fitted on, per label
 SAMPLE_CHARS = 12_000_000  # and their characters, per label
-UNLABELLED = 3000  # unlabelled documents that pseudo-labels are given to
-UNLABELLED_CHARS = 12_000_000
 ROUNDS = 5
 CONFIDENT = 0.1  # share of the unlabelled documents that a view labels in a round
+MOST_GIVEN = 300  # and at most so many of them per class
+SURE = float(np.log(0.98 / 0.02))  # logit from which a view may label
 BUCKETS = 32
 
 _CLASS = np.full(256, 9, np.uint8)  # other ASCII symbols
@@ -201,30 +202,89 @@ def _view(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> View:
     return View(mean, scale, beta)
 
 
-def cotrain(
-    content: np.ndarray, metadata: np.ndarray, label: np.ndarray, more_content: np.ndarray, more_metadata: np.ndarray, rounds: int = ROUNDS
-) -> Model:
+class Unlabelled:
+    """Both views of all documents without a label, worked out once and kept in the shared folder."""
+
+    def __init__(self, docs: DataFrame, told: DataFrame, id_col: str, text_col: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists = [
+                    pa.FixedSizeListArray.from_arrays(pa.array(x.astype(np.float32).ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
+                    for x in _features(batch, 1)
+                ]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["id", "content", "metadata"])
+
+        # Features are joined and not texts, since one of both is exchanged where there are many labels.
+        kind = docs.schema[id_col].dataType.simpleString()
+        own = docs.where(F.col(text_col).isNotNull()).select(id_col, text_col, "lang", "source", "n_chars")
+        views = own.mapInArrow(run, f"id {kind}, content array<float>, metadata array<float>")
+        bare = views.join(told.select(F.col(id_col).alias("id")).hint("merge"), "id", "left_anti").drop("id")
+        self.rows = stored(bare.withColumn("row", F.monotonically_increasing_id()), "views")
+        self.take = min(MOST_GIVEN, int(CONFIDENT * self.rows.count() / 2))
+
+    def surest(self, views: list[View], given: list[set[int]]) -> list[tuple[int, int, float, np.ndarray, np.ndarray]]:
+        """(view, row, label, content, metadata): of all rows, the surest of each view and class not given by it yet."""
+        if not self.take:
+            return []
+        take = self.take
+        known = [np.array(sorted(g), np.int64) for g in given]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = {(k, y): (np.zeros(0), np.zeros(0, np.int64)) for k in (0, 1) for y in (0, 1)}
+            for batch in batches:
+                row = batch.column(2).to_numpy()
+                for k in (0, 1):
+                    logit = views[k].logit(_matrix(batch.column(k)))
+                    fresh = ~np.isin(row, known[k])
+                    for y in (0, 1):
+                        surety = logit if y else -logit
+                        at = np.flatnonzero(fresh & (surety > SURE))
+                        surety, rows = np.append(best[k, y][0], surety[at]), np.append(best[k, y][1], row[at])
+                        first = np.lexsort((rows, -surety))[:take]
+                        best[k, y] = surety[first], rows[first]
+            for (k, y), (surety, rows) in best.items():
+                n = len(rows)
+                columns = [pa.array(np.full(n, k, np.int32)), pa.array(np.full(n, y, np.int32)), pa.array(surety), pa.array(rows)]
+                yield pa.RecordBatch.from_arrays(columns, ["view", "label", "surety", "row"])
+
+        found = self.rows.mapInArrow(run, "view int, label int, surety double, row long")
+        local = stored(found, "surest")
+        top = [
+            r
+            for k in (0, 1)
+            for y in (0, 1)
+            for r in local.where((F.col("view") == k) & (F.col("label") == y)).orderBy(F.desc("surety"), "row").limit(take).collect()
+        ]
+        ids = self.rows.sparkSession.createDataFrame([(i,) for i in {r.row for r in top}], "row long")
+        read = self.rows.join(F.broadcast(ids), "row", "left_semi").collect()  # at most 4 * MOST_GIVEN rows
+        features = {r.row: (np.array(r.content), np.array(r.metadata)) for r in read}
+        return [(r.view, r.row, float(r.label), *features[r.row]) for r in top]
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
+def cotrain(content: np.ndarray, metadata: np.ndarray, label: np.ndarray, more: Unlabelled, rounds: int = ROUNDS) -> Model:
     """Fits both views in rounds; every fourth labelled row is kept for calibration."""
     fold = np.arange(len(label)) % 4 == 3
     if len(set(label[~fold].tolist())) < 2 or len(set(label[fold].tolist())) < 2:
         fold = np.zeros(len(label), bool)
-    views, more = [content, metadata], [more_content, more_metadata]
-    given: list[dict[int, float]] = [{}, {}]  # pseudo-labels that each view has been given
-    fitted: list[View] = []
-    for _ in range(rounds + 1):
-        fitted = []
+    views = [content, metadata]
+    named: list[set[int]] = [set(), set()]  # rows that each view has labelled
+    x, y, w = [v[~fold] for v in views], [label[~fold]] * 2, [np.ones((~fold).sum())] * 2
+    for done in range(rounds + 1):
+        fitted = [_view(x[k], y[k], w[k]) for k in (0, 1)]
+        found = more.surest(fitted, named) if done < rounds else []
         for k in (0, 1):
-            rows = np.array(sorted(given[k]), np.int64)
-            x = np.concatenate([views[k][~fold], more[k][rows]])
-            y = np.concatenate([label[~fold], [given[k][i] for i in rows]])
-            w = np.concatenate([np.ones((~fold).sum()), np.full(len(rows), 0.3)])
-            fitted.append(_view(x, y, w))
-        for k in (0, 1):
-            p = _sigmoid(fitted[k].logit(more[k]))
-            take = int(CONFIDENT * len(p) / 2)
-            order = np.argsort(p)
-            sure = [i for i in (*order[:take], *order[len(p) - take :]) if min(p[i], 1 - p[i]) < 0.02]
-            given[1 - k].update({int(i): float(p[i] > 0.5) for i in sure})
+            own = [f for f in found if f[0] == k]
+            named[k].update(f[1] for f in own)
+            if own:  # what one view is sure of is given to the other
+                x[1 - k] = np.concatenate([x[1 - k], [f[4 - k] for f in own]])
+                y[1 - k] = np.append(y[1 - k], [f[2] for f in own])
+                w[1 - k] = np.append(w[1 - k], np.full(len(own), 0.3))
+        if not found:
+            break
     check = fold if fold.any() else np.ones(len(label), bool)
     for k in (0, 1):
         beta = _logistic(fitted[k].logit(views[k][check])[:, None], label[check], np.ones(check.sum()), 0.01)
@@ -241,13 +301,11 @@ def _features(batch: pa.RecordBatch, first: int) -> tuple[np.ndarray, np.ndarray
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fits on bounded samples: labelled rows that are not held out, and rows without a label."""
+    """Fits on a bounded sample of the labelled rows that are not held out, and on all rows with text but no label."""
     meta = ["lang", "source", "n_chars"]
     named = docs.select(F.col(id_col).alias("_id"), *meta)
     sample = labelled_sample(docs, labels, "quality", id_col, text_col, SAMPLE_PER_LABEL, SAMPLE_CHARS)
-    bare = docs.select(F.col(id_col)).join(labels.select(id_col), id_col, "left_anti").distinct()
-    zero = bare.where(F.col(id_col).isNotNull()).select(id_col, F.lit(0).alias("none"))
-    rest = labelled_sample(docs, zero, "none", id_col, text_col, UNLABELLED, UNLABELLED_CHARS)
+    told = labels.where(F.col("quality").isin(0, 1))
 
     def known(rows: DataFrame) -> pa.RecordBatch:
         texts = rows.toArrow().combine_chunks()
@@ -266,13 +324,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             }
         )
 
-    labelled, unlabelled = known(sample), known(rest)
+    labelled = known(sample)
     y = labelled.column(0).to_numpy().astype(float)
     content, metadata = _features(labelled, 1)
     if len(set(y.tolist())) < 2:
         empty = lambda x: View(np.zeros(x.shape[1]), np.ones(x.shape[1]), np.zeros(x.shape[1] + 1))
         return Model(empty(content), empty(metadata), np.array([0.0, 0.0, -5.0 if len(y) and y[0] == 0 else 5.0]))
-    return cotrain(content, metadata, y, *_features(unlabelled, 1))
+    return cotrain(content, metadata, y, Unlabelled(docs, told, id_col, text_col))
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

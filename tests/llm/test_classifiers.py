@@ -122,3 +122,31 @@ def test_a_huge_text_and_plenty_of_one_label_leave_the_rare_label_whole(spark, d
     sample = toxicity.labelled_sample(docs(*rows), labels, "toxic", "doc_id", "text", 2000, 20_000).collect()
     assert {r._id for r in sample if r._label == 1} == set(rare)
     assert len([r for r in sample if r._label == 0]) == 200 and huge not in {r._id for r in sample}
+
+
+def test_pseudo_labels_come_from_all_unlabelled_rows(spark, docs):
+    """The surest of all rows are given, by either view, and none of them twice."""
+    own = docs(*((i if i % 2 else None, f"text {i} " * (i % 9 + 1)) for i in range(7005)), (1, None)).repartition(5)
+    told = spark.createDataFrame([(i,) for i in (1, 3, 5, 7, 9)], "doc_id long")
+    more = quality.Unlabelled(own, told, "doc_id", "text")
+    read = more.rows.collect()
+    assert len(read) == 7000 and more.take == quality.MOST_GIVEN
+    rng, views = np.random.default_rng(1), []
+    for name in ("content", "metadata"):
+        x = np.array([r[name] for r in read])
+        views.append(quality.View(x.mean(0), x.std(0) + 1, rng.standard_normal(x.shape[1] + 1) * 20))
+    given = [set(), set()]
+    for _ in range(3):
+        found = more.surest(views, given)
+        for k, name in enumerate(("content", "metadata")):
+            logit = views[k].logit(np.array([r[name] for r in read]))
+            for y in (0, 1):
+                rows = [f[1] for f in found if f[0] == k and f[2] == y]
+                surety = sorted(
+                    (s for r, s in zip(read, logit if y else -logit, strict=True) if r.row not in given[k] and s > quality.SURE), reverse=True
+                )
+                at = {r.row: i for i, r in enumerate(read)}
+                got = sorted(((1 if y else -1) * logit[at[i]] for i in rows), reverse=True)
+                assert len(set(rows)) == len(rows) and np.allclose(got, surety[: more.take], atol=1e-3)
+            given[k].update(f[1] for f in found if f[0] == k)
+    assert given[0] and given[1]
