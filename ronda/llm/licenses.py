@@ -17,7 +17,8 @@ BASE = {"mit license": "mit", "apache license": "apache", "general public licens
 
 # Label, keyword that a text must contain, pattern of the name.
 FAMILIES = (
-    ("mit", " mit ", "mit|mit x11|expat"),
+    ("mit", " mit ", "mit|mit x11"),
+    ("mit", " expat ", "expat"),
     ("apache", " apache ", "apache(?: software)?(?: license)?"),
     ("gpl", " gpl", "gplv?|gnu gplv?"),
     ("gpl", " public license ", "(?:gnu )?general public license"),

@@ -36,6 +36,39 @@ def test_there_are_hundreds_of_rules():
     assert len(known) >= 300 and all(re.compile(r[3]) for r in known)
 
 
+def spelled(tree):
+    """Every string that a parsed pattern of literals, sets, branches and optional parts matches."""
+    out = [""]
+    for kind, value in tree:
+        match str(kind):
+            case "LITERAL":
+                tails = [chr(value)]
+            case "IN":
+                tails = [chr(c) for _, c in value]
+            case "BRANCH":
+                tails = [t for branch in value[1] for t in spelled(branch)]
+            case "SUBPATTERN":
+                tails = spelled(value[3])
+            case "MAX_REPEAT":
+                assert value[:2] == (0, 1)
+                tails = ["", *spelled(value[2])]
+            case other:
+                raise AssertionError(other)
+        out = [a + b for a in out for b in tails]
+    return out
+
+
+def test_every_alternative_of_a_family_contains_its_keyword():
+    for _, keyword, name in licenses.FAMILIES:
+        for one in spelled(re._parser.parse(name)):
+            assert keyword in f" {one} ", (keyword, one)
+
+
+def test_expat_without_the_word_mit(docs):
+    row = scan(docs((1, "Licensed under the Expat license.")))[0]
+    assert row.labels == "mit"
+
+
 def test_places_of_base_phrases(docs):
     rows = [
         (1, "MIT License mit license, MIT-License"),
