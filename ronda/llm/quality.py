@@ -9,6 +9,7 @@ combined into the probability that a document is good.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -142,7 +143,7 @@ def metadata_view(column: pa.Array, lang: list, source: list, n_chars: np.ndarra
 
 
 def _bucket(value: object) -> int:
-    code = 0 if value is None else 1 + int.from_bytes(str(value).encode()[-7:], "big")
+    code = 0 if value is None else 1 + zlib.crc32(str(value).encode())
     return int(mix(np.array([code], np.uint64))[0] % BUCKETS)
 
 

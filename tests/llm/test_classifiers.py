@@ -150,3 +150,8 @@ def test_pseudo_labels_come_from_all_unlabelled_rows(spark, docs):
                 assert len(set(rows)) == len(rows) and np.allclose(got, surety[: more.take], atol=1e-3)
             given[k].update(f[1] for f in found if f[0] == k)
     assert given[0] and given[1]
+
+
+def test_names_with_a_common_ending_are_told_apart():
+    buckets = {quality._bucket(f"{c}.example.com") for c in "abcdefghijklmnopqrstuvwxyz"}
+    assert len(buckets) > 10
