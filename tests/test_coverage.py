@@ -1,6 +1,6 @@
 import datetime as dt
 
-from conftest import grant, person, rows
+from literals import grant, person, rows
 
 from ronda.operators import coverage, fulfilment, open_posts, scope, shifts
 from ronda.plans.ordering import in_report_order

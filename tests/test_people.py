@@ -1,7 +1,7 @@
 import datetime as dt
 import random
 
-from conftest import grant, person, rows
+from literals import grant, person, rows
 
 from ronda.operators import contacts, messaging, updates
 

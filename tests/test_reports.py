@@ -4,7 +4,7 @@ import datetime as dt
 import json
 
 import pytest
-from conftest import rows
+from literals import rows
 from pyspark.sql import functions as F
 
 from ronda.plans.edge import json_rows

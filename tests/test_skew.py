@@ -3,7 +3,7 @@
 import datetime as dt
 
 import pytest
-from conftest import rows
+from literals import rows
 from pyspark.sql import functions as F
 
 from ronda.operators import fulfilment, nesting, shifts

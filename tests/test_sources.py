@@ -2,7 +2,7 @@ import datetime as dt
 import re
 
 import pytest
-from conftest import person, rows
+from literals import person, rows
 from pyspark.sql import functions as F
 
 from ronda.operators import updates
