@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ronda.llm import bpe, fingerprints, hard_negatives, licenses, multi_index, packing, quality, toxicity, url_filters, warc
+from ronda.llm import bpe, fingerprints, hard_negatives, licenses, multi_index, packing, quality, spelling, toxicity, url_filters, warc
 from ronda.llm.jaccard_join import near_duplicate_groups
 from ronda.llm.store import prepare_workers
 from ronda.session import prepare
@@ -81,6 +81,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(table(spark, sf_dir, "documents"), edit_every=199)
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mined(hard_negatives.prepared(table(spark, sf_dir, "embeddings")))
 
@@ -97,5 +101,6 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_multi_index": op8_multi_index,
         "op9_licenses": op9_licenses,
         "op10_jaccard_join": op10_jaccard_join,
+        "op11_spelling": op11_spelling,
         "op13_hard_negatives": op13_hard_negatives,
     }
