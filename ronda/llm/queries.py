@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ronda.llm import bpe, fingerprints, hard_negatives, licenses, multi_index, packing, quality, spelling, toxicity, url_filters, warc
+from ronda.llm import bpe, fingerprints, hard_negatives, licenses, multi_index, packing, pii, pii_examples, quality, spelling, toxicity, url_filters, warc
 from ronda.llm.jaccard_join import near_duplicate_groups
 from ronda.llm.store import prepare_workers
 from ronda.session import prepare
@@ -85,6 +85,11 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variant_groups(table(spark, sf_dir, "documents"), edit_every=199)
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.digests(pii.personal_data(docs, pii.fit(pii_examples.labelled(spark))))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mined(hard_negatives.prepared(table(spark, sf_dir, "embeddings")))
 
@@ -102,5 +107,6 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_licenses": op9_licenses,
         "op10_jaccard_join": op10_jaccard_join,
         "op11_spelling": op11_spelling,
+        "op12_pii": op12_pii,
         "op13_hard_negatives": op13_hard_negatives,
     }
