@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ronda import fixed_values as fv
 from ronda.functions.text import filled, strip
 from ronda.operators.scope import Principals, restrict, visible_rows
+from ronda.operators.updates import one_of_each
 from ronda.schemas import require_columns
 
 CONTACT_SITE = ["contacto_id", "instalacion_rol"]
@@ -180,22 +182,60 @@ def participant_funnel(
     )
 
 
+LINKED, APP, LOGIN = "contacto", "usuario_app", "permisos"
+
+
 def participant_samples(
-    site_contacts: DataFrame, contacts: DataFrame, site: str, rows: int = 5
+    site_contacts: DataFrame,
+    contacts: DataFrame,
+    perms: DataFrame,
+    site: str | None = None,
+    linked_rows: int = 5,
+    app_rows: int = 10,
 ) -> DataFrame:
-    """A few contact rows of one site with what the contact table says."""
-    linked = (
-        site_contacts.filter(F.col("instalacion_rol") == site)
-        .orderBy("contacto_id", "cliente_rol")
-        .limit(rows)
-    )
-    known = contacts.select(
-        "contacto_id",
+    """What to look at where :func:`participant_funnel` shows a site without participants, for every site.
+
+    (instalacion_rol, muestra, n, contacto_id, cliente_rol, email_usuario_app,
+    activo, es_usuario_app, existe, rol_id, firebase_uid).  ``contacto`` are the first
+    contact rows of the site with what the contact table says of them,
+    ``usuario_app`` the first of its distinct active app users, ``permisos`` the
+    permission row, if there is one, of the first of these with an address.
+    First is by contact, client and address.  Of contacts and permission rows that
+    repeat their key the first by all columns counts.
+
+    Only the first rows of a group leave a task before they are shuffled, and
+    only these are joined to anything.
+    """
+    require_columns(site_contacts, "site_contacts")
+    require_columns(contacts, "contacts")
+    if site is not None:
+        site_contacts = site_contacts.filter(F.col("instalacion_rol") == site)
+
+    def first_of(rows: DataFrame, order: list[str], most: int) -> DataFrame:
+        nth = F.row_number().over(W.partitionBy("instalacion_rol").orderBy(*order))
+        return rows.withColumn("n", nth).filter(F.col("n") <= most)
+
+    known = contacts.select("contacto_id", "email_usuario_app", "activo", "es_usuario_app", F.lit(True).alias("existe"))
+    single = one_of_each(known, "contacto_id", ["email_usuario_app"])
+    links = site_contacts.select("instalacion_rol", "contacto_id", "cliente_rol")
+    linked = first_of(links, ["contacto_id", "cliente_rol"], linked_rows).join(single, "contacto_id", "left")
+    app = known.filter("activo and es_usuario_app").select("contacto_id", "email_usuario_app").distinct()
+    users = links.select("instalacion_rol", "contacto_id").distinct().join(app, "contacto_id")
+    sampled = first_of(users, ["contacto_id", "email_usuario_app"], app_rows)
+    login = sampled.filter(F.col("n") == 1).filter(filled(F.col("email_usuario_app")))
+    rights = one_of_each(
+        perms.select(F.col("email_login").alias("email_usuario_app"), "rol_id", "firebase_uid", F.col("usuario_activo").alias("activo")),
         "email_usuario_app",
-        "activo",
-        "es_usuario_app",
-        F.lit(True).alias("existe"),
-    )
-    return linked.join(known, "contacto_id", "left").withColumn(
-        "existe", F.coalesce("existe", F.lit(False))
-    )
+        ["rol_id"],
+    ).withColumn("existe", F.lit(True))
+    permission = login.select("instalacion_rol", "n", "contacto_id", "email_usuario_app").join(rights, "email_usuario_app", "left")
+    columns = {
+        "cliente_rol": "string", "activo": "boolean", "es_usuario_app": "boolean", "existe": "boolean", "rol_id": "string", "firebase_uid": "string",
+    }
+
+    def shown(rows: DataFrame, sample: str) -> DataFrame:
+        rest = [F.col(c) if c in rows.columns else F.lit(None).cast(kind).alias(c) for c, kind in columns.items() if c != "existe"]
+        there = F.coalesce("existe", F.lit(False)) if "existe" in rows.columns else F.lit(True)
+        return rows.select("instalacion_rol", F.lit(sample).alias("muestra"), "n", "contacto_id", "email_usuario_app", *rest, there.alias("existe"))
+
+    return shown(linked, LINKED).unionByName(shown(sampled, APP)).unionByName(shown(permission, LOGIN))

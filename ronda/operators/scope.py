@@ -15,9 +15,6 @@ from ronda.schemas import require_columns
 # email_login column.
 Principals = None | str | Sequence[str] | DataFrame
 
-# Most sites that may be broadcast to narrow facts down.
-BROADCAST_SITES = 100_000
-
 PROFILE = ("email_login", "nombre_completo", "cliente_rol", "rol_id", "nombre_rol")
 
 
@@ -86,16 +83,14 @@ def nearby(visible: DataFrame, principals: Principals) -> Callable[[DataFrame, l
     """Narrows facts, by any key columns of ``visible``, to the sites that a few named principals see.
 
     With all principals, or a frame of them, facts come down to site grain as
-    they are.  For named ones the sites are counted once for the report, and if
-    there are no more than ``BROADCAST_SITES``, facts of other sites are dropped
-    before anything is shuffled.
+    they are.  For named ones facts of other sites are left out by a semi join,
+    which the optimizer places and carries out by the sizes it meets: sites that
+    are few are broadcast by it, and of many a bloom filter or the partitions
+    they lie in reach the scan.  Nothing is counted while the plan is made.
     """
     if principals is None or isinstance(principals, DataFrame):
         return lambda facts, keys: facts
-    sites = visible.select(*[c for c in ("cliente_rol", "instalacion_rol") if c in visible.columns]).distinct()
-    if sites.limit(BROADCAST_SITES + 1).count() > BROADCAST_SITES:
-        return lambda facts, keys: facts
-    return lambda facts, keys: facts.join(F.broadcast(sites.select(*keys).distinct()), keys, "left_semi")
+    return lambda facts, keys: facts.join(visible.select(*keys).distinct(), keys, "left_semi")
 
 
 def near(facts: DataFrame, visible: DataFrame, keys: list[str], principals: Principals) -> DataFrame:

@@ -130,6 +130,26 @@ def shift_sites(
     )
 
 
+def site_pages(
+    shifts: DataFrame,
+    open_posts: DataFrame,
+    grants: DataFrame,
+    principals: Principals = None,
+    page_rows: int = PAGE_ROWS,
+) -> DataFrame:
+    """The detail of every visible site as one report: shifts, open slots with their working day, and totals.
+
+    One row per principal, site and page; ``turnos`` and ``ppc_por_turno`` are null
+    on pages that only the other of them reaches, and company and totals of
+    :func:`shift_sites` stand on each page.
+    """
+    key = ["email_login", "instalacion_rol", "pagina"]
+    lines = shift_pages(shifts, grants, principals, page_rows)
+    slots = posts.open_posts_nested(open_posts, grants, True, principals, page_rows)
+    sites = shift_sites(shifts, open_posts, grants, principals)
+    return lines.join(slots, key, "full_outer").join(sites, key[:2])
+
+
 def site_shift_detail(
     shifts: DataFrame,
     grants: DataFrame,

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ronda import fixed_values as fv
 from ronda.functions.text import filled, none_if_empty, row_id, strip
+from ronda.operators.surveys import one_request_each
 from ronda.operators.updates import keyed_update, one_of_each
 from ronda.schemas import require_columns
 from ronda.settings import DEFAULTS, Settings
@@ -56,13 +57,6 @@ def _respondent() -> Column:
     return F.when(must_give | filled(given), name).otherwise(F.col("encuestado_guardado"))
 
 
-def one_request_each(requests: DataFrame) -> DataFrame:
-    """One row for each survey id: a done one if there is any."""
-    done = F.when(F.col("estado") == fv.STATE_DONE, 0).otherwise(1)
-    order = ["_abierta", *sorted(c for c in requests.columns if c != "encuesta_id")]
-    return one_of_each(requests.withColumn("_abierta", done), "encuesta_id", order).drop("_abierta")
-
-
 def decide_submissions(
     submissions: DataFrame, requests: DataFrame, perms: DataFrame, settings: Settings = DEFAULTS
 ) -> DataFrame:

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ronda import fixed_values as fv
 from ronda.functions.time import open_periods
+from ronda.operators.nesting import PAGE_ROWS, nest_rows
 from ronda.operators.scope import Principals, near, visible_rows
+from ronda.operators.updates import one_of_each
 from ronda.schemas import require_columns
 
 CLIENT_SITE = ["cliente_rol", "instalacion_rol"]
@@ -41,6 +43,13 @@ def _open_requests(requests: DataFrame, as_of: dt.date) -> DataFrame:
     return requests.filter(F.col("periodo").isin(*open_periods(as_of)))
 
 
+def one_request_each(requests: DataFrame) -> DataFrame:
+    """One row for each survey id: a done one if there is any, else the first by its columns."""
+    done = F.when(F.col("estado") == fv.STATE_DONE, 0).otherwise(1)
+    order = ["_abierta", *sorted(c for c in requests.columns if c != "encuesta_id")]
+    return one_of_each(requests.withColumn("_abierta", done), "encuesta_id", order).drop("_abierta")
+
+
 def _viewers(
     grants: DataFrame, perms: DataFrame, staff_roles: Sequence[str], principals: Principals
 ) -> DataFrame:
@@ -166,19 +175,152 @@ def survey_inbox_by_site(
     )
 
 
+SURVEY = [
+    "encuesta_id",
+    "periodo",
+    "modo",
+    "estado",
+    "email_destinatario",
+    "fecha_creacion",
+    "fecha_limite",
+    "respondido_por_email",
+    "respondido_por_nombre",
+    "encuestado_nombre",
+    "tipo_respuesta",
+    "fecha_respuesta",
+]
+PLACE = ["instalacion_rol", "clientes"]
+
+
+def _surveys_shown() -> Column:
+    """Surveys of a page with what the viewer ``email_login`` may do with each."""
+
+    def shown(s: Column) -> Column:
+        shared = F.coalesce(s["modo"] == fv.MODE_SHARED, F.lit(False))
+        individual = F.coalesce(s["modo"] == fv.MODE_INDIVIDUAL, F.lit(False))
+        own = individual & s["email_destinatario"].eqNullSafe(F.col("email_login"))
+        pending = F.coalesce(s["estado"] == fv.STATE_PENDING, F.lit(False))
+        done = F.coalesce(s["estado"] == fv.STATE_DONE, F.lit(False))
+        return F.struct(
+            *[s[c].alias(c) for c in SURVEY],
+            (pending & (shared | own)).alias("puede_responder"),
+            (done & (F.col("es_personal") | shared | own)).alias("puede_ver_respuestas"),
+        )
+
+    return F.transform("encuestas", shown).alias("encuestas")
+
+
+def survey_pages(
+    requests: DataFrame,
+    grants: DataFrame,
+    perms: DataFrame,
+    as_of: dt.date,
+    staff_roles: Sequence[str],
+    principals: Principals = None,
+    page_rows: int = PAGE_ROWS,
+) -> DataFrame:
+    """:func:`survey_inbox` nested: (email_login, instalacion_rol, pagina, encuestas).
+
+    The surveys of a site, under all clients the viewer sees it under, ordered
+    by mode, newest first, and cut into pages of ``page_rows`` from 0.
+
+    Lists are ordered and cut once for each site, set of clients and audience,
+    not for each viewer.  Staff take the list of the staff as it is.  Everybody
+    else merges two lists in order: shared surveys and their own, which come
+    later by mode, so the place of an own survey is its rank plus the number of
+    shared ones.  A page of the own list falls on two pages of the merged one at
+    most; where it meets the last shared page, both are put together.  What is
+    joined to viewers are pages; single surveys are never dealt out by viewer.
+    """
+    viewers = _viewers(grants, perms, staff_roles, principals)
+    # Viewers who see the same name under the same clients share their lists.
+    seen = viewers.filter(F.col("instalacion_rol").isNotNull()).groupBy("email_login", "instalacion_rol", "es_personal").agg(
+        F.array_sort(F.collect_set("cliente_rol")).alias("clientes")
+    )
+    open_now = near(_open_requests(requests, as_of), viewers, CLIENT_SITE, principals)
+    places = seen.select(*PLACE).distinct()
+    offered = _offered(
+        places.withColumn("cliente_rol", F.explode("clientes")).join(open_now, CLIENT_SITE)
+    ).withColumn("_nueva", F.coalesce(-F.unix_micros("fecha_creacion"), F.lit(2**63 - 1)))
+    # Two surveys may share id and moment; the client and the other columns decide then.
+    nested = nest_rows(
+        offered.select(*PLACE, "publico", "modo", "_nueva", *[c for c in SURVEY if c != "modo"], "cliente_rol"),
+        [*PLACE, "publico"],
+        ["modo", "_nueva", "encuesta_id"],
+        "encuestas",
+        page_rows,
+    )
+    for_staff = nested.filter(F.col("publico") == STAFF).drop("publico")
+    shared = nested.filter(F.col("publico") == ANYONE).drop("publico")
+    personal = nested.filter(F.startswith("publico", F.lit(PERSON)))
+    shared_total = (
+        offered.filter(F.col("publico") == ANYONE).groupBy(*PLACE).agg(F.count(F.lit(1)).alias("_compartidas"))
+    )
+    staff, others = seen.filter("es_personal"), seen.filter(~F.col("es_personal"))
+    first = F.coalesce("_compartidas", F.lit(0)) + F.col("pagina") * page_rows
+    cut = page_rows - first % page_rows
+    own = (
+        others.withColumn("publico", F.concat(F.lit(PERSON), F.lower("email_login")))
+        .join(personal, [*PLACE, "publico"])
+        .join(shared_total, PLACE, "left")
+        .withColumns({"_hoja": F.floor(first / page_rows), "_corte": cut.cast("int")})
+        .withColumn(
+            "_parte",
+            F.explode(
+                F.array(
+                    F.struct(F.col("_hoja").alias("pagina"), F.slice("encuestas", F.lit(1), F.col("_corte")).alias("encuestas")),
+                    F.struct(
+                        (F.col("_hoja") + 1).alias("pagina"),
+                        F.slice("encuestas", F.col("_corte") + 1, F.lit(page_rows)).alias("encuestas"),
+                    ),
+                )
+            ),
+        )
+        .filter(F.size("_parte.encuestas") > 0)
+    )
+    # The two parts that may fall on one page: the end of a page of own surveys and the beginning of the next.
+    own_pages = (
+        own.groupBy("email_login", *PLACE, F.col("_parte.pagina").alias("pagina"))
+        .agg(
+            F.flatten(
+                F.transform(
+                    F.array_sort(F.collect_list(F.struct(F.col("pagina").alias("p"), F.col("_parte.encuestas").alias("e")))),
+                    lambda x: x["e"],
+                )
+            ).alias("encuestas"),
+            F.first(F.coalesce("_compartidas", F.lit(0))).alias("_compartidas"),
+        )
+    )
+    meets = (F.col("pagina") == F.floor(F.col("_compartidas") / page_rows)) & (F.col("_compartidas") % page_rows != 0)
+    meeting = own_pages.filter(meets).select("email_login", *PLACE, F.col("pagina").alias("_hoja"), F.col("encuestas").alias("_propias"))
+    with_shared = others.join(meeting, ["email_login", *PLACE], "left").join(shared, PLACE)
+    joined = F.when(F.col("pagina") == F.col("_hoja"), F.concat("encuestas", "_propias")).otherwise(F.col("encuestas"))
+    columns = ["email_login", "instalacion_rol", "es_personal", "pagina", "encuestas"]
+    parts = (
+        staff.join(for_staff, PLACE).select(*columns),
+        with_shared.withColumn("encuestas", joined).select(*columns),
+        own_pages.filter(~meets).withColumn("es_personal", F.lit(False)).select(*columns),
+    )
+    pages = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return pages.select("email_login", "instalacion_rol", "pagina", _surveys_shown())
+
+
 def survey_form(
     asks: DataFrame, requests: DataFrame, grants: DataFrame, questions: DataFrame
 ) -> SurveyForm:
     """Answers ``asks`` (principal, survey) with a header and its ``acceso``.
 
-    ``acceso`` is ``ok``, ``sin_acceso`` without a visible grant for the site,
+    Of requests that repeat an id the one that is done counts, as in all reports
+    on a single survey.  ``acceso`` is ``ok``, ``sin_acceso`` without a visible grant for the site,
     or ``no_encontrada``; the header is filled for ``ok`` only.
     """
     require_columns(requests, "survey_requests")
     require_columns(questions, "questions")
     require_columns(asks, "survey_asks")
     header = ["periodo", "modo", "estado", "fecha_limite", "encuestado_nombre"]
-    surveys = requests.select("encuesta_id", *CLIENT_SITE, *header, F.lit(True).alias("_existe"))
+    surveys = one_request_each(requests).select(
+        "encuesta_id", *CLIENT_SITE, *header, F.lit(True).alias("_existe")
+    )
     seen = visible_rows(grants).distinct().withColumn("_ve", F.lit(True))
     asked = asks.join(surveys, "encuesta_id", "left").join(
         seen, ["email_login", *CLIENT_SITE], "left"
@@ -218,7 +360,7 @@ def survey_answers(requests: DataFrame, answers: DataFrame, questions: DataFrame
     """
     require_columns(requests, "survey_requests")
     require_columns(answers, "answers")
-    done = requests.filter(F.col("estado") == fv.STATE_DONE).select(
+    done = one_request_each(requests).filter(F.col("estado") == fv.STATE_DONE).select(
         "encuesta_id", "periodo", "instalacion_rol", "modo", "email_destinatario"
     )
     asked = questions.select("pregunta_id", "texto_pregunta", "tipo_respuesta", "orden")
@@ -247,7 +389,7 @@ def answer_access(
     staff = F.coalesce(F.col("rol_id").isin(list(staff_roles)), F.lit(False))
     active = perms.filter("usuario_activo").select("email_login", staff.alias("es_personal"))
     header = ["periodo", "instalacion_rol", "modo", "respondido_por_nombre", "encuestado_nombre"]
-    surveys = requests.select(
+    surveys = one_request_each(requests).select(
         "encuesta_id",
         *header,
         "email_destinatario",

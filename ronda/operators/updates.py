@@ -5,14 +5,20 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def one_of_each(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """One row for each key, the first by ``order``, whatever order rows come in."""
-    first = F.row_number().over(W.partitionBy(key).orderBy(*order))
-    return rows.withColumn("_nth", first).filter(F.col("_nth") == 1).drop("_nth")
+    """One row for each key, the first by ``order`` and then by all other columns.
+
+    A minimum that combines before the shuffle, so that no table is sorted by
+    all its columns and a key that is repeated very often costs no more than
+    others.
+    """
+    lead = [c for c in order if c != key]
+    rest = [c for c in rows.columns if c != key and c not in lead]
+    first = rows.groupBy(key).agg(F.min(F.struct(*lead, *rest)).alias("_primera"))
+    return first.select(*[key if c == key else F.col(f"_primera.{c}").alias(c) for c in rows.columns])
 
 
 def keyed_update(

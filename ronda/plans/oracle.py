@@ -142,7 +142,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
                WHEN asistencia = 1 THEN 'A tiempo' END AS puntualidad
         FROM shifts""",
     ),
-    "requests": (
+    "single_requests": (
         (),
         f"""SELECT o_orderkey::VARCHAR AS encuesta_id,
           strftime(date_trunc('month', o_orderdate) - to_months((month(o_orderdate) % 2)::INTEGER),
@@ -161,6 +161,20 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
           CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL 10 DAY END AS fecha_respuesta
         FROM (SELECT *, o_orderkey % {SITES} AS sitio FROM orders) JOIN supplier ON s_suppkey = sitio""",
     ),
+    "requests": (
+        ("single_requests",),
+        """SELECT * FROM single_requests UNION ALL
+        SELECT * REPLACE ('pendiente' AS estado, fecha_creacion + INTERVAL 1 DAY AS fecha_creacion,
+          NULL AS respondido_por_email, NULL AS respondido_por_nombre, NULL AS tipo_respuesta,
+          NULL AS fecha_respuesta)
+        FROM single_requests WHERE encuesta_id::BIGINT % 11 = 0""",
+    ),
+    "one_request": (
+        ("requests",),
+        """SELECT * FROM requests
+        QUALIFY row_number() OVER (PARTITION BY encuesta_id
+          ORDER BY estado <> 'completada', fecha_creacion) = 1""",
+    ),
     "questions": (
         (),
         """SELECT p_partkey::VARCHAR AS pregunta_id, p_name AS texto_pregunta,
@@ -186,25 +200,25 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
                OR (r.modo = 'individual' AND lower(r.email_destinatario) = lower(v.email_login)))""",
     ),
     "shown_answers": (
-        ("requests", "questions"),
+        ("one_request", "questions"),
         """SELECT r.encuesta_id, r.instalacion_rol, r.periodo, r.modo,
           CASE WHEN r.modo = 'individual' THEN r.email_destinatario END AS solo_para,
           q.pregunta_id, q.texto_pregunta, q.tipo_respuesta,
           l_quantity::INTEGER::VARCHAR AS respuesta_valor,
           CASE WHEN l_returnflag = 'R' THEN l_linestatus END AS comentario, q.orden
-        FROM lineitem JOIN requests r ON r.encuesta_id = l_orderkey::VARCHAR
+        FROM lineitem JOIN one_request r ON r.encuesta_id = l_orderkey::VARCHAR
         JOIN questions q ON q.pregunta_id = l_partkey::VARCHAR
         WHERE r.estado = 'completada'""",
     ),
     "answer_rights": (
-        ("asks", "requests", "active"),
+        ("asks", "one_request", "active"),
         """SELECT s.email_login, s.encuesta_id, r.* EXCLUDE (encuesta_id),
           CASE WHEN r.encuesta_id IS NULL THEN 'no_encontrada'
                WHEN a.rol_id <> 'ADMIN' AND r.modo = 'individual'
                     AND r.email_destinatario <> s.email_login THEN 'sin_acceso'
                WHEN r.estado <> 'completada' THEN 'sin_responder' ELSE 'ok' END AS acceso
         FROM asks s JOIN active a ON a.email_login = s.email_login
-        LEFT JOIN requests r ON r.encuesta_id = s.encuesta_id""",
+        LEFT JOIN one_request r ON r.encuesta_id = s.encuesta_id""",
     ),
     "submitted": (
         (),
@@ -222,7 +236,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     # Verdict against the stored state, then again for whatever arrives after
     # the first accepted submission of a pending survey.
     "first_look": (
-        ("submitted", "requests", "active"),
+        ("submitted", "one_request", "active"),
         """SELECT s.*, r.encuesta_id IS NOT NULL AS existe, a.email_login IS NOT NULL AS conocido,
           a.nombre_completo, a.rol_id, r.modo, r.estado, r.email_destinatario, r.fecha_limite,
           r.respondido_por_email, r.encuestado_nombre AS guardado,
@@ -230,7 +244,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
             AND CASE r.modo WHEN 'compartida' THEN r.estado <> 'completada' AND s.nombre IS NOT NULL
                 ELSE r.email_destinatario = s.email
                   AND NOT (r.estado = 'completada' AND r.respondido_por_email = s.email) END AS vale
-        FROM submitted s LEFT JOIN requests r ON r.encuesta_id = s.encuesta_id
+        FROM submitted s LEFT JOIN one_request r ON r.encuesta_id = s.encuesta_id
         LEFT JOIN active a ON a.email_login = s.email""",
     ),
     "decided": (
@@ -310,7 +324,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
 
 
 # Tables that a text uses more than once.
-MATERIALIZED = {"requests", "decided", "answer_rights", "shown_answers"}
+MATERIALIZED = {"requests", "one_request", "decided", "answer_rights", "shown_answers"}
 
 
 def _with(*names: str) -> str:
@@ -447,6 +461,11 @@ FROM may_see LEFT JOIN live USING (email_login) LEFT JOIN posts USING (email_log
 {_VISIBLE_ROLLUP} JOIN may_see m ON m.email_login = v.email_login
 LEFT JOIN posts_per_site p USING (instalacion_rol) LEFT JOIN devices d ON d.nombre = instalacion_rol
 GROUP BY v.email_login, instalacion_rol, cliente_rol, c.zona, c.empresa, d.numero, d.ult_conexion""",
+    "coverage_by_site_placed": "SELECT *, row_number() OVER (ORDER BY email_login, guardias_ausentes DESC, porcentaje_cobertura, "
+    "instalacion_rol, cliente_rol, faceid_numero NULLS FIRST) AS lugar FROM (SELECT email_login, instalacion_rol, "
+    "cliente_rol, guardias_ausentes, porcentaje_cobertura, faceid_numero FROM ("
+    + _by_site(2, True, "nullif(d.numero, '')")
+    + "))",
     "coverage_rollup": _with("shifts")
     + f"""SELECT instalacion_rol, zona, cliente_rol, empresa, tipo_de_servicio,
   count(*) AS total_guardias_requeridos, count(*) FILTER (asistencia = 1) AS guardias_presentes,
@@ -475,6 +494,26 @@ FROM shown_shifts JOIN visible v USING (instalacion_rol)""",
 SELECT v.email_login, instalacion_rol, pagina, count(*) AS total_turnos,
   string_agg(codigo_turno || '@' || hora_entrada_planificada, ',' ORDER BY turno, her) AS inicios
 FROM ranked JOIN visible v USING (instalacion_rol) GROUP BY 1, 2, 3""",
+    "site_pages": _with("shown_shifts", "open_posts", "visible")
+    + """, granted AS (SELECT email_login, instalacion_rol, count(*) AS veces FROM visible GROUP BY 1, 2),
+firsts AS (SELECT instalacion_rol, empresa, count(*) OVER (PARTITION BY instalacion_rol) AS t FROM shown_shifts
+  QUALIFY row_number() OVER (PARTITION BY instalacion_rol
+    ORDER BY turno NULLS FIRST, her NULLS FIRST, empresa NULLS FIRST) = 1),
+a AS (SELECT instalacion_rol, (n - 1) // 8 AS pagina, count(*) AS t FROM (SELECT instalacion_rol,
+    row_number() OVER (PARTITION BY instalacion_rol ORDER BY turno NULLS FIRST, her NULLS FIRST) AS n FROM shown_shifts)
+  GROUP BY 1, 2),
+slots AS (SELECT instalacion_rol, turno, jornada, her, hsr, count(*) AS puestos FROM open_posts GROUP BY ALL),
+b AS (SELECT *, (row_number() OVER (PARTITION BY instalacion_rol ORDER BY her, hsr, turno, jornada) - 1) // 8 AS pagina
+  FROM slots),
+posts AS (SELECT instalacion_rol, count(*) AS t FROM open_posts GROUP BY 1),
+pages AS (SELECT instalacion_rol, pagina FROM a UNION SELECT instalacion_rol, pagina FROM b)
+SELECT g.email_login, p.instalacion_rol, p.pagina, f.empresa, coalesce(f.t, 0) * g.veces AS total_turnos,
+  coalesce(o.t, 0) * g.veces AS total_ppc, coalesce(a.t, 0) * g.veces AS turnos_en_pagina,
+  coalesce((SELECT string_agg(concat_ws('@', b.turno, b.jornada, strftime(b.her, '%H:%M'), b.puestos * g.veces), ','
+    ORDER BY b.her, b.hsr, b.turno, b.jornada) FROM b
+    WHERE b.instalacion_rol = p.instalacion_rol AND b.pagina = p.pagina), '') AS horarios
+FROM pages p JOIN granted g USING (instalacion_rol) LEFT JOIN a USING (instalacion_rol, pagina)
+LEFT JOIN firsts f USING (instalacion_rol) LEFT JOIN posts o USING (instalacion_rol)""",
     "shift_sites": _with("shifts", "open_posts", "visible")
     + """, seen AS (SELECT email_login, instalacion_rol, s.empresa,
     row_number() OVER (PARTITION BY email_login, instalacion_rol
@@ -549,11 +588,21 @@ FROM seen_surveys""",
   count(*) FILTER (estado = 'pendiente') AS pendientes,
   {_moment("min(fecha_limite) FILTER (estado = 'pendiente')", "fecha_vencimiento_proxima")}
 FROM seen_surveys GROUP BY 1, 2""",
-    "survey_form_headers": _with("asks", "requests", "grants")
+    "survey_pages": _with("seen_surveys")
+    + f""", ranked AS (SELECT *, row_number() OVER (PARTITION BY email_login, instalacion_rol
+    ORDER BY modo, fecha_creacion DESC, encuesta_id) - 1 AS n FROM seen_surveys)
+SELECT email_login, instalacion_rol, n // 3 AS pagina, (n % 3 + 1)::INTEGER AS puesto, encuesta_id, modo,
+  estado, {_moment("fecha_creacion", "fecha_creacion")},
+  estado = 'pendiente' AND (modo = 'compartida' OR email_destinatario = email_login)
+    AS puede_responder,
+  estado = 'completada' AND (personal OR modo = 'compartida' OR email_destinatario = email_login)
+    AS puede_ver_respuestas
+FROM ranked""",
+    "survey_form_headers": _with("asks", "one_request", "grants")
     + f""", form AS (SELECT a.email_login, a.encuesta_id AS pedida, r.*,
     (SELECT bool_or(g.puede_ver) FROM grants g WHERE g.email_login = a.email_login
       AND g.cliente_rol = r.cliente_rol AND g.instalacion_rol = r.instalacion_rol) AS ve
-  FROM asks a LEFT JOIN requests r ON r.encuesta_id = a.encuesta_id)
+  FROM asks a LEFT JOIN one_request r ON r.encuesta_id = a.encuesta_id)
 SELECT email_login, pedida AS encuesta_id,
   CASE WHEN encuesta_id IS NULL THEN 'no_encontrada' WHEN ve THEN 'ok' ELSE 'sin_acceso' END
     AS acceso,
@@ -636,6 +685,20 @@ WHERE mine.email_login IN (SELECT remite FROM chats)""",
     ON r.email_login = x.email_login AND r.rol_id = 'CLIENTE'
     WHERE x.instalacion_rol = s.instalacion_rol) AS clientes_validos
 FROM (SELECT instalacion_rol FROM site_contacts UNION SELECT instalacion_rol FROM grants) s""",
+    "participant_samples": _with("site_contacts", "contacts", "perms")
+    + """, linked AS (SELECT *, row_number() OVER (PARTITION BY instalacion_rol ORDER BY contacto_id, cliente_rol) AS n
+  FROM site_contacts QUALIFY n <= 5),
+users AS (SELECT DISTINCT instalacion_rol, contacto_id, email_usuario_app FROM site_contacts JOIN contacts USING (contacto_id)
+  WHERE activo AND es_usuario_app),
+sampled AS (SELECT *, row_number() OVER (PARTITION BY instalacion_rol ORDER BY contacto_id, email_usuario_app NULLS FIRST) AS n
+  FROM users QUALIFY n <= 10)
+SELECT instalacion_rol, 'contacto' AS muestra, n, contacto_id, email_usuario_app, cliente_rol, activo, es_usuario_app,
+  NULL AS rol_id, NULL AS firebase_uid, c.contacto_id IS NOT NULL AS existe
+FROM linked LEFT JOIN contacts c USING (contacto_id)
+UNION ALL SELECT instalacion_rol, 'usuario_app', n, contacto_id, email_usuario_app, NULL, NULL, NULL, NULL, NULL, TRUE FROM sampled
+UNION ALL SELECT instalacion_rol, 'permisos', n, contacto_id, email_usuario_app, NULL, usuario_activo, NULL, p.rol_id,
+  p.firebase_uid, p.email_login IS NOT NULL
+FROM sampled LEFT JOIN perms p ON p.email_login = email_usuario_app WHERE n = 1 AND email_usuario_app <> ''""",
     "fan_out_messages": _with("user_contacts", "contacts")
     + f""", wanted AS (
   SELECT o_orderkey, o_custkey::VARCHAR AS email_usuario, c_nationkey::VARCHAR AS cliente_rol,

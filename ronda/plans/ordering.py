@@ -33,7 +33,11 @@ REPORT_ORDER: dict[str, tuple[str, ...]] = {
 _PEOPLE = {"co_assigned_contacts": ["solicitante"], "site_participants": []}
 
 
-def in_report_order(df: DataFrame, report: str) -> DataFrame:
+def order_keys(df: DataFrame, report: str) -> list[tuple[str, bool]]:
+    """(column, descending) of a report's order; for all principals together it starts with the principal."""
     lead = _PEOPLE.get(report, [c for c in ("email_login",) if c in df.columns])
-    keys = [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in REPORT_ORDER[report]]
-    return df.orderBy(*lead, *keys)
+    return [(c, False) for c in lead] + [(c.removeprefix("-"), c.startswith("-")) for c in REPORT_ORDER[report]]
+
+
+def in_report_order(df: DataFrame, report: str) -> DataFrame:
+    return df.orderBy(*[F.desc(c) if descending else F.asc(c) for c, descending in order_keys(df, report)])

@@ -26,13 +26,14 @@ from ronda.operators import (
     surveys,
     updates,
 )
+from ronda.plans.places import with_places
 from ronda.session import prepare
 from ronda.sources import standin
 from ronda.sources.standin import StandIn
 
 Query = Callable[[SparkSession, str], DataFrame]
 # Small, so that sites have several pages.
-SHIFT_PAGE_ROWS, SLOT_PAGE_ROWS = 16, 4
+SHIFT_PAGE_ROWS, SLOT_PAGE_ROWS, SURVEY_PAGE_ROWS, SITE_PAGE_ROWS = 16, 4, 3, 8
 QUERIES: dict[str, Callable[[StandIn], DataFrame]] = {}
 
 
@@ -119,6 +120,24 @@ def coverage_by_site_gated(t: StandIn) -> DataFrame:
     )
 
 
+@_register
+def coverage_by_site_placed(t: StandIn) -> DataFrame:
+    """The whole report with the place of each row in its order."""
+    sites = coverage.coverage_by_site(t.rollup(), t.grants(), t.devices(), t.open_posts())
+    placed = with_places(
+        _texts(sites, "faceid_ultima_conexion").select(
+            "email_login",
+            "instalacion_rol",
+            "cliente_rol",
+            "guardias_ausentes",
+            "porcentaje_cobertura",
+            "faceid_numero",
+        ),
+        "coverage_by_site",
+    )
+    return placed
+
+
 @_register
 def coverage_rollup(t: StandIn) -> DataFrame:
     return _texts(coverage.coverage_rollup(t.shifts()), "ultima_actualizacion")
@@ -159,6 +178,25 @@ def shift_pages(t: StandIn) -> DataFrame:
     )
 
 
+@_register
+def site_pages(t: StandIn) -> DataFrame:
+    """Pages of the whole site detail, shown by their lengths and the slots they list."""
+    pages = shifts.site_pages(t.shifts(), t.open_posts(), t.grants(), page_rows=SITE_PAGE_ROWS)
+    slots = F.transform(
+        "ppc_por_turno", lambda s: F.concat_ws("@", s["turno"], s["jornada"], s["hora_entrada"], s["cantidad_ppc"])
+    )
+    return pages.select(
+        "email_login",
+        "instalacion_rol",
+        "pagina",
+        "empresa",
+        "total_turnos",
+        "total_ppc",
+        F.coalesce(F.size("turnos"), F.lit(0)).cast("long").alias("turnos_en_pagina"),
+        F.coalesce(F.array_join(slots, ","), F.lit("")).alias("horarios"),
+    )
+
+
 @_register
 def shift_sites(t: StandIn) -> DataFrame:
     return shifts.shift_sites(t.shifts(), t.open_posts(), t.grants())
@@ -256,6 +294,31 @@ def survey_inbox_by_site(t: StandIn) -> DataFrame:
     return _texts(sites, "fecha_vencimiento_proxima")
 
 
+@_register
+def survey_pages(t: StandIn) -> DataFrame:
+    """Nested surveys, taken apart again with their place in the page."""
+    pages = surveys.survey_pages(
+        t.survey_requests(),
+        t.grants(),
+        t.perms(),
+        standin.AS_OF,
+        standin.INBOX_STAFF,
+        page_rows=SURVEY_PAGE_ROWS,
+    )
+    placed = pages.select(
+        "email_login", "instalacion_rol", "pagina", F.posexplode("encuestas").alias("n", "e")
+    )
+    return placed.select(
+        "email_login",
+        "instalacion_rol",
+        "pagina",
+        (F.col("n") + 1).alias("puesto"),
+        *[F.col(f"e.{c}").alias(c) for c in ("encuesta_id", "modo", "estado")],
+        F.date_format("e.fecha_creacion", "yyyy-MM-dd HH:mm:ss").alias("fecha_creacion"),
+        *[F.col(f"e.{c}").alias(c) for c in ("puede_responder", "puede_ver_respuestas")],
+    )
+
+
 @_register
 def survey_form_headers(t: StandIn) -> DataFrame:
     form = surveys.survey_form(t.survey_asks(), t.survey_requests(), t.grants(), t.questions())
@@ -351,6 +414,11 @@ def participant_funnel(t: StandIn) -> DataFrame:
     return contacts.participant_funnel(t.site_contacts(), t.contacts(), t.grants(), t.perms())
 
 
+@_register
+def participant_samples(t: StandIn) -> DataFrame:
+    return contacts.participant_samples(t.site_contacts(), t.contacts(), t.perms())
+
+
 @_register
 def fan_out_messages(t: StandIn) -> DataFrame:
     messages = messaging.fan_out_messages(

@@ -22,6 +22,7 @@ from ronda.operators import (
     shifts,
     surveys,
 )
+from ronda.operators.nesting import PAGE_ROWS
 from ronda.operators.scope import Principals
 from ronda.settings import Settings
 from ronda.sources.tables import Tables
@@ -82,6 +83,16 @@ class Reports:
         who = self.allowed(principals, COVERAGE)
         return shifts.shift_detail(self.tables["shifts"], self.tables["grants"], who)
 
+    def shift_pages(self, principals: Principals = None, page_rows: int = PAGE_ROWS) -> DataFrame:
+        who = self.allowed(principals, COVERAGE)
+        return shifts.shift_pages(self.tables["shifts"], self.tables["grants"], who, page_rows)
+
+    def site_pages(self, principals: Principals = None, page_rows: int = PAGE_ROWS) -> DataFrame:
+        """The whole detail of a site: shifts and open slots by page, with the totals."""
+        t = self.tables
+        who = self.allowed(principals, COVERAGE)
+        return shifts.site_pages(t["shifts"], t["open_posts"], t["grants"], who, page_rows)
+
     def shift_sites(self, principals: Principals = None) -> DataFrame:
         t = self.tables
         who = self.allowed(principals, COVERAGE)
@@ -130,6 +141,17 @@ class Reports:
             self.tables["open_posts"], self.tables["grants"], site, with_working_day, who
         )
 
+    def open_posts_nested(
+        self, with_working_day: bool = False, principals: Principals = None, page_rows: int = PAGE_ROWS
+    ) -> DataFrame:
+        who = self.allowed(principals, COVERAGE)
+        return open_posts.open_posts_nested(
+            self.tables["open_posts"], self.tables["grants"], with_working_day, who, page_rows
+        )
+
+    def open_posts_by_site(self, principals: Principals = None) -> DataFrame:
+        return open_posts.open_posts_by_site(self.open_posts_by_slot(principals=principals))
+
     def survey_inbox(self, as_of: dt.date, principals: Principals = None) -> DataFrame:
         t = self.tables
         staff = self.settings.inbox_staff_roles
@@ -144,6 +166,15 @@ class Reports:
             t["survey_requests"], t["grants"], t["perms"], as_of, staff, principals
         )
 
+    def survey_pages(
+        self, as_of: dt.date, principals: Principals = None, page_rows: int = PAGE_ROWS
+    ) -> DataFrame:
+        t = self.tables
+        staff = self.settings.inbox_staff_roles
+        return surveys.survey_pages(
+            t["survey_requests"], t["grants"], t["perms"], as_of, staff, principals, page_rows
+        )
+
     def _asks(self, asks: DataFrame) -> DataFrame:
         return asks.join(self.allowed(None), "email_login", "left_semi")
 
@@ -153,11 +184,16 @@ class Reports:
             self._asks(asks), t["survey_requests"], t["grants"], t["questions"]
         )
 
-    def survey_answers(self, asks: DataFrame) -> DataFrame:
+    def survey_answer_access(self, asks: DataFrame) -> DataFrame:
+        """The header of every answer page, or why there is none."""
         t = self.tables
-        access = surveys.answer_access(
+        return surveys.answer_access(
             asks, t["survey_requests"], t["perms"], self.settings.answer_staff_roles
         )
+
+    def survey_answers(self, asks: DataFrame) -> DataFrame:
+        t = self.tables
+        access = self.survey_answer_access(asks)
         answers = surveys.survey_answers(t["survey_requests"], t["answers"], t["questions"])
         return surveys.answers_for(access, answers)
 
@@ -191,6 +227,10 @@ class Reports:
             t["site_contacts"], t["contacts"], t["grants"], t["perms"]
         )
 
+    def participant_samples(self, site: str | None = None) -> DataFrame:
+        t = self.tables
+        return contacts.participant_samples(t["site_contacts"], t["contacts"], t["perms"], site)
+
     def fan_out_messages(self, as_of: dt.datetime) -> DataFrame:
         """Messages of the senders who may write, with the client of their profile."""
         t = self.tables

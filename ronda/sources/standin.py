@@ -271,7 +271,7 @@ class StandIn:
         created = F.col("o_orderdate").cast("timestamp")
         by = F.when(key % 3 == 0, cust).otherwise((F.col("o_custkey") + 1).cast("string"))
         placed = self.base("orders").withColumn("site", key % self._site_count())
-        return placed.join(
+        requests = placed.join(
             self.base("supplier").select("s_suppkey", "s_nationkey"),
             F.col("site") == F.col("s_suppkey"),
         ).select(
@@ -290,6 +290,16 @@ class StandIn:
             (created + F.expr("INTERVAL 60 DAYS")).alias("fecha_limite"),
             F.when(done, created + F.expr("INTERVAL 10 DAYS")).alias("fecha_respuesta"),
         )
+        # Some requests are stored twice, the second time a day later and without an answer.
+        answer = ("respondido_por_email", "respondido_por_nombre", "tipo_respuesta", "fecha_respuesta")
+        again = requests.filter(F.col("encuesta_id").cast("long") % 11 == 0).withColumns(
+            {
+                "estado": F.lit(fv.STATE_PENDING),
+                "fecha_creacion": F.col("fecha_creacion") + F.expr("INTERVAL 1 DAY"),
+                **{c: F.lit(None).cast(requests.schema[c].dataType) for c in answer},
+            }
+        )
+        return requests.unionByName(again)
 
     def questions(self) -> DataFrame:
         key = F.col("p_partkey")
