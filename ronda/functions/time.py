@@ -37,6 +37,13 @@ def month_keys(as_of: dt.date, days: int) -> tuple[int, int]:
     return first.year * 100 + first.month, as_of.year * 100 + as_of.month
 
 
+def months_between(first: int, last: int) -> list[int]:
+    """Month keys from the first to the last."""
+    count = (last // 100 - first // 100) * 12 + last % 100 - first % 100
+    months = [first // 100 * 12 + first % 100 - 1 + k for k in range(count + 1)]
+    return [m // 12 * 100 + m % 12 + 1 for m in months]
+
+
 def survey_period(day: Column) -> Column:
     """Bimonthly period of a date: its month, moved back to an even one."""
     month = F.add_months(F.trunc(day, "MM"), -(F.month(day) % 2))

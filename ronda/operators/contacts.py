@@ -182,10 +182,31 @@ def participant_funnel(
     )
 
 
+def participant_samples(
+    site_contacts: DataFrame, contacts: DataFrame, site: str, rows: int = 5
+) -> DataFrame:
+    """A few contact rows of one site with what the contact table says."""
+    linked = (
+        site_contacts.filter(F.col("instalacion_rol") == site)
+        .orderBy("contacto_id", "cliente_rol")
+        .limit(rows)
+    )
+    known = contacts.select(
+        "contacto_id",
+        "email_usuario_app",
+        "activo",
+        "es_usuario_app",
+        F.lit(True).alias("existe"),
+    )
+    return linked.join(known, "contacto_id", "left").withColumn(
+        "existe", F.coalesce("existe", F.lit(False))
+    )
+
+
 LINKED, APP, LOGIN = "contacto", "usuario_app", "permisos"
 
 
-def participant_samples(
+def site_samples(
     site_contacts: DataFrame,
     contacts: DataFrame,
     perms: DataFrame,

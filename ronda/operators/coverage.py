@@ -50,6 +50,43 @@ def coverage_rollup(shifts: DataFrame, as_of: dt.datetime | None = None) -> Data
     )
 
 
+PART_DAY = "dia"  # column that shifts and parts of the rollup are stored by
+
+
+def rollup_parts(shifts: DataFrame) -> DataFrame:
+    """What :func:`coverage_rollup` counts, by site, service and day of the planned start.
+
+    Counts add up and the last entry is a maximum, so parts of single days can
+    be replaced.  Shifts without a planned start belong to no day and are one
+    part of their own.
+    """
+    require_columns(shifts, "shifts")
+    day = F.col(PART_DAY) if PART_DAY in shifts.columns else F.to_date("her")
+    zone = F.col("zona") if "zona" in shifts.columns else F.lit(None).cast("string")
+    came = F.coalesce(F.col("asistencia") == 1, F.lit(False))
+    return (
+        shifts.withColumns({"zona": zone, PART_DAY: day})
+        .groupBy(PART_DAY, *SITE, "tipo_de_servicio")
+        .agg(
+            F.count(F.lit(1)).alias("requeridos"),
+            F.count_if(came).alias("presentes"),
+            F.max("entrada").cast("timestamp").alias("entrada"),
+        )
+    )
+
+
+def rollup_of_parts(parts: DataFrame, as_of: dt.datetime | None = None) -> DataFrame:
+    """The rollup of all days from their parts."""
+    refreshed = F.max("entrada") if as_of is None else F.lit(as_of).cast("timestamp")
+    counted = parts.filter(F.col("requeridos") > 0).groupBy(*SITE, "tipo_de_servicio").agg(
+        F.sum("requeridos").alias("total_guardias_requeridos"),
+        F.sum("presentes").alias("guardias_presentes"),
+        refreshed.alias("ultima_actualizacion"),
+    )
+    required, present = F.col("total_guardias_requeridos"), F.col("guardias_presentes")
+    return counted.withColumns({"turnos_cubiertos": present, "turnos_descubiertos": required - present})
+
+
 def coverage_overall(
     rollup: DataFrame,
     grants: DataFrame,

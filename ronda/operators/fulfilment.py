@@ -16,6 +16,8 @@ from ronda.settings import DEFAULTS, Settings
 
 CLIENT_SITE = ["cliente_rol", "instalacion_rol"]
 WEEK = ["semana", "isoweek", "ano"]
+PLACE = ["instalacion_rol", "zona", "empresa"]
+SHOWN_MEASURES = ["planificadas", "entregadas", "asistencias", "extras"]
 
 
 def _window(history: DataFrame, as_of: dt.date, days: int | None, settings: Settings) -> DataFrame:
@@ -28,7 +30,7 @@ def _window(history: DataFrame, as_of: dt.date, days: int | None, settings: Sett
     return history.filter(within_days(F.col("dia"), as_of, days))
 
 
-def _rated_week(weeks: DataFrame, settings: Settings) -> DataFrame:
+def rated_week(weeks: DataFrame, settings: Settings) -> DataFrame:
     pct = percent(F.col("entregadas"), F.col("planificadas"), 2)
     label = day_range_label(F.col("primero"), F.col("ultimo"))
     rated = weeks.withColumns({"periodo": label, "porcentaje": pct})
@@ -62,6 +64,11 @@ def weekly_fulfilment(
             F.sum("asistencia").alias("asistencias"),
         )
     )
+    return weeks_of(site_week, visible, settings)
+
+
+def weeks_of(site_week: DataFrame, visible: DataFrame, settings: Settings) -> DataFrame:
+    """The weekly report from measures by client, site and week."""
     times, several = F.col("accesos"), F.col("varios")
     names = F.count_distinct(F.when(several, F.col("instalacion_rol")))
     weeks = (
@@ -79,7 +86,7 @@ def weekly_fulfilment(
         )
     )
     planned, delivered = F.col("planificadas"), F.col("entregadas")
-    return _rated_week(weeks, settings).select(
+    return rated_week(weeks, settings).select(
         "email_login",
         *WEEK,
         F.col("primero").alias("fecha_inicio"),
@@ -112,12 +119,11 @@ def site_week_fulfilment(
     just those names keep the guard until the principal is known; all others
     come down to one row per site and week first.
     """
-    place = ["instalacion_rol", "zona", "empresa"]
     visible = visible_client_sites(grants, principals)
     recent = _window(history, as_of, days, settings)
     guard_week = (
         near(recent, visible, CLIENT_SITE, principals)
-        .groupBy(*place, "cliente_rol", *WEEK, "rutrol")
+        .groupBy(*PLACE, "cliente_rol", *WEEK, "rutrol")
         .agg(
             F.min("dia").alias("primero"),
             F.max("dia").alias("ultimo"),
@@ -136,7 +142,7 @@ def site_week_fulfilment(
     site_week = (
         guard_week.join(namesakes, "instalacion_rol", "left")
         .withColumn("guardia", F.when(F.col("ambiguo"), F.col("rutrol")))
-        .groupBy(*place, "cliente_rol", *WEEK, "guardia")
+        .groupBy(*PLACE, "cliente_rol", *WEEK, "guardia")
         .agg(
             F.min("primero").alias("primero"),
             F.max("ultimo").alias("ultimo"),
@@ -149,33 +155,39 @@ def site_week_fulfilment(
         )
     )
     # Range label, percentage and band do not depend on the viewer.
-    rated = _rated_week(site_week, settings)
-    keys = ["email_login", *WEEK, *place]
-    measures = ["planificadas", "entregadas", "asistencias", "extras"]
-    seen = visible.join(rated, CLIENT_SITE).withColumns(
-        {m: F.col(m) * F.col("accesos") for m in measures}
-    )
+    seen = seen_weeks(visible, rated_week(site_week, settings))
     # Most rows are final now: one per principal, site and week.  Only the
     # namesakes are put together, so only they are shuffled once more.
     several = (
         seen.filter(F.col("ambiguo").isNotNull())
-        .groupBy(*keys)
+        .groupBy("email_login", *WEEK, *PLACE)
         .agg(
             F.min("primero").alias("primero"),
             F.max("ultimo").alias("ultimo"),
-            *[F.sum(m).alias(m) for m in measures],
+            *[F.sum(m).alias(m) for m in SHOWN_MEASURES],
             F.count_distinct("guardia").alias("guardias"),
         )
     )
-    single = seen.filter(F.col("ambiguo").isNull())
-    columns = [*keys, *measures, "guardias", "periodo", "porcentaje", "banda"]
-    whole = single.select(*columns).unionByName(_rated_week(several, settings).select(*columns))
+    return site_weeks_of(seen.filter(F.col("ambiguo").isNull()), rated_week(several, settings))
+
+
+def seen_weeks(visible: DataFrame, site_week: DataFrame) -> DataFrame:
+    """Weeks of every site a principal sees; measures count as often as the site was granted."""
+    return visible.join(site_week, CLIENT_SITE).withColumns(
+        {m: F.col(m) * F.col("accesos") for m in SHOWN_MEASURES}
+    )
+
+
+def site_weeks_of(single: DataFrame, several: DataFrame) -> DataFrame:
+    """The report from the weeks of sites with one client and of namesakes."""
+    columns = ["email_login", *WEEK, *PLACE, *SHOWN_MEASURES, "guardias", "periodo", "porcentaje", "banda"]
+    whole = single.select(*columns).unionByName(several.select(*columns))
     planned, delivered = F.col("planificadas"), F.col("entregadas")
     return whole.select(
         "email_login",
         *WEEK,
         "periodo",
-        *place,
+        *PLACE,
         hours(planned).alias("horas_presupuestadas"),
         hours(delivered).alias("horas_entregadas"),
         hours(planned - delivered).alias("horas_faltantes"),

@@ -685,7 +685,7 @@ WHERE mine.email_login IN (SELECT remite FROM chats)""",
     ON r.email_login = x.email_login AND r.rol_id = 'CLIENTE'
     WHERE x.instalacion_rol = s.instalacion_rol) AS clientes_validos
 FROM (SELECT instalacion_rol FROM site_contacts UNION SELECT instalacion_rol FROM grants) s""",
-    "participant_samples": _with("site_contacts", "contacts", "perms")
+    "site_samples": _with("site_contacts", "contacts", "perms")
     + """, linked AS (SELECT *, row_number() OVER (PARTITION BY instalacion_rol ORDER BY contacto_id, cliente_rol) AS n
   FROM site_contacts QUALIFY n <= 5),
 users AS (SELECT DISTINCT instalacion_rol, contacto_id, email_usuario_app FROM site_contacts JOIN contacts USING (contacto_id)
@@ -771,3 +771,8 @@ WHERE email_login = {_ONE} GROUP BY email_login, ano, isoweek""",
 WHERE instalacion_rol IN (SELECT DISTINCT instalacion_rol FROM ({_with("site_contacts")}SELECT * FROM site_contacts)
   ORDER BY 1 LIMIT 2)""",
 }
+
+# The same reports from stored parts.
+ORACLE["coverage_rollup_refreshed"] = ORACLE["coverage_rollup"]
+ORACLE["weekly_fulfilment_of_days"] = ORACLE["weekly_fulfilment"]
+ORACLE["site_week_fulfilment_of_days"] = ORACLE["site_week_fulfilment"]

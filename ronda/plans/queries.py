@@ -23,12 +23,16 @@ from ronda.operators import (
     scope,
     shifts,
     submissions,
+    summaries,
     surveys,
     updates,
 )
+from ronda.functions.time import month_keys, months_between
+from ronda.plans import jobs
 from ronda.plans.places import with_places
 from ronda.session import prepare
 from ronda.sources import standin
+from ronda.sources.scratch import new_path
 from ronda.sources.standin import StandIn
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,6 +147,21 @@ def coverage_rollup(t: StandIn) -> DataFrame:
     return _texts(coverage.coverage_rollup(t.shifts()), "ultima_actualizacion")
 
 
+@_register
+def coverage_rollup_refreshed(t: StandIn) -> DataFrame:
+    """The rollup from stored parts, of which those of the last day were out of date and then refreshed."""
+    stored = new_path(t.spark, "shifts")
+    by_day = t.shifts().withColumn(coverage.PART_DAY, F.to_date("her"))
+    by_day.hint("rebalance", coverage.PART_DAY).write.partitionBy(coverage.PART_DAY).parquet(stored)
+    shifts = t.spark.read.schema(by_day.schema).parquet(stored)
+    last = shifts.agg(F.max(coverage.PART_DAY)).first()[0]
+    before = shifts.withColumn("asistencia", F.when(F.col(coverage.PART_DAY) < F.lit(last), F.col("asistencia")))
+    parts = new_path(t.spark, "rollup_parts")
+    jobs.refresh_rollup_parts(before, parts)
+    jobs.refresh_rollup_parts(shifts, parts, [last] if last else [])
+    return _texts(coverage.rollup_of_parts(t.spark.read.parquet(parts)), "ultima_actualizacion")
+
+
 @_register
 def shift_lines(t: StandIn) -> DataFrame:
     return _texts(shifts.shift_lines(t.shifts()), "her")
@@ -236,6 +255,30 @@ def site_week_fulfilment(t: StandIn) -> DataFrame:
     return _rounded(weeks, *HOURS)
 
 
+def _fulfilment_of_days(t: StandIn) -> summaries.Fulfilment:
+    """From stored days and guards of the months that the window touches; the last month is written again."""
+    store = new_path(t.spark, "summaries")
+    months = months_between(*month_keys(standin.AS_OF, standin.DAYS))
+    jobs.refresh_summaries(t.history(), store, months)
+    jobs.refresh_summaries(t.history(), store, months[-1:])
+    days, guards = (t.spark.read.parquet(f"{store}/{name}") for name in ("site_days", "site_guards"))
+    return summaries.fulfilment_of(days, guards, t.grants(), standin.AS_OF, standin.DAYS)
+
+
+@_register
+def weekly_fulfilment_of_days(t: StandIn) -> DataFrame:
+    weeks = _fulfilment_of_days(t).weekly
+    named = weeks.withColumns(
+        {d: F.date_format(d, "yyyy-MM-dd") for d in ("fecha_inicio", "fecha_fin")}
+    )
+    return _rounded(named, *HOURS)
+
+
+@_register
+def site_week_fulfilment_of_days(t: StandIn) -> DataFrame:
+    return _rounded(_fulfilment_of_days(t).by_site, *HOURS)
+
+
 @_register
 def open_posts_total(t: StandIn) -> DataFrame:
     allowed = scope.permitted(t.perms(), "puede_ver_cobertura")
@@ -415,8 +458,8 @@ def participant_funnel(t: StandIn) -> DataFrame:
 
 
 @_register
-def participant_samples(t: StandIn) -> DataFrame:
-    return contacts.participant_samples(t.site_contacts(), t.contacts(), t.perms())
+def site_samples(t: StandIn) -> DataFrame:
+    return contacts.site_samples(t.site_contacts(), t.contacts(), t.perms())
 
 
 @_register

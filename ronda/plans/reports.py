@@ -227,9 +227,9 @@ class Reports:
             t["site_contacts"], t["contacts"], t["grants"], t["perms"]
         )
 
-    def participant_samples(self, site: str | None = None) -> DataFrame:
+    def site_samples(self, site: str | None = None) -> DataFrame:
         t = self.tables
-        return contacts.participant_samples(t["site_contacts"], t["contacts"], t["perms"], site)
+        return contacts.site_samples(t["site_contacts"], t["contacts"], t["perms"], site)
 
     def fan_out_messages(self, as_of: dt.datetime) -> DataFrame:
         """Messages of the senders who may write, with the client of their profile."""

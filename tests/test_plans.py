@@ -115,3 +115,52 @@ def test_reports_read_the_months_they_need(spark, sf_dir, tmp_path):
     for report in (reports.weekly_fulfilment, reports.site_week_fulfilment):
         text = plan(report(as_of=standin.AS_OF))
         assert re.search(r"PartitionFilters: \[isnotnull\(ano_mes#\d+\), \(ano_mes#\d+ >= \d+\)", text)
+
+
+def test_named_principal_costs_no_job_while_the_plan_is_made(spark, stored):
+    grants, rollup = stored("grants"), stored("rollup")
+    devices, posts = stored("devices"), stored("open_posts")
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "no jobs")
+    coverage.coverage_by_site(rollup, grants, devices, posts, principals=["1", "2"])
+    assert not jobs.getJobIdsForGroup("planning")
+
+
+def test_sites_of_a_named_principal_reach_the_scan_as_a_filter(spark, stored, as_on_a_cluster):
+    """With sites that are too many for a broadcast: a bloom filter over the facts before they are shuffled."""
+    history, grants = stored("history"), stored("grants")
+    names = {
+        "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    }
+    before = {n: spark.conf.get(n) for n in names}
+    for n, value in names.items():
+        spark.conf.set(n, value)
+    who = grants.filter("puede_ver").first().email_login
+    text = plan(fulfilment.weekly_fulfilment(history, grants, standin.AS_OF, 90, principals=who))
+    for n, value in before.items():
+        spark.conf.set(n, value)
+    assert "might_contain" in text
+
+
+def test_single_surveys_are_not_dealt_out_by_viewer(spark, stored):
+    tables = stored("survey_requests"), stored("grants"), stored("perms")
+    text = plan(surveys.survey_pages(*tables, standin.AS_OF, ("ADMIN",), page_rows=4))
+    by_viewer = [line for line in text.split("\n") if "Exchange hashpartitioning(email_login" in line]
+    assert by_viewer
+    arrays = re.findall(r"Window \[[^\n]*email_login", text)
+    assert not arrays
+
+
+def test_one_row_of_each_key_sorts_no_table_by_all_columns(spark, stored):
+    from ronda.operators.surveys import one_request_each
+
+    text = plan(one_request_each(stored("survey_requests")))
+    assert "Window" not in text and "partial_min" in text
+
+
+def test_samples_leave_their_tasks_as_first_rows(spark, stored):
+    from ronda.operators import contacts
+
+    text = plan(contacts.site_samples(stored("site_contacts"), stored("contacts"), stored("perms")))
+    assert text.count("5, Partial") >= 1 and text.count("10, Partial") >= 1

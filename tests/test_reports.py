@@ -24,6 +24,11 @@ REPORTS = {
     "coverage_by_site_service": {},
     "shift_detail": {},
     "shift_sites": {},
+    "shift_pages": {"page_rows": 16},
+    "site_pages": {"page_rows": 16},
+    "open_posts_nested": {"page_rows": 4},
+    "open_posts_by_site": {},
+    "survey_pages": {"as_of": AS_OF, "page_rows": 4},
     "site_shift_detail": {"site": "1"},
     "site_shift_totals": {},
     "weekly_fulfilment": {"as_of": AS_OF},

@@ -197,3 +197,78 @@ def test_batch_is_as_one_by_one(make):
     assert rows(out.requests, *columns) == sorted(expected, key=repr)
     refused = sum(v != "aceptada" for v in verdicts.values())
     assert out.rejections.count() == refused
+
+
+def inbox_lists(requests, grants, perms):
+    """(viewer, site, ids) in order, by a loop over everything."""
+    people = {p["email_login"]: p["rol_id"] for p in perms if p["usuario_activo"]}
+    lists = {}
+    for who, role in people.items():
+        sees = {(g["cliente_rol"], g["instalacion_rol"]) for g in grants if g["email_login"] == who and g["puede_ver"]}
+        for r in requests:
+            mine = r["modo"] == "compartida" or (
+                r["modo"] == "individual" and (r["email_destinatario"] or "").lower() == who.lower()
+            )
+            if (r["cliente_rol"], r["instalacion_rol"]) in sees and (role in STAFF or mine):
+                lists.setdefault((who, r["instalacion_rol"]), []).append(r)
+    newest = lambda r: (r["fecha_creacion"] is None, -(r["fecha_creacion"] or NOW).timestamp())
+    return {
+        k: [r["encuesta_id"] for r in sorted(v, key=lambda r: (r["modo"], newest(r), r["encuesta_id"]))]
+        for k, v in lists.items()
+    }
+
+
+def test_pages_as_lists_of_each_viewer(make):
+    rnd = random.Random(4)
+    requests = [
+        request(
+            f"e{k:03d}", rnd.choice(["compartida", "individual"]), rnd.choice(["pendiente", "completada"]),
+            rnd.choice(["a@x", "A@X", "b@x", None]), rnd.choice("st"), cliente_rol=rnd.choice("cd"),
+            fecha_creacion=rnd.choice([None, NOW, NOW - dt.timedelta(hours=1)]),
+        )
+        for k in range(160)
+    ]
+    perms = [person("a@x", "CLIENTE"), person("b@x", "CLIENTE"), person("boss"), person("off", active=False), person("new", "CLIENTE")]
+    grants = [
+        grant("a@x", "s"), grant("a@x", "s"), grant("a@x", "s", "d"), grant("b@x", "s"), grant("b@x", "t", "d"),
+        grant("boss", "s"), grant("boss", "t"), grant("boss", "t", "d"), grant("off", "s"), grant("new", "t", sees=None),
+    ]
+    want = inbox_lists(requests, grants, perms)
+    tables = make("survey_requests", *requests), make("grants", *grants), make("perms", *perms)
+    flat = surveys.survey_inbox(*tables, TODAY, STAFF)
+    rights = {(r.email_login, r.encuesta_id): (r.puede_responder, r.puede_ver_respuestas) for r in flat.collect()}
+    for size in (1, 2, 7, 1000):
+        pages = surveys.survey_pages(*tables, TODAY, STAFF, page_rows=size).collect()
+        got = {}
+        for p in sorted(pages, key=lambda p: p.pagina):
+            got.setdefault((p.email_login, p.instalacion_rol), []).append((p.pagina, p.encuestas))
+        assert got.keys() == want.keys()
+        for key, parts in got.items():
+            assert [k for k, _ in parts] == list(range(len(parts)))
+            assert all(len(e) == size for _, e in parts[:-1]) and 0 < len(parts[-1][1]) <= size
+            assert [e.encuesta_id for _, es in parts for e in es] == want[key]
+            assert all(rights[key[0], e.encuesta_id] == (e.puede_responder, e.puede_ver_respuestas) for _, es in parts for e in es)
+
+
+def test_repeated_requests_are_one_survey_everywhere(make, spark):
+    later = NOW + dt.timedelta(days=1)
+    requests = make(
+        "survey_requests",
+        request("k", fecha_creacion=later),
+        request("k", state="completada", respondido_por_email="b"),
+        request("k"),
+        request("p", fecha_creacion=later),
+        request("p"),
+    )
+    grants, perms = make("grants", grant("a", "s")), make("perms", person("a"))
+    questions = make("questions", dict(pregunta_id="q", texto_pregunta="?", orden=1, activa=True))
+    answers = make("answers", dict(respuesta_id="r", encuesta_id="k", pregunta_id="q", respuesta_valor="5"))
+    asks = make("survey_asks", dict(email_login="a", encuesta_id="k"), dict(email_login="a", encuesta_id="p"))
+    headers = surveys.survey_form(asks, requests, grants, questions).headers
+    assert rows(headers, "encuesta_id", "estado") == [("k", "completada"), ("p", "pendiente")]
+    access = surveys.answer_access(asks, requests, perms, STAFF)
+    assert rows(access, "encuesta_id", "acceso") == [("k", "ok"), ("p", "sin_responder")]
+    shown = surveys.answers_for(access, surveys.survey_answers(requests, answers, questions))
+    assert rows(shown, "encuesta_id", "respuesta_valor") == [("k", "5")]
+    one = sub.one_request_each(requests)
+    assert rows(one, "encuesta_id", "estado", "fecha_creacion") == [("k", "completada", NOW), ("p", "pendiente", NOW)]
