@@ -10,6 +10,7 @@ epoch.  The network is written and trained in numpy.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -361,10 +362,21 @@ def labelled_sample(
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Network:
-    """Trains on a bounded sample of the rows that are not held out."""
+    """Trains on a bounded sample of the rows that are not held out.
+
+    One task reads the stored sample and trains; the driver takes the network,
+    some megabytes whatever the sample, and never the texts.
+    """
     sample = labelled_sample(docs, labels, "toxic", id_col, text_col, SAMPLE_PER_LABEL, SAMPLE_CHARS)
-    rows = sorted((r[0], r[2], r[1]) for r in sample.collect())
-    return train([t for _, t, _ in rows], np.array([y for _, _, y in rows], np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((i, t, y) for b in batches for i, y, t in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        texts, marks = [t for _, t, _ in rows], np.array([y for _, _, y in rows], np.int64)
+        del rows
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, marks))], pa.binary())], ["network"])
+
+    trained = sample.repartition(1).mapInArrow(run, "network binary").collect()
+    return pickle.loads(trained[0][0]) if trained else train([], np.zeros(0, np.int64))
 
 
 def _scores(net: Network, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

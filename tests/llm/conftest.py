@@ -6,7 +6,7 @@ from ronda.llm.store import prepare_workers
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 # Names that operators use for columns of their own.
-CLASHING = ("id", "ids", "sig", "key", "n", "row", "begin", "bucket", "guest", "words", "sketch", "salt", "size", "score", "keep")
+CLASHING = ("id", "ids", "sig", "key", "n", "row", "begin", "bucket", "guest", "words", "sketch", "salt", "size", "score", "keep", "_row", "_id", "_text", "_key")
 
 
 @pytest.fixture
