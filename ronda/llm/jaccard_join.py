@@ -27,8 +27,8 @@ FINE_BITS = 2  # bits for each element, at least, of those that large sets are h
 SHARED_PART = 0.001  # a shingle in this part of a task's documents counts as shared by many
 SHARED_LEAST = 8
 SHARED_MOST = 250_000  # longest list sent to all tasks; the list only changes the order
-FIRST_ROUND = 4  # pairs that a tile proposes for two components before components are looked at again
 BLOCK = 1024  # members of a tile that one step compares
+BLOCK_ELEMENTS = 1 << 22  # elements that these have about, so that long texts make smaller blocks
 SALTS = 16
 BROADCAST_ROWS = 1_000_000  # ids sent to all tasks at most; beyond that they are joined by shuffle
 
@@ -325,10 +325,8 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs
 
 
-def _linked(candidates: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """Candidates whose exact intersection reaches the similarity: (a, b)."""
-    ends = candidates.select(F.col("rep_a").alias("rep"), F.col("a").alias("sig")).union(candidates.select("rep_b", "b"))
-    wanted = stored(ends.distinct(), "wanted")
+def _members(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(sig, members) of the sets named by ``wanted`` (rep, sig), from the texts of the documents that stand for them."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -342,7 +340,13 @@ def _linked(candidates: DataFrame, docs: DataFrame, id_col: str, text_col: str,
         reps = F.broadcast(reps)
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     texts = own.join(reps, F.col("_id") == F.col("_rep"), "left_semi").select("_text")
-    members = stored(texts.mapInArrow(sets, "sig long, members binary"), "members").dropDuplicates(["sig"])
+    return stored(texts.mapInArrow(sets, "sig long, members binary"), "members").dropDuplicates(["sig"])
+
+
+def _linked(candidates: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """Candidates whose exact intersection reaches the similarity: (a, b)."""
+    ends = candidates.select(F.col("rep_a").alias("rep"), F.col("a").alias("sig")).union(candidates.select("rep_b", "b"))
+    members = _members(stored(ends.distinct(), "wanted"), docs, id_col, text_col, words)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -358,79 +362,149 @@ def _linked(candidates: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     return with_b.select("a", "b", "of_a", "of_b").mapInArrow(exact, "a long, b long")
 
 
-def _remaining(members: DataFrame, roots: DataFrame, nodes: DataFrame, percent: int, spread: int, most: int | None) -> DataFrame:
-    """Pairs of a tile that are not known to be connected and that sizes and bitmaps allow.
+def _candidates(n: np.ndarray, root: np.ndarray, part: np.ndarray | None, maps: list[bytes], percent: int) -> tuple[np.ndarray, ...]:
+    """(i, j, apart) of the pairs that sizes and bitmaps allow, among rows sorted by size and so by the width of their
+    bitmaps; of different components, and of different parts if parts are given."""
+    found = [(np.zeros(0, np.int64),) * 3]
+    widths = np.array([len(m) // 8 for m in maps])
+    bits = {}
+    for width in np.unique(widths):
+        at = np.flatnonzero((widths >= width) & (widths <= 2 * width))
+        wide = [_folded(_rows_of_bits([maps[k] for k in at[widths[at] == w]]), width) for w in np.unique(widths[at])]
+        bits[width] = at[0], np.concatenate(wide)
+    ends = np.searchsorted(n, 100 * n // percent, "right")  # first row that is too large for each
+    for i in range(len(n) - 1):
+        others = np.arange(i + 1, ends[i])
+        ok = root[others] != root[i]
+        if part is not None:
+            ok &= part[others] != part[i]
+        others = others[ok]
+        if len(others):
+            first, own = bits[widths[i]]
+            apart = np.bitwise_count(own[others - first] ^ own[i - first]).sum(1, dtype=np.int64)
+            met = _possible(n[others], n[i], apart, percent)
+            found.append((np.full(met.sum(), i), others[met], apart[met]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _blocks(columns: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Begin and end of the rows of each (key, lo, hi)."""
+    turn = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns[:3]])) + 1
+    yield from zip([0, *turn], [*turn, len(columns[0])], strict=True)
+
+
+def _find(above: list[int], k: int) -> int:
+    """Representative of k in a union-find."""
+    while above[k] != k:
+        above[k] = above[above[k]]
+        k = above[k]
+    return k
+
+
+def _in_blocks(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Rows (key, sig, ...) once for each pair (lo, hi) of blocks of their key that holds their own block, ``mine``."""
+    mine = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
+    dealt = rows.join(blocks, "key").withColumn("mine", mine)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = [c for c in rows.columns if c != "key"]
+    return dealt.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", *rest)
+
+
+def _block_count(n: Column, elements: Column) -> Column:
+    return F.ceil(F.greatest(n / BLOCK, elements / BLOCK_ELEMENTS)).cast("int").alias("blocks")
+
+
+def _still_open(members: DataFrame, roots: DataFrame, nodes: DataFrame, percent: int, spread: int) -> DataFrame:
+    """(a, b): of all pairs in a tile that are not connected and that sizes and bitmaps allow, enough to join the same
+    sets as all of them do.
 
     Tiles are cut into blocks by hash and every pair of blocks is compared, so
-    that no task meets more than two blocks of a tile at a time.  With ``most``,
-    a pair of blocks proposes only its likeliest pairs for two components.
+    that no task meets more than two blocks of a tile at a time.  Tiles of the
+    same members are one.  A pair of blocks gives fewer pairs than members.
     """
     named = members.join(roots.withColumnRenamed("node", "b"), "b", "left").select(
         "key", F.col("b").alias("sig"), F.coalesce("root", "b").alias("root")
     )
     named = stored(named.distinct(), "tiles")
-    open_keys = stored(
-        named.groupBy("key")
-        .agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
+    sized = named.join(nodes.select("sig", "size", F.coalesce("fine", "coarse").alias("bits")), "sig")
+    open_keys = (
+        named.join(nodes.select("sig", "size"), "sig")
+        .groupBy("key")
+        .agg(
+            F.min("root").alias("lo"),
+            F.max("root").alias("hi"),
+            F.count("*").alias("n"),
+            F.sum("size").alias("elements"),
+            F.bit_xor(F.xxhash64("sig")).alias("x"),
+            F.bit_xor(F.xxhash64("sig", F.lit(1))).alias("y"),
+        )
         .where("lo <> hi")
-        .select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")),
-        "open",
-    )
-    rows = named.join(open_keys, "key").join(nodes.select("sig", "size", "coarse"), "sig")
-    mine = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
-    dealt = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(
-        "key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "sig", "root", "size", "coarse"
+        .groupBy("n", "elements", "x", "y")
+        .agg(F.min("key").alias("key"))
     )
-
-    def proposed(n: np.ndarray, root: np.ndarray, part: np.ndarray | None, maps: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the pairs among rows sorted by size, and so by the width of their bitmaps."""
-        found = []
-        widths = np.array([len(m) // 8 for m in maps])
-        bits = {}
-        for width in np.unique(widths):
-            at = np.flatnonzero((widths >= width) & (widths <= 2 * width))
-            wide = {w: _folded(_rows_of_bits([maps[k] for k in at[widths[at] == w]]), width) for w in np.unique(widths[at])}
-            bits[width] = at[0], np.concatenate(list(wide.values()))
-        ends = np.searchsorted(n, 100 * n // percent, "right")  # first row that is too large for each
-        for i in range(len(n) - 1):
-            others = np.arange(i + 1, ends[i])
-            ok = root[others] != root[i]
-            if part is not None:
-                ok &= part[others] != part[i]
-            others = others[ok]
-            if len(others):
-                first, own = bits[widths[i]]
-                apart = np.bitwise_count(own[others - first] ^ own[i - first]).sum(1, dtype=np.int64)
-                met = _possible(n[others], n[i], apart, percent)
-                found.append((np.full(met.sum(), i), others[met], apart[met]))
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        i, j, apart = (np.concatenate(x) for x in zip(*found, strict=True))
-        if most is not None and len(i) > most:
-            lo, hi = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
-            order = np.lexsort((apart, hi, lo))
-            lo, hi = lo[order], hi[order]
-            begins = np.ones(len(lo), bool)
-            begins[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
-            at = np.arange(len(lo))
-            kept = order[at - np.maximum.accumulate(np.where(begins, at, 0)) < most]
-            i, j = i[kept], j[kept]
-        return i, j
+    open_keys = stored(open_keys.select("key", _block_count(F.col("n"), F.col("elements"))), "open")
+    dealt = _in_blocks(sized.select("key", "sig", "root", "size", "bits"), open_keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, lo, hi, mine, sig, root, size, coarse in runs(batches, 3):
-            turn = np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
-            found = []
-            for s, e in zip([0, *turn], [*turn, len(key)], strict=True):
+        for columns in runs(batches, 3):
+            _, lo, hi, mine, sig, root, size, bits = columns
+            joined = []
+            for s, e in _blocks(columns):
                 order = s + np.argsort(size[s:e], kind="stable")
                 part = mine[order] if lo[s] != hi[s] else None
-                i, j = proposed(size[order].astype(np.int64), root[order], part, [coarse[k] for k in order])
-                found.append((sig[order[i]], sig[order[j]]))
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+                i, j, _ = _candidates(size[order].astype(np.int64), root[order], part, [bits[k] for k in order], percent)
+                above = list(range(e - s))
+                for u, v in zip(i.tolist(), j.tolist(), strict=True):
+                    x, y = _find(above, u), _find(above, v)
+                    if x != y:
+                        above[x] = y
+                        joined.append((sig[order[u]], sig[order[v]]))
+            a, b = np.array(joined, np.int64).reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     by = ["key", "lo", "hi"]
+    met = dealt.repartition(spread, *by).sortWithinPartitions(*by, "sig")
+    return stored(met.mapInArrow(run, "a long, b long").distinct(), "still_open")
+
+
+def _joining(open_sets: DataFrame, members: DataFrame, percent: int, spread: int) -> DataFrame:
+    """(a, b): links that join components among the sets (key, sig, root, size) of each key, by exact intersection.
+
+    Keys are cut into blocks like tiles.  A pair that is joined already, by its
+    components or by links found before in the same task, is not intersected;
+    so there are fewer links than sets in a pair of blocks.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in runs(batches, 3):
+            _, lo, hi, mine, sig, root, held = columns
+            links = []
+            for s, e in _blocks(columns):
+                sets = [np.frombuffer(held[k], np.uint64) for k in range(s, e)]
+                sizes = np.array([len(x) for x in sets], np.int64)
+                order = np.argsort(sizes, kind="stable")
+                sets = [sets[k] for k in order]
+                part = mine[s:e][order] if lo[s] != hi[s] else None
+                _, own = np.unique(root[s:e][order], return_inverse=True)
+                i, j, apart = _candidates(sizes[order], own, part, [_bitmap(x) for x in sets], percent)
+                above = list(range(int(own.max()) + 1))
+                for k in np.argsort(apart, kind="stable"):
+                    u, v = _find(above, int(own[i[k]])), _find(above, int(own[j[k]]))
+                    if u == v:
+                        continue
+                    x, y = sets[i[k]], sets[j[k]]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        above[u] = v
+                        links.append((sig[s + order[i[k]]], sig[s + order[j[k]]]))
+            a, b = np.array(links, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    by = ["key", "lo", "hi"]
+    counts = open_sets.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("elements"))
+    blocks = counts.select("key", _block_count(F.col("n"), F.col("elements")))
+    dealt = _in_blocks(open_sets.select("key", "sig", "root"), blocks).join(members, "sig")
+    dealt = dealt.select(*by, "mine", "sig", "root", "members")
     return dealt.repartition(spread, *by).sortWithinPartitions(*by, "sig").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -467,16 +541,21 @@ def near_duplicate_groups(
     links = stored(_linked(known, docs, id_col, text_col, words, percent), "linked")
     roots = connected_components(links)
     members = tiles.where(F.col("kind") == MEMBER).select("key", "b")
-    # What is open after the leaders: first the likeliest pairs of components, most of which are one then, and in
-    # the end every pair that is left.
-    for most in (FIRST_ROUND, None):
-        rest = stored(_remaining(members, roots, nodes, percent, spread, most).join(tried, ["a", "b"], "left_anti"), "rest")
-        more = _bounded(rest, nodes, percent)
-        if more.limit(1).count():
-            found = _linked(more, docs, id_col, text_col, words, percent)
-            links = stored(links.union(found), "linked")
-            roots = connected_components(links)
-        tried = tried.union(rest)
+    # What is open after the leaders.  Sets that pairs allowed by the bitmaps connect, over all tiles, are compared once,
+    # so that a set is sent once and not for every tile that it shares with another.
+    still_open = _still_open(members, roots, nodes, percent, spread)
+    if still_open.limit(1).count():
+        open_sets = connected_components(still_open).select(F.col("node").alias("sig"), F.col("root").alias("key"))
+        known_roots = roots.select(F.col("node").alias("sig"), "root")
+        open_sets = (
+            open_sets.join(known_roots, "sig", "left")
+            .join(nodes.select("sig", "rep", "size"), "sig")
+            .select("key", "sig", F.coalesce("root", "sig").alias("root"), "rep", "size")
+        )
+        open_sets = stored(open_sets, "open_sets")
+        held = _members(open_sets.select("rep", "sig"), docs, id_col, text_col, words)
+        links = stored(links.union(_joining(open_sets, held, percent, spread)), "linked")
+        roots = connected_components(links)
     roots = roots.withColumnRenamed("node", "sig")
     named = nodes.select("sig", "rep").join(roots, "sig", "left").select("sig", "rep", F.coalesce("root", "sig").alias("root"))
     named = stored(named, "named")

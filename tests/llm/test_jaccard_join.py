@@ -8,6 +8,7 @@ from ronda.llm import jaccard_join
 from ronda.llm.queries import llm_queries
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+from ronda.llm.store import prepare_workers
 
 
 def brute_force(rows, words=5, percent=80):
@@ -64,7 +65,7 @@ def test_against_all_pairs(docs, seed):
 def test_against_all_pairs_in_small_blocks(docs, monkeypatch):
     """One large group, with every shingle shared by many and few members in a block."""
     rows = corpus(3, 2, 70)
-    for name, value in (("BLOCK", 16), ("SHARED_LEAST", 2), ("FIRST_ROUND", 1), ("BROADCAST_ROWS", 3)):
+    for name, value in (("BLOCK", 16), ("SHARED_LEAST", 2), ("BLOCK_ELEMENTS", 64), ("BROADCAST_ROWS", 3)):
         monkeypatch.setattr(jaccard_join, name, value)
     assert found(jaccard_join.near_duplicate_groups(docs(*rows))) == brute_force(rows)
 
@@ -98,3 +99,25 @@ def test_bounds_never_reject_a_link():
 def test_query_against_all_pairs(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     assert found(llm_queries()["op10_jaccard_join"](spark, sf_dir)) == brute_force([tuple(r) for r in docs])
+
+
+def test_open_tiles_give_out_members_and_joining_links_only(spark, docs):
+    """A crowd of texts that are all nearly alike, on either side of the bound."""
+    prepare_workers(spark)
+    rnd = random.Random(9)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(60):
+        own = list(base)
+        for at in rnd.sample(range(0, 120, 6), rnd.choice([1, 2, 3, 4])):
+            own[at] = f"x{k}y{at}"
+        rows.append((k, " ".join(own)))
+    assert found(jaccard_join.near_duplicate_groups(docs(*rows))) == brute_force(rows)
+
+
+def test_links_of_a_task_are_fewer_than_its_members(spark):
+    sets = [np.sort(np.unique(np.append(np.arange(1, 90 + k, dtype=np.uint64) * np.uint64(2654435761), np.uint64(k)))) for k in range(20)]
+    sigs = [jaccard_join._signature(x) for x in sets]
+    still = spark.createDataFrame([(1, s, s, len(x)) for s, x in zip(sigs, sets)], "key long, sig long, root long, size int")
+    held = spark.createDataFrame([(s, bytearray(x.tobytes())) for s, x in zip(sigs, sets)], "sig long, members binary")
+    assert jaccard_join._joining(still, held, 80, 2).count() == len(sets) - 1
