@@ -14,7 +14,14 @@ from ronda.llm.jaccard_join import near_duplicate_groups
 from ronda.llm.queries import BYTE_TOKENIZER, table
 from ronda.llm.store import stored
 
-ROW = "_row"  # a key given to every row
+
+def row_key(docs: DataFrame) -> str:
+    """A name for the key given to every row that no column of ``docs`` has."""
+    taken, name = {c.lower() for c in docs.columns}, "_row"
+    while name in taken:
+        name += "_"
+    return name
+
 
 # Classifiers and a packing order are beyond SQL; tests/llm hold the stages against brute force.
 ORACLE_SQL = None
@@ -37,11 +44,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     rows that share one are decided like all others.  A row without doc_id
     stays only where its whole group has none.
     """
-    keyed = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-    groups = near_duplicate_groups(keyed, ROW).select(ROW, "component_id")
-    ids = keyed.select(ROW, F.col("doc_id").isNull().alias("no_id"), "doc_id")
-    first = groups.join(ids, ROW).groupBy("component_id").agg(F.min(F.struct("no_id", "doc_id", ROW)).alias("first"))
-    return keyed.join(first.select(F.col(f"first.{ROW}").alias(ROW)), ROW, "left_semi").drop(ROW)
+    row = row_key(docs)
+    keyed = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = near_duplicate_groups(keyed, row).select(F.col(row).alias("_key"), "component_id")
+    ids = keyed.select(F.col(row).alias("_key"), F.col("doc_id").isNull().alias("no_id"), "doc_id")
+    first = groups.join(ids, "_key").groupBy("component_id").agg(F.min(F.struct("no_id", "doc_id", "_key")).alias("first"))
+    return keyed.join(first.select(F.col("first._key").alias(row)), row, "left_semi").drop(row)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
