@@ -8,6 +8,8 @@ lies within a detection of the same or a higher priority is suppressed.
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,7 +84,9 @@ LEVELS = 4
 BASE_LEVEL = 4
 
 RULE_FIELDS = ("label", "keyword", "form", "pattern", "level", "weight", "base")
-RULE = "struct<label:string,keyword:string,form:string,pattern:string,level:int,weight:double,base:boolean>"
+SPAN = "struct<start:int,back:int,level:int,rule:int>"
+FIRST, LAST = "\x01", "\x02"  # marks before and after a match; no word holds them
+CHUNK = 128  # detections folded at a time, so that what a fold has gathered is copied within these only
 
 
 def rules() -> list[tuple[str, str, str, str, int, float, bool]]:
@@ -103,8 +107,9 @@ def _once(value: Column, use) -> Column:
 
 
 def normalised(text: Column) -> Column:
-    """Words in lower case with one blank before and after each."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), BETWEEN, " ")), F.lit(" "))
+    """Words with A-Z in lower case and one blank before and after each."""
+    lower = F.translate(text, ascii_uppercase, ascii_lowercase)
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(lower, BETWEEN, " ")), F.lit(" "))
 
 
 def _blanks(text: Column) -> Column:
@@ -112,43 +117,39 @@ def _blanks(text: Column) -> Column:
 
 
 def _spans(text: Column, rule: Column) -> Column:
-    """Where a rule matches, as intervals of words."""
-    empty = F.array().cast(f"array<struct<start:int,stop:int,rule:{RULE}>>")
-    matches = F.regexp_extract_all(text, rule["pattern"], F.lit(0))
-    pairs = F.arrays_zip(matches.alias("hit"), F.split(text, rule["pattern"], -1).alias("gap"))
-    folded = F.aggregate(
-        pairs,
-        F.struct(F.lit(-1).alias("seen"), empty.alias("spans")),
-        lambda acc, pair: F.struct(
-            (acc["seen"] + _blanks(pair["gap"]) + _blanks(F.coalesce(pair["hit"], F.lit("")))).alias("seen"),
-            F.when(
-                pair["hit"].isNotNull(),
-                F.concat(
-                    acc["spans"],
-                    F.array(
-                        F.struct(
-                            (acc["seen"] + _blanks(pair["gap"])).alias("start"),
-                            (acc["seen"] + _blanks(pair["gap"]) + _blanks(pair["hit"]) + 1).alias("stop"),
-                            rule.alias("rule"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
+    """Where a rule matches, as intervals of words: matches are marked, and the marked words are numbered."""
+
+    def numbered(words: Column, marked) -> Column:
+        return F.filter(F.transform(words, lambda w, k: F.when(marked(w), k)), lambda k: k.isNotNull())
+
+    def intervals(words: Column) -> Column:
+        first = numbered(words, lambda w: F.startswith(w, F.lit(FIRST))).alias("first")
+        last = numbered(words, lambda w: F.endswith(w, F.lit(LAST))).alias("last")
+        return F.transform(
+            F.arrays_zip(first, last),
+            # The first of the words is the nothing before the first blank; ``back`` is the stop, falling.
+            lambda p: F.struct(
+                (p["first"] - 1).alias("start"), (-p["last"]).alias("back"), rule["level"].alias("level"), rule["number"].alias("rule")
+            ),
+        )
+
+    marked = F.regexp_replace(text, rule["pattern"], F.lit(f"{FIRST}$0{LAST}"))
+    return _once(
+        marked,
+        lambda m: F.when(F.contains(m, F.lit(FIRST)), _once(F.split(m, " "), intervals)).otherwise(
+            F.array().cast(f"array<{SPAN}>")
         ),
     )
-    return folded["spans"]
 
 
 def _detections(text: Column, table: Column, keywords: Column) -> Column:
-    """Intervals of all rules whose keyword the text contains, in order of place, length and rule."""
+    """Intervals of all rules whose keyword the text contains, in order of place, falling length and rule."""
 
     def within(text: Column, found: Column) -> Column:
         admitted = F.filter(
             table, lambda r: F.array_contains(found, r["keyword"]) & F.array_contains(found, r["form"])
         )
-        return F.flatten(F.transform(admitted, lambda r: _spans(text, r)))
+        return F.array_sort(F.flatten(F.transform(admitted, lambda r: _spans(text, r))))
 
     return _once(text, lambda t: _once(F.filter(keywords, lambda k: F.contains(t, k)), lambda found: within(t, found)))
 
@@ -156,27 +157,37 @@ def _detections(text: Column, table: Column, keywords: Column) -> Column:
 def _surviving(sorted_spans: Column) -> Column:
     """Spans that no span of the same or a higher priority contains.
 
-    Spans are sorted by start, then by falling stop, then by rule, so that
+    Spans are sorted by start, then by falling stop, level and rule, so that
     whatever contains a span stands before it: the furthest stop of each
-    priority so far decides.
+    priority so far decides.  They are folded in chunks, which hand on the
+    furthest stops.
     """
-    start = F.struct(
-        *(F.lit(-1).alias(f"m{level}") for level in range(1, LEVELS + 1)), F.slice(sorted_spans, 1, 0).alias("kept")
-    )
+    levels = range(1, LEVELS + 1)
+    none = F.array().cast(f"array<{SPAN}>")
 
     def step(acc: Column, span: Column) -> Column:
-        level = span["rule"]["level"]
-        reached = F.greatest(
-            *(F.when(level >= k, acc[f"m{k}"]).otherwise(-1) for k in range(1, LEVELS + 1)), F.lit(-1)
-        )
+        level, stop = span["level"], -span["back"]
+        reached = F.greatest(*(F.when(level >= k, acc[f"m{k}"]).otherwise(-1) for k in levels), F.lit(-1))
         furthest = [
-            F.when(level == k, F.greatest(acc[f"m{k}"], span["stop"])).otherwise(acc[f"m{k}"]).alias(f"m{k}")
-            for k in range(1, LEVELS + 1)
+            F.when(level == k, F.greatest(acc[f"m{k}"], stop)).otherwise(acc[f"m{k}"]).alias(f"m{k}") for k in levels
         ]
-        kept = F.when(reached >= span["stop"], acc["kept"]).otherwise(F.concat(acc["kept"], F.array(span)))
+        kept = F.when(reached >= stop, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(span)))
         return F.struct(*furthest, kept.alias("kept"))
 
-    return F.aggregate(sorted_spans, start, step)["kept"]
+    def chunk(acc: Column, at: Column) -> Column:
+        start = F.struct(*(acc[f"m{k}"].alias(f"m{k}") for k in levels), none.alias("kept"))
+        return _once(
+            F.aggregate(F.slice(sorted_spans, at, F.lit(CHUNK)), start, step),
+            lambda got: F.struct(
+                *(got[f"m{k}"].alias(f"m{k}") for k in levels),
+                F.concat(acc["chunks"], F.array(got["kept"])).alias("chunks"),
+            ),
+        )
+
+    start = F.struct(*(F.lit(-1).alias(f"m{k}") for k in levels), F.array().cast(f"array<array<{SPAN}>>").alias("chunks"))
+    places = F.sequence(F.lit(1), F.size(sorted_spans), F.lit(CHUNK))
+    folded = F.flatten(F.aggregate(places, start, chunk)["chunks"])
+    return F.when(F.size(sorted_spans) > 0, folded).otherwise(none)
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,31 +196,39 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``base`` holds the places (start, stop, rule) of the base phrases, ``spans``
     the detections that survive.  A null, empty or wordless text has no words
     and no detections; rows that repeat an id are scanned each for itself; a
-    null id keeps its row; other columns are ignored.
+    null id keeps its row; other columns are ignored; an empty table gives no
+    rows.  A text's time grows with its length times the rules that its keywords
+    admit, and with its detections (sorted once), however many they are.
+    ``rule`` is (label, level, weight, base).
     """
     known = rules()
     table = F.array(
-        *(F.struct(*(F.lit(v).alias(n) for v, n in zip(r, RULE_FIELDS, strict=True))) for r in known)
+        *(
+            F.struct(*(F.lit(v).alias(n) for v, n in zip(r, RULE_FIELDS, strict=True)), F.lit(k).alias("number"))
+            for k, r in enumerate(known)
+        )
     )
     keywords = F.array(*(F.lit(k) for k in sorted({k for r in known for k in r[1:3]})))
     rows = docs.select(F.col(id_col), normalised(F.coalesce(text_col, F.lit(""))).alias("norm"))
     rows = rows.select(id_col, F.when(F.col("norm") == "  ", F.lit(" ")).otherwise(F.col("norm")).alias("norm"))
     rows = rows.withColumn("n_words", (_blanks(F.col("norm")) - 1).cast("long"))
     rows = rows.select(id_col, "n_words", _detections(F.col("norm"), table, keywords).alias("found"))
-    in_order = F.array_sort(
-        F.transform(
-            "found",
-            lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("back"), s["rule"]["level"].alias("level"), s["stop"].alias("stop"), s["rule"].alias("rule")),
+    rows = rows.withColumn("kept", _surviving(F.col("found")))
+    told = F.array(
+        *(
+            F.struct(*(F.lit(r[RULE_FIELDS.index(n)]).alias(n) for n in ("label", "level", "weight", "base")))
+            for r in known
         )
     )
-    rows = rows.withColumn("ordered", F.when(F.size("found") > 0, in_order))
-    rows = rows.withColumn("kept", _surviving(F.col("ordered")))
-    place = lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["rule"].alias("rule"))
+    place = lambda s: F.struct(
+        s["start"].alias("start"), (-s["back"]).alias("stop"), F.get(told, s["rule"]).alias("rule")
+    )
+    first_base = len(known) - len(BASE)  # base phrases are the last rules
     return rows.select(
         id_col,
         "n_words",
-        F.filter("found", lambda s: s["rule"]["base"]).alias("base"),
-        F.coalesce(F.transform("kept", place), F.slice("found", 1, 0)).alias("spans"),
+        F.transform(F.filter("found", lambda s: s["rule"] >= first_base), place).alias("base"),
+        F.transform("kept", place).alias("spans"),
     )
 
 
