@@ -11,10 +11,12 @@ that share it, and a word's ids are read off the states on its path.
 from __future__ import annotations
 
 import json
+import re
+import sys
 import unicodedata
 from array import array
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from ronda.llm.packing import byte_symbols
 
@@ -196,10 +199,27 @@ def normalised(text: str) -> str:
     return text.lower()
 
 
+@cache
+def unassigned() -> re.Pattern:
+    """Any code point that Python's Unicode tables leave unassigned.
+
+    On all others they, the ``regex`` module and the tokenizer's library agree
+    about letters, digits, blanks, cases and compositions.
+    """
+    free = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn"]
+    ranges, start = [], 0
+    for k in range(1, len(free) + 1):
+        if k == len(free) or free[k] != free[k - 1] + 1:
+            ranges.append(f"\\U{free[start]:08x}-\\U{free[k - 1]:08x}")
+            start = k
+    return re.compile("[" + "".join(ranges) + "]")
+
+
 class Encoder:
     """Encodes texts; keeps the words of earlier tries up to a bound."""
 
     def __init__(self, definition: str):
+        self.definition = definition
         self.vocabulary = Vocabulary(definition)
         self.words = regex.compile(WORDS)
         special = self.vocabulary.special
@@ -210,13 +230,29 @@ class Encoder:
         self.known: dict[str, int] = {}  # place of each word in the next two
         self.starts, self.ids = array("q", [0]), array("i")
 
+    @cached_property
+    def library(self) -> tuple:
+        """The library's normalizer and its cutter by the same pattern."""
+        return Tokenizer.from_str(self.definition).normalizer, pre_tokenizers.Split(Regex(WORDS), "removed", invert=True)
+
+    def _words(self, text: str) -> list[str]:
+        """Words of a text without special tokens.
+
+        Where it holds a code point that tables of one Unicode version know and
+        those of another do not, the library cuts it.
+        """
+        if text.isascii() or unassigned().search(text) is None:
+            return self.words.findall(normalised(text))
+        normalizer, cutter = self.library
+        return [word for word, _ in cutter.pre_tokenize_str(normalizer.normalize_str(text))]
+
     def _cut(self, text: str) -> list[str]:
         """Words of a text; a special token is a word after a blank, which no other word has."""
         if self.special is None or not any(s in text for s in self.vocabulary.special):
-            return self.words.findall(normalised(text))
+            return self._words(text)
         out: list[str] = []
         for k, piece in enumerate(self.special.split(text)):
-            out.extend([" " + piece] if k % 2 else self.words.findall(normalised(piece)))
+            out.extend([" " + piece] if k % 2 else self._words(piece))
         return out
 
     def _learn(self, words: set[str]) -> None:
@@ -237,8 +273,8 @@ class Encoder:
         flat = [w for words in cut for w in words]
         self._learn(set(flat))
         word = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        table, starts = np.array(self.ids, np.int32), np.array(self.starts, np.int64)
-        per_word = np.diff(starts)[word]
+        table, starts = np.frombuffer(self.ids, np.int32), np.frombuffer(self.starts, np.int64)  # no copies
+        per_word = starts[word + 1] - starts[word]
         ends = np.cumsum(per_word)
         ids = table[np.arange(per_word.sum()) + np.repeat(starts[word] - (ends - per_word), per_word)]
         of_words = np.cumsum([0, *(len(w) for w in cut)])
@@ -260,7 +296,8 @@ def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
     """(id_col, ids array<int>) per row; a null text is an empty one, an empty text has no ids.
 
     Rows stand for themselves: repeated or null ids are kept, other columns are
-    ignored.  Special tokens written out in a text become their ids.
+    ignored; an empty table gives no rows.  Special tokens written out in a text
+    become their ids.  A text is held whole by its task, with its words.
     """
     with open(tokenizer, encoding="utf-8") as f:
         definition = docs.sparkSession.sparkContext.broadcast(f.read())

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -52,6 +53,24 @@ def test_forgetting_words_changes_nothing(library, monkeypatch):
         assert encoder.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_every_code_point(library, encoder):
+    """As a letter, a digit or a mark beside others, in either case, whatever version of Unicode knows it."""
+    texts = [f"a{c}b {c}{c} 1{c}!{c}" for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff"]
+    for at in range(0, len(texts), 20_000):
+        part = texts[at : at + 20_000]
+        ids, counts = encoder.encode(part)
+        expected = [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
+        got = np.split(ids, np.cumsum(counts)[:-1])
+        wrong = [hex(ord(t[1])) for t, a, b in zip(part, got, expected, strict=True) if a.tolist() != b]
+        assert wrong == []
+
+
+def test_new_marks_compose_as_in_the_library(library, encoder):
+    texts = ["x\U000105d2\u0307y", "\U00011382\U000113c9 \u1c89\u0301", "<|endoftext|>\ua7cb<|endoftext|>É"]
+    ids, _ = encoder.encode(texts)
+    assert ids.tolist() == [i for t in texts for i in library.encode(t, add_special_tokens=False).ids]
+
+
 def test_odd_documents(spark, odd, library):
     rows = odd.select("doc_id", "text").collect()
     expected = sorted((repr(r.doc_id), library.encode(r.text or "", add_special_tokens=False).ids) for r in rows)
