@@ -26,7 +26,9 @@ from ronda.llm.store import new_path, partitions, stored
 MAGIC = b"\x1f\x8b\x08"
 FILE_BYTES = 256 << 20  # a task begins a new archive beyond this size
 SPLIT_BYTES = 32 << 20
+LEAST_RANGES = 4  # of an archive, so that small ones are read by several tasks too
 READ_BYTES = 1 << 18
+HELD_BYTES = 16 << 20  # records decoded while a range is searched and kept until they are read; others are decoded again
 SALTS = 16
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -147,9 +149,13 @@ class Members:
 
     def __init__(self, source: pyarrow.NativeFile, size: int):
         self.source, self.size = source, size
+        self.held: dict[int, tuple[bytes, int]] = {}
 
     def at(self, place: int) -> tuple[bytes, int] | None:
         """(content, end) of the whole member of one WARC record at ``place``; None if there is none."""
+        return self.held.pop(place, None) or self._decoded(place)
+
+    def _decoded(self, place: int) -> tuple[bytes, int] | None:
         unpacker, out, read = zlib.decompressobj(31), [], place
         try:
             while not unpacker.eof and read < self.size:
@@ -180,16 +186,20 @@ class Members:
             tail = data[-(len(MAGIC) - 1) :]
 
     def first(self, start: int, end: int) -> int | None:
-        """The first place of a range from which whole members lead to its end."""
+        """The first place of a range from which whole members lead to its end; holds what it decoded on the way."""
         broken: set[int] = set()
         for place in self.candidates(start, end):
-            at, path = place, []
+            at, path, room = place, [], HELD_BYTES
+            self.held.clear()
             while at < end and at < self.size and at not in broken:
                 path.append(at)
-                member = self.at(at)
+                member = self._decoded(at)
                 if member is None:
                     broken.update(path)
                     break
+                if len(member[0]) <= room:
+                    self.held[at] = member
+                    room -= len(member[0])
                 at = member[1]
             if at not in broken:
                 return place
@@ -214,8 +224,17 @@ def _whole(content: bytes) -> bool:
     return length.isdigit() and len(content) == begin + int(length) + 4 and content.endswith(b"\r\n\r\n")
 
 
+def ranges(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """(file, bytes, start, stop, places) of equal ranges of at most ``split_bytes``, four or more an archive."""
+    step = F.least(F.lit(split_bytes).cast("long"), F.ceil(F.col("bytes") / LEAST_RANGES))
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, step))
+    begins = F.col("places") if "places" in archives.columns else F.lit(None).cast("array<long>")
+    rows = archives.where("bytes > 0").select("file", "bytes", step.alias("step"), starts.alias("start"), begins.alias("places"))
+    return rows.select("file", "bytes", "start", F.least(F.col("start") + F.col("step"), "bytes").alias("stop"), "places")
+
+
 def read_archives(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Records of the archives in (file, bytes), by ranges of ``split_bytes``.
+    """Records of the archives in (file, bytes), by ``ranges`` of at most ``split_bytes``.
 
     Returns (file, place, record_type, page_id, url, refers_to, payload_digest,
     payload_bytes, payload); payload is null for a revisit.  A response whose
@@ -226,18 +245,15 @@ def read_archives(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, size, start, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for file, size, start, stop, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 fs, name = pyarrow.fs.FileSystem.from_uri(file)
                 with fs.open_input_file(name) as source:
-                    yield from _owned(Members(source, size), file, start, min(start + split_bytes, size), count)
+                    yield from _owned(Members(source, size), file, start, stop, count)
 
-    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long")))
-    begins = F.col("places") if "places" in archives.columns else F.lit(None).cast("array<long>")
-    ranges = archives.where("bytes > 0").select("file", "bytes", starts.alias("start"), begins.alias("places"))
-    inside = F.filter("places", lambda p: (p >= F.col("start")) & (p < F.col("start") + split_bytes))
+    inside = F.filter("places", lambda p: (p >= F.col("start")) & (p < F.col("stop")))
     count = F.when(F.col("places").isNotNull(), F.size(inside))
-    ranges = ranges.select("file", "bytes", "start", count.alias("count"))
-    dealt = ranges.repartition(4 * partitions(archives.sparkSession), "file", "start")
+    parts = ranges(archives, split_bytes).select("file", "bytes", "start", "stop", count.alias("count"))
+    dealt = parts.repartition(4 * partitions(archives.sparkSession), "file", "start")
     return dealt.mapInArrow(run, ", ".join(f"{f.name} {_DDL[f.type]}" for f in _RECORD))
 
 
@@ -258,7 +274,9 @@ _DDL = {pa.string(): "string", pa.int64(): "long", pa.binary(): "binary"}
 
 
 def _owned(members: Members, file: str, start: int, end: int, count: int | None) -> Iterator[pa.RecordBatch]:
-    place = start if start == 0 else members.first(start, end)
+    place = members.first(start, end)
+    if start == 0 and place != 0:
+        raise ValueError(f"no whole record at byte 0 leads to byte {end} of {file}")
     rows, held, found = [], 0, 0
     while place is not None and place < end:
         member = members.at(place)

@@ -1,4 +1,5 @@
 import re
+import time
 
 from ronda.llm import licenses
 from ronda.llm.queries import llm_queries
@@ -113,6 +114,25 @@ def test_survivors_against_all_pairs(docs):
             assert not inside or (a[0], a[1]) == (b[0], b[1]) and a is b
 
 
+def test_many_detections_in_one_text_take_linear_time(docs):
+    """Forty thousand of them, far from the square of their number; the chunks hand on what a long one suppresses."""
+    def seconds(n):
+        rows = [(1, "mit license " * n)]
+        start = time.monotonic()
+        check(scan(docs(*rows)), rows)
+        return time.monotonic() - start
+
+    seconds(10)
+    short, long = seconds(10_000), seconds(40_000)
+    assert long < 5 * short + 5
+
+
+def test_only_latin_capitals_are_lowered(docs):
+    """The Kelvin sign is no k."""
+    assert [r.n_words for r in scan(docs((1, "\u212a \u00c9 K")))] == [3]
+    assert licenses.license_scan(docs((1, "Wor\u212a under the E\u00c9 MIT License"))).first().spans[0].rule.label == "mit"
+
+
 def test_query(spark, sf_dir):
     found = llm_queries()["op9_licenses"](spark, sf_dir)
     plan = found._jdf.queryExecution().executedPlan().toString()

@@ -131,6 +131,33 @@ def test_lost_records_are_an_error(spark, tmp_path):
         warc.read_archives(archives, places[4]).count()
 
 
+def test_ranges_of_the_query_begin_inside_records(spark, sf_dir):
+    """So its records are found by the magic bytes of gzip, and every range is searched."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    prepare_workers(spark)
+    archives = warc.write_archives(warc.with_revisits(pages, "page_id", "url", "html", 0), new_path(spark, "warc"))
+    found = warc.ranges(archives).collect()
+    assert found and all(r.start < r.stop <= r.bytes for r in found)
+    assert any(r.start > 0 and r.start not in r.places for r in found)
+    for row in archives.collect():
+        of_file = sorted((r.start, r.stop) for r in found if r.file == row.file)
+        assert len(of_file) >= min(4, row.bytes) and of_file[0][0] == 0 and of_file[-1][1] == row.bytes
+        assert all(a[1] == b[0] for a, b in zip(of_file, of_file[1:], strict=False))
+
+
+def test_records_too_large_to_hold_are_decoded_again(monkeypatch):
+    monkeypatch.setattr(warc, "HELD_BYTES", 500)
+    data = b"".join(warc.record(i, "u", b"payload" * (i * 9), "D", None) for i in range(9))
+    members = warc.Members(Source(data), len(data))
+    place = members.first(0, len(data))
+    assert place == 0 and 0 < len(members.held) < 9
+    found = 0
+    while place < len(data):
+        content, place = members.at(place)
+        found += content.count(b"WARC/1.1\r\n")
+    assert found == 9 and not members.held
+
+
 def test_query(spark, sf_dir):
     found = llm_queries()["op2_warc"](spark, sf_dir).collect()
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").collect()
