@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import json
 import re
-import sys
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -200,19 +199,21 @@ def normalised(text: str) -> str:
 
 
 @cache
-def unassigned() -> re.Pattern:
-    """Any code point that Python's Unicode tables leave unassigned.
+def _doubtful() -> re.Pattern:
+    """Code points above U+FFFF, and those below that Python's Unicode tables leave unassigned."""
+    free = [c for c in range(0x10000) if unicodedata.category(chr(c)) == "Cn"]
+    return re.compile("[" + "".join(f"\\u{c:04x}" for c in free) + "\\U00010000-\\U0010ffff]")
+
+
+def has_unassigned(text: str) -> bool:
+    """Whether a text holds a code point that Python's Unicode tables leave unassigned.
 
     On all others they, the ``regex`` module and the tokenizer's library agree
     about letters, digits, blanks, cases and compositions.
     """
-    free = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn"]
-    ranges, start = [], 0
-    for k in range(1, len(free) + 1):
-        if k == len(free) or free[k] != free[k - 1] + 1:
-            ranges.append(f"\\U{free[start]:08x}-\\U{free[k - 1]:08x}")
-            start = k
-    return re.compile("[" + "".join(ranges) + "]")
+    if text.isascii() or _doubtful().search(text) is None:
+        return False
+    return any(unicodedata.category(c) == "Cn" for c in set(text))
 
 
 class Encoder:
@@ -241,7 +242,7 @@ class Encoder:
         Where it holds a code point that tables of one Unicode version know and
         those of another do not, the library cuts it.
         """
-        if text.isascii() or unassigned().search(text) is None:
+        if not has_unassigned(text):
             return self.words.findall(normalised(text))
         normalizer, cutter = self.library
         return [word for word, _ in cutter.pre_tokenize_str(normalizer.normalize_str(text))]
