@@ -7,6 +7,8 @@ of distinct shingles; below k shingles they are exact.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ SHINGLE_WORDS = 5
 K = 256
 SALTS = 64
 HASHES = 2.0**64
+TASK_BYTES = 16 << 20  # of texts that a task takes; sketching them takes some ten seconds
+COPIES = 4096  # equal rows that one row stands for
 
 
 def words(text: Column) -> Column:
@@ -92,39 +96,86 @@ def _bucket(id_col: Column, bounds: list[int]) -> Column:
     return F.when(id_col.isNull(), -1).otherwise(found)
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, bucket, guest): documents dealt to ranges of ids, with the document that follows each range.
-
-    The order is descending, null ids last, and the first follows the last.  A
-    range's guest row is the first document of the next range.  The driver holds
-    a few numbers for each range.
+def _shares(own: DataFrame, task_bytes: int) -> tuple[int, list[int], dict[int | None, int]]:
+    """(tasks, bounds of ids, shares of the ids that fill more than a range; None is the null id)."""
+    n = F.count(F.lit(1)).alias("n")
+    size = own.agg(F.sum(F.octet_length("text")).alias("bytes"), n, F.count_if(F.col("id").isNull()).alias("nulls")).first()
+    tasks = max(partitions(own.sparkSession), -(-(size["bytes"] or 0) // task_bytes))
+    count = 2 * tasks
+    at = [k / count for k in range(1, count)]
+    cuts = own.select(F.percentile_approx("id", at, max(10_000, 20 * count))).first()[0] or []
+    shares: dict[int | None, int] = {i: times + 1 for i, times in Counter(cuts).items() if times > 1}
+    nulls = -(-count * size["nulls"] // max(size["n"], 1))
+    if nulls > 1:
+        shares[None] = nulls
+    return tasks, sorted(set(cuts)), shares
+
+
+def with_next(docs: DataFrame, id_col: str, text_col: str, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """(id, text, h, bucket, sub, guest, last, copies): documents dealt to ranges, with the one that follows each range.
+
+    The order is by descending id, null ids last, then by the hash of the text;
+    the first follows the last.  Ranges are as many as the texts' size asks for.
+    An id that fills more than one of them, or the null id, is divided by the
+    hash of the text, and its equal texts become one row for the last of them
+    and rows of up to ``COPIES`` others (``last`` false), which are followed by
+    their own text and may lie anywhere.  A range's guest is the first document
+    of the next range.  The driver holds a few numbers for each range.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    count = 4 * partitions(docs.sparkSession)
-    cuts = own.select(F.percentile_approx("id", [k / count for k in range(1, count)], 10000)).first()[0] or []
-    rows = own.withColumn("bucket", _bucket(F.col("id"), sorted(set(cuts))))
-    firsts = sorted(map(tuple, rows.groupBy("bucket").agg(F.max("id")).collect()), reverse=True)
-    follows = [(firsts[(k + 1) % len(firsts)][1], bucket) for k, (bucket, _) in enumerate(firsts)]
     spark = docs.sparkSession
-    named = spark.createDataFrame([f for f in follows if f[0] is not None], "first long, bucket int")
-    guests = own.join(F.broadcast(named), F.col("id") == F.col("first")).select("id", "text", "bucket")
-    nameless = [bucket for first, bucket in follows if first is None]
-    if nameless:
-        guests = guests.union(own.where("id is null").select("id", "text", F.lit(nameless[0])))
-    guests = guests.groupBy("id", "bucket").agg(F.min("text").alias("text"))
-    return rows.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    tasks, bounds, shares = _shares(own, task_bytes)
+    whole = 2 * tasks + 1  # above the number of shares of any id
+    h = F.xxhash64("text").alias("h")
+    named_ids = [i for i in shares if i is not None]
+    full = F.coalesce(F.col("id").isin(named_ids), F.lit(None in shares)) if named_ids else F.col("id").isNull() & F.lit(None in shares)
+    rows = own.where(~full).select("id", "text", h, F.lit(whole).alias("sub"), F.lit(True).alias("last"), F.lit(1).alias("copies"))
+    others = None
+    if shares:
+        parts = F.when(F.col("id").isNull(), F.lit(shares.get(None, 1))).otherwise(
+            F.get(F.lit([shares[i] for i in named_ids] or [1]), (F.array_position(F.lit(named_ids).cast("array<bigint>"), F.col("id")) - 1).cast("int"))
+        )
+        sub = F.least(F.floor((F.col("h") / HASHES + 0.5) * parts), parts - 1).cast("int").alias("sub")
+        equal = own.where(full).groupBy("id", "text").count().select("id", "text", h, "count")
+        rows = rows.union(equal.select("id", "text", "h", sub, F.lit(True), F.lit(1)))
+        chunk = F.explode(F.sequence(F.lit(0), F.floor((F.col("count") - 2) / COPIES))).alias("chunk")
+        more = equal.where("count > 1").select("id", "text", "h", "count", chunk)
+        left = F.col("count") - 1 - F.col("chunk") * COPIES
+        others = more.select(
+            "id", "text", "h", F.pmod(F.xxhash64("h", "chunk"), F.lit(whole)).cast("int"), F.lit(False), F.least(left, F.lit(COPIES)).cast("int"),
+            F.lit(-2), F.lit(False),
+        )
+    rows = rows.withColumn("bucket", _bucket(F.col("id"), bounds))
+    found = rows.groupBy("bucket", "sub").agg(F.max("id").alias("id")).collect()
+    firsts = sorted(((r["bucket"], r["sub"], r["id"] or 0) for r in found), key=lambda r: (-r[0], r[1]))
+    follows = [(*firsts[(k + 1) % len(firsts)], bucket, sub) for k, (bucket, sub, _) in enumerate(firsts)]
+    named = spark.createDataFrame(follows, "from_bucket int, from_sub int, first long, to_bucket int, to_sub int")
+    met = (F.col("bucket") == F.col("from_bucket")) & (F.col("sub") == F.col("from_sub")) & (F.coalesce("id", F.lit(0)) == F.col("first"))
+    first = F.min(F.struct("h", "text", "id")).alias("g")
+    guests = rows.join(F.broadcast(named), met).groupBy("to_bucket", "to_sub").agg(first)
+    rows = rows.withColumn("guest", F.lit(False)).union(
+        guests.select("g.id", "g.text", "g.h", "to_sub", F.lit(True), F.lit(1), "to_bucket", F.lit(True))
+    )
+    return (rows if others is None else rows.union(others)).repartition(tasks, "bucket", "sub")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, task_bytes: int = TASK_BYTES
+) -> DataFrame:
     """(id_col, n_chars, edited_sha256, sketch, edited_sketch, near_edited, near_next) per row.
 
     The edited text is the text with its last third replaced by the beginning
     of the next document in descending order of ids.  Ids that repeat are
-    ordered by text; null ids come last; a null text is an empty one, and two
-    texts without words are alike.  Other columns are ignored.
+    ordered by a hash of their text; null ids come last; a null text is an empty
+    one, and two texts without words are alike.  Other columns are ignored; an
+    empty table has no rows.  A task takes some ``task_bytes`` of texts, however
+    many documents share an id or have none, and texts are never cut: one text
+    costs memory in proportion to its length.  Many terabytes want larger tasks.
     """
-    order = Window.partitionBy("bucket").orderBy("guest", F.desc_nulls_last("id"), "text")
-    rows = with_next(docs, id_col, text_col).withColumn("next", F.lead("text").over(order))
+    order = Window.partitionBy("bucket", "sub").orderBy("guest", F.desc_nulls_last("id"), "h", "text")
+    rows = with_next(docs, id_col, text_col, task_bytes)
+    follower = F.when(F.col("last"), F.lead("text").over(order)).otherwise(F.col("text"))
+    rows = rows.withColumn("next", follower)
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn(
@@ -132,17 +183,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     rows = rows.withColumn("own_words", words(F.col("text"))).withColumn("edited_words", words(F.col("edited")))
     rows = rows.select(
-        "id",
-        "bucket",
-        "guest",
-        "text",
-        "n_chars",
+        *("id", "bucket", "sub", "guest", "last", "copies", "h", "text", "n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         sketch("own_words", k).alias("sketch"),
         sketch("edited_words", k).alias("edited_sketch"),
     )
-    rows = rows.withColumn("next_sketch", F.lead("sketch").over(order)).where(~F.col("guest"))
-    return rows.select(
+    following = F.when(F.col("last"), F.lead("sketch").over(order)).otherwise(F.col("sketch"))
+    rows = rows.withColumn("next_sketch", following).where(~F.col("guest"))
+    rows = rows.select(
         F.col("id").alias(id_col),
         "n_chars",
         "edited_sha256",
@@ -150,7 +198,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "edited_sketch",
         resemblance(F.col("sketch"), F.col("edited_sketch"), k).alias("near_edited"),
         resemblance(F.col("sketch"), F.col("next_sketch"), k).alias("near_next"),
+        F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"),
     )
+    return rows.drop("copy")
 
 
 def written(sketch_col: str) -> Column:

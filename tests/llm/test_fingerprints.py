@@ -1,6 +1,7 @@
 import hashlib
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from ronda.llm import fingerprints as fp
@@ -17,9 +18,14 @@ def near(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
+def signed(text):
+    """The hash that orders texts of one id."""
+    return (xxhash.xxh64_intdigest((text or "").encode(), seed=42) ^ (1 << 63)) - (1 << 63)
+
+
 def expected(rows):
     """(id, n_chars, edited sha, near edited, near next) in the order of the contract."""
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), (r[1] or "").encode()))
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), signed(r[1])))
     out = []
     for k, (i, text) in enumerate(order):
         text, nxt = text or "", order[(k + 1) % len(order)][1] or ""
@@ -52,6 +58,34 @@ def test_only_null_ids(docs):
     check(fp.fingerprints(docs(*rows)).collect(), rows)
 
 
+def largest_range(found):
+    return found.groupBy("bucket", "sub").count().agg(F.max("count")).first()[0]
+
+
+@pytest.mark.parametrize("hot", [None, 7])
+def test_hot_ids_are_divided(docs, hot):
+    rows = [(hot if k % 3 else k, f"text {k} of {k % 5} words and some more of them") for k in range(600)]
+    table = docs(*rows)
+    check(fp.fingerprints(table).collect(), rows)
+    assert largest_range(fp.with_next(table, "doc_id", "text")) < 150  # 400 rows have the hot id
+
+
+def test_equal_rows_are_held_once(docs, monkeypatch):
+    rows = [(None, "the same text in very many rows") for _ in range(300)] + [(k % 4, f"text {k}") for k in range(40)]
+    rows += [(2, "twice and more") for _ in range(200)]
+    monkeypatch.setattr(fp, "COPIES", 16)
+    table = docs(*rows)
+    check(fp.fingerprints(table).collect(), rows)
+    assert largest_range(fp.with_next(table, "doc_id", "text")) < 60
+
+
+def test_ranges_follow_the_size(docs):
+    table = docs(*[(k, f"w{k} " * 50) for k in range(500)])
+    few, many = (fp.with_next(table, "doc_id", "text", size) for size in (1 << 30, 2_000))
+    assert many.rdd.getNumPartitions() > 4 * few.rdd.getNumPartitions()
+    assert largest_range(many) < 20
+
+
 def test_query(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     found = llm_queries()["op3_fingerprints"](spark, sf_dir)
