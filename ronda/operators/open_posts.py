@@ -93,17 +93,28 @@ def open_posts_nested(
     require_columns(open_posts, "open_posts")
     visible = visible_sites(grants, principals)
     near_by = near(open_posts, visible, ["instalacion_rol"], principals)
-    slots = _slots(near_by, with_working_day).filter(F.col("instalacion_rol").isNotNull())
-    nested = nest_rows(slots, ["instalacion_rol"], ["her", "hsr", "turno"], "slots", page_rows)
-    labels = [c for c in slots.columns if c not in ("instalacion_rol", "her", "hsr", "puestos")]
+    nested = site_slots(near_by, with_working_day, page_rows)
+    return visible.join(nested, "instalacion_rol").select(
+        "email_login", "instalacion_rol", "pagina", slots_shown(nested).alias("ppc_por_turno")
+    )
+
+
+def site_slots(open_posts: DataFrame, with_working_day: bool, page_rows: int) -> DataFrame:
+    """Pages of the slots of each site, for all its viewers."""
+    slots = _slots(open_posts, with_working_day).filter(F.col("instalacion_rol").isNotNull())
+    return nest_rows(slots, ["instalacion_rol"], ["her", "hsr", "turno"], "slots", page_rows)
+
+
+def slots_shown(nested: DataFrame) -> Column:
+    """What a viewer sees of the slots in a page of :func:`site_slots`."""
+    fields = nested.schema["slots"].dataType.elementType.fieldNames()
+    labels = [c for c in fields if c not in ("her", "hsr", "puestos")]
 
     def shown(slot: Column) -> Column:
         amount = (slot["puestos"] * F.col("accesos")).alias("cantidad_ppc")
         return F.struct(*[slot[c].alias(c) for c in labels], amount)
 
-    return visible.join(nested, "instalacion_rol").select(
-        "email_login", "instalacion_rol", "pagina", F.transform("slots", shown).alias("ppc_por_turno")
-    )
+    return F.transform("slots", shown)
 
 
 def open_posts_by_site(slots: DataFrame) -> DataFrame:

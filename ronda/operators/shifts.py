@@ -7,6 +7,8 @@ bounded length where a caller wants them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +74,20 @@ def shift_detail(
     return shift_lines(seen).drop("cliente_rol").join(granted, "instalacion_rol")
 
 
+def _site_lines(shifts: DataFrame, page_rows: int) -> DataFrame:
+    """Pages of the shifts of each site, for all its viewers."""
+    lines = shift_lines(shifts).drop("cliente_rol").filter(F.col("instalacion_rol").isNotNull())
+    return nest_rows(lines, ["instalacion_rol"], ["turno", "her"], "lineas", page_rows)
+
+
+def _lines_shown() -> Column:
+    """A shift as often as the site was granted."""
+    repeated = F.flatten(
+        F.transform("lineas", lambda line: F.array_repeat(line, F.col("accesos").cast("int")))
+    )
+    return F.when(F.col("accesos") == 1, F.col("lineas")).otherwise(repeated).alias("turnos")
+
+
 def shift_pages(
     shifts: DataFrame, grants: DataFrame, principals: Principals = None, page_rows: int = PAGE_ROWS
 ) -> DataFrame:
@@ -81,15 +97,9 @@ def shift_pages(
     appears as often as the site was granted.
     """
     visible = visible_sites(grants, principals)
-    seen = near(shifts, visible, ["instalacion_rol"], principals)
-    lines = shift_lines(seen).drop("cliente_rol").filter(F.col("instalacion_rol").isNotNull())
-    pages = nest_rows(lines, ["instalacion_rol"], ["turno", "her"], "lineas", page_rows)
-    repeated = F.flatten(
-        F.transform("lineas", lambda line: F.array_repeat(line, F.col("accesos").cast("int")))
-    )
-    lines_shown = F.when(F.col("accesos") == 1, F.col("lineas")).otherwise(repeated)
+    pages = _site_lines(near(shifts, visible, ["instalacion_rol"], principals), page_rows)
     return visible.join(pages, "instalacion_rol").select(
-        "email_login", "instalacion_rol", "pagina", lines_shown.alias("turnos")
+        "email_login", "instalacion_rol", "pagina", _lines_shown()
     )
 
 
@@ -115,15 +125,23 @@ def shift_sites(
     has open posts only is present without one.
     """
     require_columns(shifts, "shifts")
-    key = ["instalacion_rol"]
     visible = visible_sites(grants, principals)
-    narrow = nearby(visible, principals)
+    seen = _sites_seen(shifts, open_posts, visible, nearby(visible, principals))
+    return seen.drop("accesos")
+
+
+def _sites_seen(
+    shifts: DataFrame, open_posts: DataFrame, visible: DataFrame, narrow: Callable[[DataFrame, list[str]], DataFrame]
+) -> DataFrame:
+    """Viewers of each site with its company and totals."""
+    key = ["instalacion_rol"]
     by_shift = _first_companies(narrow(shifts, key), key)
     by_post = posts.per_site(narrow(open_posts, key))
     sites = by_shift.join(by_post, "instalacion_rol", "full_outer")
     return visible.join(sites, "instalacion_rol").select(
         "email_login",
         "instalacion_rol",
+        "accesos",
         F.col("primero.empresa").alias("empresa"),
         (F.coalesce("turnos", F.lit(0)) * F.col("accesos")).alias("total_turnos"),
         (F.coalesce("cantidad_ppc", F.lit(0)) * F.col("accesos")).alias("total_ppc"),
@@ -141,13 +159,27 @@ def site_pages(
 
     One row per principal, site and page; ``turnos`` and ``ppc_por_turno`` are null
     on pages that only the other of them reaches, and company and totals of
-    :func:`shift_sites` stand on each page.
+    :func:`shift_sites` stand on each page.  Pages are put together once per site;
+    no array is moved once it was handed to a viewer.
     """
-    key = ["email_login", "instalacion_rol", "pagina"]
-    lines = shift_pages(shifts, grants, principals, page_rows)
-    slots = posts.open_posts_nested(open_posts, grants, True, principals, page_rows)
-    sites = shift_sites(shifts, open_posts, grants, principals)
-    return lines.join(slots, key, "full_outer").join(sites, key[:2])
+    require_columns(open_posts, "open_posts")
+    key = ["instalacion_rol"]
+    visible = visible_sites(grants, principals)
+    narrow = nearby(visible, principals)
+    lines = _site_lines(narrow(shifts, key), page_rows)
+    slots = posts.site_slots(narrow(open_posts, key), True, page_rows)
+    pages = lines.join(slots, [*key, "pagina"], "full_outer")
+    seen = _sites_seen(shifts, open_posts, visible, narrow)
+    return seen.join(pages, key).select(
+        "email_login",
+        "instalacion_rol",
+        "pagina",
+        _lines_shown(),
+        posts.slots_shown(slots).alias("ppc_por_turno"),
+        "empresa",
+        "total_turnos",
+        "total_ppc",
+    )
 
 
 def site_shift_detail(
