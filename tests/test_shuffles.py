@@ -4,8 +4,9 @@ import datetime as dt
 import re
 
 import pytest
+from literals import rows
 
-from ronda.operators import shifts
+from ronda.operators import shifts, submissions
 
 
 @pytest.fixture
@@ -45,3 +46,58 @@ def test_pages_are_not_moved_after_viewers_got_them(make, static):
         ("b", "s", 1): (1, [], 3, 2),
         ("a", "t", 0): (0, [1], 0, 1),
     }
+
+
+@pytest.fixture
+def batch(make):
+    at = dt.datetime(2024, 1, 1)
+    people = make("perms", *[dict(email_login=e, nombre_completo=e.upper(), rol_id="CLIENTE", usuario_activo=True) for e in "ab"])
+    asked = make(
+        "survey_requests",
+        *[dict(encuesta_id=s, modo="compartida", estado=e, fecha_limite=dt.datetime(2024, 2, 1)) for s, e in (("1", "pendiente"), ("2", "completada"), ("", "pendiente"))],
+    )
+    sent = [
+        ("x", "1", "a", 2, " P ", []),
+        ("y", "1", "b", 1, "Q", None),
+        ("y", "1", "a", 3, "R", None),
+        ("z", "2", "a", 1, "P", None),
+        ("n", None, "a", 1, "P", None),
+        ("m", "", "a", 1, "P", None),
+        ("u", "1", "nobody", 0, "P", None),
+    ]
+    given = make(
+        "submissions",
+        *[
+            dict(submission_id=i, encuesta_id=s, email=e, arrival=at + dt.timedelta(hours=h), encuestado_nombre=n, respuestas=r)
+            for i, s, e, h, n, r in sent
+        ],
+    )
+    return given, asked, people
+
+
+@pytest.mark.parametrize("wanted", [submissions.DECISION, submissions.FOR_ANSWERS, submissions.FOR_REJECTIONS])
+def test_both_looks_at_submissions_read_one_shuffle(batch, static, wanted):
+    decided = submissions.decide_submissions(*batch, wanted=wanted)
+    out = submissions.submission_answers(decided) if wanted == submissions.FOR_ANSWERS else decided
+    for key in ("email", "encuesta_id"):
+        # One of the submissions and one of the people or requests.
+        assert len(exchanges(out, key + "#")) == 2
+    assert decided.columns == list(wanted)
+    whole = submissions.decide_submissions(*batch)
+    assert rows(decided) == rows(whole.select(*wanted))
+    verdicts = {r.submission_id: (r.resultado, r.cierra) for r in whole.collect()}
+    assert verdicts == {
+        "x": ("ya_respondida", False),
+        "y": ("aceptada", True),
+        "z": ("ya_respondida", False),
+        "n": ("encuesta_desconocida", False),
+        "m": ("aceptada", True),
+        "u": ("usuario_desconocido", False),
+    }
+
+
+def test_closing_submissions_need_one_look(batch, static):
+    closing = submissions.closing_submissions(*batch)
+    assert len(exchanges(closing, "encuesta_id#")) == 2 and not exchanges(closing, "_encuesta")
+    decided = submissions.decide_submissions(*batch).filter("cierra")
+    assert rows(closing) == rows(decided.select(*submissions.FOR_REQUESTS)) and closing.count() == 2
