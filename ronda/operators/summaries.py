@@ -77,12 +77,21 @@ def site_days(history: DataFrame) -> DataFrame:
 
 
 def site_guards(history: DataFrame, numbers: DataFrame) -> DataFrame:
-    """Guards by site, client and day: a bitmap for every 32,768 numbers of the site."""
+    """Guards by site, client and day: a bitmap for every 32,768 numbers of the site.
+
+    A bitmap ends with its last set bit.  While it is made it takes 4 kB, so
+    guards are combined and dealt out as numbers and no row is sorted after.
+    """
     require_columns(history, "history")
-    numbered = history.select(*DAY, "rutrol").join(numbers, GUARD)
-    return numbered.groupBy(*DAY, F.bitmap_bucket_number("numero").alias("tramo")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("numero")).alias("guardias")
+    numbered = history.select(*DAY, "rutrol").join(numbers, GUARD).select(*DAY, "numero").distinct()
+    keys = [*DAY, "tramo"]
+    dealt = numbered.withColumn("tramo", F.bitmap_bucket_number("numero")).repartition(*keys)
+    made = dealt.groupBy(*keys).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("numero")).alias("guardias"),
+        F.max(F.bitmap_bit_position("numero")).alias("_ultimo"),
     )
+    ends = F.floor(F.col("_ultimo") / 8).cast("int") + 1
+    return made.select(*keys, F.substring("guardias", F.lit(1), ends).alias("guardias"))
 
 
 def _window(stored: DataFrame, as_of: dt.date, days: int) -> DataFrame:
@@ -92,9 +101,17 @@ def _window(stored: DataFrame, as_of: dt.date, days: int) -> DataFrame:
     return stored.filter(within_days(F.col("dia"), as_of, days))
 
 
+def _unions(bitmaps: DataFrame, keys: list[str]) -> DataFrame:
+    """One bitmap by ``keys``, as long as the longest.  Bitmaps are dealt out as they are stored: a union takes 4 kB."""
+    whole = bitmaps.repartition(*keys).groupBy(*keys).agg(
+        F.bitmap_or_agg("guardias").alias("guardias"), F.max(F.octet_length("guardias")).alias("_bytes")
+    )
+    return whole.select(*keys, F.substring("guardias", F.lit(1), F.col("_bytes")).alias("guardias"))
+
+
 def _united(bitmaps: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct guards by ``keys``."""
-    whole = bitmaps.groupBy(*keys, "tramo").agg(F.bitmap_or_agg("guardias").alias("guardias"))
+    whole = _unions(bitmaps, [*keys, "tramo"])
     return whole.groupBy(*keys).agg(F.sum(F.bitmap_count("guardias")).alias("guardias"))
 
 
@@ -127,7 +144,7 @@ def fulfilment_of(
         settings,
     )
     bitmaps = near(_window(guards_table, as_of, days), visible, CLIENT_SITE, principals)
-    week_guards = bitmaps.groupBy(*PLACE, "cliente_rol", *WEEK, "tramo").agg(F.bitmap_or_agg("guardias").alias("guardias"))
+    week_guards = _unions(bitmaps, [*PLACE, "cliente_rol", *WEEK, "tramo"])
     namesakes = (
         with_namesakes(visible).filter("varios").select("instalacion_rol", F.lit(True).alias("ambiguo")).distinct()
     )

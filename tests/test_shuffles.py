@@ -5,8 +5,9 @@ import re
 
 import pytest
 from literals import rows
+from pyspark.sql import functions as F
 
-from ronda.operators import shifts, submissions
+from ronda.operators import shifts, submissions, summaries
 
 
 @pytest.fixture
@@ -101,3 +102,14 @@ def test_closing_submissions_need_one_look(batch, static):
     assert len(exchanges(closing, "encuesta_id#")) == 2 and not exchanges(closing, "_encuesta")
     decided = submissions.decide_submissions(*batch).filter("cierra")
     assert rows(closing) == rows(decided.select(*submissions.FOR_REQUESTS)) and closing.count() == 2
+
+
+def test_bitmaps_end_with_their_last_bit(spark, make):
+    day = dict(semana="S1", isoweek=1, ano=2024, dia=dt.date(2024, 1, 3), zona="Z", empresa="E", cliente_rol="c", instalacion_rol="s")
+    history = make("history", *[dict(**day, rutrol=f"{i:03d}") for i in (*range(20), 3, 3)])
+    made = summaries.site_guards(history, summaries.guard_numbers(history))
+    row = made.select(F.octet_length("guardias").alias("n"), F.bitmap_count("guardias").alias("k")).first()
+    assert (row.n, row.k) == (3, 20)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("bitmap_construct_agg") < plan.index("Exchange") and "partial_bitmap_construct_agg" in plan[: plan.index("Exchange")]
+    assert summaries._unions(made, ["instalacion_rol", "tramo"]).select(F.octet_length("guardias")).first()[0] == 3
