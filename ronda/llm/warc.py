@@ -28,7 +28,9 @@ FILE_BYTES = 256 << 20  # a task begins a new archive beyond this size
 SPLIT_BYTES = 32 << 20
 LEAST_RANGES = 4  # of an archive, so that small ones are read by several tasks too
 READ_BYTES = 1 << 18
+FIRST_BYTES = 1 << 13  # read of a record at first; each further read is twice as long
 HELD_BYTES = 16 << 20  # records decoded while a range is searched and kept until they are read; others are decoded again
+ROW_BYTES = 1024  # of a record besides its payload, counted in the length of a batch
 SALTS = 16
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -156,11 +158,12 @@ class Members:
         return self.held.pop(place, None) or self._decoded(place)
 
     def _decoded(self, place: int) -> tuple[bytes, int] | None:
-        unpacker, out, read = zlib.decompressobj(31), [], place
+        unpacker, out, read, length = zlib.decompressobj(31), [], place, FIRST_BYTES
         try:
             while not unpacker.eof and read < self.size:
                 self.source.seek(read)
-                data = self.source.read(READ_BYTES)
+                data = self.source.read(length)
+                length = min(2 * length, READ_BYTES)
                 out.append(unpacker.decompress(data))
                 if read == place and not out[0].startswith(b"WARC/1."):
                     return None
@@ -233,11 +236,12 @@ def ranges(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     return rows.select("file", "bytes", "start", F.least(F.col("start") + F.col("step"), "bytes").alias("stop"), "places")
 
 
-def read_archives(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def read_archives(archives: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bool = True) -> DataFrame:
     """Records of the archives in (file, bytes), by ``ranges`` of at most ``split_bytes``.
 
     Returns (file, place, record_type, page_id, url, refers_to, payload_digest,
-    payload_bytes, payload); payload is null for a revisit.  A response whose
+    payload_bytes, payload); payload is null for a revisit.  Without ``payloads``
+    they are read and checked all the same, and that column is left out.  A response whose
     payload does not have its digest is an error, and so is a first range that
     does not begin with a whole record.  Where ``archives`` has the places of the
     records, so is a range in which other than these many are found.
@@ -248,13 +252,14 @@ def read_archives(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
             for file, size, start, stop, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 fs, name = pyarrow.fs.FileSystem.from_uri(file)
                 with fs.open_input_file(name) as source:
-                    yield from _owned(Members(source, size), file, start, stop, count)
+                    yield from _owned(Members(source, size), file, start, stop, count, schema)
 
+    schema = _RECORD if payloads else _RECORD.remove(_RECORD.get_field_index("payload"))
     inside = F.filter("places", lambda p: (p >= F.col("start")) & (p < F.col("stop")))
     count = F.when(F.col("places").isNotNull(), F.size(inside))
     parts = ranges(archives, split_bytes).select("file", "bytes", "start", "stop", count.alias("count"))
     dealt = parts.repartition(4 * partitions(archives.sparkSession), "file", "start")
-    return dealt.mapInArrow(run, ", ".join(f"{f.name} {_DDL[f.type]}" for f in _RECORD))
+    return dealt.mapInArrow(run, ", ".join(f"{f.name} {_DDL[f.type]}" for f in schema))
 
 
 _RECORD = pa.schema(
@@ -273,7 +278,9 @@ _RECORD = pa.schema(
 _DDL = {pa.string(): "string", pa.int64(): "long", pa.binary(): "binary"}
 
 
-def _owned(members: Members, file: str, start: int, end: int, count: int | None) -> Iterator[pa.RecordBatch]:
+def _owned(
+    members: Members, file: str, start: int, end: int, count: int | None, schema: pa.Schema = _RECORD
+) -> Iterator[pa.RecordBatch]:
     place = members.first(start, end)
     if start == 0 and place != 0:
         raise ValueError(f"no whole record at byte 0 leads to byte {end} of {file}")
@@ -283,15 +290,17 @@ def _owned(members: Members, file: str, start: int, end: int, count: int | None)
         if member is None:
             raise ValueError(f"no whole record at byte {place} of {file}")
         row = _parsed(member[0])
+        if "payload" not in schema.names:
+            row["payload"] = None
         rows.append({"file": file, "place": place, **row})
-        held, found = held + len(row["payload"] or b""), found + 1
+        held, found = held + len(row["payload"] or b"") + ROW_BYTES, found + 1
         place = member[1]
         if held > 4 << 20:
-            yield pa.RecordBatch.from_pylist(rows, schema=_RECORD)
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
             rows, held = [], 0
     if count is not None and found != count:
         raise ValueError(f"{found} records instead of {count} begin in bytes {start} to {end} of {file}")
-    yield pa.RecordBatch.from_pylist(rows, schema=_RECORD)
+    yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
 def _parsed(content: bytes) -> dict:
@@ -314,7 +323,12 @@ def _parsed(content: bytes) -> dict:
 
 
 def round_trip(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", least_bytes: int = 0
+    pages: DataFrame,
+    id_col: str = "page_id",
+    url_col: str = "url",
+    text_col: str = "html",
+    least_bytes: int = 0,
+    payloads: bool = True,
 ) -> DataFrame:
     """Writes a record per page to archives in the shared folder and reads them back.
 
@@ -324,4 +338,5 @@ def round_trip(
     columns are ignored.
     """
     path = new_path(pages.sparkSession, "warc")
-    return read_archives(write_archives(with_revisits(pages, id_col, url_col, text_col, least_bytes), path))
+    written = write_archives(with_revisits(pages, id_col, url_col, text_col, least_bytes), path)
+    return read_archives(written, payloads=payloads)
