@@ -5,8 +5,10 @@ similarity of ``percent`` / 100 or more share one of the first
 ``n - ceil(percent n / 100) + 1`` elements of each set, in any order that all
 sets agree on; here shingles that many documents share come last, the others
 in order of their hash.  Sets that share such an element and have sizes within
-the same band form a tile.  In a tile the bit counts of two hashed bitmaps
-bound the overlap from above; pairs that pass are intersected exactly.
+the same band form a tile.  What two sets have in common begins at the first
+element that they share, so its place in both bounds the overlap: a tile leaves
+out the pairs of which it cannot be the first.  The bit counts of two hashed
+bitmaps bound the overlap too; pairs that pass are intersected exactly.
 """
 
 from __future__ import annotations
@@ -100,15 +102,22 @@ def _needed(n: int, percent: int) -> int:
 
 
 def _head(members: np.ndarray, shared: np.ndarray, percent: int) -> np.ndarray:
-    """The elements of which similar sets share one."""
+    """The elements of which similar sets share one, in the order that all sets agree on."""
     size = len(members) - _needed(len(members), percent) + 1
-    if not len(shared) or size >= len(members):
+    if not len(shared):
         return members[:size]
     common = _within(shared, members)
     rare = members[~common]
     return rare[:size] if len(rare) >= size else np.concatenate([rare, members[common][: size - len(rare)]])
 
 
+def _reach(size: np.ndarray, late: np.ndarray, percent: int) -> np.ndarray:
+    """Size of the largest set that one of ``size`` elements can be similar to, if ``late`` 256ths of these or more
+    come before the first that both have: the overlap ends with the rest."""
+    rest = size + (-late * size // 256)
+    return (100 + percent) * rest // percent - size
+
+
 def shared_shingles(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
     """Hashes of shingles that many documents of some task share, at most ``SHARED_MOST``.
 
@@ -175,10 +184,13 @@ def featurised(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
 
 
 def _elements(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, shared: np.ndarray) -> DataFrame:
-    """(key, salt, size, sig) for every element of every head; only shared shingles are salted.
+    """(salt, key, size_late, sig) for every element of every head; only shared shingles are salted.
 
-    Heads are made from the texts once more rather than stored.  A set that a
-    task met before gives nothing.
+    ``size_late`` holds the size of the set and, in its last 8 bits, in how many
+    256ths of the set the element comes.  The columns are in the order that
+    packs best: what rows of one set have in common comes in one piece.  Heads
+    are made from the texts once more rather than stored.  A set that a task
+    met before gives nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,13 +208,16 @@ def _elements(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
             key = np.concatenate(heads)
             sig = np.repeat(np.array(sigs, np.int64), times)
             salt = np.where(_within(shared, key), sig % SALTS, 0).astype(np.int32)
+            size = np.repeat(np.array(sizes, np.int64), times)
+            place = np.arange(len(key)) - np.repeat(np.cumsum(times) - times, times)
+            size_late = size * 256 + 256 * place // size
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(salt), pa.array(np.repeat(np.array(sizes, np.int32), times)), pa.array(sig)],
-                ["key", "salt", "size", "sig"],
+                [pa.array(salt), pa.array(key.view(np.int64)), pa.array(size_late), pa.array(sig)],
+                ["salt", "key", "size_late", "sig"],
             )
 
     texts = docs.where(F.col(id_col).isNotNull()).select(text_col)
-    return texts.mapInArrow(run, "key long, salt int, size int, sig long")
+    return texts.mapInArrow(run, "salt int, key long, size_late long, sig long")
 
 
 _TILE = "kind int, key long, a long, b long, size int"
@@ -228,6 +243,32 @@ def _leaders(group: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
         lead = np.where(outside, np.maximum.accumulate(np.where(first, at, 0)), lead)
 
 
+def _largest(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Largest of values[begin:end] for each pair of bounds, -1 where there is none."""
+    found, length = np.full(len(begin), -1), end - begin
+    width, largest = 1, values  # of the values from each on, as many as width
+    while (length >= width).any():
+        at = np.flatnonzero((length >= width) & (length < 2 * width))
+        found[at] = np.maximum(largest[begin[at]], largest[end[at] - width])
+        largest = np.maximum(largest[:-width], largest[width:])
+        width *= 2
+    return found
+
+
+def _left(group: np.ndarray, size: np.ndarray, reach: np.ndarray, led: np.ndarray, percent: int) -> np.ndarray:
+    """Whether a row has a partner within the reach of both that is not its leader, nor led by it.
+
+    Rows are sorted by group and size.  All partners of a leader that are
+    larger are led by it, so the smaller row of such a pair is led itself.
+    """
+    row, begin = np.arange(len(group)), group << 32
+    at = begin + size
+    end = np.searchsorted(at, begin + np.minimum(reach, (1 << 32) - 1), "right")
+    least = np.searchsorted(at, begin - (-percent * size // 100), "left")
+    as_larger = _largest(np.where(led, reach, -1), least, np.minimum(row, end)) >= size
+    return as_larger | (led & (_largest(reach, row + 1, end) >= size))
+
+
 def _within(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
     if not len(sorted_values):
         return np.zeros(len(values), bool)
@@ -256,33 +297,40 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarr
 
 
 def _tiles(elements: DataFrame, percent: int, shared: np.ndarray, spread: int) -> DataFrame:
-    """Pairs with the leader of their tile, leaders of salted keys, and members of runs that leave other pairs."""
+    """Pairs with the leader of their tile, leaders of salted keys, and members that are left with other pairs.
+
+    A pair of similar sets is left in the tile of the first element that both
+    have, or is one with a leader there.  The tile of a salted key is in parts,
+    so that all its members are left.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, salt, size, sig in runs(batches, 2):
+        for salt, key, size_late, sig in runs(batches, 2):
             again = np.zeros(len(key), bool)
             again[1:] = (key[1:] == key[:-1]) & (salt[1:] == salt[:-1]) & (sig[1:] == sig[:-1])
-            key, salt, size, sig = key[~again], salt[~again], size[~again], sig[~again]
+            key, salt, size, late, sig = key[~again], salt[~again], size_late[~again] >> 8, size_late[~again] & 255, sig[~again]
             turn = np.zeros(len(key), bool)
             turn[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
             group = np.cumsum(turn)
             lead = _leaders(group, size, percent)
             led = lead != np.arange(len(key))
             hot = _within(shared, key.view(np.uint64))
-            many = (np.bincount(group)[group] >= 3) | hot
-            parts = [(PAIR, led, sig[lead]), (LEADER, hot & ~led, sig), (MEMBER, many, sig)]
+            left = hot.copy()
+            many = np.flatnonzero((np.bincount(group)[group] >= 3) & ~hot)
+            left[many] = _left(group[many], size[many], _reach(size[many], late[many], percent), led[many], percent)
+            parts = [(PAIR, led, sig[lead]), (LEADER, hot & ~led, sig), (MEMBER, left, sig)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([np.full(int(m.sum()), kind, np.int32) for kind, m, _ in parts])),
                     pa.array(np.concatenate([key[m] for _, m, _ in parts])),
                     pa.array(np.concatenate([a[m] for _, m, a in parts])),
                     pa.array(np.concatenate([sig[m] for _, m, _ in parts])),
-                    pa.array(np.concatenate([size[m] for _, m, _ in parts])),
+                    pa.array(np.concatenate([size[m] for _, m, _ in parts]).astype(np.int32)),
                 ],
                 ["kind", "key", "a", "b", "size"],
             )
 
-    dealt = elements.repartition(spread, "key", "salt").sortWithinPartitions("key", "salt", "size", "sig")
+    dealt = elements.repartition(spread, "key", "salt").sortWithinPartitions("key", "salt", "size_late", "sig")
     return dealt.mapInArrow(run, _TILE)
 
 
@@ -415,21 +463,20 @@ def _block_count(n: Column, elements: Column) -> Column:
 
 
 def _still_open(members: DataFrame, roots: DataFrame, nodes: DataFrame, percent: int, spread: int) -> DataFrame:
-    """(a, b): of all pairs in a tile that are not connected and that sizes and bitmaps allow, enough to join the same
-    sets as all of them do.
+    """(a, b): of all pairs of members (key, b, size) of a tile that are not connected and that sizes and bitmaps allow,
+    enough to join the same sets as all of them do.
 
     Tiles are cut into blocks by hash and every pair of blocks is compared, so
     that no task meets more than two blocks of a tile at a time.  Tiles of the
     same members are one.  A pair of blocks gives fewer pairs than members.
+    Bitmaps are sent for members of tiles that are open, and for no others.
     """
     named = members.join(roots.withColumnRenamed("node", "b"), "b", "left").select(
-        "key", F.col("b").alias("sig"), F.coalesce("root", "b").alias("root")
+        "key", F.col("b").alias("sig"), F.coalesce("root", "b").alias("root"), "size"
     )
-    named = stored(named.distinct(), "tiles")
-    sized = named.join(nodes.select("sig", "size", F.coalesce("fine", "coarse").alias("bits")), "sig")
+    named = stored(named, "tiles")
     open_keys = (
-        named.join(nodes.select("sig", "size"), "sig")
-        .groupBy("key")
+        named.groupBy("key")
         .agg(
             F.min("root").alias("lo"),
             F.max("root").alias("hi"),
@@ -443,7 +490,8 @@ def _still_open(members: DataFrame, roots: DataFrame, nodes: DataFrame, percent:
         .agg(F.min("key").alias("key"))
     )
     open_keys = stored(open_keys.select("key", _block_count(F.col("n"), F.col("elements"))), "open")
-    dealt = _in_blocks(sized.select("key", "sig", "root", "size", "bits"), open_keys)
+    bits = nodes.select("sig", F.coalesce("fine", "coarse").alias("bits"))
+    dealt = _in_blocks(named, open_keys).join(bits, "sig").select("key", "lo", "hi", "mine", "sig", "root", "size", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in runs(batches, 3):
@@ -532,7 +580,9 @@ def near_duplicate_groups(
         "nodes",
     )
     tiles = stored(_tiles(_elements(docs, id_col, text_col, words, percent, shared), percent, shared, spread), "tiles")
-    leaders = tiles.where(F.col("kind") == LEADER).select("key", F.lit(0).alias("salt"), "size", F.col("a").alias("sig"))
+    leaders = tiles.where(F.col("kind") == LEADER).select(
+        F.lit(0).alias("salt"), "key", (F.col("size").cast("long") * 256).alias("size_late"), F.col("a").alias("sig")
+    )
     between = _tiles(leaders, percent, shared[:0], spread).where(F.col("kind") == PAIR)
     tried = stored(
         tiles.where(F.col("kind") == PAIR).union(between).select(*_pairs(F.col("a"), F.col("b"))).distinct(), "tried"
@@ -540,7 +590,7 @@ def near_duplicate_groups(
     known = _bounded(tried, nodes, percent)
     links = stored(_linked(known, docs, id_col, text_col, words, percent), "linked")
     roots = connected_components(links)
-    members = tiles.where(F.col("kind") == MEMBER).select("key", "b")
+    members = tiles.where(F.col("kind") == MEMBER).select("key", "b", "size")
     # What is open after the leaders.  Sets that pairs allowed by the bitmaps connect, over all tiles, are compared once,
     # so that a set is sent once and not for every tile that it shares with another.
     still_open = _still_open(members, roots, nodes, percent, spread)

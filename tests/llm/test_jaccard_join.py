@@ -121,3 +121,69 @@ def test_links_of_a_task_are_fewer_than_its_members(spark):
     still = spark.createDataFrame([(1, s, s, len(x)) for s, x in zip(sigs, sets)], "key long, sig long, root long, size int")
     held = spark.createDataFrame([(s, bytearray(x.tobytes())) for s, x in zip(sigs, sets)], "sig long, members binary")
     assert jaccard_join._joining(still, held, 80, 2).count() == len(sets) - 1
+
+
+def test_tiles_leave_no_members_whose_sizes_or_places_rule_out_all_pairs(docs):
+    """Unlike texts that share a passage, each half as long again as the one before."""
+    rnd = random.Random(5)
+    passage = [f"p{k}" for k in range(60)]
+    rows = [(k, " ".join([f"t{k}w{rnd.random()}" for _ in range(int(40 * 1.5**k))] + passage)) for k in range(8)]
+    none = np.zeros(0, np.uint64)
+    elements = jaccard_join._elements(docs(*rows), "doc_id", "text", 5, 80, none)
+    assert elements.groupBy("key").count().where("count >= 3").count()
+    assert jaccard_join._tiles(elements, 80, none, 4).where(f"kind = {jaccard_join.MEMBER}").count() == 0
+
+
+@pytest.mark.parametrize("percent", [50, 80, 95])
+def test_similar_sets_are_left_in_the_tile_of_their_first_common_element(percent):
+    rng = np.random.default_rng(percent)
+    tried = 0
+    for _ in range(400):
+        n = rng.integers(1, 300)
+        gone, new = rng.integers(0, 1 + n * (100 - percent) // 100, 2)
+        x = np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([rng.permutation(x)[gone:], rng.integers(0, 1 << 62, new, dtype=np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        if not len(y) or 100 * both < percent * (len(x) + len(y) - both):
+            continue
+        tried += 1
+        shared = np.unique(rng.permutation(np.concatenate([x, y]))[: rng.integers(0, len(x) + len(y))])
+        a, b = (list(jaccard_join._head(s, shared, percent)) for s in (x, y))
+        first = next(e for e in a if e in b)
+        size = np.array([len(x), len(y)])
+        reach = jaccard_join._reach(size, 256 * np.array([a.index(first), b.index(first)]) // size, percent)
+        assert (reach >= size[::-1]).all()
+    assert tried > 50
+
+
+def test_members_left_against_all_pairs():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        n = rng.integers(1, 40)
+        rows = sorted(zip(rng.integers(0, 3, n).tolist(), rng.integers(1, 90, n).tolist(), rng.integers(0, 60, n).tolist(), strict=True))
+        group, size, late = (np.array(c) for c in zip(*rows, strict=True))
+        lead, reach = jaccard_join._leaders(group, size, 80), jaccard_join._reach(size, late, 80)
+        want = np.zeros(n, bool)
+        for i in range(n):
+            for j in range(i + 1, n):
+                if group[i] == group[j] and lead[j] != i and size[j] <= reach[i] and size[i] <= reach[j]:
+                    want[[i, j]] = True
+        assert (jaccard_join._left(group, size, reach, lead != np.arange(n), 80) == want).all()
+
+
+def test_crowds_of_like_sizes_against_all_pairs(docs, monkeypatch):
+    """Drifting copies and unlike texts of like sizes that share passages, without salted keys."""
+    monkeypatch.setattr(jaccard_join, "SHARED_LEAST", 1000)
+    rnd = random.Random(21)
+    passages = [[f"p{k}q{j}" for j in range(8)] for k in range(12)]
+    rows = []
+    for g in range(14):
+        text = [f"g{g}w{k}" for k in range(rnd.randint(40, 70))]
+        for at in sorted(rnd.sample(range(len(text)), 4), reverse=True):
+            text[at:at] = rnd.choice(passages)
+        for _ in range(9):
+            text = list(text)
+            for _ in range(rnd.randint(0, 2)):
+                text[rnd.randrange(len(text))] = f"x{rnd.random()}"
+            rows.append((len(rows), " ".join(text)))
+    assert found(jaccard_join.near_duplicate_groups(docs(*rows))) == brute_force(rows)
