@@ -84,6 +84,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+FIXED = 20, 22  # fractional bits of factors whose products are summed exactly: word vectors, states
+
+
+def _fixed_product(x: np.ndarray, weights: np.ndarray, bits: int) -> np.ndarray:
+    """x @ weights on whole numbers, which add up to the same in any order.
+
+    A plain product rounds by a row's place among the others, so that equal
+    texts would differ by what is scored beside them.
+    """
+    unit = float(1 << bits)
+    return (np.rint(x * np.float64(unit)) @ np.rint(weights * np.float64(unit)) / unit**2).astype(np.float32)
+
+
 class Network:
     """Parameters and passes of the network."""
 
@@ -123,7 +136,7 @@ class Network:
         h = np.zeros((n, STATE), np.float32)
         states = np.zeros((steps, n, STATE), np.float32)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            x, own = given[index[:, t]], h @ u
+            x, own = given[index[:, t]], _fixed_product(h, u, FIXED[1]) if keep is None else h @ u
             gates = _sigmoid(x[:, : 2 * STATE] + own[:, : 2 * STATE])
             z, r = gates[:, :STATE], gates[:, STATE:]
             new = np.tanh(x[:, 2 * STATE :] + r * own[:, 2 * STATE :])
@@ -137,12 +150,13 @@ class Network:
         mask = (index > 0).astype(np.float32)
         both = []
         for k, d in enumerate("fb"):
-            given = vectors @ self.dense["w" + d] + self.dense["c" + d]
+            w = self.dense["w" + d]
+            given = (vectors @ w if keeps else _fixed_product(vectors, w, FIXED[0])) + self.dense["c" + d]
             both.append(self._run(index, given, mask, d, keeps[k] if keeps else None))
         states = np.concatenate(both, axis=2)
-        score = np.where(mask.T > 0, states @ self.dense["att"], -1e9)
+        score = np.where(mask.T > 0, np.einsum("tnh,h->tn", states, self.dense["att"]), -1e9)
         weight = np.exp(score - score.max(0))
-        weight /= weight.sum(0)
+        weight /= np.cumsum(weight, axis=0)[-1]  # in order, however many windows there are
         return mask, states, weight, np.einsum("tn,tnh->nh", weight, states)
 
     def logits(self, words: Words) -> np.ndarray:
@@ -150,7 +164,8 @@ class Network:
         if not len(words.windows):
             return np.zeros(0, np.float32)
         vectors = self.inputs(words)
-        out = [self._pooled(words.windows[i : i + BLOCK], vectors)[3] @ self.dense["out"] for i in range(0, len(words.windows), BLOCK)]
+        blocks = (words.windows[i : i + BLOCK] for i in range(0, len(words.windows), BLOCK))
+        out = [np.einsum("nh,h->n", self._pooled(block, vectors)[3], self.dense["out"]) for block in blocks]
         return np.concatenate(out) + self.dense["bias"][0]
 
     def gradients(self, words: Words, pick: np.ndarray, target: np.ndarray, rng: np.random.Generator):

@@ -1,3 +1,6 @@
+import os
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -83,6 +86,28 @@ def test_odd_documents(odd):
     assert toxicity.scored(odd.limit(0), net).count() == 0
 
 
+BESIDE = """
+import numpy as np, pyarrow as pa
+from ronda.llm import toxicity
+rng, net = np.random.default_rng(3), toxicity.Network()
+texts = [" ".join(f"w{k}" for k in rng.integers(0, 300, n)) for n in (*range(1, 50), 130, 700)]
+score = lambda some: toxicity._scores(net, pa.array(some))[0].tolist()
+for at, text in enumerate(texts):
+    beside = texts[at + 1 :] + texts[:at]
+    found = {score(beside[:k] + [text] + beside[k:n])[k] for n in (0, 1, 2, 4, 50) for k in {0, n // 2, n}}
+    assert len(found) == 1, found
+"""
+
+
+def test_scores_do_not_depend_on_the_texts_beside():
+    """With the products of a processor that rounds rows by their place, where the library has them."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run(
+        [sys.executable, "-c", BESIDE], env=os.environ | {"OPENBLAS_CORETYPE": "Haswell", "PYTHONPATH": root}, capture_output=True, text=True, check=False
+    )
+    assert done.returncode == 0, done.stderr
+
+
 def test_fit_without_usable_labels(spark, odd):
     labels = spark.createDataFrame([(3, 1, None), (None, 1, 1), (9, 1, 1)], "doc_id long, quality int, toxic int")
     assert toxicity.scored(odd, toxicity.fit(odd, labels)).count() == odd.count()
