@@ -87,14 +87,20 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 FIXED = 20, 22  # fractional bits of factors whose products are summed exactly: word vectors, states
 
 
-def _fixed_product(x: np.ndarray, weights: np.ndarray, bits: int) -> np.ndarray:
+class _FixedProduct:
     """x @ weights on whole numbers, which add up to the same in any order.
 
     A plain product rounds by a row's place among the others, so that equal
     texts would differ by what is scored beside them.
     """
-    unit = float(1 << bits)
-    return (np.rint(x * np.float64(unit)) @ np.rint(weights * np.float64(unit)) / unit**2).astype(np.float32)
+
+    def __init__(self, weights: np.ndarray, bits: int):
+        self._unit = np.float64(1 << bits)
+        self._weights = np.rint(weights * self._unit) / self._unit**2
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        whole = x * self._unit
+        return (np.rint(whole, out=whole) @ self._weights).astype(np.float32)
 
 
 class Network:
@@ -133,10 +139,11 @@ class Network:
         """States of one direction: (steps, windows, STATE)."""
         n, steps = index.shape
         u = self.dense["u" + d]
+        fixed = _FixedProduct(u, FIXED[1])
         h = np.zeros((n, STATE), np.float32)
         states = np.zeros((steps, n, STATE), np.float32)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            x, own = given[index[:, t]], _fixed_product(h, u, FIXED[1]) if keep is None else h @ u
+            x, own = given[index[:, t]], fixed.of(h) if keep is None else h @ u
             gates = _sigmoid(x[:, : 2 * STATE] + own[:, : 2 * STATE])
             z, r = gates[:, :STATE], gates[:, STATE:]
             new = np.tanh(x[:, 2 * STATE :] + r * own[:, 2 * STATE :])
@@ -151,7 +158,7 @@ class Network:
         both = []
         for k, d in enumerate("fb"):
             w = self.dense["w" + d]
-            given = (vectors @ w if keeps else _fixed_product(vectors, w, FIXED[0])) + self.dense["c" + d]
+            given = (vectors @ w if keeps else _FixedProduct(w, FIXED[0]).of(vectors)) + self.dense["c" + d]
             both.append(self._run(index, given, mask, d, keeps[k] if keeps else None))
         states = np.concatenate(both, axis=2)
         score = np.where(mask.T > 0, np.einsum("tnh,h->tn", states, self.dense["att"]), -1e9)
