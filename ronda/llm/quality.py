@@ -29,6 +29,8 @@ CONFIDENT = 0.1  # share of the unlabelled documents that a view labels in a rou
 MOST_GIVEN = 300  # and at most so many of them per class
 SURE = float(np.log(0.98 / 0.02))  # logit from which a view may label
 BUCKETS = 32
+CLASSES = 10
+WIDTHS = CLASSES * CLASSES + 10, 8 + 2 * BUCKETS  # features of the content and the metadata view
 
 _CLASS = np.full(256, 9, np.uint8)  # other ASCII symbols
 _CLASS[:32] = 8
@@ -37,7 +39,6 @@ _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 1, 2, 3, 4
 _CLASS[[ord(c) for c in ".,;:?-'\"()"]] = 5
 _CLASS[[ord(c) for c in "|<>{}[]/\\_="]] = 6
 _CLASS[[ord(c) for c in "!#$%&*@^~+"]] = 7
-CLASSES = 10
 
 
 def content_view(column: pa.Array) -> np.ndarray:
@@ -98,7 +99,7 @@ def content_view(column: pa.Array) -> np.ndarray:
                 ]
             )
         )
-    return np.concatenate(out) if out else np.zeros((0, CLASSES * CLASSES + 10))
+    return np.concatenate(out) if out else np.zeros((0, WIDTHS[0]))
 
 
 def _distinct_rows(row: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -209,10 +210,7 @@ class Unlabelled:
     def __init__(self, docs: DataFrame, told: DataFrame, id_col: str, text_col: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                lists = [
-                    pa.FixedSizeListArray.from_arrays(pa.array(x.astype(np.float32).ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
-                    for x in _features(batch, 1)
-                ]
+                lists = [_lists(x.astype(np.float32)) for x in _features(batch, 1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["id", "content", "metadata"])
 
         # Features are joined and not texts, since one of both is exchanged where there are many labels.
@@ -235,7 +233,7 @@ class Unlabelled:
             for batch in batches:
                 row = batch.column(2).to_numpy()
                 for k in (0, 1):
-                    logit = views[k].logit(_matrix(batch.column(k)))
+                    logit = views[k].logit(_matrix(batch.column(k), WIDTHS[k]))
                     fresh = ~np.isin(row, known[k])
                     for y in (0, 1):
                         surety = logit if y else -logit
@@ -262,8 +260,13 @@ class Unlabelled:
         return [(r.view, r.row, float(r.label), *features[r.row]) for r in top]
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy().reshape(len(column), -1)
+def _lists(features: np.ndarray) -> pa.Array:
+    values = pa.array(features.ravel())
+    return pa.FixedSizeListArray.from_arrays(values, features.shape[1]).cast(pa.list_(values.type))
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), width)
 
 
 def cotrain(content: np.ndarray, metadata: np.ndarray, label: np.ndarray, more: Unlabelled, rounds: int = ROUNDS) -> Model:
@@ -301,33 +304,31 @@ def _features(batch: pa.RecordBatch, first: int) -> tuple[np.ndarray, np.ndarray
     return content_view(text), metadata_view(text, lang.to_pylist(), source.to_pylist(), numbers)
 
 
+def _labelled(docs: DataFrame, sample: DataFrame, id_col: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(label, content, metadata) of a sample (_id, _label, _text) in the order of ids; tasks read the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [_lists(x) for x in _features(batch, 2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["id", "label", "content", "metadata"])
+
+    named = docs.select(F.col(id_col).alias("_id"), "lang", "source", "n_chars")
+    named = named.join(F.broadcast(sample.select("_id")), "_id", "left_semi").dropDuplicates(["_id"])  # bounded by the sample
+    own = sample.join(F.broadcast(named), "_id").select("_id", "_label", "_text", "lang", "source", "n_chars")
+    kind = own.schema["_id"].dataType.simpleString()
+    found = own.mapInArrow(run, f"id {kind}, label int, content array<double>, metadata array<double>").toArrow().sort_by("id").combine_chunks()
+    label, *views = (found[c].combine_chunks() for c in ("label", "content", "metadata"))
+    return label.to_numpy().astype(float), *(_matrix(v, w) for v, w in zip(views, WIDTHS, strict=True))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fits on a bounded sample of the labelled rows that are not held out, and on all rows with text but no label."""
-    meta = ["lang", "source", "n_chars"]
-    named = docs.select(F.col(id_col).alias("_id"), *meta)
+    """Fits on a bounded sample of the labelled rows that are not held out, and on all rows with text but no label.
+
+    The driver takes the features of the sample, some 1.5 kB a row, and never the texts.
+    """
     sample = labelled_sample(docs, labels, "quality", id_col, text_col, SAMPLE_PER_LABEL, SAMPLE_CHARS)
     told = labels.where(F.col("quality").isin(0, 1))
-
-    def known(rows: DataFrame) -> pa.RecordBatch:
-        texts = rows.toArrow().combine_chunks()
-        ids = F.broadcast(docs.sparkSession.createDataFrame(texts.select(["_id"])))  # bounded by the sample
-        others = {r[0]: r[1:] for r in named.join(ids, "_id", "left_semi").dropDuplicates(["_id"]).collect()}
-        order = np.argsort(texts["_id"].to_numpy())
-        ids_sorted = [texts["_id"][int(i)].as_py() for i in order]
-        columns = list(zip(*(others[i] for i in ids_sorted), strict=True)) or [(), (), ()]
-        return pa.RecordBatch.from_pydict(
-            {
-                "label": pa.array([texts["_label"][int(i)].as_py() for i in order], pa.int64()),
-                "text": pa.array([texts["_text"][int(i)].as_py() for i in order], pa.string()),
-                "lang": pa.array(columns[0], pa.string()),
-                "source": pa.array(columns[1], pa.string()),
-                "n_chars": pa.array(columns[2], pa.int64()),
-            }
-        )
-
-    labelled = known(sample)
-    y = labelled.column(0).to_numpy().astype(float)
-    content, metadata = _features(labelled, 1)
+    y, content, metadata = _labelled(docs, sample, id_col)
     if len(set(y.tolist())) < 2:
         empty = lambda x: View(np.zeros(x.shape[1]), np.ones(x.shape[1]), np.zeros(x.shape[1] + 1))
         return Model(empty(content), empty(metadata), np.array([0.0, 0.0, -5.0 if len(y) and y[0] == 0 else 5.0]))

@@ -114,6 +114,27 @@ def test_fit_without_usable_labels(spark, odd):
     assert quality.scored(odd, quality.fit(odd, labels)).count() == odd.count()
 
 
+def test_quality_is_fitted_without_texts_on_the_driver(spark, docs, monkeypatch):
+    """The driver takes features of the sample, the same that its texts have."""
+    told = [i for i in range(300) if not held_out(i)]
+    texts = {i: f"needle {i}\n" * (i % 7 + 1) + "good words " * (i % 2 * 20) for i in range(300)}
+    own = docs(*texts.items())
+    labels = spark.createDataFrame([(i, i % 2) for i in told], "doc_id long, quality int")
+    taken, fitted = [], []
+    for name in ("toArrow", "collect", "toPandas", "toLocalIterator"):
+        real = getattr(type(own), name)
+        monkeypatch.setattr(type(own), name, lambda self, *a, real=real, **b: taken.append(real(self, *a, **b)) or taken[-1])
+    monkeypatch.setattr(quality, "cotrain", lambda *found: fitted.append(found))
+    quality.fit(own, labels)
+    assert taken and not any("needle" in str(x.to_pydict() if isinstance(x, pa.Table) else x) for x in taken)
+    column = pa.array([texts[i] for i in told])
+    content, metadata, label, _ = fitted[0]
+    assert label.tolist() == [i % 2 for i in told]
+    assert np.array_equal(content, quality.content_view(column))
+    sizes = np.array([len(texts[i]) for i in told], float)
+    assert np.array_equal(metadata, quality.metadata_view(column, ["en"] * len(told), ["src0"] * len(told), sizes))
+
+
 def test_quality_of_odd_documents(odd):
     model = quality.Model(*(quality.View(np.zeros(n), np.ones(n), np.ones(n + 1)) for n in (110, 72)), np.ones(3))
     found = quality.scored(odd, model)
